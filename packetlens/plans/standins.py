@@ -67,3 +67,28 @@ def duckdb_packets() -> str:
 
 def duckdb_predictions() -> str:
     return PREDICTIONS_SQL.replace("{lineitem}", "lineitem")
+
+# Edge-capture-shaped stand-in: which protocol fields are present follows the
+# event type, so every protocol branch occurs.
+EDGE_SQL = """
+SELECT event_id, ts_us, ip_src, ip_dst,
+ CASE WHEN attack_type IN ('purchase', 'signup', 'click') THEN port_src END AS tcp_srcport,
+ CASE WHEN attack_type IN ('purchase', 'signup', 'click') THEN port_dst END AS tcp_dstport,
+ CASE WHEN attack_type = 'view' AND event_id % 2 = 0 THEN CAST(stream_id AS BIGINT) END AS udp_stream,
+ CASE WHEN attack_type = 'view' THEN port_dst END AS udp_port,
+ CASE WHEN attack_type = 'error' AND event_id % 4 <> 0 THEN event_id % 65536 END AS icmp_checksum,
+ CASE WHEN attack_type = 'error' AND event_id % 3 = 0 THEN event_id % 100 END AS icmp_seq,
+ CASE WHEN attack_type = 'error' AND event_id % 4 = 0 AND event_id % 8 <> 0 THEN 1 END AS arp_opcode,
+ CASE WHEN attack_type = 'error' AND event_id % 8 = 0 AND event_id % 16 <> 0 THEN 3 END AS mqtt_msgtype,
+ CASE WHEN event_id % 16 = 0 THEN event_id END AS mbtcp_trans_id,
+ syn, ack, fin, rst, attack_label, attack_type, num_a, payload
+FROM {packets}
+"""
+
+
+def edge_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(EDGE_SQL, packets=packets(spark, sf_dir))
+
+
+def duckdb_edge() -> str:
+    return EDGE_SQL.replace("{packets}", "packets")

@@ -20,11 +20,13 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None  # pandas turns null longs into NaN
+        if v.is_integer():
+            return int(v)
         return round(v, 6)
     if hasattr(v, "tolist"):
         v = v.tolist()
