@@ -75,7 +75,7 @@ def is_parseable(col: ColumnLike, fmt: str = EDGE_TIME_FORMAT) -> Column:
 def parse_date(col: ColumnLike, formats: Sequence[str] = ("yyyy-MM-dd",), strict: bool = False) -> Column:
     """Text -> date with the first matching format; strict raises on bad text."""
     x = strip(col)
-    out = F.coalesce(*[F.try_to_date(x, F.lit(f)) for f in formats]) if formats else F.try_to_date(x)
+    out = F.coalesce(*[F.try_to_date(x, f) for f in formats]) if formats else F.try_to_date(x)
     if strict:
         out = F.when(x.isNotNull() & out.isNull(),
                      F.raise_error(F.concat(F.lit("unparseable date: "), x))).otherwise(out)
@@ -101,14 +101,26 @@ def hex_to_long(col: ColumnLike, strict: bool = True) -> Column:
     return F.when(ok, value)
 
 
+# Decimal number text: digits with optional fraction/exponent, or inf/infinity/nan.
+# (Spark's own string->double cast also takes Java suffixes such as '12F' or '3D',
+# which are not numbers here.)
+DECIMAL_PATTERN = r"^[+-]?(([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+
+
+def to_number(col: ColumnLike) -> Column:
+    """Text -> double when it is decimal-number text (blanks around allowed), else null."""
+    x = strip(col)
+    return F.when(x.rlike(DECIMAL_PATTERN), x.try_cast("double"))
+
+
 def number_or_hex(col: ColumnLike) -> Column:
     """Decimal number if the text is one, else its hex value, else null."""
-    return F.coalesce(c(col).try_cast("double"), hex_to_long(col, strict=False).cast("double"))
+    return F.coalesce(to_number(col), hex_to_long(col, strict=False).cast("double"))
 
 
 def number_or_default(col: ColumnLike, default: float = -1.0) -> Column:
     """Numeric value of the text, ``default`` when it is not a number (or NaN)."""
-    v = c(col).try_cast("double")
+    v = to_number(col)
     return F.when(v.isNull() | F.isnan(v), F.lit(float(default))).otherwise(v)
 
 
