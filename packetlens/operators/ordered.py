@@ -79,3 +79,23 @@ def bucketed_row_number(df: DataFrame, partition: Sequence[ColumnLike], order: S
 def hash_bucket(key: Column, n_hex: int = 4) -> Column:
     """Bucket from the first ``n_hex`` hex digits of an md5 rank key (uniform)."""
     return F.conv(F.substring(key, 1, n_hex), 16, 10).cast("long")
+
+
+def bucketed_prefix_sum(df: DataFrame, partition: Sequence[ColumnLike], order: Sequence[Column],
+                        bucket: Column, value: Column, out: str) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of the partition in ``order`` (exclusive).
+
+    Same plan shape as ``bucketed_row_number``: a window inside (group, bucket)
+    plus bucket totals prefix-summed over a table of one row per bucket.
+    """
+    staged = (df.withColumn("__g", group_key(partition)).withColumn("__bkt", bucket)
+              .withColumn("__v", value))
+    w = (Window.partitionBy("__g", "__bkt").orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    staged = staged.withColumn("__lsum", F.coalesce(F.sum("__v").over(w), F.lit(0)))
+    totals = staged.groupBy("__g", "__bkt").agg(F.sum("__v").alias("__bt"))
+    wb = Window.partitionBy("__g").orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__g", "__bkt", F.coalesce(F.sum("__bt").over(wb), F.lit(0)).alias("__off"))
+    return (staged.join(offsets, on=["__g", "__bkt"], how="inner")
+            .withColumn(out, F.col("__off") + F.col("__lsum"))
+            .drop("__off", "__lsum", "__g", "__bkt", "__v"))

@@ -42,7 +42,7 @@ FROM {events}
 PREDICTIONS_SQL = """
 SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
        (l_quantity - 25) / 10 AS logit,
-       l_linestatus AS split
+       l_linestatus AS split{EPOCH}
 FROM {lineitem}
 """
 
@@ -56,8 +56,10 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PACKETS_SQL.replace("{US}", SPARK_US), events=events)
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PREDICTIONS_SQL, lineitem=table(spark, sf_dir, "lineitem"))
+def predictions(spark: SparkSession, sf_dir: str, with_epoch: bool = False) -> DataFrame:
+    """Predictions per lineitem; ``with_epoch`` adds the line number as an epoch column."""
+    text = PREDICTIONS_SQL.replace("{EPOCH}", ", l_linenumber AS epoch" if with_epoch else "")
+    return spark.sql(text, lineitem=table(spark, sf_dir, "lineitem"))
 
 
 def duckdb_packets() -> str:
@@ -65,8 +67,9 @@ def duckdb_packets() -> str:
     return PACKETS_SQL.replace("{US}", DUCKDB_US).replace("{events}", "events")
 
 
-def duckdb_predictions() -> str:
-    return PREDICTIONS_SQL.replace("{lineitem}", "lineitem")
+def duckdb_predictions(with_epoch: bool = False) -> str:
+    return PREDICTIONS_SQL.replace("{EPOCH}", ", l_linenumber AS epoch" if with_epoch else "") \
+        .replace("{lineitem}", "lineitem")
 
 # Edge-capture-shaped stand-in: which protocol fields are present follows the
 # event type, so every protocol branch occurs.
