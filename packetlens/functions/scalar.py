@@ -43,6 +43,8 @@ def map_values(col: ColumnLike, mapping: Mapping, default=None, strict: bool = F
     fixed by the caller, not by the data.
     """
     x = c(col)
+    if mapping and all(isinstance(k, str) for k in mapping):
+        x = x.cast("string")
     m = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in mapping.items()))
     hit = F.try_element_at(m, x)
     known = F.map_contains_key(m, x)
