@@ -37,13 +37,16 @@ def fit_categories(df: DataFrame, cols: Sequence[str], split_col: str | None = "
     pairs = F.array(*[F.struct(F.lit(n).alias("feature"), c(n).cast("string").alias("value"))
                       for n in cols])
     distinct = rows.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
-    sizes = {r["feature"]: r["n"] for r in distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_many = {k: v for k, v in sizes.items() if v > max_categories}
-    if too_many:
-        raise ValueError(f"too many categories for a wide encoding: {too_many}")
+    # One job; the limit is a guard that stops the collect once the allowed total
+    # is exceeded (we then raise, nothing is dropped silently).
+    bound = max_categories * len(cols)
+    got = distinct.limit(bound + 1).collect()
     cats: dict[str, list] = {n: [] for n in cols}
-    for r in distinct.collect():
+    for r in got:
         cats[r["feature"]].append(r["value"])
+    too_many = {k: len(v) for k, v in cats.items() if len(v) > max_categories}
+    if too_many or len(got) > bound:
+        raise ValueError(f"too many categories for a wide encoding: {too_many or 'over ' + str(bound)}")
     return {k: sorted(v) for k, v in cats.items()}
 
 

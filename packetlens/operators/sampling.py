@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import c
@@ -48,8 +48,25 @@ def largest_remainder(total: int, sizes: dict, base: int | None = None) -> dict:
     return floors
 
 
-def _label_counts(seqs: DataFrame, label_col: str) -> dict:
-    return {r[0]: r[1] for r in seqs.groupBy(c(label_col)).count().collect()}
+def label_count_table(seqs: DataFrame, label_col: str) -> DataFrame:
+    """One row per label with its sequence count (``__n``); as many rows as labels."""
+    return seqs.groupBy(c(label_col).alias("__lab")).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def quota_table(counts: DataFrame, total: Column, base: Column, size: Column, out: str) -> DataFrame:
+    """Largest-remainder quotas on the label table, lazily (no driver round trip).
+
+    floor(total * size / base) per label, plus one for the ``total - sum(floors)``
+    labels with the largest remainders (ties to the smaller label).  The
+    windows run over the label table only (one row per label).
+    """
+    all_rows = Window.partitionBy()
+    t = counts.withColumn("__fl", F.floor(total * size / base).cast("long")) \
+              .withColumn("__rm", (total * size) % base)
+    t = t.withColumn("__pos", F.row_number().over(Window.orderBy(F.col("__rm").desc(), F.col("__lab")))) \
+         .withColumn("__left", total - F.sum("__fl").over(all_rows))
+    return t.withColumn(out, F.col("__fl") + (F.col("__pos") <= F.col("__left")).cast("long")) \
+            .drop("__fl", "__rm", "__pos", "__left")
 
 
 def _ranked(seqs: DataFrame, seed: int, id_col: str, label_col: str) -> DataFrame:
@@ -58,16 +75,29 @@ def _ranked(seqs: DataFrame, seed: int, id_col: str, label_col: str) -> DataFram
                                out="__rank")
 
 
-def _quota_col(label_col: str, quota: dict) -> Column:
-    expr = F.lit(0)
-    for k, v in quota.items():
-        expr = F.when(c(label_col) == F.lit(k), F.lit(v)).otherwise(expr)
-    return expr
+def _with_quotas(ranked: DataFrame, quotas: DataFrame, label_col: str) -> DataFrame:
+    """Attach the per-label quota columns (a broadcast of one row per label)."""
+    q = F.broadcast(quotas)
+    return ranked.join(q, ranked[f"`{label_col}`"].eqNullSafe(q["__lab"])).drop("__lab")
 
 
-def split_quotas(counts: dict, ratios: Sequence[float] = DEFAULT_RATIOS) -> dict:
-    """Per-label (test, train) quotas: ``train=int(r0*n)``, ``val=int(r1*n)``, test the rest;
+def split_quota_table(counts: DataFrame, ratios: Sequence[float] = DEFAULT_RATIOS) -> DataFrame:
+    """Per-label test and train quotas: ``train=int(r0*n)``, ``val=int(r1*n)``, test the rest;
     test is allocated across labels first, then train among what is left."""
+    all_rows = Window.partitionBy()
+    n = F.sum("__n").over(all_rows)
+    t = counts.withColumn("__tot", n) \
+        .withColumn("__ntrain", (F.lit(float(ratios[0])) * F.col("__tot")).cast("long")) \
+        .withColumn("__nval", (F.lit(float(ratios[1])) * F.col("__tot")).cast("long"))
+    t = t.withColumn("__ntest", F.col("__tot") - F.col("__ntrain") - F.col("__nval"))
+    t = quota_table(t, F.col("__ntest"), F.col("__tot"), F.col("__n"), "__qtest")
+    t = t.withColumn("__rest", F.col("__n") - F.col("__qtest"))
+    t = quota_table(t, F.col("__ntrain"), F.col("__tot") - F.col("__ntest"), F.col("__rest"), "__qtrain")
+    return t.select("__lab", "__qtest", "__qtrain")
+
+
+def split_quotas(counts: dict, ratios: Sequence[float] = DEFAULT_RATIOS) -> dict:
+    """Driver-side twin of ``split_quota_table`` for small label-count dicts."""
     n = sum(counts.values())
     n_train, n_val = int(ratios[0] * n), int(ratios[1] * n)
     n_test = n - n_train - n_val
@@ -82,14 +112,14 @@ def stratified_split(rows: DataFrame, ratios: Sequence[float] = DEFAULT_RATIOS,
     """Add ``split`` (train/val/test) to every row, stratified by sequence label.
 
     Sizes follow ``train=int(.7n)``, ``val=int(.15n)``, test the rest, with label
-    shares kept by largest-remainder quotas; membership by hash rank.
+    shares kept by largest-remainder quotas; membership by hash rank.  Fully
+    lazy: quotas are computed in the plan from the per-label count table.
     """
     seqs = sequence_table(rows, id_col, label_col)
-    q = split_quotas(_label_counts(seqs, label_col), ratios)
-    ranked = _ranked(seqs, seed, id_col, label_col)
-    t_q, tr_q = _quota_col(label_col, q["test"]), _quota_col(label_col, q["train"])
-    split = (F.when(F.col("__rank") <= t_q, "test")
-             .when(F.col("__rank") <= t_q + tr_q, "train").otherwise("val"))
+    quotas = split_quota_table(label_count_table(seqs, label_col), ratios)
+    ranked = _with_quotas(_ranked(seqs, seed, id_col, label_col), quotas, label_col)
+    split = (F.when(F.col("__rank") <= F.col("__qtest"), "test")
+             .when(F.col("__rank") <= F.col("__qtest") + F.col("__qtrain"), "train").otherwise("val"))
     assigned = ranked.select(c(id_col), split.alias("split"))
     return rows.join(assigned, id_col, "inner")
 
@@ -117,11 +147,15 @@ def balanced_sample(rows: DataFrame, n: int, seed: int = 42, id_col: str = "sequ
                     label_col: str = "sequence_label") -> DataFrame:
     """``n // 2`` sequences of each label (binary labels 0/1); error if a class is short."""
     seqs = sequence_table(rows, id_col, label_col)
-    counts = _label_counts(seqs, label_col)
     half = n // 2
-    if counts.get(0, 0) < half or counts.get(1, 0) < half:
-        raise ValueError("Not enough samples to create balanced dataset")
-    ids = _ranked(seqs, seed, id_col, label_col).filter(F.col("__rank") <= half)
+    counts = label_count_table(seqs.filter(c(label_col).isin(0, 1)), label_col)
+    # both classes must have ``half`` sequences; checked inside the plan
+    present = F.count_if(F.col("__n") >= half).over(Window.partitionBy())
+    quotas = counts.select(
+        "__lab", F.when(present < 2, F.raise_error(F.lit("Not enough samples to create balanced dataset")))
+        .otherwise(F.lit(half)).cast("long").alias("__q"))
+    ids = _with_quotas(_ranked(seqs, seed, id_col, label_col), quotas, label_col) \
+        .filter(F.col("__rank") <= F.col("__q"))
     return semi_filter(rows, ids, id_col, max_broadcast=n)
 
 
@@ -129,11 +163,14 @@ def stratified_sample(rows: DataFrame, n: int, seed: int = 42, id_col: str = "se
                       label_col: str = "sequence_label") -> DataFrame:
     """``n`` sequences with label shares kept (largest-remainder quotas)."""
     seqs = sequence_table(rows, id_col, label_col)
-    counts = _label_counts(seqs, label_col)
-    if n > sum(counts.values()):
-        raise ValueError("sample larger than the population")
-    quota = largest_remainder(n, counts)
-    ids = _ranked(seqs, seed, id_col, label_col).filter(F.col("__rank") <= _quota_col(label_col, quota))
+    counts = label_count_table(seqs, label_col)
+    total = F.sum("__n").over(Window.partitionBy())
+    counts = counts.withColumn("__tot", total).withColumn(
+        "__tot", F.when(F.col("__tot") < n, F.raise_error(F.lit("sample larger than the population")))
+        .otherwise(F.col("__tot")))
+    quotas = quota_table(counts, F.lit(n).cast("long"), F.col("__tot"), F.col("__n"), "__q").select("__lab", "__q")
+    ids = _with_quotas(_ranked(seqs, seed, id_col, label_col), quotas, label_col) \
+        .filter(F.col("__rank") <= F.col("__q"))
     return semi_filter(rows, ids, id_col, max_broadcast=n)
 
 
