@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.common import ColumnLike, c, safe_div
 from ..functions.scalar import sigmoid
 from .ordered import bucketed_prefix_sum
+from .quantiles import sketch_bucket
 
 DEFAULT_THRESHOLD = 0.5
-# Score buckets for the AUROC prefix sum (scores are probabilities in [0, 1]).
-SCORE_BUCKETS = 1 << 16
 
 
 def _counts(label: Column, score: Column, threshold: float) -> list[Column]:
@@ -68,7 +67,8 @@ def auroc(pred: DataFrame, keys: Sequence[ColumnLike] = (), label: str = "label"
 
     AUROC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2) / (P * N).
     Scores are first collapsed to distinct values per group (map-side combine),
-    then negatives below each score come from a bucketed prefix sum.
+    then negatives below each score come from a prefix sum bucketed by sketch
+    split points of the distinct scores (balanced even when scores crowd).
     """
     keys = list(keys)
     key_cols = [c(k).alias(f"__k{i}") for i, k in enumerate(keys)]
@@ -76,8 +76,9 @@ def auroc(pred: DataFrame, keys: Sequence[ColumnLike] = (), label: str = "label"
     per_score = pred.select(*key_cols, sigmoid(logit).alias("__s"), c(label).alias("__y")) \
         .groupBy(*kn, "__s").agg(F.count_if(F.col("__y") == 1).alias("__pos"),
                                  F.count_if(F.col("__y") != 1).alias("__neg"))
-    bucket = F.least(F.floor(F.col("__s") * SCORE_BUCKETS), F.lit(SCORE_BUCKETS)).cast("long")
-    scanned = bucketed_prefix_sum(per_score, kn, [F.col("__s")], bucket, F.col("__neg"), "__below")
+    # score ranges of about equal numbers of distinct scores (sketch split points per group)
+    per_score = sketch_bucket(per_score, F.col("__s"), kn)
+    scanned = bucketed_prefix_sum(per_score, kn, [F.col("__s")], F.col("__qb"), F.col("__neg"), "__below")
     agg = scanned.groupBy(*kn).agg(
         F.sum(F.col("__pos") * (F.col("__below") + F.col("__neg") / 2.0)).alias("__area"),
         F.sum("__pos").alias("__P"), F.sum("__neg").alias("__N"))

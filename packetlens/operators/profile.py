@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import exact_quantiles
+
 from ..functions.common import ColumnLike, c
 
 # Column classes by number of distinct values, and the limit under
@@ -49,41 +51,46 @@ def distinct_values(df: DataFrame, col: ColumnLike) -> DataFrame:
     return df.select(c(col)).distinct()
 
 
-def _quantiles(x: Column, probs: Sequence[float], method: str, accuracy: int) -> Column:
-    if method == "exact":
-        return F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
-    return F.percentile_approx(x, [float(p) for p in probs], accuracy)
-
-
 def describe(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] = (0.25, 0.5, 0.75),
              by: str | None = None, method: str = "exact", accuracy: int = 100_000) -> DataFrame:
     """E5: count, null count, mean, sample std, min, percentiles, max per column.
 
-    One wide aggregate (optionally per ``by`` value), then a small ``stack`` to
-    one row per (group, feature).  ``method="exact"`` is linear interpolation
-    between order statistics (buffer per group grows with the distinct values
-    of the column); ``"approx"`` is the bounded-memory sketch.
+    Moments come from one wide aggregate (optionally per ``by`` value), stacked
+    to one row per (group, feature).  ``method="exact"`` computes percentiles
+    by linear interpolation between order statistics with the distributed
+    method of ``quantiles`` (no group's values are held in one buffer);
+    ``"approx"`` uses the bounded-memory sketch directly.
     """
     aggs = []
     for i, n in enumerate(cols):
         x = c(n).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"z{i}"),
                  F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 _quantiles(x, percentiles, method, accuracy).alias(f"q{i}")]
-    grouped = df.groupBy(c(by)) if by else df.groupBy()
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if method == "approx":
+            aggs.append(F.percentile_approx(x, [float(p) for p in percentiles], accuracy).alias(f"q{i}"))
+    keys = [by] if by else []
+    grouped = df.groupBy(*[c(k) for k in keys])
     wide = grouped.agg(*aggs)
     pcols = [f"p{int(round(p * 100))}" for p in percentiles]
-    stack_args = []
+    names = ["feature", "count", "null_count", "mean", "std", "min", "max"]
+    rows = []
     for i, n in enumerate(cols):
-        stack_args += [F.lit(n), F.col(f"n{i}"), F.col(f"z{i}"), F.col(f"m{i}"), F.col(f"s{i}"),
-                       F.col(f"lo{i}"), *[F.col(f"q{i}")[j] for j in range(len(percentiles))],
-                       F.col(f"hi{i}")]
-    names = ["feature", "count", "null_count", "mean", "std", "min", *pcols, "max"]
-    keep = [c(by)] if by else []
-    return wide.select(*keep, F.inline(F.array(*[
-        F.struct(*[stack_args[k * len(names) + j].alias(names[j]) for j in range(len(names))])
-        for k in range(len(cols))])))
+        fields = [F.lit(n), F.col(f"n{i}"), F.col(f"z{i}"), F.col(f"m{i}"), F.col(f"s{i}"),
+                  F.col(f"lo{i}"), F.col(f"hi{i}")]
+        if method == "approx":
+            fields += [F.col(f"q{i}")[j] for j in range(len(percentiles))]
+        rows.append(F.struct(*[f.alias(nm) for f, nm in zip(fields, names + (pcols if method == "approx" else []))]))
+    stats = wide.select(*[c(k) for k in keys], F.inline(F.array(*rows)))
+    if method == "approx":
+        return stats.select(*[c(k) for k in keys], *names[:6], *pcols, "max")
+    long = df.select(*[c(k) for k in keys], F.inline(F.array(*[
+        F.struct(F.lit(n).alias("feature"), c(n).cast("double").alias("x")) for n in cols])))
+    q = exact_quantiles(long, F.col("x"), percentiles, [*keys, "feature"])
+    q = q.withColumn("__pc", F.concat(F.lit("p"), F.round(F.col("p") * 100).cast("int").cast("string")))
+    wideq = q.groupBy(*[c(k) for k in keys], "feature").pivot("__pc", pcols).agg(F.first("value"))
+    out = stats.join(wideq, [*keys, "feature"], "left")
+    return out.select(*[c(k) for k in keys], *names[:6], *pcols, "max")
 
 
 def feature_class(unique: Column) -> Column:
@@ -139,11 +146,11 @@ def target_box(df: DataFrame, feature: str, target: str) -> DataFrame:
     joins the per-target box (one row per target value) by broadcast.
     """
     x = c(feature).cast("double")
-    box = df.groupBy(c(target)).agg(
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"),
-        F.count(x).alias("n"))
-    box = box.select(c(target), "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                     F.col("__q")[2].alias("q3"))
+    counts = df.groupBy(c(target)).agg(F.count(x).alias("n"))
+    q = exact_quantiles(df.select(c(target), x.alias("__v")), F.col("__v"), (0.25, 0.5, 0.75), [target])
+    quart = q.groupBy(c(target)).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
+                                       for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    box = counts.join(quart, [target], "left")
     box = box.withColumn("lo_fence", F.col("q1") - WHISKER_IQR * (F.col("q3") - F.col("q1"))) \
              .withColumn("hi_fence", F.col("q3") + WHISKER_IQR * (F.col("q3") - F.col("q1")))
     # one row per target value; Catalyst/AQE broadcast it only under their size threshold
