@@ -64,7 +64,10 @@ def bucketed_row_number(df: DataFrame, partition: Sequence[ColumnLike], order: S
     the big side is shuffled once, by (group, bucket), and the offset join
     reuses that partitioning.
     """
-    staged = df.withColumn("__g", group_key(partition)).withColumn("__bkt", bucket)
+    # a non-null bucket keeps Catalyst from inferring an isnotnull filter on the
+    # join key and pushing the bucket expression below earlier aggregates
+    staged = df.withColumn("__g", group_key(partition)).withColumn(
+        "__bkt", F.coalesce(bucket.cast("long"), F.lit(NULL_BUCKET)))
     w = Window.partitionBy("__g", "__bkt").orderBy(*order)
     staged = staged.withColumn("__lrn", F.row_number().over(w).cast("long"))
     counts = staged.groupBy("__g", "__bkt").agg(F.count(F.lit(1)).alias("__n"))
@@ -88,7 +91,8 @@ def bucketed_prefix_sum(df: DataFrame, partition: Sequence[ColumnLike], order: S
     Same plan shape as ``bucketed_row_number``: a window inside (group, bucket)
     plus bucket totals prefix-summed over a table of one row per bucket.
     """
-    staged = (df.withColumn("__g", group_key(partition)).withColumn("__bkt", bucket)
+    staged = (df.withColumn("__g", group_key(partition))
+              .withColumn("__bkt", F.coalesce(bucket.cast("long"), F.lit(NULL_BUCKET)))
               .withColumn("__v", value))
     w = (Window.partitionBy("__g", "__bkt").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, -1))

@@ -32,14 +32,29 @@ def sketch_bucket(df: DataFrame, value: Column, keys: Sequence[str], n_buckets:
     """
     probs = [i / n_buckets for i in range(1, n_buckets)]
     sketch = F.percentile_approx(value, probs, accuracy)
-    count_le = lambda arr: F.aggregate(arr, F.lit(0), lambda acc, s: acc + F.when(s <= value, 1).otherwise(0))
     if not keys:
         splits = df.agg(sketch.alias("s")).first()["s"] or []
         arr = F.array(*[F.lit(float(x)) for x in splits]) if splits else F.array().cast("array<double>")
-        return df.withColumn(out, count_le(arr).cast("long"))
+        return df.withColumn(out, count_le(arr, value, len(splits)))
     per_group = df.groupBy(*keys).agg(sketch.alias("__splits"))
     joined = df.join(per_group, list(keys), "left")
-    return joined.withColumn(out, F.coalesce(count_le(F.col("__splits")), F.lit(0)).cast("long")).drop("__splits")
+    return joined.withColumn(out, F.coalesce(count_le(F.col("__splits"), value, n_buckets - 1),
+                                             F.lit(0)).cast("long")).drop("__splits")
+
+
+def count_le(sorted_arr: Column, value: Column, size: int) -> Column:
+    """Number of elements <= value in an ascending array of ``size`` elements.
+
+    A flat CASE chain over ``element_at`` (code-generated, no lambda): the
+    first split above the value gives its position.
+    """
+    expr = None
+    for i in range(size):
+        cond = F.element_at(sorted_arr, i + 1) > value
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    if expr is None:
+        return F.lit(0).cast("long")
+    return expr.otherwise(F.lit(size)).cast("long")
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
