@@ -70,8 +70,17 @@ def long_to_ipv4(col: ColumnLike) -> Column:
 
 
 def bit_length_of(n: Column) -> Column:
-    """Number of significant bits of a non-negative long (0 for 0)."""
-    return F.when(n == 0, F.lit(0)).otherwise(F.length(F.bin(n)))
+    """Number of significant bits of a non-negative long (0 for 0); one reference to ``n``."""
+    return F.length(F.ltrim(F.bin(n), F.lit("0")))
+
+
+def _mask_text(prefix: int) -> str:
+    m = (MASK32 << (32 - prefix)) & MASK32
+    return ".".join(str((m >> s) & 255) for s in (24, 16, 8, 0))
+
+
+# Netmask text by number of host bits (0..32), built from the prefix rule.
+MASK_BY_HOST_BITS = [_mask_text(32 - h) for h in range(33)]
 
 
 def shared_subnet_mask(a: ColumnLike, b: ColumnLike, default: str | None = None,
@@ -79,14 +88,15 @@ def shared_subnet_mask(a: ColumnLike, b: ColumnLike, default: str | None = None,
     """C14: netmask of the longest common prefix of two IPv4 addresses.
 
     Equal addresses give 255.255.255.255, no shared leading bit 0.0.0.0; a null
-    or invalid side gives ``default``.
+    or invalid side gives ``default``.  Each address is parsed once: the XOR's
+    bit length indexes a 33-entry mask table.
     """
     x = c(a_long) if a_long is not None else ipv4_to_long(a)
     y = c(b_long) if b_long is not None else ipv4_to_long(b)
-    host_bits = bit_length_of(x.bitwiseXOR(y))
-    mask = F.lit(MASK32) - (F.call_function("shiftleft", F.lit(1).cast("long"), host_bits) - 1)
-    out = long_to_ipv4(mask)
-    return F.when(x.isNotNull() & y.isNotNull(), out).otherwise(F.lit(default).cast("string"))
+    table = F.array(*[F.lit(t) for t in MASK_BY_HOST_BITS])
+    xr = x.bitwiseXOR(y)
+    mask = F.element_at(table, bit_length_of(xr) + 1)
+    return F.when(xr.isNotNull(), mask).otherwise(F.lit(default).cast("string"))
 
 
 def ip_flags(col: ColumnLike, prefix: str | None = None, as_long: ColumnLike | None = None) -> list[Column]:
