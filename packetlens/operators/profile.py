@@ -93,6 +93,19 @@ def describe(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] =
     return out.select(*[c(k) for k in keys], *names[:6], *pcols, "max")
 
 
+def distinct_count(df: DataFrame, cols: Sequence[str], approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Distinct values per column with null counted as one value; one row.
+
+    ``approx`` uses the HyperLogLog++ sketch (bounded memory, relative error
+    ``rsd``) instead of exact distinct aggregation.
+    """
+    aggs = []
+    for n in cols:
+        d = F.approx_count_distinct(c(n), rsd) if approx else F.count_distinct(c(n))
+        aggs.append((d + F.max(c(n).isNull().cast("int"))).alias(n))
+    return df.agg(*aggs)
+
+
 def feature_class(unique: Column) -> Column:
     return (F.when(unique <= CLASS_SUPERFLUOUS_MAX, "Superfluous")
             .when(unique == CLASS_FLAG, "Flag")

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .ordered import bucketed_prefix_sum
 
 SKETCH_BUCKETS = 64
@@ -28,7 +29,10 @@ def sketch_bucket(df: DataFrame, value: Column, keys: Sequence[str], n_buckets:
     """Add ``out``: how many per-group sketch split points are <= value (monotone in value).
 
     Without keys the split points (``n_buckets - 1`` numbers) come to the driver
-    as a literal; with keys they are joined per group (one row per group).
+    as a literal; with keys the per-group split table (one row per group) is
+    checkpointed once, so every branch of the plan and every task retry sees
+    the same split points (a sketch's merge order is not deterministic, and the
+    prefix sums need identical buckets on both sides).
     """
     probs = [i / n_buckets for i in range(1, n_buckets)]
     sketch = F.percentile_approx(value, probs, accuracy)
@@ -36,7 +40,8 @@ def sketch_bucket(df: DataFrame, value: Column, keys: Sequence[str], n_buckets:
         splits = df.agg(sketch.alias("s")).first()["s"] or []
         arr = F.array(*[F.lit(float(x)) for x in splits]) if splits else F.array().cast("array<double>")
         return df.withColumn(out, count_le(arr, value, len(splits)))
-    per_group = df.groupBy(*keys).agg(sketch.alias("__splits"))
+    ensure_checkpoint_dir(df.sparkSession)
+    per_group = df.groupBy(*keys).agg(sketch.alias("__splits")).checkpoint(eager=True)
     joined = df.join(per_group, list(keys), "left")
     return joined.withColumn(out, F.coalesce(count_le(F.col("__splits"), value, n_buckets - 1),
                                              F.lit(0)).cast("long")).drop("__splits")

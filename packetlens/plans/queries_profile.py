@@ -145,3 +145,13 @@ def q_top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return P.top_n(o, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], 20).select(
         "o_orderkey", "o_totalprice")
+
+
+@query("distinct_count", """
+SELECT COUNT(DISTINCT l_partkey) + MAX(CASE WHEN l_partkey IS NULL THEN 1 ELSE 0 END) AS l_partkey,
+       COUNT(DISTINCT l_suppkey) + MAX(CASE WHEN l_suppkey IS NULL THEN 1 ELSE 0 END) AS l_suppkey,
+       COUNT(DISTINCT l_shipdate) + MAX(CASE WHEN l_shipdate IS NULL THEN 1 ELSE 0 END) AS l_shipdate
+FROM lineitem""")
+def q_distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct counts (null counted as a value) of three lineitem columns."""
+    return P.distinct_count(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey", "l_shipdate"])
