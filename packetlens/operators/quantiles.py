@@ -17,11 +17,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .ordered import bucketed_prefix_sum
 
 SKETCH_BUCKETS = 64
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 1_000
 
 
 def sketch_bucket(df: DataFrame, value: Column, keys: Sequence[str], n_buckets: int = SKETCH_BUCKETS,
@@ -30,7 +30,7 @@ def sketch_bucket(df: DataFrame, value: Column, keys: Sequence[str], n_buckets:
 
     Without keys the split points (``n_buckets - 1`` numbers) come to the driver
     as a literal; with keys the per-group split table (one row per group) is
-    checkpointed once, so every branch of the plan and every task retry sees
+    materialized once, so every branch of the plan and every task retry sees
     the same split points (a sketch's merge order is not deterministic, and the
     prefix sums need identical buckets on both sides).
     """
@@ -39,27 +39,31 @@ def sketch_bucket(df: DataFrame, value: Column, keys: Sequence[str], n_buckets:
     if not keys:
         splits = df.agg(sketch.alias("s")).first()["s"] or []
         arr = F.array(*[F.lit(float(x)) for x in splits]) if splits else F.array().cast("array<double>")
-        return df.withColumn(out, count_le(arr, value, len(splits)))
-    ensure_checkpoint_dir(df.sparkSession)
-    per_group = df.groupBy(*keys).agg(sketch.alias("__splits")).checkpoint(eager=True)
+        return with_count_le(df.withColumn("__splits", arr), "__splits", value, out).drop("__splits")
+    per_group = materialize(df.groupBy(*keys).agg(sketch.alias("__splits")), "sketch-splits")
     joined = df.join(per_group, list(keys), "left")
-    return joined.withColumn(out, F.coalesce(count_le(F.col("__splits"), value, n_buckets - 1),
-                                             F.lit(0)).cast("long")).drop("__splits")
+    return with_count_le(joined, "__splits", value, out).drop("__splits")
 
 
-def count_le(sorted_arr: Column, value: Column, size: int) -> Column:
-    """Number of elements <= value in an ascending array of ``size`` elements.
+def with_count_le(df: DataFrame, arr_col: str, value: Column, out: str) -> DataFrame:
+    """Add ``out`` = number of elements <= value of the ascending array in ``arr_col``.
 
-    A flat CASE chain over ``element_at`` (code-generated, no lambda): the
-    first split above the value gives its position.
+    Binary lifting over ``element_at``: one small projection per halving step
+    (each step reads the previous step's column several times, so Catalyst
+    keeps the steps apart and every projection stays code-generated).  A null
+    array counts as empty.
     """
-    expr = None
-    for i in range(size):
-        cond = F.element_at(sorted_arr, i + 1) > value
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    if expr is None:
-        return F.lit(0).cast("long")
-    return expr.otherwise(F.lit(size)).cast("long")
+    arr = F.coalesce(F.col(arr_col), F.array().cast("array<double>"))
+    df = df.withColumn("__cle", F.lit(0)).withColumn("__cln", F.size(arr))
+    step = 1
+    while step * 2 <= SKETCH_BUCKETS:
+        step *= 2
+    while step >= 1:
+        cand = F.col("__cle") + step
+        ok = (cand <= F.col("__cln")) & (F.element_at(arr, F.least(cand, F.greatest(F.col("__cln"), F.lit(1)))) <= value)
+        df = df.withColumn("__cle", F.when(F.coalesce(ok, F.lit(False)), cand).otherwise(F.col("__cle")))
+        step //= 2
+    return df.withColumn(out, F.col("__cle").cast("long")).drop("__cle", "__cln")
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
@@ -67,6 +71,8 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys:
     keys = list(keys)
     x = value.cast("double")
     distinct = df.where(x.isNotNull()).groupBy(*keys, x.alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    # read by the sketch, the group sizes and the prefix scan: materialize once
+    distinct = materialize(distinct, "distinct-values")
     sized = distinct.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     pos = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"),
                                        (F.lit(float(p)) * (F.col("__n") - 1)).alias("pos")) for p in probs]))

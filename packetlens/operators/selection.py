@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import c, safe_div
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 VAR_FLOOR = 1e-9
 
@@ -48,15 +48,14 @@ def sequence_features(rows: DataFrame, groups: Mapping[str, Sequence[str]], id_c
     """One row per sequence: split, label and the mean of every encoded column over its steps.
 
     The table is read by the fit and by the scoring pass, so by default it is
-    checkpointed to the shared checkpoint folder once (one row per sequence).
+    written once as a table in the shared checkpoint folder (one row per sequence).
     """
     cols = [x for g in groups.values() for x in g]
     seq = rows.groupBy(c(id_col)).agg(
         F.max("split").alias("split"), F.max(c(label_col)).cast("int").alias("y"),
         *[F.avg(c(x).cast("double")).alias(f"__m{i}") for i, x in enumerate(cols)])
     if checkpoint:
-        ensure_checkpoint_dir(seq.sparkSession)
-        seq = seq.checkpoint(eager=True)
+        seq = materialize(seq, "sequence-features")
     return seq
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.common import c
 from ..operators import encode, nulls, sampling, schema, sessions
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 SEQUENCE_KEEP = ["sequence_id", "sequence_label", "attack_type", "attack_label", "split", "step"]
 
@@ -40,7 +40,7 @@ def prepare(df: DataFrame, length: int = 10, ratios: Sequence[float] = sampling.
     ``df`` must hold ``attack_label, attack_type, session_id, timestamp``.  Rows
     with equal (session, timestamp) are ordered by ``tiebreak`` (default: a hash
     of the whole row, so identical rows are the only unordered ones).  The split
-    table is checkpointed to the shared checkpoint folder because two fits and
+    table is written once to the shared checkpoint folder because two fits and
     the final projection all read it.
     """
     schema.require_columns(df, schema.SPECIAL_COLUMNS)
@@ -55,8 +55,7 @@ def prepare(df: DataFrame, length: int = 10, ratios: Sequence[float] = sampling.
     seq = seq.drop("__tb")
     split = sampling.stratified_split(seq, ratios, seed)
     if checkpoint:
-        ensure_checkpoint_dir(split.sparkSession)
-        split = split.checkpoint(eager=True)
+        split = materialize(split, "prepared-split")
     cats = encode.fit_categories(split, categorical, "split", fit_on, max_categories)
     moments = encode.fit_scaler(split, numeric, "split", fit_on)
     return encode.assemble(split, moments, booleans, cats, SEQUENCE_KEEP)

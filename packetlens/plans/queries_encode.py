@@ -14,7 +14,7 @@ from .queries_net import _sql_subnet
 from .queries_sampling import SEED, SPLIT_SQL
 from .registry import query
 from .standins import packets, table
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 _PORT_CAT_SQL = ("CASE WHEN port_dst BETWEEN 0 AND 1023 THEN 'well-known' WHEN port_dst BETWEEN 1024 AND 49151 "
                  "THEN 'registered' WHEN port_dst BETWEEN 49152 AND 65535 THEN 'dynamic-private' ELSE 'invalid' END")
@@ -34,8 +34,7 @@ def _feats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = SM.stratified_split(_sequences(spark, sf_dir), seed=SEED)
     feats = rows.select("event_id", "sequence_id", "step", "sequence_label", "split").join(p, "event_id")
     # fitted and then applied: materialize once in the shared checkpoint folder
-    ensure_checkpoint_dir(spark)
-    return feats.checkpoint(eager=True)
+    return materialize(feats, "encode-input")
 
 
 def _code(cats: dict, name: str) -> F.Column:

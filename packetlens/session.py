@@ -57,3 +57,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table below the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` (survives executor loss: the files
+    live in the shared folder) and later reads get column pruning and filter
+    pushdown.  Every call takes a fresh folder.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
