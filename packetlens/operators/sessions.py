@@ -141,23 +141,73 @@ def make_sequences(df: DataFrame, length: int, session: str = "session_id",
 
     ``sequence_id = session || '||' || chunk``; ``sequence_label`` is 1 when the
     sum of ``label`` over the sequence is positive; partial tail chunks are
-    dropped.  The sequence-level window is partitioned by ``sequence_id`` so
-    the result is already clustered for later per-sequence work.
+    dropped.
+
+    Rows are shuffled once, by (session, time bucket).  A chunk is full exactly
+    when ``chunk * length`` does not exceed the session's row count (known from
+    the bucket summary), so no per-sequence count is needed.  A chunk can only
+    cross a bucket border as the first or last chunk of a bucket: label sums of
+    those boundary chunks are combined through a small per-(session, bucket)
+    table; every other chunk lies inside one bucket and is summed by a window
+    there.  Both summary joins keep the rows' partitioning.
     """
-    chunked = chunk_index(df, length, session, time, tiebreak, bucket_width,
-                          out="__chunk", step_out="step" if keep_step else None)
-    seq = chunked.withColumn(
+    width = bucket_width or auto_bucket_width(df, time)
+    order = [c(time).asc_nulls_first(), *[c(x).asc_nulls_first() for x in tiebreak]]
+    staged = (df.withColumn("__g", group_key([session])).withColumn("__bkt", time_bucket(c(time), width))
+              .withColumn("__y", F.coalesce(c(label).cast("long"), F.lit(0))))
+    w = Window.partitionBy("__g", "__bkt").orderBy(*order)
+    staged = staged.withColumn("__lrn", F.row_number().over(w).cast("long"))
+
+    counts = staged.groupBy("__g", "__bkt").agg(F.count(F.lit(1)).alias("__n"))
+    wb = Window.partitionBy("__g").orderBy("__bkt")
+    offsets = counts.select(
+        "__g", "__bkt", "__n",
+        F.coalesce(F.sum("__n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+        F.sum("__n").over(Window.partitionBy("__g")).alias("__tot"))
+    offsets = offsets.select(
+        "__g", "__bkt", "__tot",
+        F.ceil((F.col("__off") + 1) / F.lit(length)).cast("long").alias("__fc"),
+        F.ceil((F.col("__off") + F.col("__n")) / F.lit(length)).cast("long").alias("__lc"),
+        "__off")
+
+    rows = staged.join(offsets, on=["__g", "__bkt"], how="inner")
+    rows = rows.withColumn("__rn", F.col("__off") + F.col("__lrn")) \
+               .withColumn("__chunk", F.ceil(F.col("__rn") / F.lit(length)).cast("long"))
+
+    # partial label sums of each bucket's first and last chunk, combined per chunk
+    part = rows.groupBy("__g", "__bkt").agg(
+        F.first("__fc").alias("__fc"), F.first("__lc").alias("__lc"),
+        F.sum(F.when(F.col("__chunk") == F.col("__fc"), F.col("__y"))).alias("__pf"),
+        F.sum(F.when((F.col("__chunk") == F.col("__lc")) & (F.col("__lc") != F.col("__fc")),
+                     F.col("__y"))).alias("__pl"))
+    edges = part.select("__g", F.inline(F.array(
+        F.struct(F.col("__fc").alias("__chunk"), F.coalesce(F.col("__pf"), F.lit(0)).alias("__p")),
+        F.struct(F.col("__lc").alias("__chunk"),
+                 F.when(F.col("__lc") != F.col("__fc"), F.coalesce(F.col("__pl"), F.lit(0)))
+                 .alias("__p")))))
+    edge_tot = edges.where(F.col("__p").isNotNull()).groupBy("__g", "__chunk").agg(F.sum("__p").alias("__et"))
+    first_tot = edge_tot.select("__g", F.col("__chunk").alias("__fc"), F.col("__et").alias("__ft"))
+    last_tot = edge_tot.select("__g", F.col("__chunk").alias("__lc"), F.col("__et").alias("__lt"))
+    per_bucket = (part.select("__g", "__bkt", "__fc", "__lc")
+                  .join(first_tot, ["__g", "__fc"], "left").join(last_tot, ["__g", "__lc"], "left")
+                  .select("__g", "__bkt", "__ft", "__lt"))
+
+    inside = F.sum("__y").over(Window.partitionBy("__g", "__bkt", "__chunk"))
+    rows = rows.join(per_bucket, on=["__g", "__bkt"], how="inner")
+    total = (F.when(F.col("__chunk") == F.col("__fc"), F.col("__ft"))
+             .when(F.col("__chunk") == F.col("__lc"), F.col("__lt")).otherwise(inside))
+    rows = rows.withColumn("sequence_label", (total > 0).cast("long"))
+    rows = rows.filter(F.col("__chunk") * F.lit(length) <= F.col("__tot"))
+    rows = rows.withColumn(
         "sequence_id",
         F.concat(c(session).cast("string"), F.lit(SEQUENCE_SEPARATOR), F.col("__chunk").cast("string")))
-    w = Window.partitionBy("sequence_id")
-    seq = (seq
-           .withColumn("__size", F.count(F.lit(1)).over(w))
-           .withColumn("sequence_label",
-                       (F.sum(c(label).cast("long")).over(w) > 0).cast("long")))
-    seq = seq.filter(F.col("__size") == length).drop("__size", "__chunk")
+    if keep_step:
+        rows = rows.withColumn("step", ((F.col("__rn") - 1) % F.lit(length)).cast("int"))
+    rows = rows.drop("__g", "__bkt", "__y", "__lrn", "__tot", "__fc", "__lc", "__off", "__rn", "__chunk",
+                     "__ft", "__lt")
     if drop_session:
-        seq = seq.drop(session, time)
-    return seq
+        rows = rows.drop(session, time)
+    return rows
 
 
 def sequence_label_counts(sequences: DataFrame) -> DataFrame:

@@ -42,3 +42,31 @@ def test_prefix_sum_any_bucket(spark, rows, nb):
     for i, g, v, w in data:
         exp = sum(w2 for j, g2, v2, w2 in data if g2 == g and (v2, j) < (v, i))
         assert got[i] == exp
+
+
+def _brute_sequences(data, length):
+    by = {}
+    for rid, sess, t, y in data:
+        by.setdefault(sess, []).append((t is not None, t if t is not None else 0, rid, y))
+    out = {}
+    for sess, rows in by.items():
+        rows.sort()
+        full = len(rows) // length
+        for k in range(full):
+            chunk = rows[k * length:(k + 1) * length]
+            lab = int(sum(r[3] for r in chunk) > 0)
+            for step, r in enumerate(chunk):
+                out[r[2]] = (f"{sess}||{k + 1}", step, lab)
+    return out
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["s", "t", "u"]), st.one_of(st.none(), st.integers(0, 60)),
+                          st.integers(0, 1)), min_size=1, max_size=90),
+       st.sampled_from([1.0, 4.0, 25.0, 1e6]), st.integers(1, 7))
+def test_make_sequences_any_width(spark, rows, width, length):
+    data = [(i, s, None if t is None else float(t), y) for i, (s, t, y) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, session_id string, timestamp double, attack_label int")
+    got = S.make_sequences(df, length, tiebreak=["id"], bucket_width=width).collect()
+    got = {r["id"]: (r["sequence_id"], r["step"], r["sequence_label"]) for r in got}
+    assert got == _brute_sequences(data, length)
