@@ -156,44 +156,45 @@ def make_sequences(df: DataFrame, length: int, session: str = "session_id",
     staged = (df.withColumn("__g", group_key([session])).withColumn("__bkt", time_bucket(c(time), width))
               .withColumn("__y", F.coalesce(c(label).cast("long"), F.lit(0))))
     w = Window.partitionBy("__g", "__bkt").orderBy(*order)
-    staged = staged.withColumn("__lrn", F.row_number().over(w).cast("long"))
-
-    counts = staged.groupBy("__g", "__bkt").agg(F.count(F.lit(1)).alias("__n"))
+    staged = (staged.withColumn("__lrn", F.row_number().over(w).cast("long"))
+              .withColumn("__bn", F.count(F.lit(1)).over(
+                  w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+
+    # One aggregate per (session, bucket): row count, and label sums of the first
+    # k rows and of the last k rows for k = 1..length (a boundary chunk covers
+    # at most ``length`` rows of a bucket, at its start or at its end).
+    ks = range(1, length + 1)
+    summary = staged.groupBy("__g", "__bkt").agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.array(*[F.sum(F.when(F.col("__lrn") <= k, F.col("__y")).otherwise(0)) for k in ks]).alias("__pre"),
+        F.array(*[F.sum(F.when(F.col("__bn") - F.col("__lrn") < k, F.col("__y")).otherwise(0)) for k in ks])
+        .alias("__suf"))
     wb = Window.partitionBy("__g").orderBy("__bkt")
-    offsets = counts.select(
-        "__g", "__bkt", "__n",
-        F.coalesce(F.sum("__n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+    summary = summary.select(
+        "*", F.coalesce(F.sum("__n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
         F.sum("__n").over(Window.partitionBy("__g")).alias("__tot"))
-    offsets = offsets.select(
-        "__g", "__bkt", "__tot",
-        F.ceil((F.col("__off") + 1) / F.lit(length)).cast("long").alias("__fc"),
-        F.ceil((F.col("__off") + F.col("__n")) / F.lit(length)).cast("long").alias("__lc"),
-        "__off")
+    fc = F.ceil((F.col("__off") + 1) / F.lit(length)).cast("long")
+    lc = F.ceil((F.col("__off") + F.col("__n")) / F.lit(length)).cast("long")
+    summary = summary.withColumn("__fc", fc).withColumn("__lc", lc)
+    k1 = F.col("__fc") * length - F.col("__off")                        # rows of the first chunk here
+    k2 = F.col("__off") + F.col("__n") - (F.col("__lc") - 1) * length    # rows of the last chunk here
+    summary = summary.withColumn("__pf", F.element_at("__pre", k1.cast("int"))) \
+                     .withColumn("__pl", F.when(F.col("__lc") != F.col("__fc"),
+                                                F.element_at("__suf", k2.cast("int"))))
+    edges = summary.select("__g", F.inline(F.array(
+        F.struct(F.col("__fc").alias("__chunk"), F.col("__pf").alias("__p")),
+        F.struct(F.col("__lc").alias("__chunk"), F.col("__pl").alias("__p")))))
+    edge_tot = edges.where(F.col("__p").isNotNull()).groupBy("__g", "__chunk").agg(F.sum("__p").alias("__et"))
+    per_bucket = (summary.select("__g", "__bkt", "__off", "__tot", "__fc", "__lc")
+                  .join(edge_tot.select("__g", F.col("__chunk").alias("__fc"), F.col("__et").alias("__ft")),
+                        ["__g", "__fc"], "left")
+                  .join(edge_tot.select("__g", F.col("__chunk").alias("__lc"), F.col("__et").alias("__lt")),
+                        ["__g", "__lc"], "left"))
 
-    rows = staged.join(offsets, on=["__g", "__bkt"], how="inner")
+    rows = staged.join(per_bucket, on=["__g", "__bkt"], how="inner")
     rows = rows.withColumn("__rn", F.col("__off") + F.col("__lrn")) \
                .withColumn("__chunk", F.ceil(F.col("__rn") / F.lit(length)).cast("long"))
-
-    # partial label sums of each bucket's first and last chunk, combined per chunk
-    part = rows.groupBy("__g", "__bkt").agg(
-        F.first("__fc").alias("__fc"), F.first("__lc").alias("__lc"),
-        F.sum(F.when(F.col("__chunk") == F.col("__fc"), F.col("__y"))).alias("__pf"),
-        F.sum(F.when((F.col("__chunk") == F.col("__lc")) & (F.col("__lc") != F.col("__fc")),
-                     F.col("__y"))).alias("__pl"))
-    edges = part.select("__g", F.inline(F.array(
-        F.struct(F.col("__fc").alias("__chunk"), F.coalesce(F.col("__pf"), F.lit(0)).alias("__p")),
-        F.struct(F.col("__lc").alias("__chunk"),
-                 F.when(F.col("__lc") != F.col("__fc"), F.coalesce(F.col("__pl"), F.lit(0)))
-                 .alias("__p")))))
-    edge_tot = edges.where(F.col("__p").isNotNull()).groupBy("__g", "__chunk").agg(F.sum("__p").alias("__et"))
-    first_tot = edge_tot.select("__g", F.col("__chunk").alias("__fc"), F.col("__et").alias("__ft"))
-    last_tot = edge_tot.select("__g", F.col("__chunk").alias("__lc"), F.col("__et").alias("__lt"))
-    per_bucket = (part.select("__g", "__bkt", "__fc", "__lc")
-                  .join(first_tot, ["__g", "__fc"], "left").join(last_tot, ["__g", "__lc"], "left")
-                  .select("__g", "__bkt", "__ft", "__lt"))
-
     inside = F.sum("__y").over(Window.partitionBy("__g", "__bkt", "__chunk"))
-    rows = rows.join(per_bucket, on=["__g", "__bkt"], how="inner")
     total = (F.when(F.col("__chunk") == F.col("__fc"), F.col("__ft"))
              .when(F.col("__chunk") == F.col("__lc"), F.col("__lt")).otherwise(inside))
     rows = rows.withColumn("sequence_label", (total > 0).cast("long"))
@@ -203,7 +204,7 @@ def make_sequences(df: DataFrame, length: int, session: str = "session_id",
         F.concat(c(session).cast("string"), F.lit(SEQUENCE_SEPARATOR), F.col("__chunk").cast("string")))
     if keep_step:
         rows = rows.withColumn("step", ((F.col("__rn") - 1) % F.lit(length)).cast("int"))
-    rows = rows.drop("__g", "__bkt", "__y", "__lrn", "__tot", "__fc", "__lc", "__off", "__rn", "__chunk",
+    rows = rows.drop("__g", "__bkt", "__y", "__lrn", "__bn", "__tot", "__fc", "__lc", "__off", "__rn", "__chunk",
                      "__ft", "__lt")
     if drop_session:
         rows = rows.drop(session, time)
