@@ -32,11 +32,20 @@ def group_count(df: DataFrame, keys: Sequence[ColumnLike], name: str = "count")
     return df.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias(name))
 
 
-def value_counts(df: DataFrame, col: str, density_digits: int = 3) -> DataFrame:
-    """Count and density (%) per value, null included."""
+def value_counts(df: DataFrame, col: str, density_digits: int = 3, sort: str | None = "count") -> DataFrame:
+    """Count and density (%) per value, null included.
+
+    ``sort="count"`` orders by count (descending, ties by value), ``"value"`` by
+    value, ``None`` leaves the aggregate unordered.
+    """
     counts = df.groupBy(c(col)).agg(F.count(F.lit(1)).alias("count"))
     total = df.count()
-    return counts.withColumn("density_pct", F.round(F.col("count") / F.lit(total) * 100, density_digits))
+    out = counts.withColumn("density_pct", F.round(F.col("count") / F.lit(total) * 100, density_digits))
+    if sort == "count":
+        return out.orderBy(F.col("count").desc(), c(col).asc_nulls_first())
+    if sort == "value":
+        return out.orderBy(c(col).asc_nulls_first())
+    return out
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -148,7 +157,8 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         F.round(d1 - d2, 3).alias("density_gap_pct"),
         type_map[F.col("feature")].alias("variable_type"),
         F.col("unique_values"),
-        feature_class(F.col("unique_values")).alias("feature_type"))
+        feature_class(F.col("unique_values")).alias("feature_type")).orderBy("feature_type", "unique_values",
+                                                                             "feature")
 
 
 def target_box(df: DataFrame, feature: str, target: str) -> DataFrame:
