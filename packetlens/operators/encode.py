@@ -70,6 +70,25 @@ def apply_onehot(df: DataFrame, cats: Mapping[str, Sequence[str]]) -> DataFrame:
     return df.select(*keep, *onehot_columns(cats))
 
 
+def fit_onehot_vector(df: DataFrame, col: str, split_col: str | None = "split",
+                      fit_on: Sequence[str] | None = ("train", "val"), out: str | None = None):
+    """J1 for high-cardinality columns: a sparse-vector one-hot instead of wide columns.
+
+    Categories are sorted (``alphabetAsc``) and fitted on ``fit_on``; an unseen
+    value maps to the extra "unknown" slot, which ``dropLast`` removes, so it
+    encodes as all zeros (as the wide form does).  Returns a fitted pipeline
+    model whose ``transform`` adds ``out`` (default ``{col}__vec``).
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    idx = StringIndexer(inputCol=col, outputCol=f"{col}__idx", stringOrderType="alphabetAsc",
+                        handleInvalid="keep")
+    # the indexer's metadata already has the unknown slot last; dropLast removes it
+    enc = OneHotEncoder(inputCols=[f"{col}__idx"], outputCols=[out or f"{col}__vec"], dropLast=True)
+    return Pipeline(stages=[idx, enc]).fit(_fit_rows(df, split_col, fit_on).where(c(col).isNotNull()))
+
+
 def ordinal_encode(df: DataFrame, col: str, cats: Sequence[str] | None = None, out: str | None = None,
                    max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:
     """Position of the value in the sorted category list; unknown or null -> -1."""

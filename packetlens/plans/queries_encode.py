@@ -61,6 +61,24 @@ def q_onehot_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
                       _code(cats, "port_cat").cast("int").alias("port_cat_code"))
 
 
+@query("onehot_vector", FEATS_SQL + """,
+c1 AS (SELECT DISTINCT subnet AS v FROM feats WHERE split IN ('train', 'val') AND subnet IS NOT NULL),
+i1 AS (SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS i FROM c1)
+SELECT f.event_id, COALESCE(i1.i, -1) AS subnet_code, (SELECT COUNT(*) FROM c1) AS width
+FROM feats f LEFT JOIN i1 ON f.subnet = i1.v""")
+def q_onehot_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 (vector form): sparse one-hot of the subnet fitted on train+val; shown as the
+    hot position (-1 = unseen, all zeros) and the vector width."""
+    from pyspark.ml.functions import vector_to_array
+
+    f = _feats(spark, sf_dir)
+    model = EN.fit_onehot_vector(f, "subnet")
+    arr = vector_to_array(F.col("subnet__vec"))
+    enc = model.transform(f).select("event_id", arr.alias("__a"))
+    hot = F.array_position(F.col("__a"), 1.0).cast("int") - 1
+    return enc.select("event_id", hot.alias("subnet_code"), F.size("__a").cast("long").alias("width"))
+
+
 @query("scale_features", FEATS_SQL + """,
 mom AS (SELECT AVG(num_a) AS m1, STDDEV_POP(num_a) AS s1, AVG(port_src) AS m2, STDDEV_POP(port_src) AS s2
         FROM feats WHERE split IN ('train', 'val'))
