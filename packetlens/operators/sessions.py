@@ -212,6 +212,15 @@ def make_sequences(df: DataFrame, length: int, session: str = "session_id",
 
 
 def sequence_label_counts(sequences: DataFrame) -> DataFrame:
-    """Number of sequences per sequence label (one row per sequence counted)."""
+    """Number of sequences per sequence label.
+
+    Every full sequence has exactly one ``step == 0`` row, so counting those
+    rows per label counts sequences without a per-sequence aggregate (no
+    shuffle of the rows by sequence id).  Without a ``step`` column it falls
+    back to one row per sequence id.
+    """
+    if "step" in sequences.columns:
+        firsts = sequences.filter(F.col("step") == 0)
+        return firsts.groupBy("sequence_label").agg(F.count(F.lit(1)).alias("n_sequences"))
     per_seq = sequences.groupBy("sequence_id").agg(F.max("sequence_label").alias("sequence_label"))
     return per_seq.groupBy("sequence_label").agg(F.count(F.lit(1)).alias("n_sequences"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sessions as S
+from ..session import materialize
 from .registry import query
 from .standins import duckdb_packets, packets
 
@@ -91,8 +92,13 @@ def q_make_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
        + """SELECT sequence_label, COUNT(DISTINCT sequence_id) AS n_sequences
             FROM sized WHERE size = 5 GROUP BY sequence_label""")
 def q_sequence_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: sessionize (F5) -> sequences of 5 (F4) -> sequences per label."""
-    sess = _sessionized(spark, sf_dir)
+    """Flagship: sessionize (F5) -> sequences of 5 (F4) -> sequences per label.
+
+    The sessionized table is written once to the shared checkpoint folder: the
+    sequence step reads it in two branches (bucket summary and rows), and
+    parquet lets the summary branch read only its few columns.
+    """
+    sess = materialize(_sessionized(spark, sf_dir), "sessions")
     seq = S.make_sequences(sess, 5, session="session_id", time="ts_us", label="attack_label",
                            tiebreak=["event_id"], bucket_width=DAY_US)
     return S.sequence_label_counts(seq)
