@@ -40,15 +40,21 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; that value is
-    always used as is.  Only a local/test session without one gets a fresh
-    scratch folder.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; that value (or
+    the context's checkpoint folder) is always used as is.  Only a local/test
+    session without either gets a fresh scratch folder.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
+    if not current:
+        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        current = jdir.get() if jdir.isDefined() else None
     if not current:
         current = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_CONF, current)
-    if spark.sparkContext.getCheckpointDir() is None:
+        try:
+            spark.conf.set(CHECKPOINT_CONF, current)
+        except Exception:  # noqa: BLE001  (core setting not settable at runtime here)
+            pass
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(current)
     return current
 
