@@ -141,13 +141,13 @@ def onehot_summary(df: DataFrame, cats: Mapping[str, Sequence[str]]) -> DataFram
     if not cols:
         return df.agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
-            "rows", F.lit(0).alias("width"), F.lit(0).alias("categories"))
+            "rows", F.lit(0).cast("long").alias("width"), F.lit(0).cast("long").alias("categories"))
     block = apply_onehot(df, cats)
     return block.agg(F.least(*[F.min(c(x)) for x in cols]).alias("min"),
                      F.greatest(*[F.max(c(x)) for x in cols]).alias("max"),
                      F.count(F.lit(1)).alias("rows")).select(
-        "min", "max", "rows", F.lit(len(cols)).alias("width"),
-        F.lit(sum(len(v) for v in cats.values())).alias("categories"))
+        "min", "max", "rows", F.lit(len(cols)).cast("long").alias("width"),
+        F.lit(sum(len(v) for v in cats.values())).cast("long").alias("categories"))
 
 
 def assemble(df: DataFrame, moments: Mapping[str, Moments], booleans: Sequence[str],

@@ -96,9 +96,9 @@ def q_scale_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("onehot_summary", FEATS_SQL + """,
 c1 AS (SELECT DISTINCT subnet AS v FROM feats WHERE split IN ('train', 'val') AND subnet IS NOT NULL),
 coded AS (SELECT f.subnet, c1.v FROM feats f LEFT JOIN c1 ON f.subnet = c1.v)
-SELECT CASE WHEN (SELECT COUNT(*) FROM c1) >= 2 OR COUNT(CASE WHEN v IS NULL THEN 1 END) > 0 THEN 0.0 ELSE 1.0 END
-         AS min,
-       CASE WHEN COUNT(v) > 0 THEN 1.0 ELSE 0.0 END AS max, COUNT(*) AS rows,
+SELECT CAST(CASE WHEN (SELECT COUNT(*) FROM c1) >= 2 OR COUNT(CASE WHEN v IS NULL THEN 1 END) > 0 THEN 0 ELSE 1 END
+         AS DOUBLE) AS min,
+       CAST(CASE WHEN COUNT(v) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS max, COUNT(*) AS rows,
        (SELECT COUNT(*) FROM c1) AS width, (SELECT COUNT(*) FROM c1) AS categories
 FROM coded""")
 def q_onehot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,18 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=repr)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 def compare(spark, con, sf_dir: str, name: str, fn, sql: str) -> tuple[bool, str]:
-    sp = fn(spark, sf_dir).toPandas()
+    sdf = fn(spark, sf_dir)
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in sdf.schema.fields}
+    dt = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if st != dt:
+        return False, f"types differ: {[(k, st.get(k), dt.get(k)) for k in st if st.get(k) != dt.get(k)]}"
+    sp = sdf.toPandas()
     dk = con.execute(sql).df()
     if sorted(sp.columns) != sorted(dk.columns):
         return False, f"columns differ: spark={sorted(sp.columns)} duck={sorted(dk.columns)}"
