@@ -7,7 +7,6 @@ in ``standins``) over their whole extent.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import sessions as S
 from ..session import materialize

@@ -15,7 +15,7 @@ from ..operators import selection as SEL
 from ..sources import files
 from . import captures, presets
 from .datasets import load_data
-from .queries_selection import FEATURES, POPULATION, SEED, _scored
+from .queries_selection import FEATURES, SEED, _scored
 from .registry import query
 
 
