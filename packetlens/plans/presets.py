@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import net, ports, protocol, scalar
 from ..functions.common import c
 from ..operators import schema, sessions
+from ..session import materialize
 from ..sources.files import read_csv, read_labelled_dir
 
 # ---------------------------------------------------------------- MQTT capture
@@ -78,13 +79,19 @@ SESSION_TIMEOUT_S = 60
 
 
 def clean_edge(df: DataFrame, timeout: float = SESSION_TIMEOUT_S, infer_before_fill: bool = False,
-               after_close: str = "join", bucket_width: float | None = None) -> DataFrame:
+               after_close: str = "join", bucket_width: float | None = None,
+               materialize_typed: bool = True) -> DataFrame:
     """A6 body: swap-rename, parse capture time, lenient numeric casts, IP validation,
     protocol/session keys and sessionization, subnet, IP flags, text lengths.
 
     By default the numeric fill (null -> 0) runs before protocol inference, as
     in the reference, so every packet looks like TCP; ``infer_before_fill``
     infers the protocol from the raw null pattern instead.
+
+    Sessionization reads its input twice (a narrow summary pass and the row
+    pass), so with ``materialize_typed`` the parsed, typed frame is written
+    once as parquet to the shared checkpoint folder instead of parsing the
+    CSV twice.
     """
     df = schema.rename(df, {"dns.qry.name.len": "dns.qry.name", "dns.qry.name": "dns.qry.name.len"})
     df = schema.rename(df, {"Attack_label": "attack_label", "Attack_type": "attack_type"})
@@ -101,6 +108,8 @@ def clean_edge(df: DataFrame, timeout: float = SESSION_TIMEOUT_S, infer_before_f
         df = df.withColumn("__proto", protocol.protocol_type(fields))
     df = df.withColumn("__key", protocol.session_key(F.col("__proto"), fields))
     df = df.withColumn("__tb", F.xxhash64(*[c(n) for n in df.columns]))
+    if materialize_typed:
+        df = materialize(df, "edge-typed")
     df = sessions.sessionize(df, "__key", "frame.time", timeout, tiebreak=["__tb"],
                              is_tcp=F.col("__proto") == "TCP", syn="tcp.connection.syn", ack="tcp.flags.ack",
                              fin="tcp.connection.fin", rst="tcp.connection.rst", after_close=after_close,
