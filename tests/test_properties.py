@@ -70,3 +70,40 @@ def test_make_sequences_any_width(spark, rows, width, length):
     got = S.make_sequences(df, length, tiebreak=["id"], bucket_width=width).collect()
     got = {r["id"]: (r["sequence_id"], r["step"], r["sequence_label"]) for r in got}
     assert got == _brute_sequences(data, length)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["g1", "g2"]), st.integers(-6, 6), st.integers(0, 1)),
+                min_size=2, max_size=120))
+def test_keyed_auroc_brute_force(spark, rows):
+    import math
+
+    from packetlens.operators import metrics as M
+    df = spark.createDataFrame([(g, v / 2.0, y) for g, v, y in rows], "split string, logit double, label int")
+    got = {r["split"]: r["auroc"] for r in M.auroc(df, ["split"]).collect()}
+    for g in {r[0] for r in rows}:
+        sc = [(1 / (1 + math.exp(-v / 2.0)), y) for gg, v, y in rows if gg == g]
+        pos = [s for s, y in sc if y == 1]
+        neg = [s for s, y in sc if y == 0]
+        exp = 0.0 if not pos or not neg else sum(
+            1.0 if p > n else 0.5 if p == n else 0.0 for p in pos for n in neg) / (len(pos) * len(neg))
+        assert abs(got[g] - exp) < 1e-12
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.one_of(st.none(), st.integers(-20, 20))),
+                min_size=1, max_size=150))
+def test_keyed_quantiles_numpy(spark, rows):
+    import numpy as np
+
+    from packetlens.operators.quantiles import exact_quantiles
+    probs = (0.1, 0.5, 0.75, 1.0)
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g string, x double")
+    got = {(r["g"], r["p"]): r["value"] for r in exact_quantiles(df, F.col("x"), probs, ["g"]).collect()}
+    for g in {r[0] for r in rows}:
+        vals = [v for gg, v in rows if gg == g and v is not None]
+        for p in probs:
+            if not vals:
+                assert (g, p) not in got
+            else:
+                assert abs(got[(g, p)] - float(np.quantile(vals, p, method="linear"))) < 1e-9
