@@ -2,8 +2,8 @@
 
 Every profile is a partial (map-side combined) aggregate.  Per-column
 statistics come from one wide aggregate, not one job per column; the column
-profile unpivots once and groups by (feature, value).  A table total is one
-scalar taken to the driver (a count), never a window over the whole table.
+profile unpivots once and groups by (feature, value).  A table total is a
+scalar subquery (one partial aggregate), never a window over the whole table.
 """
 
 from __future__ import annotations
@@ -27,6 +27,11 @@ NUMERIC_AS_CATEGORICAL_BELOW = 20
 WHISKER_IQR = 1.5
 
 
+def _total(df: DataFrame) -> Column:
+    """Row count of ``df`` as a scalar subquery (lazy; one partial aggregate when run)."""
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
 def group_count(df: DataFrame, keys: Sequence[ColumnLike], name: str = "count") -> DataFrame:
     """Rows per key combination (null is a group)."""
     return df.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias(name))
@@ -39,8 +44,8 @@ def value_counts(df: DataFrame, col: str, density_digits: int = 3, sort: str | N
     value, ``None`` leaves the aggregate unordered.
     """
     counts = df.groupBy(c(col)).agg(F.count(F.lit(1)).alias("count"))
-    total = df.count()
-    out = counts.withColumn("density_pct", F.round(F.col("count") / F.lit(total) * 100, density_digits))
+    total = _total(df)
+    out = counts.withColumn("density_pct", F.round(F.col("count") / total * 100, density_digits))
     if sort == "count":
         return out.orderBy(F.col("count").desc(), c(col).asc_nulls_first())
     if sort == "value":
@@ -51,8 +56,7 @@ def value_counts(df: DataFrame, col: str, density_digits: int = 3, sort: str | N
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows and share (%) per label value."""
     counts = df.groupBy(c(label)).agg(F.count(F.lit(1)).alias("count"))
-    total = df.count()
-    return counts.withColumn("pct", F.round(F.col("count") / F.lit(total) * 100, 6))
+    return counts.withColumn("pct", F.round(F.col("count") / _total(df) * 100, 6))
 
 
 def distinct_values(df: DataFrame, col: ColumnLike) -> DataFrame:
