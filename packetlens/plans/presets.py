@@ -152,9 +152,20 @@ FLOW_OVERRIDES = {n: T.StringType() for n in ["Date", "anomaly_alert", "class1",
                                               "Scr_IP", "Des_IP", "Protocol", "Service"]}
 
 
-def clean_flows(df: DataFrame) -> DataFrame:
-    """A7 body: label from class3, lenient casts, IP validation, constant session,
-    subnet, IP flags and port features."""
+# Fields hashed into a flow id when flows get their own session (C22), in order.
+FLOW_ID_FIELDS = ["Scr_IP", "Scr_port", "Des_IP", "Des_port", "Protocol", "timestamp"]
+
+
+def clean_flows(df: DataFrame, session: str = "constant") -> DataFrame:
+    """A7 body: label from class3, lenient casts, IP validation, session id,
+    subnet, IP flags and port features.
+
+    ``session="constant"`` puts every flow in session "0" (the reference
+    default; sequences then number the whole table, F6); ``"flow"`` gives each
+    flow the SHA-256 id of its 5-tuple and timestamp (C22).
+    """
+    if session not in ("constant", "flow"):
+        raise ValueError("session must be 'constant' or 'flow'")
     df = schema.drop_columns(df, FLOW_DROP, strict=False)
     df = df.withColumn("attack_label", scalar.map_values("class3", FLOW_CLASS, default=None).cast("long"))
     df = schema.drop_columns(df, ["class3", "class1"], strict=True)
@@ -164,7 +175,9 @@ def clean_flows(df: DataFrame) -> DataFrame:
              "Scr_IP": net.valid_ipv4("Scr_IP"), "Des_IP": net.valid_ipv4("Des_IP")}
     casts.update({n: scalar.cast_lenient(n, "long") for n in FLOW_LONG})
     casts.update({n: scalar.cast_lenient(n, "double") for n in FLOW_DOUBLE})
-    df = df.withColumns(casts).withColumn("session_id", F.lit("0"))
+    df = df.withColumns(casts)
+    df = df.withColumn("session_id", F.lit("0") if session == "constant"
+                       else protocol.flow_session_id(FLOW_ID_FIELDS))
     df = net.with_ip_longs(df, "Des_IP", "Scr_IP")
     df = df.select(
         "*", net.shared_subnet_mask("Des_IP", "Scr_IP", None, "__ip_Des_IP", "__ip_Scr_IP").alias("IP.Subnet"),
@@ -173,6 +186,6 @@ def clean_flows(df: DataFrame) -> DataFrame:
     return df.drop("Des_IP", "Scr_IP", "Date", "Scr_port", "Des_port", "__ip_Des_IP", "__ip_Scr_IP")
 
 
-def load_flows(spark: SparkSession, path: str) -> DataFrame:
+def load_flows(spark: SparkSession, path: str, session: str = "constant") -> DataFrame:
     """The X-IIoT flow CSV (all text columns read leniently)."""
-    return clean_flows(read_csv(spark, path, FLOW_OVERRIDES))
+    return clean_flows(read_csv(spark, path, FLOW_OVERRIDES), session)

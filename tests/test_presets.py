@@ -85,3 +85,17 @@ def test_clean_flows(spark):
     assert r0["Scr_port.category"] == "well-known" and r2["Scr_port.category"] == "invalid"
     assert r1["missed_bytes"] is None and r2["Duration"] == 2.5
     assert not set(r0.asDict()) & {"Des_IP", "Scr_IP", "Date", "Scr_port", "Des_port", "class1", "class3"}
+
+
+def test_clean_flows_flow_sessions(spark):
+    import hashlib
+
+    cols = {"Date": ["1/2/2020"], "Timestamp": ["1580515200"], "Scr_IP": ["10.0.0.1"], "Des_IP": ["bad"],
+            "Scr_port": ["443"], "Des_port": ["x"], "Protocol": ["tcp"], "class1": ["a"], "class2": ["Normal"],
+            "class3": ["Normal"], "anomaly_alert": ["FALSE"]}
+    for c in presets.FLOW_LONG + presets.FLOW_DOUBLE:
+        if c not in ("Scr_port", "Des_port", "timestamp"):
+            cols.setdefault(c, ["1"])
+    r = presets.clean_flows(_frame(spark, cols, 1), session="flow").first()
+    expected = hashlib.sha256("10.0.0.1||443||NONE||NONE||tcp||1580515200".encode()).hexdigest()
+    assert r["session_id"] == expected
