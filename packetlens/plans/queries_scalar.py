@@ -211,3 +211,18 @@ def q_union_supertyped(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = schema.rename(u, {"id": "nation", "nation": "id"})
     u = schema.drop_columns(u, ["extra"], strict=True)
     return schema.sort_columns(u)
+
+
+@query("filters", """
+SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders
+WHERE (o_orderstatus <> 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH'))
+   OR (NOT (o_orderpriority NOT IN ('5-LOW')) AND o_totalprice IS NOT NULL AND o_custkey = 1)
+   OR o_orderdate IS NULL""")
+def q_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality, inequality, in-list, not-in, null tests, negation, conjunction, disjunction."""
+    o = table(spark, sf_dir, "orders")
+    cond = (((F.col("o_orderstatus") != "F") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+            | (~(~F.col("o_orderpriority").isin("5-LOW")) & F.col("o_totalprice").isNotNull()
+               & (F.col("o_custkey") == 1))
+            | F.col("o_orderdate").isNull())
+    return o.filter(cond).select("o_orderkey", "o_orderstatus", "o_orderpriority")
