@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from .common import table
-from . import quality_rules
+from . import mixing, ngram_join, quality_rules, sharding
 
 
 @query("op9_quality_rules")
@@ -17,3 +17,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quality_rules")
     return judged.select("doc_id", *[q[c].alias(c) for c in quality_rules.STATS[:5]],
                          q["base_failed"].alias("base_failed"), q["score"].alias("score"), q["kept"].alias("kept"))
+
+
+@query("op5_ngram_jaccard_join")
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 4-word shingle links of 85 % similarity, by groups and their token unions."""
+    return ngram_join.components(table(spark, sf_dir, "documents"), ngram_join.JoinParams(4, 85)).select(
+        "doc_id", "n_shingles", "component_id")
+
+
+@query("op4_mixing", mixing.SQL)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document, at 5 : 2 : 1 source weights and 150 % of all words."""
+    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_sharding")
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard 0 to 7 and gapless slot of every document: a uniform shuffle, row counts at most one apart."""
+    return sharding.shard_sizes(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
