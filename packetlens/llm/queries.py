@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from .common import table
-from . import mixing, ngram_join, quality_rules, sharding
+from . import decontaminate, mixing, ngram_join, quality_rules, sharding
 
 
 @query("op9_quality_rules")
@@ -38,3 +38,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_sizes(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item, the BM25 score of its passage and the overlaps."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
