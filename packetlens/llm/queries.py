@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from .common import table
-from . import decontaminate, mixing, ngram_join, quality_rules, sharding
+from . import decontaminate, line_dedup, mixing, ngram_join, quality_rules, sharding
 
 
 @query("op9_quality_rules")
@@ -44,3 +44,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item, the BM25 score of its passage and the overlaps."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that go because an earlier line equals them or is within one word edit."""
+    return line_dedup.document_digests(line_dedup.line_decisions(table(spark, sf_dir, "documents")))
