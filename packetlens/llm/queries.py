@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from .common import table
-from . import decontaminate, line_dedup, mixing, ngram_join, quality_rules, sharding
+from . import decontaminate, line_dedup, mixing, ngram_join, quality_rules, sharding, token_output
 
 
 @query("op9_quality_rules")
@@ -50,3 +50,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that go because an earlier line equals them or is within one word edit."""
     return line_dedup.document_digests(line_dedup.line_decisions(table(spark, sf_dir, "documents")))
+
+
+@query("op3_token_ids")
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, written in ranked variable-length blocks and read back from the files."""
+    import public_tokenizers
+    p = token_output.TokenParams(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.token_table(table(spark, sf_dir, "documents"), p)
