@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from .common import table
-from . import decontaminate, line_dedup, mixing, ngram_join, quality_rules, sharding, token_output
+from .common import Scratch, table
+from . import chat_format, decontaminate, licenses, line_dedup, mixing, ngram_join, quality_rules, sharding, token_output
 
 
 @query("op9_quality_rules")
@@ -58,3 +58,32 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     p = token_output.TokenParams(public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.token_table(table(spark, sf_dir, "documents"), p)
+
+
+@query("op8_chat_format")
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, in budgeted windows; digests read back from the written rows."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    own = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{tricky}'), (-1L, 1L, 'assistant', '{tricky}') AS t(conv_id, turn, role, text)")
+    written = Scratch(spark, "chat").keep(chat_format.windows(turns.unionByName(own)), "windows")
+    return chat_format.read_back(written)
+
+
+def _as_files(documents: DataFrame) -> DataFrame:
+    """``documents`` as files: a path from source, lang and doc_id; every 40th is a LICENSE file of its source or language folder."""
+    number = F.coalesce(F.col("doc_id"), F.lit(-1))
+    source, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    path = (F.when(number % 80 == 0, F.concat_ws("/", source, F.concat(F.lit("LICENSE-"), number.cast("string"))))
+            .when(number % 40 == 0, F.concat_ws("/", source, lang, F.concat(F.lit("LICENSE-"), number.cast("string"))))
+            .otherwise(F.concat_ws("/", source, lang, F.pmod(F.floor(number / 40), F.lit(50)).cast("string"),
+                                   F.concat(number.cast("string"), F.lit(".txt")))))
+    return documents.select("doc_id", path.alias("path"), "text")
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document as a file: its own notice by TF-IDF cosine, or the nearest directory's licence file."""
+    return licenses.scan(_as_files(table(spark, sf_dir, "documents"))).select(
+        "doc_id", "path", "licence", "licence_by", "licence_cosine", "licence_dir")
