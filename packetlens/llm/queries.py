@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from .common import Scratch, table
-from . import chat_format, decontaminate, licenses, line_dedup, mixing, ngram_join, quality_rules, sharding, token_output
+from . import chat_format, decontaminate, licenses, line_dedup, mixing, ngram_join, pii, quality_rules, sharding, token_output
 
 
 @query("op9_quality_rules")
@@ -87,3 +87,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document as a file: its own notice by TF-IDF cosine, or the nearest directory's licence file."""
     return licenses.scan(_as_files(table(spark, sf_dir, "documents"))).select(
         "doc_id", "path", "licence", "licence_by", "licence_cosine", "licence_dir")
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document: strict patterns, and candidates that the trained span classifier accepts."""
+    spans = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return spans.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
