@@ -221,19 +221,18 @@ def fit(stats: DataFrame, labels: DataFrame, p: ForestParams = ForestParams()) -
 
 
 def judge(docs: DataFrame, labels: DataFrame, p: ForestParams = ForestParams(), text: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``quality_rules``: the statistics, base_failed, score and kept.
+    """The struct columns ``row`` (a row of ``docs``) and ``quality_rules`` (statistics, base_failed, score, kept).
 
     Every row of ``docs`` is returned once, in any number of repeats; a null or
-    empty text has no words, so it fails the fixed rules.  Other columns pass
-    through (a column already called ``quality_rules`` is replaced).  The
-    statistics are computed for each whole text, first without the other
-    columns to fit the forest, then in the pass that carries them.
+    empty text has no words, so it fails the fixed rules.  The statistics are
+    computed for each whole text, first without the other columns to fit the
+    forest, then in the pass that carries them.  An empty table stays empty.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "quality")
-    known = docs.select("doc_id", rule_stats(F.col(f"`{text}`")).alias("q"))
-    model = fit(scratch.keep(known, "stats"), labels, p)
+    scratch = Scratch(docs.sparkSession, "quality")
+    model = fit(scratch.keep(docs.select("doc_id", rule_stats(F.col(f"`{text}`")).alias("q")), "stats"), labels, p)
     scratch.drop("stats")
-    return _judged(docs.withColumn("quality_rules", rule_stats(F.col(f"`{text}`"))), model)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(docs.select(row.alias("row"), rule_stats(F.col(f"`{text}`")).alias("quality_rules")), model)
 
 
 def _judged(stats: DataFrame, model: QualityModel) -> DataFrame:
@@ -252,4 +251,4 @@ def judge_ids(docs: DataFrame, labels: DataFrame, p: ForestParams = ForestParams
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    return judge(docs, labels, p).where("quality_rules.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(docs, labels, p).where("quality_rules.kept").select("row.*")
