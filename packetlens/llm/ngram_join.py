@@ -9,9 +9,13 @@ different sets counts, however the candidates are found:
    the first tokens of both in one global order must meet several times
    (``needed``).  Vertices whose first tokens are hardly found elsewhere have
    no partner and go.  The same is asked of whole sets, with exact counts.
-3. What is left is partitioned into groups: a vertex joins the least mutated
-   vertex of its min-hash bucket if the exact similarity holds.  Links to such
-   leaders are linear in the documents, however large a group of near copies is.
+3. What is left is partitioned into groups of similar vertices: a vertex joins
+   the least mutated vertex of each of its min-hash buckets at half the
+   similarity.  Leaders, and the least mutated vertex of the whole group, are
+   compared exactly; these comparisons are linear in the documents however
+   large a group of near copies is, and link most of it.  Members outside the
+   group's largest component are queries on the group, block against block
+   inside tasks; a block pair gives a spanning forest of its links.
 4. The token-group matrix holds every group's token union.  A document with a
    rare first token in a foreign group is a query on that group; its overlap
    with the group's union bounds its overlap with any member, so only groups
@@ -40,8 +44,11 @@ from .common import Scratch, connected_components, membership, text_hash
 class JoinParams:
     n: int = 4
     percent: int = 85
-    seeds: int = 4         # min-hash buckets in which a vertex looks for a leader
-    small_group: int = 4   # groups up to this size are opened without the bound
+    seeds: int = 8              # min-hash buckets in which a vertex looks for a leader
+    group_percent: int = 50     # similarity to a leader at which a vertex joins its group
+    block_tokens: int = 500_000  # bounds of a block of members that one task holds
+    block_sets: int = 2_048
+    small_group: int = 4        # groups up to this size are opened without the bound
 
 
 class _Hashes(dict):
@@ -127,13 +134,81 @@ def _full_sets(text: Column, p: JoinParams) -> Column:
     return sets(text)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of vertices whose exact similarity holds."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of vertices with their token counts (na, nb) and the exact overlap (both)."""
     left = sets.select(F.col("vid").alias("a"), F.col("toks").alias("ta"))
     right = sets.select(F.col("vid").alias("b"), F.col("toks").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb")).cast("long")
     return (pairs.join(left, "a").join(right, "b")
-            .where(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select("a", "b"))
+            .select("a", "b", F.size("ta").cast("long").alias("na"), F.size("tb").cast("long").alias("nb"),
+                    F.size(F.array_intersect("ta", "tb")).cast("long").alias("both")))
+
+
+def _similar(percent: int) -> Column:
+    return F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
+
+
+def _blocks_linked(q: dict, m: dict, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two blocks of sets (flat numpy arrays), none inside a known component."""
+    toks_q, toks_m = q["toks"], m["toks"]
+    of_q, of_m = np.repeat(np.arange(len(q["n"])), q["n"]), np.repeat(np.arange(len(m["n"])), m["n"])
+    shared = np.intersect1d(toks_q, toks_m)
+    both = np.zeros((len(q["n"]), len(m["n"])), dtype=np.float32)
+    for lo in range(0, len(shared), 4096):  # exact: counts stay below 2 ** 24
+        part = shared[lo:lo + 4096]
+        sides = []
+        for toks, of, rows in ((toks_q, of_q, len(q["n"])), (toks_m, of_m, len(m["n"]))):
+            at = np.searchsorted(part, toks)
+            hit = part[np.minimum(at, len(part) - 1)] == toks
+            side = np.zeros((rows, len(part)), dtype=np.float32)
+            side[of[hit], at[hit]] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    total = q["n"][:, None] + m["n"][None, :]
+    i, j = np.nonzero((both.astype(np.int64) * 100 >= (total - both.astype(np.int64)) * percent) & (q["comp"][:, None] != m["comp"][None, :]))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+    out = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        x, y = find(int(q["comp"][a])), find(int(m["comp"][b]))
+        if x != y:
+            root[x] = y
+            out.append((int(q["vid"][a]), int(m["vid"][b])))
+    return out
+
+
+def _inside_groups(grouped: DataFrame, comps: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
+    """Links (a, b) that join the components left in each group: the smaller components' members against all members."""
+    placed = grouped.select("vid", "n", "grp").join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
+    sizes = placed.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    per = (sizes.groupBy("grp").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("comps"))
+           .where("comps > 1")
+           .select("grp", F.col("main.comp").alias("main"),
+                   F.greatest(F.ceil(F.col("t") / p.block_tokens), F.ceil(F.col("c") / p.block_sets)).cast("int").alias("blocks")))
+    open_ = (placed.join(per, "grp").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+             .join(sets.select("vid", "toks"), "vid"))
+    one = F.struct("vid", "comp", F.size("toks").cast("long").alias("n"), "toks")
+    flat = lambda side: [F.col(f"x.{c}").alias(f"{side}_{c}") for c in ("vid", "comp", "n")] + [
+        F.flatten("x.toks").alias(f"{side}_toks")]
+    blocks = open_.groupBy("grp", "block", "blocks").agg(F.collect_list(one).alias("x"))
+    queries = open_.where("comp != main").groupBy("grp", "block", "blocks").agg(F.collect_list(one).alias("x"))
+    asks = (queries.select("grp", "blocks", F.col("block").alias("qb"), *flat("q"))
+            .withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    rows = asks.join(blocks.select("grp", F.col("block").alias("mb"), *flat("m")), ["grp", "mb"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for r in frame.itertuples(index=False):
+                side = lambda s: {c: np.asarray(getattr(r, f"{s}_{c}"), dtype=np.int64) for c in ("vid", "comp", "n", "toks")}
+                out += _blocks_linked(side("q"), side("m"), p.percent)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return rows.drop("grp", "mb", "qb", "blocks").mapInPandas(compare, "a long, b long")
 
 
 def components(docs: DataFrame, p: JoinParams = JoinParams(), text: str = "text") -> DataFrame:
@@ -151,21 +226,20 @@ def components(docs: DataFrame, p: JoinParams = JoinParams(), text: str = "text"
     wide = scratch.keep(source.select("doc_id", text_hash(F.col("text")).alias("text_hash"),
                                       _signatures(F.col("text"), p).alias("s"))
                         .select("doc_id", "text_hash", "s.*"), "wide")
-    vertices = scratch.keep(
+    firsts = scratch.keep(
         wide.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("pre").alias("pre"))
-        .withColumn("vid", F.monotonically_increasing_id()), "vertices")
-    rows = scratch.keep(wide.drop("pre"), "rows")
+        .withColumn("vid", F.monotonically_increasing_id()), "firsts")
+    rows, vertices = scratch.keep(wide.drop("pre"), "rows"), scratch.keep(firsts.drop("pre"), "vertices")
     scratch.drop("wide")
     members = rows.join(vertices.select("sig", "vid"), "sig", "left")
 
-    # vertices whose first tokens meet often enough elsewhere
-    first = vertices.select("vid", "n", F.explode("pre").alias("token"))
-    common = first.groupBy("token").agg(F.min("vid").alias("lo"), F.max("vid").alias("hi")).where("lo < hi").select("token")
-    n = F.col("n")
+    # vertices whose first tokens meet often enough elsewhere (a vertex holds a token once)
+    first = firsts.select("vid", F.explode("pre").alias("token"))
+    common = first.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     alive = scratch.keep(
-        first.join(common, "token", "left_semi").groupBy("vid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") >= _sql(needed, n, p.percent)).select("vid")
-        .join(vertices.select("vid", "sig", "doc_id"), "vid"), "alive")
+        first.join(common, "token", "left_semi").groupBy("vid").agg(F.count(F.lit(1)).alias("c"))
+        .join(vertices, "vid").where(F.col("c") >= _sql(needed, F.col("n"), p.percent)).select("vid", "sig", "doc_id"), "alive")
+    scratch.drop("firsts")
     edges = _edges(source, alive, scratch, p)
     roots = connected_components(edges, scratch, "cc_all")
     grouped = members.join(roots.select(F.col("v").alias("vid"), F.col("root")), "vid", "left")
@@ -209,18 +283,28 @@ def _edges(source: DataFrame, alive: DataFrame, scratch: Scratch, p: JoinParams)
     scratch.drop("sets")
 
     # groups: the least mutated vertex of each min-hash bucket leads it
+    # (half the buckets leave out the rarest and the most common tokens: mutations, and passages that all kinds of texts share)
+    quarter = F.floor(F.size("common") / 4).cast("int")
+    middle = F.slice("common", quarter + 1, F.greatest(F.size("common") - 2 * quarter, F.lit(1)))
     buckets = kept.select("vid", "n", "own", F.explode(F.array(*[
-        F.array_min(F.transform("common", lambda t, s=s: F.struct(F.xxhash64(t, F.lit(s)).alias("h"), F.lit(s).alias("s"))))
+        F.array_min(F.transform(middle if s % 2 else F.col("common"), lambda t, s=s: F.struct(F.xxhash64(t, F.lit(s)).alias("h"), F.lit(s).alias("s"))))
         for s in range(p.seeds)])).alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min_by(F.struct("vid", "n"), F.struct("own", F.xxhash64("vid"), "vid")).alias("l"))
+    best = F.min_by(F.struct("vid", "n"), F.struct("own", F.xxhash64("vid"), "vid")).alias("l")
+    leaders = buckets.groupBy("bucket").agg(best)
     to_leader = (buckets.join(leaders, "bucket").where("vid != l.vid")
-                 .where((F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * p.percent))
+                 .where((F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * p.group_percent))
                  .select(F.col("vid").alias("a"), F.col("l.vid").alias("b")).distinct())
-    stars = scratch.keep(_linked(to_leader, kept, p.percent), "stars")
-    roots = connected_components(stars, scratch, "cc_groups")
-    grouped = kept.select("vid", "n", "common", "pre").join(
-        roots.select(F.col("v").alias("vid"), "root"), "vid", "left").withColumn("grp", F.coalesce("root", "vid")).drop("root")
+    near = scratch.keep(_compared(to_leader, kept), "near")
+    families = connected_components(near.where(_similar(p.group_percent)), scratch, "cc_groups")
+    grouped = kept.select("vid", "n", "own", "common", "pre").join(
+        families.select(F.col("v").alias("vid"), "root"), "vid", "left").withColumn("grp", F.coalesce("root", "vid")).drop("root")
     grouped = scratch.keep(grouped, "grouped")
+    heads = grouped.groupBy("grp").agg(best)
+    to_head = grouped.join(heads, "grp").where("vid != l.vid").select(F.col("vid").alias("a"), F.col("l.vid").alias("b"))
+    to_head = to_head.join(near.select("a", "b"), ["a", "b"], "left_anti")
+    stars = scratch.keep(near.union(_compared(to_head, kept)).where(_similar(p.percent)).select("a", "b"), "stars")
+    comps = connected_components(stars, scratch, "cc_stars").select(F.col("v").alias("vid"), F.col("root").alias("comp"))
+    inside = scratch.keep(_inside_groups(grouped, comps, kept, p), "inside")
 
     # the rest: first tokens that lie in two groups or more
     first = grouped.select("vid", "n", "grp", F.explode("pre").alias("token"))
@@ -239,11 +323,12 @@ def _edges(source: DataFrame, alive: DataFrame, scratch: Scratch, p: JoinParams)
                .join(matrix, ["g", "token"]).groupBy("vid", "g").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("c"))
                .where(F.col("c") >= _sql(shared_least, F.col("n"), p.percent)).select("vid", "g"))
     opened = bounded.union(queries.where(F.col("size") <= p.small_group).select("vid", "g"))
-    inside = first.select("token", F.col("vid").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("g"))
-    pairs = (first.select("token", "vid", "n").join(opened, "vid").join(inside, ["g", "token"])
+    member = first.select("token", F.col("vid").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("g"))
+    pairs = (first.select("token", "vid", "n").join(opened, "vid").join(member, ["g", "token"])
              .where((F.least("n", "nb") * 100 >= F.greatest("n", "nb") * p.percent))
              .select(F.col("vid").alias("a"), "b").distinct())
-    return stars.union(_linked(pairs, kept, p.percent))
+    found = _compared(pairs, kept).where(_similar(p.percent)).select("a", "b")
+    return stars.union(inside).union(found)
 
 
 def keep_first(docs: DataFrame, p: JoinParams = JoinParams(5, 80), text: str = "text") -> DataFrame:
