@@ -46,28 +46,34 @@ class PiiParams:
     before: int = 24  # characters before a span in which context words count
 
 
-def _spans(src: Column, pattern: str, skip: Column, keep: int) -> Column:
-    """array<struct<s, e, m, before, after>> of the leftmost non-overlapping matches of ``pattern`` in ``src``."""
-    pieces = F.split(F.regexp_replace(src, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN, -1)
-    lengths = F.transform(pieces, lambda x, i: F.length(x) - F.when(i > 0, F.lit(1)).otherwise(F.lit(0)))
-    at = prefix_reduce(lengths, F.lit(0), lambda a, b: a + b)
+NO_SPANS = "array<struct<s:bigint,m:string,before:string,after:string>>"
+
+
+def _with_spans(rows: DataFrame, name: str, src: Column, pattern: str, keep: int) -> DataFrame:
+    """``rows`` with ``name``: array<struct<s, m, before, after>> of the leftmost non-overlapping matches of ``pattern``.
+
+    A null ``src`` has none.  Pieces and their positions are columns of their
+    own, so that they are computed once a row and not once a match.
+    """
+    rows = rows.withColumn("__p", F.split(F.regexp_replace(src, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN, -1))
+    rows = rows.withColumn("__l", F.transform("__p", lambda x, i: F.length(x) - F.when(i > 0, F.lit(1)).otherwise(F.lit(0))))
+    rows = rows.withColumn("__a", prefix_reduce(F.col("__l"), F.lit(0), lambda a, b: a + b))
     found = F.transform(
-        F.sequence(F.lit(1), F.size(pieces) - 1),
-        lambda i: F.struct(F.get(at, i).cast("long").alias("s"),
-                           F.substring_index(F.get(pieces, i), CLOSE, 1).alias("m"),
-                           F.translate(F.right(F.get(pieces, i - 1), F.lit(keep)), CLOSE, " ").alias("before"),
-                           F.left(F.substring_index(F.get(pieces, i), CLOSE, -1), F.lit(1)).alias("after")))
-    none = F.array().cast("array<struct<s:bigint,m:string,before:string,after:string>>")
-    return F.when(skip | (F.size(pieces) < 2), none).otherwise(found)
+        F.sequence(F.lit(1), F.size("__a") - 2),
+        lambda i: F.struct(F.get("__a", i).cast("long").alias("s"),
+                           F.substring_index(F.get("__p", i), CLOSE, 1).alias("m"),
+                           F.translate(F.right(F.get("__p", i - 1), F.lit(keep)), CLOSE, " ").alias("before"),
+                           F.left(F.substring_index(F.get("__p", i), CLOSE, -1), F.lit(1)).alias("after")))
+    return rows.withColumn(name, F.when(F.size("__p") > 1, found).otherwise(F.array().cast(NO_SPANS))).drop("__p", "__l", "__a")
 
 
-def _fill(src: Column, spans: Column) -> Column:
-    """``src`` with the spans overwritten by as many fill characters."""
+def _fill(src: str, spans: str) -> Column:
+    """The text column ``src`` with the spans overwritten by as many fill characters."""
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda x: x["s"] + F.length(x["m"])))
     parts = F.transform(starts, lambda p, i: F.concat(
         F.substring(src, (p + 1).cast("int"), (F.coalesce(F.get(spans, i)["s"], F.length(src).cast("long")) - p).cast("int")),
         F.coalesce(F.repeat(F.lit(FILL), F.length(F.get(spans, i)["m"])), F.lit(""))))
-    return F.when(F.size(spans) == 0, src).otherwise(F.concat_ws("", parts))
+    return F.when(F.size(spans) == 0, F.col(src)).otherwise(F.concat_ws("", parts))
 
 
 def _digits(m: Column) -> Column:
@@ -126,34 +132,31 @@ def _judged(spans: Column, kind: str, base) -> Column:
 def candidates(docs: DataFrame, p: PiiParams = PiiParams(), text: str = "text") -> DataFrame:
     """doc_id and ``spans``: all base spans and candidates of each whole text, with votes and features."""
     clean = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), OPEN + CLOSE + INNER + FILL, OTHER * 4)
-    rows = docs.select("doc_id", clean.alias("t"))
+    found = docs.select("doc_id", clean.alias("t"))
     digit, at, plus = F.col("t").rlike("[0-9]"), F.col("t").contains("@"), F.col("t").contains("+")
-    rows = rows.withColumn("digit", digit).withColumn("at", at).withColumn("plus", plus)
-    dotted = F.when(F.col("at"), F.regexp_replace("t", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", INNER))
-    grouped = F.when(F.col("digit"), F.regexp_replace("t", r"(?<=[0-9])[ -](?=[0-9])", INNER))
+    # separators inside addresses and numbers become a mark, so that the patterns need no repeated groups
+    dotted = F.when(at, F.regexp_replace("t", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", INNER))
+    grouped = F.when(digit, F.regexp_replace("t", r"(?<=[0-9])[ -](?=[0-9])", INNER))
     local = f"A-Za-z0-9._%+{INNER}-"
     none = F.lit(False)
-    found = rows.select(
-        "doc_id", "t", "digit",
-        _spans(F.coalesce(dotted, F.lit("")), rf"(?:\G|(?<![{local}]))[{local}]+@[A-Za-z0-9-]+{INNER}[A-Za-z0-9{INNER}-]+", ~F.col("at"), p.before).alias("email"),
-        _spans(F.when(F.col("digit"), F.col("t")).otherwise(""), r"(?:\G|(?<![0-9]))[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", ~F.col("digit"), p.before).alias("ip"),
-        _spans(F.coalesce(grouped, F.lit("")), f"[0-9][0-9{INNER}]+", ~F.col("digit"), p.before).alias("card"),
-        _spans(F.when(F.col("plus"), F.col("t")).otherwise(""), r"\+[0-9][ ().0-9-]+[0-9]", ~F.col("plus"), p.before).alias("phone"))
     digits = lambda x: F.length(_digits(x["m"]))
+    found = _with_spans(found, "email", dotted, rf"(?:\G|(?<![{local}]))[{local}]+@[A-Za-z0-9-]+{INNER}[A-Za-z0-9{INNER}-]+", p.before)
+    found = _with_spans(found, "ip", F.when(digit, F.col("t")), r"(?:\G|(?<![0-9]))[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", p.before)
+    found = _with_spans(found, "card", grouped, f"[0-9][0-9{INNER}]+", p.before)
+    found = _with_spans(found, "phone", F.when(plus, F.col("t")), r"\+[0-9][ ().0-9-]+[0-9]", p.before)
     dots = lambda a: F.transform(a, lambda x: x.withField("m", F.translate(x["m"], INNER, ".")).withField("before", F.translate(x["before"], INNER, ".")))
     seps = lambda a: F.transform(a, lambda x: x.withField("before", F.translate(x["before"], INNER, " ")))
-    found = found.select(
-        "doc_id", "t", "digit", dots(F.col("email")).alias("email"), "ip",
-        seps(F.filter("card", lambda x: digits(x).between(13, 19))).alias("card"), "phone")
     phone_ok = lambda x: x["m"].startswith("+") & digits(x).between(8, 15)
     email_ok = lambda x: x["m"].contains("@")
+    found = found.select(
+        "doc_id", "t", dots("email").alias("email"), "ip", seps(F.filter("card", lambda x: digits(x).between(13, 19))).alias("card"),
+        "phone", F.filter("phone", phone_ok).alias("sure"))
     loose_mail = r"[A-Za-z0-9._%+-]{1,64}[ ]?[\[(]at[\])][ ]?[A-Za-z0-9-]{1,63}(?:\.|[ ]?[\[(]dot[\])][ ]?)[A-Za-z0-9.-]{0,253}[A-Za-z0-9]"
     bracketed = F.col("t").contains("(at)") | F.col("t").contains("[at]")
     loose_phone = r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"
-    some_phone = F.col("digit") & F.col("t").rlike(loose_phone)
-    masked = _fill(F.col("t"), F.filter("phone", phone_ok))
-    found = found.withColumn("email2", _spans(F.when(bracketed, F.col("t")).otherwise(""), loose_mail, ~bracketed, p.before))
-    found = found.withColumn("phone2", _spans(F.when(some_phone, masked).otherwise(""), loose_phone, ~some_phone, p.before))
+    found = _with_spans(found, "email2", F.when(bracketed, F.col("t")), loose_mail, p.before)
+    found = found.withColumn("masked", F.when(F.col("t").rlike(loose_phone), _fill("t", "sure")))
+    found = _with_spans(found, "phone2", F.col("masked"), loose_phone, p.before)
     strict_card = lambda x: digits(x).between(16, 19) & _luhn(_digits(x["m"]))
     return found.select("doc_id", F.concat(
         _judged(F.col("email"), "email", email_ok), _judged(F.col("email2"), "email", lambda x: none & x["m"].isNotNull()),
