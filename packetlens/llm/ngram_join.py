@@ -55,7 +55,7 @@ class _Hashes(dict):
     """Word to 64-bit hash, filled on demand and emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
