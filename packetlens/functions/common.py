@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = str | Column
@@ -21,6 +22,15 @@ def cols(names: Iterable[ColumnLike]) -> list[Column]:
     return [c(n) for n in names]
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "left") -> DataFrame:
+    """Equi-join in which a null key equals a null key; the right side's key columns are dropped."""
+    keys = list(keys)
+    names = {k: f"__jk{i}" for i, k in enumerate(keys)}
+    right = right.select(*[c(n).alias(names.get(n, n)) for n in right.columns])
+    cond = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(right[v]) for k, v in names.items()])
+    return left.join(right, cond, how).drop(*names.values())
+
+
 def flag(value: ColumnLike | None) -> Column:
     """Numeric TCP flag as boolean: exactly 1 is true, null/anything else false."""
     if value is None:

@@ -1,10 +1,10 @@
 """Encoding and feature assembly (inventory J1-J7).
 
-Fitting produces small driver-side tables (categories per column, mean/std
-per column) from one aggregate each; applying them is a single wide
-``select`` of literal expressions, so encoded tables keep their partitioning
-and never shuffle.  Category lists are checked against ``max_categories``
-before they are collected.
+Categories of any number are fitted to a table ``(feature, value, code)`` and
+applied by joins on the value, giving one code column per feature (the index
+of the hot column of a one-hot block, -1 for an unseen value); no category
+list reaches the driver.  Wide one-hot columns exist for callers that ask for
+them with their own category lists.  Moments (J2) are two numbers a column.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import c
+from ..session import materialize
+from .ordered import bucketed_row_number
 
 GROUP_SEPARATOR = "__"
-DEFAULT_MAX_CATEGORIES = 1000
+CODE = "code"
 
 
 def _fit_rows(df: DataFrame, split_col: str | None, fit_on: Sequence[str] | None) -> DataFrame:
@@ -27,26 +29,44 @@ def _fit_rows(df: DataFrame, split_col: str | None, fit_on: Sequence[str] | None
     return df
 
 
+def _values(df: DataFrame, cols: Sequence[str], split_col: str | None, fit_on: Sequence[str] | None) -> DataFrame:
+    """Distinct non-null (feature, value) pairs of the fitted rows (one unpivot + distinct)."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), c(n).cast("string").alias("value")) for n in cols])
+    return _fit_rows(df, split_col, fit_on).select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+
+
+def fit_codes(df: DataFrame, cols: Sequence[str], split_col: str | None = "split",
+              fit_on: Sequence[str] | None = ("train", "val")) -> DataFrame:
+    """J1/J3 fit: the table (feature, value, code), code = 0-based place among the sorted values of its feature.
+
+    Values are range-partitioned and numbered inside their range, then moved on
+    by the counts of the ranges before: no task or driver holds all values.
+    """
+    ranged = _values(df, cols, split_col, fit_on).repartitionByRange("feature", "value").withColumn("__part", F.spark_partition_id())
+    ranged = materialize(ranged, "categories")
+    numbered = bucketed_row_number(ranged, ["feature"], [F.col("value")], F.col("__part"), out="__rn")
+    return materialize(numbered.select("feature", "value", (F.col("__rn") - 1).cast("int").alias("code")), "codes")
+
+
+def apply_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Replace each of ``cols`` by ``{name}__code``; null and unseen values are -1.
+
+    One left join per column; Spark broadcasts a column's code table if it is
+    below its own threshold and splits skewed values otherwise.
+    """
+    for i, n in enumerate(cols):
+        mine = codes.where(F.col("feature") == n).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
+        df = df.join(mine, c(n).cast("string") == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+    keep = [c(n) for n in df.columns if n not in cols and not n.startswith("__c")]
+    return df.select(*keep, *[F.coalesce(F.col(f"__c{i}"), F.lit(-1)).alias(f"{n}{GROUP_SEPARATOR}{CODE}") for i, n in enumerate(cols)])
+
+
 def fit_categories(df: DataFrame, cols: Sequence[str], split_col: str | None = "split",
-                   fit_on: Sequence[str] | None = ("train", "val"),
-                   max_categories: int = DEFAULT_MAX_CATEGORIES) -> dict[str, list]:
-    """J1/J3 fit: sorted distinct non-null values per column (one unpivot + distinct)."""
-    if not cols:
-        return {}
-    rows = _fit_rows(df, split_col, fit_on)
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), c(n).cast("string").alias("value"))
-                      for n in cols])
-    distinct = rows.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
-    # One job; the limit is a guard that stops the collect once the allowed total
-    # is exceeded (we then raise, nothing is dropped silently).
-    bound = max_categories * len(cols)
-    got = distinct.limit(bound + 1).collect()
+                   fit_on: Sequence[str] | None = ("train", "val")) -> dict[str, list]:
+    """J1 fit for wide columns the caller asks for: the sorted values per column, which become column names' indexes."""
     cats: dict[str, list] = {n: [] for n in cols}
-    for r in got:
+    for r in _values(df, cols, split_col, fit_on).toLocalIterator() if cols else ():
         cats[r["feature"]].append(r["value"])
-    too_many = {k: len(v) for k, v in cats.items() if len(v) > max_categories}
-    if too_many or len(got) > bound:
-        raise ValueError(f"too many categories for a wide encoding: {too_many or 'over ' + str(bound)}")
     return {k: sorted(v) for k, v in cats.items()}
 
 
@@ -89,14 +109,13 @@ def fit_onehot_vector(df: DataFrame, col: str, split_col: str | None = "split",
     return Pipeline(stages=[idx, enc]).fit(_fit_rows(df, split_col, fit_on).where(c(col).isNotNull()))
 
 
-def ordinal_encode(df: DataFrame, col: str, cats: Sequence[str] | None = None, out: str | None = None,
-                   max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:
-    """Position of the value in the sorted category list; unknown or null -> -1."""
-    if cats is None:
-        cats = fit_categories(df, [col], None, None, max_categories)[col]
-    m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(i))]) if cats else None
-    code = F.coalesce(F.try_element_at(m, c(col).cast("string")), F.lit(-1)) if m is not None else F.lit(-1)
-    return df.withColumn(out or col, code.cast("int"))
+def ordinal_encode(df: DataFrame, col: str, codes: DataFrame | None = None, out: str | None = None) -> DataFrame:
+    """Place of the value in the sorted values of the column; unknown or null -> -1."""
+    if codes is None:
+        codes = fit_codes(df, [col], None, None)
+    mine = codes.where(F.col("feature") == col).select(F.col("value").alias("__v"), F.col("code").alias("__c"))
+    joined = df.join(mine, c(col).cast("string") == F.col("__v"), "left")
+    return joined.withColumn(out or col, F.coalesce("__c", F.lit(-1))).drop("__v", "__c")
 
 
 @dataclass(frozen=True)
@@ -135,28 +154,29 @@ def apply_scaler(df: DataFrame, moments: Mapping[str, Moments]) -> DataFrame:
     return df.select(*keep, *scaled_columns(moments))
 
 
-def onehot_summary(df: DataFrame, cats: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Min, max, row count and width of the one-hot block, and the category count."""
-    cols = [f"{n}{GROUP_SEPARATOR}{i}" for n, vs in cats.items() for i in range(len(vs))]
-    if not cols:
-        return df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
-            "rows", F.lit(0).cast("long").alias("width"), F.lit(0).cast("long").alias("categories"))
-    block = apply_onehot(df, cats)
-    return block.agg(F.least(*[F.min(c(x)) for x in cols]).alias("min"),
-                     F.greatest(*[F.max(c(x)) for x in cols]).alias("max"),
-                     F.count(F.lit(1)).alias("rows")).select(
-        "min", "max", "rows", F.lit(len(cols)).cast("long").alias("width"),
-        F.lit(sum(len(v) for v in cats.values())).cast("long").alias("categories"))
+def onehot_summary(coded: DataFrame, codes: DataFrame, col: str) -> DataFrame:
+    """Min, max, row count and width of a column's one-hot block, and the category count, from its codes.
+
+    A block of k columns holds a 0 as soon as k > 1 or a row is unseen, and a 1
+    as soon as a row is seen.
+    """
+    width = codes.where(F.col("feature") == col).agg(F.count(F.lit(1)).alias("width"))
+    code = c(f"{col}{GROUP_SEPARATOR}{CODE}")
+    rows = coded.agg(F.count(F.lit(1)).alias("rows"), F.count_if(code >= 0).alias("seen"))
+    one = rows.withColumn("__j", F.lit(0)).join(width.withColumn("__j", F.lit(0)), "__j")
+    some = (F.col("width") > 0) & (F.col("rows") > 0)
+    return one.select(
+        F.when(some, ((F.col("width") == 1) & (F.col("seen") == F.col("rows"))).cast("double")).alias("min"),
+        F.when(some, (F.col("seen") > 0).cast("double")).alias("max"), "rows", "width", F.col("width").alias("categories"))
 
 
 def assemble(df: DataFrame, moments: Mapping[str, Moments], booleans: Sequence[str],
-             cats: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
-    """Scaled numerics, booleans as is, one-hot blocks and the id/label columns,
+             categorical: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Scaled numerics, booleans as is, code columns and the id/label columns,
     in one projection with columns in name order."""
     parts = {n: expr for n, expr in zip(moments, scaled_columns(moments))}
     parts.update({n: c(n) for n in booleans})
-    parts.update(dict(_onehot_pairs(cats)))
+    parts.update({f"{n}{GROUP_SEPARATOR}{CODE}": c(f"{n}{GROUP_SEPARATOR}{CODE}") for n in categorical})
     parts.update({n: c(n) for n in keep if n in df.columns})
     return df.select(*[parts[k].alias(k) for k in sorted(parts)])
 

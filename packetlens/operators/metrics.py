@@ -14,9 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import ColumnLike, c, safe_div
+from ..functions.common import ColumnLike, c, join_null_safe, safe_div
 from ..functions.scalar import sigmoid
-from .ordered import bucketed_prefix_sum
+from ..session import materialize
+from .ordered import bucket_count, bucketed_prefix_sum
 from .quantiles import sketch_bucket
 
 DEFAULT_THRESHOLD = 0.5
@@ -77,7 +78,8 @@ def auroc(pred: DataFrame, keys: Sequence[ColumnLike] = (), label: str = "label"
         .groupBy(*kn, "__s").agg(F.count_if(F.col("__y") == 1).alias("__pos"),
                                  F.count_if(F.col("__y") != 1).alias("__neg"))
     # score ranges of about equal numbers of distinct scores (sketch split points per group)
-    per_score = sketch_bucket(per_score, F.col("__s"), kn)
+    per_score = materialize(per_score, "distinct-scores")
+    per_score = sketch_bucket(per_score, F.col("__s"), kn, bucket_count(per_score.count()))
     scanned = bucketed_prefix_sum(per_score, kn, [F.col("__s")], F.col("__qb"), F.col("__neg"), "__below")
     agg = scanned.groupBy(*kn).agg(
         F.sum(F.col("__pos") * (F.col("__below") + F.col("__neg") / 2.0)).alias("__area"),
@@ -108,7 +110,7 @@ def metrics_by(pred: DataFrame, keys: Sequence[str] = (), threshold: float = DEF
     auc = auroc(pred, keys, label, logit)
     if not keys:
         return _join_single_row(base, auc)
-    return base.join(auc, keys, "left")
+    return join_null_safe(base, auc, keys)
 
 
 def _join_single_row(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -9,10 +9,12 @@ earlier buckets, taken from a per-bucket summary table whose size is
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.common import ColumnLike, c
 
@@ -21,6 +23,11 @@ NULL_BUCKET = -(2**63)
 
 # Rows a bucket should hold on average when the width is derived from the data.
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
+# Split points that reach the driver at most; beyond, buckets grow with the data.
+MAX_BUCKETS = 4096
+SUB_BUCKETS = 1 << 20
+# Order value of null times: before every real one.
+LOWEST = -1.7976931348623157e308
 
 
 def time_bucket(t: Column, width: float) -> Column:
@@ -29,19 +36,65 @@ def time_bucket(t: Column, width: float) -> Column:
                       F.lit(NULL_BUCKET))
 
 
-def auto_bucket_width(df: DataFrame, t: ColumnLike,
-                      rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> float:
-    """Width so that the whole time range holds ``rows_per_bucket`` rows per bucket.
+def bucket_count(rows: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> int:
+    return max(1, min(MAX_BUCKETS, -(-rows // rows_per_bucket)))
 
-    One global aggregate (three scalars reach the driver).
+
+def count_le(df: DataFrame, arr_col: str, value: Column, limit: int, out: str) -> DataFrame:
+    """Add ``out`` = number of elements <= value of the ascending array (of at most ``limit``) in ``arr_col``.
+
+    Binary lifting over ``element_at``: one small projection per halving step
+    (each step reads the previous step's column several times, so Catalyst
+    keeps the steps apart and every projection stays code-generated).  A null
+    array counts as empty.
+    """
+    arr = F.coalesce(F.col(arr_col), F.array().cast("array<double>"))
+    df = df.withColumn("__cle", F.lit(0)).withColumn("__cln", F.size(arr))
+    step = 1 << max(limit, 1).bit_length() - 1
+    while step >= 1:
+        cand = F.col("__cle") + step
+        ok = (cand <= F.col("__cln")) & (F.element_at(arr, F.least(cand, F.greatest(F.col("__cln"), F.lit(1)))) <= value)
+        df = df.withColumn("__cle", F.when(F.coalesce(ok, F.lit(False)), cand).otherwise(F.col("__cle")))
+        step //= 2
+    return df.withColumn(out, F.col("__cle").cast("long")).drop("__cle", "__cln")
+
+
+def order_buckets(df: DataFrame, t: ColumnLike, tiebreak: Sequence[ColumnLike] = (),
+                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, out: str = "__bkt") -> DataFrame:
+    """Add ``out``: ordered slices of about ``rows_per_bucket`` rows, monotone in (t null first, tiebreak).
+
+    Split points come from a quantile sketch of the times of all rows, so a few
+    outliers (or nulls filled with -1 or 0) don't stretch a slice.  A time that
+    takes several split points (nulls, too) is split further by a sketch of
+    the first tie-break column, if that is numeric.  At most ``MAX_BUCKETS``
+    numbers of each sketch reach the driver; a table of one slice needs none.
     """
-    row = df.agg(F.min(c(t)).cast("double").alias("lo"), F.max(c(t)).cast("double").alias("hi"),
-                 F.count(c(t)).alias("n")).first()
-    lo, hi, n = row["lo"], row["hi"], row["n"]
-    if not n or lo is None or hi is None or hi <= lo:
-        return 1.0
-    n_buckets = max(1, -(-n // rows_per_bucket))
-    return max((hi - lo) / n_buckets, 1e-9) * 1.000001
+    x = F.coalesce(c(t).cast("double"), F.lit(LOWEST))
+    n_buckets = bucket_count(df.count(), rows_per_bucket)
+    if n_buckets == 1:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    accuracy = 20 * n_buckets
+    splits = df.agg(F.percentile_approx(x, probs, accuracy).alias("s")).first()["s"]
+    taken = Counter(splits)
+    values = sorted(taken)
+    df = df.withColumn("__x", x).withColumn("__sp", F.array(*[F.lit(v) for v in values]))
+    df = count_le(df, "__sp", F.col("__x"), len(values), "__le")
+    at = F.element_at("__sp", F.greatest(F.col("__le"), F.lit(1)).cast("int"))
+    first = 2 * F.col("__le") - F.when((F.col("__le") > 0) & (at == F.col("__x")), 1).otherwise(0)
+    heavy = {v: k for v, k in taken.items() if k > 1}
+    numeric = bool(tiebreak) and isinstance(df.select(c(tiebreak[0])).schema[0].dataType, NumericType)
+    if not heavy or not numeric:
+        return df.withColumn(out, (first * SUB_BUCKETS).cast("long")).drop("__x", "__sp", "__le")
+    tie = c(tiebreak[0]).cast("double")
+    most = max(heavy.values())
+    grid = [i / most for i in range(1, most)]
+    got = (df.where(F.col("__x").isin(*heavy)).groupBy("__x").agg(F.percentile_approx(tie, grid, accuracy).alias("s")).collect())
+    sub = {r["__x"]: sorted(set(r["s"][most // heavy[r["__x"]] - 1::max(1, most // heavy[r["__x"]])])) for r in got if r["s"]}
+    pairs = [y for v, s in sub.items() for y in (F.lit(v), F.array(*[F.lit(float(z)) for z in s]))]
+    df = df.withColumn("__ts", F.try_element_at(F.create_map(*pairs), F.col("__x")) if pairs else F.array().cast("array<double>"))
+    df = count_le(df, "__ts", tie, most, "__tl")
+    return df.withColumn(out, (first * SUB_BUCKETS + F.col("__tl")).cast("long")).drop("__x", "__sp", "__le", "__ts", "__tl")
 
 
 def group_key(partition: Sequence[ColumnLike]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .quantiles import exact_quantiles
 
-from ..functions.common import ColumnLike, c
+from ..functions.common import ColumnLike, c, join_null_safe
 
 # Column classes by number of distinct values, and the limit under
 # which a numeric column is treated as categorical against a target.
@@ -102,7 +102,7 @@ def describe(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] =
     q = exact_quantiles(long, F.col("x"), percentiles, [*keys, "feature"])
     q = q.withColumn("__pc", F.concat(F.lit("p"), F.round(F.col("p") * 100).cast("int").cast("string")))
     wideq = q.groupBy(*[c(k) for k in keys], "feature").pivot("__pc", pcols).agg(F.first("value"))
-    out = stats.join(wideq, [*keys, "feature"], "left")
+    out = join_null_safe(stats, wideq, [*keys, "feature"])
     return out.select(*[c(k) for k in keys], *names[:6], *pcols, "max")
 
 
@@ -177,7 +177,7 @@ def target_box(df: DataFrame, feature: str, target: str) -> DataFrame:
     q = exact_quantiles(df.select(c(target), x.alias("__v")), F.col("__v"), (0.25, 0.5, 0.75), [target])
     quart = q.groupBy(c(target)).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                                        for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
-    box = counts.join(quart, [target], "left")
+    box = join_null_safe(counts, quart, [target])
     box = box.withColumn("lo_fence", F.col("q1") - WHISKER_IQR * (F.col("q3") - F.col("q1"))) \
              .withColumn("hi_fence", F.col("q3") + WHISKER_IQR * (F.col("q3") - F.col("q1")))
     # one row per target value; Catalyst/AQE broadcast it only under their size threshold

@@ -18,52 +18,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .ordered import bucketed_prefix_sum
+from ..functions.common import join_null_safe
+from .ordered import bucket_count, bucketed_prefix_sum, count_le
 
-SKETCH_BUCKETS = 64
 SKETCH_ACCURACY = 1_000
 
 
-def sketch_bucket(df: DataFrame, value: Column, keys: Sequence[str], n_buckets: int = SKETCH_BUCKETS,
-                  accuracy: int = SKETCH_ACCURACY, out: str = "__qb") -> DataFrame:
+def sketch_bucket(df: DataFrame, value: Column, keys: Sequence[str], n_buckets: int, out: str = "__qb") -> DataFrame:
     """Add ``out``: how many per-group sketch split points are <= value (monotone in value).
 
-    Without keys the split points (``n_buckets - 1`` numbers) come to the driver
-    as a literal; with keys the per-group split table (one row per group) is
-    materialized once, so every branch of the plan and every task retry sees
-    the same split points (a sketch's merge order is not deterministic, and the
-    prefix sums need identical buckets on both sides).
+    ``n_buckets`` follows from the number of rows (``bucket_count``); one bucket
+    needs no sketch.  Without keys the split points (``n_buckets - 1`` numbers)
+    come to the driver as a literal; with keys the per-group split table (one
+    row per group) is materialized once, so every branch of the plan and every
+    task retry sees the same split points (a sketch's merge order is not
+    deterministic, and the prefix sums need identical buckets on both sides).
     """
+    if n_buckets <= 1:
+        return df.withColumn(out, F.lit(0).cast("long"))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    sketch = F.percentile_approx(value, probs, accuracy)
+    sketch = F.percentile_approx(value, probs, max(SKETCH_ACCURACY, 10 * n_buckets))
     if not keys:
         splits = df.agg(sketch.alias("s")).first()["s"] or []
         arr = F.array(*[F.lit(float(x)) for x in splits]) if splits else F.array().cast("array<double>")
-        return with_count_le(df.withColumn("__splits", arr), "__splits", value, out).drop("__splits")
+        return count_le(df.withColumn("__splits", arr), "__splits", value, n_buckets, out).drop("__splits")
     per_group = materialize(df.groupBy(*keys).agg(sketch.alias("__splits")), "sketch-splits")
-    joined = df.join(per_group, list(keys), "left")
-    return with_count_le(joined, "__splits", value, out).drop("__splits")
-
-
-def with_count_le(df: DataFrame, arr_col: str, value: Column, out: str) -> DataFrame:
-    """Add ``out`` = number of elements <= value of the ascending array in ``arr_col``.
-
-    Binary lifting over ``element_at``: one small projection per halving step
-    (each step reads the previous step's column several times, so Catalyst
-    keeps the steps apart and every projection stays code-generated).  A null
-    array counts as empty.
-    """
-    arr = F.coalesce(F.col(arr_col), F.array().cast("array<double>"))
-    df = df.withColumn("__cle", F.lit(0)).withColumn("__cln", F.size(arr))
-    step = 1
-    while step * 2 <= SKETCH_BUCKETS:
-        step *= 2
-    while step >= 1:
-        cand = F.col("__cle") + step
-        ok = (cand <= F.col("__cln")) & (F.element_at(arr, F.least(cand, F.greatest(F.col("__cln"), F.lit(1)))) <= value)
-        df = df.withColumn("__cle", F.when(F.coalesce(ok, F.lit(False)), cand).otherwise(F.col("__cle")))
-        step //= 2
-    return df.withColumn(out, F.col("__cle").cast("long")).drop("__cle", "__cln")
+    return count_le(join_null_safe(df, per_group, keys), "__splits", value, n_buckets, out).drop("__splits")
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
@@ -80,7 +60,7 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys:
         *keys, F.col("__t.p").alias("p"), F.col("__t.pos").alias("__pos"))
     ranks = targets.select(*keys, "p", "__pos", F.explode(F.array(
         F.floor("__pos").cast("long"), F.ceil("__pos").cast("long"))).alias("__r")).distinct()
-    bucketed = sketch_bucket(distinct, F.col("__x"), keys)
+    bucketed = sketch_bucket(distinct, F.col("__x"), keys, bucket_count(distinct.count()))
     scanned = bucketed_prefix_sum(bucketed, keys, [F.col("__x")], F.col("__qb"), F.col("__c"), "__below")
     # both sides descend from ``distinct``: rename the rank side's keys so the
     # join condition refers to plain, unambiguous column names

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import c
+from ..session import materialize
 from .ordered import bucketed_row_number, hash_bucket
 
 SPLITS = ("train", "val", "test")
@@ -31,23 +32,6 @@ def sequence_table(rows: DataFrame, id_col: str = "sequence_id",
     return rows.groupBy(c(id_col)).agg(F.max(c(label_col)).alias(label_col))
 
 
-def largest_remainder(total: int, sizes: dict, base: int | None = None) -> dict:
-    """Split ``total`` over groups proportionally to ``sizes`` (of sum ``base``).
-
-    Floors first; leftover units go to the largest fractional parts, ties to the
-    smaller group key.  Exact integer arithmetic.
-    """
-    base = base if base is not None else sum(sizes.values())
-    if base == 0:
-        return {k: 0 for k in sizes}
-    floors = {k: (total * v) // base for k, v in sizes.items()}
-    rema = {k: (total * v) % base for k, v in sizes.items()}
-    left = total - sum(floors.values())
-    for k in sorted(sizes, key=lambda k: (-rema[k], k))[:left]:
-        floors[k] += 1
-    return floors
-
-
 def label_count_table(seqs: DataFrame, label_col: str) -> DataFrame:
     """One row per label with its sequence count (``__n``); as many rows as labels."""
     return seqs.groupBy(c(label_col).alias("__lab")).agg(F.count(F.lit(1)).alias("__n"))
@@ -96,26 +80,15 @@ def split_quota_table(counts: DataFrame, ratios: Sequence[float] = DEFAULT_RATIO
     return t.select("__lab", "__qtest", "__qtrain")
 
 
-def split_quotas(counts: dict, ratios: Sequence[float] = DEFAULT_RATIOS) -> dict:
-    """Driver-side twin of ``split_quota_table`` for small label-count dicts."""
-    n = sum(counts.values())
-    n_train, n_val = int(ratios[0] * n), int(ratios[1] * n)
-    n_test = n - n_train - n_val
-    test = largest_remainder(n_test, counts, n)
-    rest = {k: counts[k] - test[k] for k in counts}
-    train = largest_remainder(n_train, rest, n - n_test)
-    return {"test": test, "train": train}
-
-
 def stratified_split(rows: DataFrame, ratios: Sequence[float] = DEFAULT_RATIOS, seed: int = 42,
                      id_col: str = "sequence_id", label_col: str = "sequence_label") -> DataFrame:
     """Add ``split`` (train/val/test) to every row, stratified by sequence label.
 
     Sizes follow ``train=int(.7n)``, ``val=int(.15n)``, test the rest, with label
-    shares kept by largest-remainder quotas; membership by hash rank.  Fully
-    lazy: quotas are computed in the plan from the per-label count table.
+    shares kept by largest-remainder quotas; membership by hash rank.  The
+    (sequence, label) table is written once; counts, quotas and ranks read it.
     """
-    seqs = sequence_table(rows, id_col, label_col)
+    seqs = materialize(sequence_table(rows, id_col, label_col), "sequences")
     quotas = split_quota_table(label_count_table(seqs, label_col), ratios)
     ranked = _with_quotas(_ranked(seqs, seed, id_col, label_col), quotas, label_col)
     split = (F.when(F.col("__rank") <= F.col("__qtest"), "test")
@@ -134,35 +107,31 @@ def pos_weight(rows: DataFrame, splits: Sequence[str] = ("train", "val"),
                           .otherwise(F.col("negatives") / F.col("positives")))
 
 
-def semi_filter(rows: DataFrame, ids: DataFrame, id_col: str = "sequence_id",
-                max_broadcast: int | None = None) -> DataFrame:
-    """D3: rows whose id is in ``ids``; broadcast only when the id count is known to be small."""
-    right = ids.select(id_col)
-    if max_broadcast is not None:
-        right = F.broadcast(right)
-    return rows.join(right, id_col, "left_semi")
+def semi_filter(rows: DataFrame, ids: DataFrame, id_col: str = "sequence_id") -> DataFrame:
+    """D3: rows whose id is in ``ids``; no hint, so ids are broadcast only under Spark's own size threshold."""
+    return rows.join(ids.select(id_col), id_col, "left_semi")
 
 
 def balanced_sample(rows: DataFrame, n: int, seed: int = 42, id_col: str = "sequence_id",
                     label_col: str = "sequence_label") -> DataFrame:
     """``n // 2`` sequences of each label (binary labels 0/1); error if a class is short."""
-    seqs = sequence_table(rows, id_col, label_col)
+    seqs = materialize(sequence_table(rows, id_col, label_col), "sequences")
     half = n // 2
     counts = label_count_table(seqs.filter(c(label_col).isin(0, 1)), label_col)
     # both classes must have ``half`` sequences; checked inside the plan
     present = F.count_if(F.col("__n") >= half).over(Window.partitionBy())
     quotas = counts.select(
-        "__lab", F.when(present < 2, F.raise_error(F.lit("Not enough samples to create balanced dataset")))
+        "__lab", F.when(present < 2, F.raise_error(F.lit("a class has fewer sequences than the balanced sample needs")))
         .otherwise(F.lit(half)).cast("long").alias("__q"))
     ids = _with_quotas(_ranked(seqs, seed, id_col, label_col), quotas, label_col) \
         .filter(F.col("__rank") <= F.col("__q"))
-    return semi_filter(rows, ids, id_col, max_broadcast=n)
+    return semi_filter(rows, ids, id_col)
 
 
 def stratified_sample(rows: DataFrame, n: int, seed: int = 42, id_col: str = "sequence_id",
                       label_col: str = "sequence_label") -> DataFrame:
     """``n`` sequences with label shares kept (largest-remainder quotas)."""
-    seqs = sequence_table(rows, id_col, label_col)
+    seqs = materialize(sequence_table(rows, id_col, label_col), "sequences")
     counts = label_count_table(seqs, label_col)
     total = F.sum("__n").over(Window.partitionBy())
     counts = counts.withColumn("__tot", total).withColumn(
@@ -171,11 +140,11 @@ def stratified_sample(rows: DataFrame, n: int, seed: int = 42, id_col: str = "se
     quotas = quota_table(counts, F.lit(n).cast("long"), F.col("__tot"), F.col("__n"), "__q").select("__lab", "__q")
     ids = _with_quotas(_ranked(seqs, seed, id_col, label_col), quotas, label_col) \
         .filter(F.col("__rank") <= F.col("__q"))
-    return semi_filter(rows, ids, id_col, max_broadcast=n)
+    return semi_filter(rows, ids, id_col)
 
 
 def random_sample(rows: DataFrame, n: int, seed: int = 42, id_col: str = "sequence_id") -> DataFrame:
-    """I4: ``n`` sequences with the smallest hash rank (per-task top-n, then merge)."""
-    ids = rows.select(c(id_col)).distinct().withColumn("__h", rank_key(seed, id_col)) \
-        .orderBy("__h", id_col).limit(n)
-    return semi_filter(rows, ids, id_col, max_broadcast=n)
+    """I4: ``n`` sequences with the smallest hash rank, ranked in hash buckets (no task holds all n)."""
+    ids = rows.select(c(id_col)).distinct().withColumn("__h", rank_key(seed, id_col))
+    ranked = bucketed_row_number(ids, [], [F.col("__h"), c(id_col)], hash_bucket(F.col("__h")), out="__rank")
+    return semi_filter(rows, ranked.filter(F.col("__rank") <= n), id_col)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.common import ColumnLike, c, flag
-from .ordered import auto_bucket_width, bucketed_row_number, group_key, time_bucket
+from .ordered import bucketed_row_number, group_key, order_buckets, time_bucket
 
 SEQUENCE_SEPARATOR = "||"
 
@@ -45,8 +45,21 @@ def _opens(t: Column, pure_syn: Column, prev: Column, prev_closed: Column,
     return F.coalesce(rule, F.lit(False))
 
 
+def _with_buckets(df: DataFrame, time: ColumnLike, tiebreak: Sequence[ColumnLike], bucket_width: float | None) -> DataFrame:
+    """Ordered slices ``__bkt`` of the rows: from the data, or of a given width in time.
+
+    ``tiebreak`` must order rows of equal time completely: numbers are computed
+    on the rows and on their summary, and both must see one order.
+    """
+    if not tiebreak:
+        raise ValueError("a tie-break is needed: rows of equal time have no order otherwise")
+    if bucket_width:
+        return df.withColumn("__bkt", time_bucket(c(time), bucket_width))
+    return order_buckets(df, time, tiebreak)
+
+
 def sessionize(df: DataFrame, key: ColumnLike, time: ColumnLike, timeout: float, *,
-               tiebreak: Sequence[ColumnLike] = (), is_tcp: ColumnLike | bool = False,
+               tiebreak: Sequence[ColumnLike], is_tcp: ColumnLike | bool = False,
                syn: ColumnLike | None = None, ack: ColumnLike | None = None,
                fin: ColumnLike | None = None, rst: ColumnLike | None = None,
                after_close: str = "join", bucket_width: float | None = None,
@@ -67,13 +80,11 @@ def sessionize(df: DataFrame, key: ColumnLike, time: ColumnLike, timeout: float,
     if after_close not in ("join", "split"):
         raise ValueError("after_close must be 'join' or 'split'")
     t = c(time).cast("double")
-    width = bucket_width or auto_bucket_width(df, time)
     tcp = F.coalesce(_as_col(is_tcp), F.lit(False))
-    staged = (df
+    staged = (_with_buckets(df, time, tiebreak, bucket_width)
               .withColumn("__kstr", _key_string(df, key))
               .withColumn("__g", group_key([key]))
               .withColumn("__t", t)
-              .withColumn("__bkt", time_bucket(t, width))
               .withColumn("__syn", tcp & flag(syn) & ~flag(ack))
               .withColumn("__cls", tcp & (flag(fin) | flag(rst))))
     staged = staged.withColumn("__eff", F.when(F.col("__cls"), F.lit(None)).otherwise(F.col("__t")))
@@ -115,7 +126,7 @@ def sessionize(df: DataFrame, key: ColumnLike, time: ColumnLike, timeout: float,
 
 
 def chunk_index(df: DataFrame, length: int, session: ColumnLike | None = "session_id",
-                time: ColumnLike = "timestamp", tiebreak: Sequence[ColumnLike] = (),
+                time: ColumnLike = "timestamp", *, tiebreak: Sequence[ColumnLike],
                 bucket_width: float | None = None, out: str = "chunk",
                 step_out: str | None = "step") -> DataFrame:
     """F1 (and F6 with ``session=None``): ``ceil(row_number / length)`` in time order.
@@ -123,10 +134,10 @@ def chunk_index(df: DataFrame, length: int, session: ColumnLike | None = "sessio
     ``step`` is the 0-based position inside the chunk.  Numbering is bucketed by
     time, so a single session (or the whole table) never lands in one task.
     """
-    width = bucket_width or auto_bucket_width(df, time)
+    df = _with_buckets(df, time, tiebreak, bucket_width)
     order = [c(time).asc_nulls_first(), *[c(x).asc_nulls_first() for x in tiebreak]]
     partition = [] if session is None else [session]
-    numbered = bucketed_row_number(df, partition, order, time_bucket(c(time), width), out="__rn")
+    numbered = bucketed_row_number(df, partition, order, F.col("__bkt"), out="__rn")
     numbered = numbered.withColumn(out, F.ceil(F.col("__rn") / F.lit(length)).cast("long"))
     if step_out:
         numbered = numbered.withColumn(step_out, ((F.col("__rn") - 1) % F.lit(length)).cast("int"))
@@ -135,7 +146,7 @@ def chunk_index(df: DataFrame, length: int, session: ColumnLike | None = "sessio
 
 def make_sequences(df: DataFrame, length: int, session: str = "session_id",
                    time: str = "timestamp", label: str = "attack_label",
-                   tiebreak: Sequence[ColumnLike] = (), bucket_width: float | None = None,
+                   *, tiebreak: Sequence[ColumnLike], bucket_width: float | None = None,
                    keep_step: bool = True, drop_session: bool = True) -> DataFrame:
     """cut sessions into full sequences of ``length`` rows with one label.
 
@@ -151,9 +162,8 @@ def make_sequences(df: DataFrame, length: int, session: str = "session_id",
     table; every other chunk lies inside one bucket and is summed by a window
     there.  Both summary joins keep the rows' partitioning.
     """
-    width = bucket_width or auto_bucket_width(df, time)
     order = [c(time).asc_nulls_first(), *[c(x).asc_nulls_first() for x in tiebreak]]
-    staged = (df.withColumn("__g", group_key([session])).withColumn("__bkt", time_bucket(c(time), width))
+    staged = (_with_buckets(df, time, tiebreak, bucket_width).withColumn("__g", group_key([session]))
               .withColumn("__y", F.coalesce(c(label).cast("long"), F.lit(0))))
     w = Window.partitionBy("__g", "__bkt").orderBy(*order)
     staged = (staged.withColumn("__lrn", F.row_number().over(w).cast("long"))

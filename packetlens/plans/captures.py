@@ -25,7 +25,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def _write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> str:
     """Write in parallel (every task writes its own part files; no single-task funnel)."""
-    w = df.write.mode("overwrite").option("header", True)
+    w = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
     if partition_by:
         w = w.partitionBy(partition_by)
     w.csv(path)

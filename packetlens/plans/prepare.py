@@ -34,7 +34,7 @@ def feature_kinds(df: DataFrame, special: Sequence[str]) -> tuple[list[str], lis
 def prepare(df: DataFrame, length: int = 10, ratios: Sequence[float] = sampling.DEFAULT_RATIOS,
             seed: int = 42, fit_on: Sequence[str] = ("train", "val"),
             tiebreak: Sequence[str] | None = None, bucket_width: float | None = None,
-            max_categories: int = encode.DEFAULT_MAX_CATEGORIES, checkpoint: bool = True) -> DataFrame:
+            checkpoint: bool = True) -> DataFrame:
     """Fill nulls, cut labelled sequences, split, fit encoders on ``fit_on``, assemble.
 
     ``df`` must hold ``attack_label, attack_type, session_id, timestamp``.  Rows
@@ -56,6 +56,7 @@ def prepare(df: DataFrame, length: int = 10, ratios: Sequence[float] = sampling.
     split = sampling.stratified_split(seq, ratios, seed)
     if checkpoint:
         split = materialize(split, "prepared-split")
-    cats = encode.fit_categories(split, categorical, "split", fit_on, max_categories)
     moments = encode.fit_scaler(split, numeric, "split", fit_on)
-    return encode.assemble(split, moments, booleans, cats, SEQUENCE_KEEP)
+    if categorical:
+        split = encode.apply_codes(split, encode.fit_codes(split, categorical, "split", fit_on), categorical)
+    return encode.assemble(split, moments, booleans, categorical, SEQUENCE_KEEP)

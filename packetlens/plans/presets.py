@@ -55,9 +55,9 @@ def clean_mqtt(df: DataFrame, key_by_class: bool = False) -> DataFrame:
     return schema.rename(df, {"tcp.stream": "session_id", "frame.time_epoch": "timestamp"})
 
 
-def load_mqtt(spark: SparkSession, directory: str, label_from: str = "file", **kw) -> DataFrame:
+def load_mqtt(spark: SparkSession, directory: str, label_from: str = "file", schema=None, multi_line: bool = False, **kw) -> DataFrame:
     """A5: one CSV per traffic class (file stem = class, 'legitimate*' benign)."""
-    raw = read_labelled_dir(spark, directory, "legitimate", MQTT_OVERRIDES, label_from)
+    raw = read_labelled_dir(spark, directory, "legitimate", MQTT_OVERRIDES, label_from, schema=schema, multi_line=multi_line)
     return clean_mqtt(raw, **kw)
 
 
@@ -129,9 +129,9 @@ def clean_edge(df: DataFrame, timeout: float = SESSION_TIMEOUT_S, infer_before_f
     return schema.drop_columns(df, EDGE_DISCARD, strict=False)
 
 
-def load_edge(spark: SparkSession, path: str, **kw) -> DataFrame:
+def load_edge(spark: SparkSession, path: str, schema=None, multi_line: bool = False, **kw) -> DataFrame:
     """The Edge IIoT packet CSV."""
-    return clean_edge(read_csv(spark, path, EDGE_OVERRIDES), **kw)
+    return clean_edge(read_csv(spark, path, EDGE_OVERRIDES, schema, multi_line=multi_line), **kw)
 
 
 # ------------------------------------------------------------- X-IIoT flows
@@ -186,6 +186,6 @@ def clean_flows(df: DataFrame, session: str = "constant") -> DataFrame:
     return df.drop("Des_IP", "Scr_IP", "Date", "Scr_port", "Des_port", "__ip_Des_IP", "__ip_Scr_IP")
 
 
-def load_flows(spark: SparkSession, path: str, session: str = "constant") -> DataFrame:
+def load_flows(spark: SparkSession, path: str, session: str = "constant", schema=None, multi_line: bool = False) -> DataFrame:
     """The X-IIoT flow CSV (all text columns read leniently)."""
-    return clean_flows(read_csv(spark, path, FLOW_OVERRIDES), session)
+    return clean_flows(read_csv(spark, path, FLOW_OVERRIDES, schema, multi_line=multi_line), session)

@@ -17,13 +17,12 @@ PACKETS_CTE = f"WITH packets AS ({duckdb_packets()})"
 
 # Oracle fixture parameters (FIXTURES.md section 3): 6 h timeout in microseconds.
 TIMEOUT_US = 6 * 3600 * 1_000_000
-DAY_US = 86_400 * 1_000_000
 
 
 def _sessionized(spark: SparkSession, sf_dir: str, after_close: str = "join") -> DataFrame:
     return S.sessionize(packets(spark, sf_dir), key="stream_id", time="ts_us", timeout=TIMEOUT_US,
                         tiebreak=["event_id"], is_tcp=True, syn="syn", ack="ack", fin="fin", rst="rst",
-                        after_close=after_close, bucket_width=DAY_US)
+                        after_close=after_close)
 
 
 SESSION_SQL = PACKETS_CTE + """,
@@ -73,7 +72,7 @@ SEQ_SQL = PACKETS_CTE + "," + SEQ_BODY
 
 def _sequences(spark: SparkSession, sf_dir: str, length: int = 10) -> DataFrame:
     return S.make_sequences(packets(spark, sf_dir), length, session="stream_id", time="ts_us",
-                            label="attack_label", tiebreak=["event_id"], bucket_width=DAY_US)
+                            label="attack_label", tiebreak=["event_id"])
 
 
 @query("make_sequences",
@@ -99,7 +98,7 @@ def q_sequence_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     sess = materialize(_sessionized(spark, sf_dir), "sessions")
     seq = S.make_sequences(sess, 5, session="session_id", time="ts_us", label="attack_label",
-                           tiebreak=["event_id"], bucket_width=DAY_US)
+                           tiebreak=["event_id"])
     return S.sequence_label_counts(seq)
 
 
@@ -111,4 +110,4 @@ FROM packets""")
 def q_chunk_index_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     """whole-table chunk numbering (constant session) without a one-partition window."""
     return S.chunk_index(packets(spark, sf_dir), 10, session=None, time="ts_us",
-                         tiebreak=["event_id"], bucket_width=DAY_US).select("event_id", "chunk", "step")
+                         tiebreak=["event_id"]).select("event_id", "chunk", "step")

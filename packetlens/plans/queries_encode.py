@@ -9,7 +9,7 @@ from ..functions import net, ports
 from ..operators import encode as EN
 from ..operators import sampling as SM
 from .prepare import prepare
-from .queries import DAY_US, _sequences
+from .queries import _sequences
 from .queries_net import _sql_subnet
 from .queries_sampling import SEED, SPLIT_SQL
 from .registry import query
@@ -37,13 +37,6 @@ def _feats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(feats, "encode-input")
 
 
-def _code(cats: dict, name: str) -> F.Column:
-    expr = F.lit(-1)
-    for i in reversed(range(len(cats[name]))):
-        expr = F.when(F.col(f"{name}__{i}") == 1.0, F.lit(i)).otherwise(expr)
-    return expr
-
-
 @query("onehot_encode", FEATS_SQL + """,
 c1 AS (SELECT DISTINCT subnet AS v FROM feats WHERE split IN ('train', 'val') AND subnet IS NOT NULL),
 i1 AS (SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS i FROM c1),
@@ -55,10 +48,8 @@ def q_onehot_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-hot fit on train+val (sorted categories), applied to all rows; shown as the
     index of the hot column per feature (-1 = unseen category, all zeros)."""
     f = _feats(spark, sf_dir)
-    cats = EN.fit_categories(f, ["subnet", "port_cat"])
-    enc = EN.apply_onehot(f, cats)
-    return enc.select("event_id", _code(cats, "subnet").cast("int").alias("subnet_code"),
-                      _code(cats, "port_cat").cast("int").alias("port_cat_code"))
+    enc = EN.apply_codes(f, EN.fit_codes(f, ["subnet", "port_cat"]), ["subnet", "port_cat"])
+    return enc.select("event_id", F.col("subnet__code").alias("subnet_code"), F.col("port_cat__code").alias("port_cat_code"))
 
 
 @query("onehot_vector", FEATS_SQL + """,
@@ -104,8 +95,8 @@ FROM coded""")
 def q_onehot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Min, max, rows, width and category count of the subnet one-hot block."""
     f = _feats(spark, sf_dir)
-    cats = EN.fit_categories(f, ["subnet"])
-    return EN.onehot_summary(f, cats)
+    codes = EN.fit_codes(f, ["subnet"])
+    return EN.onehot_summary(EN.apply_codes(f, codes, ["subnet"]), codes, "subnet")
 
 
 @query("ordinal_encode", """
@@ -118,6 +109,16 @@ def q_ordinal_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EN.ordinal_encode(d, "source").select("doc_id", "source")
 
 
+@query("ordinal_encode_many", """
+WITH c AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS v FROM lineitem),
+i AS (SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS i FROM c)
+SELECT l_orderkey, l_linenumber, i.i AS part_code FROM lineitem l JOIN i ON CAST(l.l_partkey AS VARCHAR) = i.v""")
+def q_ordinal_encode_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinal code of the part key, a column of as many categories as parts (sorted as text)."""
+    li = table(spark, sf_dir, "lineitem")
+    return EN.ordinal_encode(li, "l_partkey", out="part_code").select("l_orderkey", "l_linenumber", "part_code")
+
+
 @query("sequence_matrix", FEATS_SQL + """
 SELECT sequence_id, sequence_label, COUNT(*) AS n_steps, arg_min(port_src, step) AS first_port,
        arg_max(port_src, step) AS last_port
@@ -140,7 +141,7 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
         "attack_type", "num_a", "port_src", "port_dst",
         net.shared_subnet_mask("ip_src", "ip_dst", None, "__ip_ip_src", "__ip_ip_dst").alias("ip.subnet"),
         *ports.port_features("port_dst"), *net.ip_flags("ip_src", as_long="__ip_ip_src"))
-    return prepare(df, length=10, seed=SEED, tiebreak=None, bucket_width=DAY_US)
+    return prepare(df, length=10, seed=SEED, tiebreak=None)
 
 
 @query("prepare")

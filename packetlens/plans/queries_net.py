@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net, ports, protocol
 from ..operators import sessions as S
-from .queries import PACKETS_CTE, TIMEOUT_US, DAY_US
+from .queries import PACKETS_CTE, TIMEOUT_US
 from .registry import query
 from .standins import duckdb_edge, edge_packets, packets
 
@@ -163,8 +163,7 @@ def q_edge_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C18-C21 + F5: sessions per protocol key (TCP rules only for TCP keys)."""
     k = _keyed(spark, sf_dir)
     s = S.sessionize(k, key="key", time="ts_us", timeout=TIMEOUT_US, tiebreak=["event_id"],
-                     is_tcp=F.col("protocol") == "TCP", syn="syn", ack="ack", fin="fin", rst="rst",
-                     bucket_width=DAY_US)
+                     is_tcp=F.col("protocol") == "TCP", syn="syn", ack="ack", fin="fin", rst="rst")
     return s.select("event_id", "protocol",
                     F.regexp_extract("session_id", r"_(\d+)$", 1).cast("long").alias("session_no"))
 

@@ -28,7 +28,7 @@ def q_load_mqtt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("load_edge")
 def q_load_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 + A6 (+C4, B5, C11, C18-C21, F5, C14, C15, C2): Edge capture CSV -> sessionized table."""
-    return presets.load_edge(spark, captures.write_edge(spark, sf_dir), bucket_width=86_400.0)
+    return presets.load_edge(spark, captures.write_edge(spark, sf_dir))
 
 
 @query("load_flows")

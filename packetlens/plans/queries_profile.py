@@ -101,11 +101,11 @@ def q_profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("profile_without_superfluous",
-       "WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'F'), prof AS ("
-       + _profile_sql("f", _ORDER_TYPES) + ") SELECT * FROM prof WHERE unique_values > 1")
+       "WITH f AS (SELECT *, 'k' AS constant, CAST(NULL AS VARCHAR) AS nothing FROM orders), prof AS ("
+       + _profile_sql("f", {**_ORDER_TYPES, "constant": "string", "nothing": "string"}) + ") SELECT * FROM prof WHERE unique_values > 1")
 def q_profile_without_superfluous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E7 + B7 + G5: profile of finished orders minus its superfluous columns (anti join)."""
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    """E7 + B7 + G5: profile of orders with a constant and an all-null column, minus these superfluous ones (anti join)."""
+    o = table(spark, sf_dir, "orders").withColumn("constant", F.lit("k")).withColumn("nothing", F.lit(None).cast("string"))
     prof = P.profile_columns(o)
     drop = prof.filter(F.col("feature_type") == "Superfluous").select("feature")
     return P.anti_features(prof, drop)

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "packetlens") -> SparkSession:
     """Build (or reuse) a session with the settings this library assumes.
 
-    On a cluster the session already exists and carries its own configuration;
-    ``getOrCreate`` returns it unchanged apart from the options set here only
-    when they are still unset.
+    On a cluster the session already exists and carries its own configuration:
+    a running session is returned as it is, nothing is set on it.
     """
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.master(master or f"local[{cpus}]")
@@ -29,7 +33,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,13 +45,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that value (or
-    the context's checkpoint folder) is always used as is.  Only a local/test
-    session without either gets a fresh scratch folder.
+    the context's checkpoint folder) is always used as is.  Only a ``local``
+    master without either gets a fresh scratch folder; on a cluster a folder of
+    one machine would lose data, so an unset setting is an error there.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         current = jdir.get() if jdir.isDefined() else None
+    if not current and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         try:
@@ -70,11 +77,22 @@ def materialize(df, name: str):
 
     Cuts the lineage like ``checkpoint()`` (survives executor loss: the files
     live in the shared folder) and later reads get column pruning and filter
-    pushdown.  Every call takes a fresh folder.
+    pushdown.  Every call takes a fresh folder, which ``drop_tables`` deletes
+    once the results that read it are done with; on exit all are dropped.
     """
     import uuid
 
     spark = df.sparkSession
     path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    if not _written:
+        atexit.register(drop_tables, spark)
+    _written.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every table that ``materialize`` has written in this process."""
+    while _written and spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.schema import common_supertype
 
 
 def _fs(spark: SparkSession, path: str):
@@ -45,55 +44,50 @@ def _override(schema: T.StructType, overrides: Mapping[str, T.DataType] | None)
     return T.StructType([T.StructField(f.name, overrides.get(f.name, f.dataType), True) for f in schema.fields])
 
 
+def _reader(spark: SparkSession, multi_line: bool):
+    """CSV by RFC 4180: a quote inside a quoted field is doubled; no other escape."""
+    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line))
+
+
 def infer_csv_schema(spark: SparkSession, path: str | Sequence[str], sampling_ratio: float = 1.0,
-                     overrides: Mapping[str, T.DataType] | None = None) -> T.StructType:
-    inferred = (spark.read.option("header", True).option("inferSchema", True)
+                     overrides: Mapping[str, T.DataType] | None = None, multi_line: bool = False) -> T.StructType:
+    inferred = (_reader(spark, multi_line).option("inferSchema", True)
                 .option("samplingRatio", sampling_ratio).csv(path).schema)
     return _override(inferred, overrides)
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], overrides: Mapping[str, T.DataType] | None = None,
-             schema: T.StructType | None = None, sampling_ratio: float = 1.0) -> DataFrame:
-    """A1: CSV with header; explicit schema, or an inferred one with per-column overrides.
+             schema: T.StructType | None = None, sampling_ratio: float = 1.0, multi_line: bool = False) -> DataFrame:
+    """A1: RFC 4180 CSV with header; explicit schema, or an inferred one with per-column overrides.
+
+    ``multi_line`` allows line breaks inside quoted fields; a file is then read
+    by one task each, so keep it off for large files without such fields.
 
     Inference is an extra pass (bounded by ``sampling_ratio``); give ``schema``
     at scale.  The data pass always runs with an explicit schema.
     """
     if schema is None:
-        schema = infer_csv_schema(spark, path, sampling_ratio, overrides)
-    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+        schema = infer_csv_schema(spark, path, sampling_ratio, overrides, multi_line)
+    return _reader(spark, multi_line).option("enforceSchema", False).schema(schema).csv(path)
 
 
 def read_labelled_dir(spark: SparkSession, directory: str, benign_prefix: str = "legitimate",
                       overrides: Mapping[str, T.DataType] | None = None, label_from: str = "file",
-                      sampling_ratio: float = 1.0) -> DataFrame:
+                      sampling_ratio: float = 1.0, schema: T.StructType | None = None,
+                      multi_line: bool = False) -> DataFrame:
     """A2: every CSV of a directory, labelled by where it lies.
 
     ``attack_type`` is the file stem (``label_from="file"``) or the parent folder
     name (``"dir"``, ``key=value`` folders give the value); ``attack_label`` is
-    true unless it starts with ``benign_prefix``.  The schema is inferred once per
-    label group (the files of one class share a source) and merged across groups
-    by the common-supertype rule; then one scan reads all files with the merged
-    schema.
+    true unless it starts with ``benign_prefix``.  Without ``schema``, types are
+    inferred by one pass over all files together (a column that holds several
+    types gets their common one); then one scan reads all files.
     """
-    import re
-
     files = list_files(spark, directory)
     if not files:
         raise FileNotFoundError(f"no CSV files below {directory}")
-    groups: dict[str, list[str]] = {}
-    for f in files:
-        if label_from == "file":
-            key = f
-        else:
-            m = re.search(r"([^/=]+)/[^/]+$", f)
-            key = m.group(1) if m else f
-        groups.setdefault(key, []).append(f)
-    schemas = [infer_csv_schema(spark, g, sampling_ratio, overrides) for g in groups.values()]
-    names = schemas[0].names
-    merged = T.StructType([
-        T.StructField(n, common_supertype([s[n].dataType for s in schemas if n in s.names]), True) for n in names])
-    df = read_csv(spark, files, schema=merged)
+    df = read_csv(spark, files, overrides, schema, sampling_ratio, multi_line)
     if label_from == "file":
         label = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     elif label_from == "dir":
@@ -106,8 +100,8 @@ def read_labelled_dir(spark: SparkSession, directory: str, benign_prefix: str =
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame],
            partition_by: Sequence[str] = ()) -> DataFrame:
-    """A3: read-through parquet cache: read ``path`` if it exists, else build, write, read back."""
-    if not path_exists(spark, path):
+    """A3: read-through parquet cache: read ``path`` if a finished write is there (``_SUCCESS``), else build, write, read back."""
+    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         w = build().write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)

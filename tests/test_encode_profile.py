@@ -1,6 +1,5 @@
 """Encoding and profiling edge cases."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from packetlens.operators import encode as EN
@@ -15,8 +14,26 @@ def test_onehot_unknown_and_single(spark):
     out = EN.apply_onehot(df, cats).orderBy("split", "cat").collect()
     unseen = [r for r in out if r["split"] == "test" and r["cat__0"] == 0 and r["cat__1"] == 0]
     assert len(unseen) == 1
-    with pytest.raises(ValueError):
-        EN.fit_categories(df, ["cat"], max_categories=1)
+    codes = EN.apply_codes(df, EN.fit_codes(df, ["cat"]), ["cat"])
+    assert sorted(map(tuple, codes.collect())) == [("test", -1), ("test", 0), ("train", 0), ("val", 1)]
+
+
+def test_codes_of_many_values(spark):
+    df = spark.range(3000).selectExpr("cast(id % 2500 as string) AS v", "'train' AS split")
+    got = {r["v"]: r["v__code"] for r in EN.apply_codes(df.withColumn("w", F.col("v")), EN.fit_codes(df, ["v"]), ["v"])
+           .select(F.col("w").alias("v"), "v__code").collect()}
+    want = sorted({str(i) for i in range(2500)})
+    assert got == {v: i for i, v in enumerate(want)}
+
+
+def test_null_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
+    d = {r["g"]: r["p50"] for r in P.describe(df, ["x"], by="g").collect()}
+    assert d == {None: 2.0, "a": 5.0}
+    assert {r["g"]: r["median"] for r in P.target_box(df, "x", "g").collect()} == {None: 2.0, "a": 5.0}
+    from packetlens.operators import metrics as M
+    pred = spark.createDataFrame([(None, 1, 2.0), (None, 0, 1.0), ("a", 1, 1.0)], "g string, label int, logit double")
+    assert {r["g"]: r["auroc"] for r in M.metrics_by(pred, ["g"]).collect()} == {None: 1.0, "a": 0.0}
 
 
 def test_scaler_constant_and_nan(spark):

@@ -24,10 +24,10 @@ def test_split_sizes_and_disjoint(spark):
         counts = {s: sum(1 for v in per.values() if v == s) for s in SM.SPLITS}
         assert counts["train"] == int(0.7 * n) and counts["val"] == int(0.15 * n)
         assert counts["test"] == n - int(0.7 * n) - int(0.15 * n)
-        q = SM.split_quotas({lab: labels.count(lab) for lab in set(labels)})
-        for lab in set(labels):
+        for lab in set(labels):  # a label's share of the test sequences, rounded down or up
             got = sum(1 for i, x in enumerate(labels) if x == lab and per[f"s{i}"] == "test")
-            assert got == q["test"][lab]
+            share = counts["test"] * labels.count(lab) / n
+            assert share - 1 < got < share + 1
 
 
 def test_split_deterministic(spark):

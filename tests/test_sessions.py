@@ -2,9 +2,12 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from packetlens.operators import sessions as S
+from packetlens.operators.ordered import order_buckets
 
 
 def _loop_sessions(rows, timeout, after_close="join"):
@@ -115,3 +118,25 @@ def test_global_chunks_bucket_independent(spark):
         assert got == ref
     order = sorted(rows, key=lambda r: (r[1], r[0]))
     assert {r[0]: (i // 10 + 1, i % 10) for i, r in enumerate(order)} == ref
+
+
+@pytest.mark.parametrize("make", ["outlier", "nulls", "ties"])
+def test_buckets_follow_the_data(spark, make):
+    n = 4000
+    time = {"outlier": "CASE WHEN id = 0 THEN -1.0 ELSE 1.7e9 + id END", "nulls": "CASE WHEN id % 2 = 0 THEN NULL ELSE 1.7e9 + id END",
+            "ties": "CASE WHEN id % 2 = 0 THEN 5.0 ELSE 10.0 + id END"}[make]
+    df = spark.range(n).selectExpr("id", f"CAST({time} AS DOUBLE) AS t")
+    rows = order_buckets(df, "t", ["id"], rows_per_bucket=200).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["__bkt"]] = sizes.get(r["__bkt"], 0) + 1
+    assert max(sizes.values()) <= 2 * 200 and "__x" not in df.columns
+    key = lambda r: (float("-inf") if r["t"] is None else r["t"], r["id"])
+    buckets = [r["__bkt"] for r in sorted(rows, key=key)]
+    assert buckets == sorted(buckets)
+
+
+def test_tiebreak_is_mandatory(spark):
+    df = spark.createDataFrame([("s", 1, 0)], "session_id string, timestamp long, attack_label int")
+    with pytest.raises((ValueError, TypeError)):
+        S.make_sequences(df, 2, tiebreak=[])

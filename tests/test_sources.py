@@ -3,6 +3,7 @@
 from pyspark.sql import types as T
 
 from packetlens.sources import files
+from packetlens.sources.files import cached, read_csv
 
 
 def _csv(path, header, rows):
@@ -51,3 +52,21 @@ def test_results_sink(spark, tmp_path):
     files.write_results(row, path)
     back = spark.read.parquet(path)
     assert back.count() == 2 and back.schema == files.RESULTS_SCHEMA
+
+
+def test_csv_quotes_commas_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('msg,n\n"{""t"": 1, ""h"": 2}",5\n"two\nlines",6\n')
+    got = read_csv(spark, str(tmp_path / "a.csv"), multi_line=True).collect()
+    assert [tuple(r) for r in got] == [('{"t": 1, "h": 2}', 5), ("two\nlines", 6)]
+
+
+def test_cache_ignores_an_unfinished_write(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "c"))
+    (tmp_path / "c" / "_SUCCESS").unlink()
+    assert cached(spark, str(tmp_path / "c"), lambda: spark.range(5).toDF("id")).count() == 5
+
+
+def test_running_session_is_left_alone(spark):
+    from packetlens.session import get_spark
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert get_spark(shuffle_partitions=99) is spark and spark.conf.get("spark.sql.shuffle.partitions") == before
