@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,34 +105,46 @@ def needed(n, percent: int):
     return first_meets(shared_least(n, percent), percent)
 
 
-def _signatures(text: Column, p: JoinParams) -> Column:
-    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()),
-                           T.StructField("pre", T.ArrayType(T.LongType()))])
+#: Documents of one output batch: a task holds the tokens of so many at a time.
+PIECE = 256
 
-    @F.pandas_udf(schema)
-    def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = _Hashes()
-        for texts in batches:
-            out = []
-            for t in texts:
-                x = tokens(t, p.n, hashes)
-                out.append((len(x), xxhash.xxh3_128_digest(x.tobytes()), x[:first_length(len(x), p.percent)]))
-            yield pd.DataFrame(out, columns=["n", "sig", "pre"])
 
-    return signature(text)
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
 
 
-def _full_sets(text: Column, p: JoinParams) -> Column:
-    schema = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("toks", T.ArrayType(T.LongType()))])
+def _mapped(rows: DataFrame, columns: T.StructType, p: JoinParams, make) -> DataFrame:
+    """``rows`` without ``text`` and with the columns that ``make`` gives for the token sets of a few texts at a time."""
+    kept = [c for c in rows.columns if c != "text"]
 
-    @F.pandas_udf(schema)
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for texts in batches:
-            out = [(xxhash.xxh3_128_digest(x.tobytes()), x) for x in (tokens(t, p.n, hashes) for t in texts)]
-            yield pd.DataFrame(out, columns=["sig", "toks"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PIECE):
+                part = batch.slice(lo, PIECE)
+                sets = [tokens(t, p.n, hashes) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *make(sets)], names=[*kept, *columns.names])
+
+    schema = T.StructType([*[rows.schema[c] for c in kept], *columns.fields])
+    return rows.mapInArrow(over, schema)
+
+
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+
+
+def _signatures(rows: DataFrame, p: JoinParams) -> DataFrame:
+    """n, sig and pre (the first tokens) of every row."""
+    columns = T.StructType([T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("pre", T.ArrayType(T.LongType()))])
+    return _mapped(rows, columns, p, lambda sets: [
+        pa.array([len(x) for x in sets], pa.int64()), _digests(sets), _lists([x[:first_length(len(x), p.percent)] for x in sets])])
+
 
-    return sets(text)
+def _full_sets(rows: DataFrame, p: JoinParams) -> DataFrame:
+    """sig and toks (all tokens) of every row."""
+    columns = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("toks", T.ArrayType(T.LongType()))])
+    return _mapped(rows, columns, p, lambda sets: [_digests(sets), _lists(sets)])
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,9 +236,7 @@ def components(docs: DataFrame, p: JoinParams = JoinParams(), text: str = "text"
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     source = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
-    wide = scratch.keep(source.select("doc_id", text_hash(F.col("text")).alias("text_hash"),
-                                      _signatures(F.col("text"), p).alias("s"))
-                        .select("doc_id", "text_hash", "s.*"), "wide")
+    wide = scratch.keep(_signatures(source.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text"), p), "wide")
     firsts = scratch.keep(
         wide.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("pre").alias("pre"))
         .withColumn("vid", F.monotonically_increasing_id()), "firsts")
@@ -266,7 +277,7 @@ def _edges(source: DataFrame, alive: DataFrame, scratch: Scratch, p: JoinParams)
     """Links (a, b) between vertices that give the same components as all links."""
     # whole sets of the vertices left, from the one row of each; the filter only thins out the texts
     held = membership(alive, F.col("doc_id"))
-    texts = source.where(held(F.col("doc_id"))).select(_full_sets(F.col("text"), p).alias("s")).select("s.*")
+    texts = _full_sets(source.where(held(F.col("doc_id"))).select("text"), p)
     sets = scratch.keep(texts.join(alive.select("sig", "vid"), "sig")
                         .groupBy("vid").agg(F.first("toks").alias("toks")), "sets")
     posting = sets.select("vid", F.explode("toks").alias("token"))
