@@ -19,7 +19,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          q["base_failed"].alias("base_failed"), q["score"].alias("score"), q["kept"].alias("kept"))
 
 
-@query("op5_ngram_jaccard_join")
+@query("op5_ngram_jaccard_join", ngram_join.SQL)
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under 4-word shingle links of 85 % similarity, by groups and their token unions."""
     return ngram_join.components(table(spark, sf_dir, "documents"), ngram_join.JoinParams(4, 85)).select(
