@@ -89,7 +89,7 @@ def shared_least(n, percent: int):
 
 def first_meets(n, percent: int):
     """How many of the common tokens come among the first ``first_length`` of the set."""
-    return (n - shared_least(n, percent)) // 4 + 1
+    return (n - shared_least(n, percent)) // 2 + 1
 
 
 def first_length(n, percent: int):
@@ -149,11 +149,10 @@ def _full_sets(rows: DataFrame, p: JoinParams) -> DataFrame:
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of vertices with their token counts (na, nb) and the exact overlap (both)."""
-    left = sets.select(F.col("vid").alias("a"), F.col("toks").alias("ta"))
-    right = sets.select(F.col("vid").alias("b"), F.col("toks").alias("tb"))
+    left = sets.select(F.col("vid").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
+    right = sets.select(F.col("vid").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     return (pairs.join(left, "a").join(right, "b")
-            .select("a", "b", F.size("ta").cast("long").alias("na"), F.size("tb").cast("long").alias("nb"),
-                    F.size(F.array_intersect("ta", "tb")).cast("long").alias("both")))
+            .select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both")))
 
 
 def _similar(percent: int) -> Column:
@@ -163,7 +162,7 @@ def _similar(percent: int) -> Column:
 def _blocks_linked(q: dict, m: dict, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks of sets (flat numpy arrays), none inside a known component."""
     toks_q, toks_m = q["toks"], m["toks"]
-    of_q, of_m = np.repeat(np.arange(len(q["n"])), q["n"]), np.repeat(np.arange(len(m["n"])), m["n"])
+    of_q, of_m = np.repeat(np.arange(len(q["n"])), q["len"]), np.repeat(np.arange(len(m["n"])), m["len"])
     shared = np.intersect1d(toks_q, toks_m)
     both = np.zeros((len(q["n"]), len(m["n"])), dtype=np.float32)
     for lo in range(0, len(shared), 4096):  # exact: counts stay below 2 ** 24
@@ -204,8 +203,8 @@ def _inside_groups(grouped: DataFrame, comps: DataFrame, sets: DataFrame, p: Joi
                    F.greatest(F.ceil(F.col("t") / p.block_tokens), F.ceil(F.col("c") / p.block_sets)).cast("int").alias("blocks")))
     open_ = (placed.join(per, "grp").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
              .join(sets.select("vid", "toks"), "vid"))
-    one = F.struct("vid", "comp", F.size("toks").cast("long").alias("n"), "toks")
-    flat = lambda side: [F.col(f"x.{c}").alias(f"{side}_{c}") for c in ("vid", "comp", "n")] + [
+    one = F.struct("vid", "comp", "n", F.size("toks").cast("long").alias("len"), "toks")
+    flat = lambda side: [F.col(f"x.{c}").alias(f"{side}_{c}") for c in ("vid", "comp", "n", "len")] + [
         F.flatten("x.toks").alias(f"{side}_toks")]
     blocks = open_.groupBy("grp", "block", "blocks").agg(F.collect_list(one).alias("x"))
     queries = open_.where("comp != main").groupBy("grp", "block", "blocks").agg(F.collect_list(one).alias("x"))
@@ -217,7 +216,7 @@ def _inside_groups(grouped: DataFrame, comps: DataFrame, sets: DataFrame, p: Joi
         for frame in batches:
             out = []
             for r in frame.itertuples(index=False):
-                side = lambda s: {c: np.asarray(getattr(r, f"{s}_{c}"), dtype=np.int64) for c in ("vid", "comp", "n", "toks")}
+                side = lambda s: {c: np.asarray(getattr(r, f"{s}_{c}"), dtype=np.int64) for c in ("vid", "comp", "n", "len", "toks")}
                 out += _blocks_linked(side("q"), side("m"), p.percent)
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
@@ -249,7 +248,7 @@ def components(docs: DataFrame, p: JoinParams = JoinParams(), text: str = "text"
     common = first.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     alive = scratch.keep(
         first.join(common, "token", "left_semi").groupBy("vid").agg(F.count(F.lit(1)).alias("c"))
-        .join(vertices, "vid").where(F.col("c") >= _sql(needed, F.col("n"), p.percent)).select("vid", "sig", "doc_id"), "alive")
+        .join(vertices, "vid").where(F.col("c") >= _sql(needed, F.col("n"), p.percent)).select("vid", "sig", "doc_id", "n"), "alive")
     scratch.drop("firsts")
     edges = _edges(source, alive, scratch, p)
     roots = connected_components(edges, scratch, "cc_all")
@@ -278,27 +277,28 @@ def _edges(source: DataFrame, alive: DataFrame, scratch: Scratch, p: JoinParams)
     # whole sets of the vertices left, from the one row of each; the filter only thins out the texts
     held = membership(alive, F.col("doc_id"))
     texts = _full_sets(source.where(held(F.col("doc_id"))).select("text"), p)
-    sets = scratch.keep(texts.join(alive.select("sig", "vid"), "sig")
-                        .groupBy("vid").agg(F.first("toks").alias("toks")), "sets")
+    sets = scratch.keep(texts.groupBy("sig").agg(F.first("toks").alias("toks"))
+                        .join(alive.select("sig", "vid"), "sig").select("vid", "toks"), "sets")
     posting = sets.select("vid", F.explode("toks").alias("token"))
     # tokens with their number of sets, for those found in two sets or more
     counts = posting.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per_set = posting.join(counts, "token").groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
-    size, own = F.size("toks").cast("long"), F.size("toks").cast("long") - F.size("common")
-    spare = size - _sql(shared_least, size, p.percent)  # tokens a partner may lack
+    n = F.col("n")
+    own, spare = n - F.size("common"), n - _sql(shared_least, n, p.percent)  # tokens of this set alone; tokens a partner may lack
+    # from here on a set is its n and the tokens it has in common with others: the rest overlap with nothing
     kept = scratch.keep(
-        sets.join(per_set, "vid").where(own <= spare)
-        .select("vid", "toks", size.alias("n"), own.alias("own"), F.transform("common", lambda x: x["token"]).alias("common"),
+        per_set.join(alive.select("vid", "n"), "vid").where(own <= spare)
+        .select("vid", "n", own.alias("own"), F.transform("common", lambda x: x["token"]).alias("toks"),
                 # rarest first: tokens of this set alone come first of all
                 F.transform(F.slice("common", F.lit(1), (spare + 1 - own).cast("int")), lambda x: x["token"]).alias("pre")), "kept")
     scratch.drop("sets")
 
     # groups: the least mutated vertex of each min-hash bucket leads it
     # (half the buckets leave out the rarest and the most common tokens: mutations, and passages that all kinds of texts share)
-    quarter = F.floor(F.size("common") / 4).cast("int")
-    middle = F.slice("common", quarter + 1, F.greatest(F.size("common") - 2 * quarter, F.lit(1)))
+    quarter = F.floor(F.size("toks") / 4).cast("int")
+    middle = F.slice("toks", quarter + 1, F.greatest(F.size("toks") - 2 * quarter, F.lit(1)))
     buckets = kept.select("vid", "n", "own", F.explode(F.array(*[
-        F.array_min(F.transform(middle if s % 2 else F.col("common"), lambda t, s=s: F.struct(F.xxhash64(t, F.lit(s)).alias("h"), F.lit(s).alias("s"))))
+        F.array_min(F.transform(middle if s % 2 else F.col("toks"), lambda t, s=s: F.struct(F.xxhash64(t, F.lit(s)).alias("h"), F.lit(s).alias("s"))))
         for s in range(p.seeds)])).alias("bucket"))
     best = F.min_by(F.struct("vid", "n"), F.struct("own", F.xxhash64("vid"), "vid")).alias("l")
     leaders = buckets.groupBy("bucket").agg(best)
@@ -307,7 +307,7 @@ def _edges(source: DataFrame, alive: DataFrame, scratch: Scratch, p: JoinParams)
                  .select(F.col("vid").alias("a"), F.col("l.vid").alias("b")).distinct())
     near = scratch.keep(_compared(to_leader, kept), "near")
     families = connected_components(near.where(_similar(p.group_percent)), scratch, "cc_groups")
-    grouped = kept.select("vid", "n", "own", "common", "pre").join(
+    grouped = kept.select("vid", "n", "own", "pre").join(
         families.select(F.col("v").alias("vid"), "root"), "vid", "left").withColumn("grp", F.coalesce("root", "vid")).drop("root")
     grouped = scratch.keep(grouped, "grouped")
     heads = grouped.groupBy("grp").agg(best)
@@ -329,8 +329,8 @@ def _edges(source: DataFrame, alive: DataFrame, scratch: Scratch, p: JoinParams)
     queries = scratch.keep(queries.join(sizes, "g"), "queries")
     asked = queries.where(F.col("size") > p.small_group)
     matrix = (grouped.join(asked.select(F.col("g").alias("grp")).distinct(), "grp", "left_semi")
-              .select(F.col("grp").alias("g"), F.explode("common").alias("token")).distinct())
-    bounded = (asked.join(grouped.select("vid", "common"), "vid").select("vid", "n", "g", F.explode("common").alias("token"))
+              .join(kept.select("vid", "toks"), "vid").select(F.col("grp").alias("g"), F.explode("toks").alias("token")).distinct())
+    bounded = (asked.join(kept.select("vid", "toks"), "vid").select("vid", "n", "g", F.explode("toks").alias("token"))
                .join(matrix, ["g", "token"]).groupBy("vid", "g").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("c"))
                .where(F.col("c") >= _sql(shared_least, F.col("n"), p.percent)).select("vid", "g"))
     opened = bounded.union(queries.where(F.col("size") <= p.small_group).select("vid", "g"))
