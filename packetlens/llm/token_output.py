@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
-ODD_BLANK = re.compile(r"^ |\s \S|\S \s|\s \s| $")
+#: White space other than the blank and the line break, and a character that marks the cuts.
+ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 @dataclass(frozen=True)
@@ -51,18 +52,19 @@ class Pieces:
 
     @staticmethod
     def split(text: str) -> list[str]:
-        if ODD_BLANK.search(text):
+        if not text:
+            return []
+        if ODD.search(text) or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
             parts = INNER_BLANK.split(text)
-        else:
-            parts = text.split(" ")
-        return [parts[0], *[" " + x for x in parts[1:]]] if text else []
+            return [parts[0], *[" " + x for x in parts[1:]]]
+        return text.replace(" ", "\x00 ").split("\x00")  # every blank stands between two others
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(t) for t in texts]
         known = self.ids
         if len(known) > self.p.cached_pieces:
             known.clear()
-        new = list({x for parts in split for x in parts if x not in known})
+        new = list(set().union(*split).difference(known))
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         for lo in range(0, len(new), 20_000):
             part = new[lo:lo + 20_000]
@@ -74,11 +76,12 @@ class Pieces:
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ids by falling frequency, control bytes, data bytes) of a sequence of ids."""
-    vocab, at, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((vocab, -count))
-    rank = np.empty(len(vocab), dtype=np.uint32)
-    rank[order] = np.arange(len(vocab), dtype=np.uint32)
-    value = rank[at]
+    count = np.bincount(ids)
+    vocab = np.flatnonzero(count)
+    order = np.lexsort((vocab, -count[vocab]))
+    rank = np.zeros(len(count), dtype=np.uint32)
+    rank[vocab[order]] = np.arange(len(vocab), dtype=np.uint32)
+    value = rank[ids]
     size = 1 + (value >= 1 << 8).astype(np.uint8) + (value >= 1 << 16).astype(np.uint8)
     padded = np.zeros(-(-len(value) // 4) * 4, dtype=np.uint8)
     padded[:len(value)] = size - 1
