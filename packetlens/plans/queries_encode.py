@@ -150,7 +150,13 @@ def q_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prepared(spark, sf_dir)
 
 
-@query("select_features")
+@query("select_features", FEATS_SQL + """,
+c1 AS (SELECT DISTINCT subnet AS v FROM feats WHERE split IN ('train', 'val') AND subnet IS NOT NULL),
+i1 AS (SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS i FROM c1),
+c2 AS (SELECT DISTINCT port_cat AS v FROM feats WHERE split IN ('train', 'val') AND port_cat IS NOT NULL),
+i2 AS (SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS i FROM c2)
+SELECT f.sequence_id, f.step, COALESCE(i1.i, -1) AS "ip.subnet__code", COALESCE(i2.i, -1) AS "port_dst.category__code"
+FROM feats f LEFT JOIN i1 ON f.subnet = i1.v LEFT JOIN i2 ON f.port_cat = i2.v""")
 def q_select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 + J7: feature groups of the encoded table; keep two logical features by name."""
     enc = _prepared(spark, sf_dir)
