@@ -40,6 +40,11 @@ def bucket_count(rows: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> i
     return max(1, min(MAX_BUCKETS, -(-rows // rows_per_bucket)))
 
 
+def one_bucket(x: Column) -> Column:
+    """0 for every row, but not a constant: joins on a constant bucket would lose their key."""
+    return F.pmod(F.xxhash64(x), F.lit(1)).cast("long")
+
+
 def count_le(df: DataFrame, arr_col: str, value: Column, limit: int, out: str) -> DataFrame:
     """Add ``out`` = number of elements <= value of the ascending array (of at most ``limit``) in ``arr_col``.
 
@@ -72,7 +77,7 @@ def order_buckets(df: DataFrame, t: ColumnLike, tiebreak: Sequence[ColumnLike] =
     x = F.coalesce(c(t).cast("double"), F.lit(LOWEST))
     n_buckets = bucket_count(df.count(), rows_per_bucket)
     if n_buckets == 1:
-        return df.withColumn(out, F.lit(0).cast("long"))
+        return df.withColumn(out, one_bucket(x))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     accuracy = 20 * n_buckets
     splits = df.agg(F.percentile_approx(x, probs, accuracy).alias("s")).first()["s"]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..functions.common import join_null_safe
-from .ordered import bucket_count, bucketed_prefix_sum, count_le
+from .ordered import bucket_count, bucketed_prefix_sum, count_le, one_bucket
 
 SKETCH_ACCURACY = 1_000
 
@@ -35,7 +35,7 @@ def sketch_bucket(df: DataFrame, value: Column, keys: Sequence[str], n_buckets:
     deterministic, and the prefix sums need identical buckets on both sides).
     """
     if n_buckets <= 1:
-        return df.withColumn(out, F.lit(0).cast("long"))
+        return df.withColumn(out, one_bucket(value))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     sketch = F.percentile_approx(value, probs, max(SKETCH_ACCURACY, 10 * n_buckets))
     if not keys:
