@@ -84,15 +84,20 @@ def materialize(df, name: str):
 
     spark = df.sparkSession
     path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    drop_on_exit(spark, path)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def drop_on_exit(spark: SparkSession, path: str) -> None:
+    """Have ``path`` deleted by ``drop_tables``, which also runs when this process ends."""
     if not _written:
         atexit.register(drop_tables, spark)
     _written.append(path)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` has written in this process."""
+    """Delete every intermediate table that this process has written."""
     while _written and spark.sparkContext._jsc is not None:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
