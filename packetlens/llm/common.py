@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import drop_on_exit, scratch_path
 
 #: ASCII white space of the word contracts: blank and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -26,11 +26,13 @@ class Scratch:
     """Written intermediate tables of one operator call, in the shared checkpoint folder.
 
     ``keep`` writes a frame and reads it back (lineage is cut, the files survive
-    lost executors); ``drop`` deletes tables that no later plan reads.
+    lost executors); ``drop`` deletes tables that no later plan reads, the others
+    go when the process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+        drop_on_exit(spark, self.base)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
