@@ -1,8 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to licence notices, then inheritance from the nearest ancestor directory.
 
 DataFrame code only.  The lines of every file, and licence files as a whole,
-are compared with notice templates over term weights tf * idf, idf counted on
-all files.  A line without a template's heaviest terms can't reach the needed
+are compared with notice templates over term weights tf * idf, the idf of every
+term of a line counted on all files.  A line without a template's heaviest terms can't reach the needed
 cosine (the rest of the template is too short a vector), so only lines with
 such a term are weighed; that test loses nothing.  Files without a notice of
 their own take the licence of the licence file in the nearest directory above.
@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_hash
+from .common import Scratch, text_hash
 
 #: Notices of public licences (fixed values).
 TEMPLATES = {
@@ -83,7 +83,6 @@ def notices(files: DataFrame, p: LicenceParams = LicenceParams()) -> DataFrame:
     df = {r["t"]: r["n"] for r in seen.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = df.get("", 0)
     idf = {t: math.log(1 + n / (1 + df.get(t, 0))) for t in vocab}
-    other = math.log(1 + n)  # a term of no template weighs as one that no other file has
     weights = {k: {t: f * idf[t] for t, f in c.items()} for k, c in named.items()}
     tell = sorted({t for w in weights.values() for t in _tell(w, p.cosine)})
     found = r"(?i)(?<![a-z0-9\x{80}-\x{10FFFF}])(" + "|".join(tell) + r")(?![a-z0-9\x{80}-\x{10FFFF}])"
@@ -91,19 +90,33 @@ def notices(files: DataFrame, p: LicenceParams = LicenceParams()) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     # a unit is a line; a licence file of several lines is one as a whole too (line -1)
     units = F.concat(F.split("text", "\n", -1), F.when(name.rlike(LICENCE_FILE) & F.col("text").contains("\n"), F.array("text")).otherwise(F.array().cast("array<string>")))
-    lines = (some.select("path", "th", F.posexplode(units).alias("unit", "line")).where(F.col("line").rlike(found)))
-    counts = (lines.select("path", "th", "unit", F.explode(_terms(F.col("line"))).alias("t"))
-              .groupBy("path", "th", "unit", "t").agg(F.count(F.lit(1)).alias("f")))
+    scratch = Scratch(spark, "licences")
+    lines = scratch.keep(some.select("path", "th", F.posexplode(units).alias("unit", "line")).where(F.col("line").rlike(found)), "lines")
     of_term = F.create_map(*[x for t in vocab for x in (F.lit(t), F.lit(idf[t]))])
-    weight = F.col("f") * F.coalesce(F.element_at(of_term, F.col("t")), F.lit(other))
     dots = [F.sum(F.col("w") * F.coalesce(F.element_at(F.create_map(*[x for t, v in w.items() for x in (F.lit(t), F.lit(v))]), F.col("t")), F.lit(0.0))).alias(f"d{i}")
             for i, w in enumerate(weights.values())]
-    sums = counts.withColumn("w", weight).groupBy("path", "th", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
     best = F.array_max(F.array(*[
         F.struct(F.round(F.col(f"d{i}") / F.col("norm") / math.sqrt(sum(v * v for v in w.values())), 9).alias("cosine"), F.lit(-i).alias("rank"), F.lit(k).alias("licence"))
         for i, (k, w) in enumerate(weights.items())]))
-    return (sums.select("path", "th", best.alias("b")).where(F.col("b.cosine") >= p.cosine)
-            .groupBy("path", "th").agg(F.max("b").alias("b"))
+
+    def cosines(lines: DataFrame, idfs: DataFrame | None, rest: float) -> DataFrame:
+        """The units whose best cosine reaches the needed one; terms neither in a template nor in ``idfs`` weigh ``rest``."""
+        counts = (lines.select("path", "th", "unit", F.explode(_terms(F.col("line"))).alias("t"))
+                  .groupBy("path", "th", "unit", "t").agg(F.count(F.lit(1)).alias("f")))
+        counts = counts.withColumn("idf", F.lit(None).cast("double")) if idfs is None else counts.join(idfs, "t", "left")
+        weight = F.col("f") * F.coalesce(F.element_at(of_term, F.col("t")), F.col("idf"), F.lit(rest))
+        return (counts.withColumn("w", weight).groupBy("path", "th", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+                .select("path", "th", "unit", best.alias("b")).where(F.col("b.cosine") >= p.cosine))
+
+    # no term weighs less than one that all files hold: units short of the cosine with that weight stay short
+    lowest = math.log(1 + n / (1 + n))
+    near = scratch.keep(lines.join(cosines(lines, None, lowest).select("path", "th", "unit"), ["path", "th", "unit"], "left_semi"), "near")
+    # documents that hold each further term of these units, over all files too
+    further = scratch.keep(near.select(F.explode(F.array_except(_terms(F.col("line")), lit_vocab)).alias("t")).distinct(), "further")
+    held = (files.select(F.explode(F.array_distinct(_terms(text))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+            .join(further, "t", "left_semi"))
+    idfs = scratch.keep(held.select("t", F.log(1 + n / (1 + F.col("n"))).alias("idf")), "idf")
+    return (cosines(near, idfs, lowest).groupBy("path", "th").agg(F.max("b").alias("b"))
             .select("path", "th", F.col("b.licence").alias("licence"), F.col("b.cosine").alias("cosine")))
 
 

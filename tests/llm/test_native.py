@@ -288,6 +288,23 @@ def test_notices_match_plain_cosine(spark):
     assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-6) for k in want)
 
 
+def test_every_term_weighs_by_its_own_idf(spark):
+    """A frequent word after a notice weighs next to nothing, in small and large tables."""
+    import math
+    lines = ["All rights reserved that", "# Licensed under the Apache License, Version 2.0 as that", "Released under the MIT License. zzyzx"]
+    for n in (200, 5000):
+        rows = [(f"f/{i}", f"as that plain body {i}") for i in range(n)] + [(f"n/{k}", x) for k, x in enumerate(lines)]
+        texts = [set(licenses._py_terms(t)) for _, t in rows]
+        df = Counter(t for ws in texts for t in ws)
+        idf = lambda t: math.log(1 + len(rows) / (1 + df[t]))  # noqa: E731, B023
+        norm = lambda c: sum((f * idf(t)) ** 2 for t, f in c.items()) ** 0.5  # noqa: E731, B023
+        got = {r["path"]: (r["licence"], r["cosine"]) for r in licenses.notices(spark.createDataFrame(rows, "path string, text string")).collect()}
+        for k, licence in ((0, "Proprietary"), (1, "Apache-2.0")):
+            a, b = Counter(licenses._py_terms(lines[k])), Counter(licenses._py_terms(licenses.TEMPLATES[licence]))
+            want = sum(f * b[t] * idf(t) ** 2 for t, f in a.items()) / norm(a) / norm(b)
+            assert want > 0.95 and got[f"n/{k}"] == (licence, pytest.approx(want, abs=1e-6))
+
+
 def test_inheritance(spark):
     apache, mit = licenses.TEMPLATES["Apache-2.0"], licenses.TEMPLATES["MIT"]
     body = "\n".join(f"plain body {i}" for i in range(3))
