@@ -7,12 +7,15 @@ lies whole in one of them.  A passage is scored as block-max WAND does, for a
 batch of passages at once: the sum of its terms' largest impacts must reach the
 lowest threshold, the sum of block maxima the block's lowest threshold, and
 only then are the items of the block scored.  All items above their thresholds
-are retrieved (there is no top-k), and for each the shingles of question and
-answer are looked up in the passage.
-
-An item's threshold is its score on itself less the impacts of as many of its
-heaviest terms as a copy with the needed overlap can lack, so no passage that
-the overlap test would accept is missed.
+are retrieved (there is no top-k), and for each the whole item, its question
+and its answer are looked up in the passage: a part is held if enough of its
+shingles are, or if one word edit turns it into a run of the passage (one edit
+takes five shingles, too many of a short part).
+
+An item's threshold is the least score of a passage that the test can accept:
+the score of the whole item or of its question (with its answer, if the question
+says too little alone) less the impacts of as many of the heaviest terms as a
+held part can lack.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ LAST_SENTENCE = re.compile(r"[.!?]\s+(?=\S)|\n+(?=\S)")
 @dataclass(frozen=True)
 class LeakParams:
     """``shard_items`` bounds the items of one index; a larger benchmark is indexed and queried shard by shard."""
-    shingle: int = 5
+    shingle: int = 5           # words; shorter parts survive no edit, a shorter question is no leak without its answer
     overlap: float = 0.8
     k1: float = 1.2
     b: float = 0.75
@@ -64,6 +67,46 @@ def grams(ws: list[str], n: int) -> list[tuple]:
     return [tuple(ws[i:i + n]) for i in range(len(ws) - n + 1)] if len(ws) >= n else [tuple(ws)] if ws else []
 
 
+def _runs_on(part: list[str], text: list[str], half: int) -> bool:
+    """Whether ``text`` holds ``part`` with at most one word changed, dropped or put in after its first ``half`` words."""
+    n, at = len(part), -1
+    for _ in range(text.count(part[0])):
+        at = text.index(part[0], at + 1)
+        if text[at:at + half] != part[:half]:
+            continue
+        i = half
+        while i < n and at + i < len(text) and text[at + i] == part[i]:
+            i += 1
+        rest, end = part[i + 1:], at + i
+        if i == n or text[end + 1:end + n - i] == rest or text[end:end + n - i - 1] == rest or text[end + 1:end + 1 + n - i] == part[i:]:
+            return True
+    return False
+
+
+def within_one_edit(part: list[str], text: list[str]) -> bool:
+    """Whether a run of ``text`` is ``part`` with at most one word changed, dropped or put in: one half of it is untouched."""
+    half = len(part) // 2
+    return _runs_on(part, text, half) or _runs_on(part[::-1], text[::-1], len(part) - half)
+
+
+@dataclass
+class Part:
+    """An item, its question or its answer: words, distinct words, shingles, and how many distinct words a held copy can lack."""
+    words: list[str]
+    vocab: set[str]
+    shingles: set[tuple]
+    lacking: int
+
+    @staticmethod
+    def of(ws: list[str], p: LeakParams) -> "Part":
+        shingles = set(grams(ws, p.shingle))
+        # a missing word takes at least one shingle with it
+        return Part(ws, set(ws), shingles, max(int((1 - p.overlap) * len(shingles) + 1e-9), int(len(ws) >= p.shingle)))
+
+    def overlap(self, have: set[tuple]) -> float:
+        return len(self.shingles & have) / len(self.shingles)
+
+
 class ItemIndex:
     """Inverted index of the items of one shard, as flat numpy postings."""
 
@@ -72,9 +115,7 @@ class ItemIndex:
         self.p, self.ids = p, np.array([i for i, _ in items], dtype=np.int64)
         docs = [terms(t) for _, t in items]
         parts = [question_answer(t) for _, t in items]
-        self.shingles = []
-        for ws, (q, a) in zip(docs, parts):
-            self.shingles.append([(min(p.shingle, len(x)), set(grams(x, p.shingle))) for x in (ws, q, a)])
+        self.parts = [[Part.of(x, p) for x in (ws, q, a)] for ws, (q, a) in zip(docs, parts)]
         self.longest = max((len(d) for d in docs), default=1)
         self.vocab: dict[str, int] = {}
         tf = [Counter(self.vocab.setdefault(w, len(self.vocab)) for w in d) for d in docs]
@@ -87,10 +128,11 @@ class ItemIndex:
         for i, (c, d) in enumerate(zip(tf, docs)):
             weight = {t: idf[t] * f * (p.k1 + 1) / (f + p.k1 * (1 - p.b + p.b * len(d) / mean)) for t, f in c.items()}
             post += [(t, i, w) for t, w in weight.items()]
-            shingles = self.shingles[i][0][1]
-            lacking = int((1 - p.overlap) * len(shingles) + 1e-9)
-            # a missing word takes at least one shingle with it
-            lowest[i] = sum(sorted(weight.values())[:max(len(weight) - lacking, 1)]) * (1 - 1e-6)
+            whole, question, answer = self.parts[i]
+            alone = len(question.words) >= p.shingle
+            ways = [(whole.vocab, whole.lacking),
+                    (question.vocab, question.lacking) if alone else (whole.vocab, question.lacking + answer.lacking)]
+            lowest[i] = min(sum(sorted(weight[self.vocab[w]] for w in ws)[:max(len(ws) - lacking, 1)]) for ws, lacking in ways) * (1 - 1e-6)
         order = np.argsort(lowest, kind="stable")  # blocks of items with near thresholds
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.arange(n)
@@ -131,11 +173,13 @@ class ItemIndex:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         names, passage = np.unique(passage, return_inverse=True)
         hits = []
-        step = max(1, 8_000_000 // self.n_blocks)  # passages at a time: the block sums stay bounded
-        for lo in range(0, len(names), step):
-            mine = (passage >= lo) & (passage < lo + step)
-            pa, te = passage[mine] - lo, term[mine]
-            rows = min(step, len(names) - lo)
+        # passages at a time (they come in order): their postings and block sums stay bounded
+        load = np.bincount(passage, weights=self.post_start[term + 1] - self.post_start[term]) + self.n_blocks
+        cuts = np.flatnonzero(np.diff(np.cumsum(load) // 2_000_000)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]):
+            first, end = np.searchsorted(passage, (lo, hi))
+            pa, te = passage[first:end] - lo, term[first:end]
+            rows = hi - lo
             e, k = self._spread(self.block_start, te)
             sums = np.bincount(pa[e] * self.n_blocks + self.block_no[k], weights=self.block_max[k], minlength=rows * self.n_blocks)
             opened = sums.reshape(rows, self.n_blocks) >= self.block_lowest
@@ -152,6 +196,32 @@ class ItemIndex:
             hits.append((names[pas[good] + lo], it[good], score[good]))
         return tuple(np.concatenate(x) for x in zip(*hits))
 
+    def verify(self, parts: list[Part], passage: list[str], held: set[str], have: dict[int, set]) -> tuple[float, ...] | None:
+        """Overlaps of item, question and answer if the passage holds the item (see ``leaks``); ``have`` caches its shingles."""
+        whole, question, answer = parts
+        if len(question.vocab - held) > question.lacking and len(whole.vocab - held) > whole.lacking:
+            return None
+
+        def overlap(x: Part) -> float:
+            size = min(self.p.shingle, len(x.words))
+            if size not in have:
+                have[size] = set(grams(passage, size)) if len(passage) >= size else set()
+            return x.overlap(have[size])
+
+        def edited(x: Part) -> bool:
+            return len(x.words) >= self.p.shingle and len(x.vocab - held) <= 1 and within_one_edit(x.words, passage)
+
+        out = tuple(overlap(x) for x in parts)
+        need, size = self.p.overlap, self.p.shingle
+        if out[0] >= need and out[1] > 0 or edited(whole):
+            return out
+        if out[1] >= need and len(question.words) >= size:
+            return out
+        if out[1] >= need or edited(question):
+            if len(question.words) >= 2 * size or out[2] >= need or edited(answer):
+                return out
+        return None
+
     def leaks(self, texts: list[str | None]) -> list[list[dict]]:
         """Verified items of each text, best passage of each."""
         out: list[list[dict]] = [[] for _ in texts]
@@ -181,14 +251,14 @@ class ItemIndex:
             return out
         of, at = np.concatenate(of), np.concatenate(at)
         key = np.unique(np.concatenate(pas) * len(vocab) + np.concatenate(ter))
+        seen = -1
         for q, it, score in zip(*self.search(key // len(vocab), key % len(vocab), n)):
             d, start = int(of[q]), int(at[q])
-            passage = words[d][start:start + 2 * step]
-            overlap = []
-            for size, shingles in self.shingles[self.order[it]]:
-                have = set(grams(passage, size)) if len(passage) >= size else set()
-                overlap.append(len(shingles & have) / len(shingles))
-            if overlap[0] >= self.p.overlap and overlap[1] > 0:
+            if q != seen:
+                seen, passage, have = q, words[d][start:start + 2 * step], {}
+                held = set(passage)
+            overlap = self.verify(self.parts[self.order[it]], passage, held, have)
+            if overlap:
                 out[d].append({"item_id": int(self.ids[self.order[it]]), "start_word": start, "score": float(score),
                                "overlap": overlap[0], "question_overlap": overlap[1], "answer_overlap": overlap[2]})
         return [list({x["item_id"]: x for x in sorted(hits, key=lambda x: (x["overlap"], x["score"], -x["start_word"]))}.values())
@@ -240,9 +310,12 @@ def leak_array(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams
 def leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams(), text: str = "text") -> DataFrame:
     """doc_id with each benchmark item its text holds: best passage, BM25 score and overlaps.
 
-    An item counts as held if ``overlap`` of its five-word shingles (question
-    and answer together; an item of fewer words is one shingle) lie in one
-    passage, its question among them.  Case and punctuation don't matter.  Null
+    A part is held if ``overlap`` of its five-word shingles (a part of fewer
+    words is one shingle) lie in one passage, or all of its five or more words
+    but for one edit.  An item counts as held if question and answer together
+    are (by shingles: the question among them), if question and answer are each,
+    or if the question is alone: by its shingles from five words on, by one edit
+    from ten on (one word makes a short question another).  Case and punctuation don't matter.  Null
     and empty texts hold nothing, items without words are held by nothing, a
     repeated row is reported as often as it stands in ``docs``.
     """

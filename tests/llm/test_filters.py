@@ -169,3 +169,35 @@ def test_altered_leaks_shards_and_edges(spark, docs, edge_rows):
     assert clean.columns == df.columns and clean.count() == len(rows) - 3
     assert decontaminate.keep_clean(docs([]), bench).count() == 0
     assert decontaminate.keep_clean(df, bench.limit(0)).count() == len(rows)
+
+
+def test_short_copies_with_an_edit_and_lone_questions(spark, docs):
+    """One edit anywhere in a short item, a question without its answer, and parts that stand apart are leaks."""
+    q, a = [f"q{i}" for i in range(11)], [f"a{i}" for i in range(8)]
+    bench = spark.createDataFrame([(0, " ".join(q) + "? " + " ".join(a) + "."), (1, " ".join(f"s{i}" for i in range(15)) + "."),
+                                   (2, "Why so? " + " ".join(f"b{i}" for i in range(9)) + "."),
+                                   (3, "which town is the capital of x1? " + " ".join(f"c{i}" for i in range(6)) + ".")], "item_id long, text string")
+    item, one = q + a, [f"s{i}" for i in range(15)]
+    rows, want = [], set()
+
+    def add(ws, *items):
+        rows.append((len(rows), "lead in words " + " ".join(ws) + " and then out"))
+        want.update((len(rows) - 1, i) for i in items)
+
+    for x, i in ((item, 0), (one, 1)):
+        for k in range(len(x)):
+            add(x[:k] + ["new"] + x[k + 1:], i)
+            add(x[:k] + x[k + 1:], i)
+            add(x[:k] + ["new"] + x[k:], i)
+    add(q, 0)
+    add(q[:5] + ["new"] + q[6:], 0)
+    add(q[:5] + ["new"] + q[6:] + ["the", "answer", "is"] + a, 0)
+    add(["why", "so", "answer"] + [f"b{i}" for i in range(9)], 2)
+    add("which town is the capital of x1".split(), 3)
+    # no leaks: an answer alone, two edits in a short question, a question of two words, a short question with another word
+    add(a)
+    add(q[:3] + ["new"] + q[4:8] + ["new"] + q[9:])
+    add(["why", "so"])
+    add("which town is the capital of x2".split())
+    for p in (decontaminate.LeakParams(), decontaminate.LeakParams(block=1)):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(rows), bench, p).collect()} == want
