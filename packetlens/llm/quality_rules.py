@@ -32,7 +32,9 @@ MAX_REPEAT_PCT = 20
 class ForestParams:
     """``fit_rows`` bounds the labelled rows that come to the driver to grow the forest; nothing else is bounded.
 
-    ``max_false_reject``: share of rows labelled good that the calibrated score may reject.
+    The cut is the one of best balanced accuracy over all labelled rows: each
+    label's shares decide, so it converges as labels grow, and a few wrong
+    labels hardly move it.
     ``min_auc``: a statistic that tells bad from good rows of the sample no better than this stays out of the splits.
     """
     fit_rows: int = 8192
@@ -40,8 +42,6 @@ class ForestParams:
     rows_per_tree: int = 256
     depth: int = 10
     seed: int = 7
-    max_false_reject: float = 0.0
-    keep_recall: float = 0.95
     score_bins: int = 4096
     min_auc: float = 0.55
 
@@ -190,16 +190,17 @@ def fit(stats: DataFrame, labels: DataFrame, p: ForestParams = ForestParams()) -
     """Grow the forest and calibrate its rejecting score.
 
     ``stats`` has doc_id and the struct ``q``; ``labels`` has doc_id and quality
-    (1 good, 0 bad; null rows are left out).  Over all labelled rows, counted in
-    ``score_bins`` bins: the lowest cut that rejects at most ``max_false_reject``
-    of the good rows, then raised as far as ``keep_recall`` of the bad rows it
-    rejects are still rejected (a margin for good rows).  Without labels, or
-    without good rows among them, nothing is rejected beyond the fixed rules.
+    (1 good, 0 bad; null rows are left out; a document labelled both ways has
+    both labels).  Over all labelled rows, counted in ``score_bins`` bins: the
+    cut with the largest gap between the share of bad rows and the share of good
+    rows that it rejects, in the middle of the cuts that do so equally well.
+    Without labels, or with one label only, nothing is rejected beyond the fixed
+    rules.
     """
     known = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-             .groupBy("doc_id").agg(F.max("quality").alias("quality")))
+             .select("doc_id", "quality").distinct())
     rows = stats.select("doc_id", "q").join(known, "doc_id").where(~base_failed(F.col("q")))
-    sample = (rows.orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").limit(p.fit_rows)
+    sample = (rows.orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id", "quality").limit(p.fit_rows)
               .select("q.*", "quality").toPandas())
     if len(sample) < 2:
         return QualityModel(None, 1.0)
@@ -210,13 +211,17 @@ def fit(stats: DataFrame, labels: DataFrame, p: ForestParams = ForestParams()) -
             .groupBy("b").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"),
                               F.sum(F.when(F.col("quality") == 1, 0).otherwise(1)).alias("bad")).toPandas().sort_values("b"))
     good, bad = bins["good"].to_numpy(), bins["bad"].to_numpy()
-    if good.sum() == 0:
+    if good.sum() == 0 or bad.sum() == 0:
         return model
-    above = good.sum() - np.cumsum(good)  # rows that a cut after this bin rejects
-    caught = bad.sum() - np.cumsum(bad)
-    first = int(np.argmax(above <= p.max_false_reject * good.sum()))
-    cut = int(np.flatnonzero(caught >= p.keep_recall * caught[first]).max()) if caught[first] else len(bins) - 1
-    model.threshold = (int(bins["b"].to_numpy()[max(first, cut)]) + 1) / p.score_bins
+    above = (good.sum() - np.cumsum(good)) / good.sum()  # shares that a cut after this bin rejects
+    caught = (bad.sum() - np.cumsum(bad)) / bad.sum()
+    gap = caught - above
+    first = int(np.argmax(gap))
+    if gap[first] <= 0:
+        return model
+    # the rows of the next bin are the first rejected: the cut goes half way through the empty bins before it
+    b = bins["b"].to_numpy()
+    model.threshold = (int(b[first]) + 1 + int(b[first + 1])) / 2 / p.score_bins
     return model
 
 

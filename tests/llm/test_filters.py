@@ -49,6 +49,19 @@ def test_forest_rejects_held_out_bad_rows_and_keeps_good_ones(spark):
     assert rate[1] >= 0.99 and rate[0] <= 0.2
 
 
+def test_verdict_survives_wrong_labels(spark):
+    """A few flipped labels, and documents labelled both ways, leave the forest's verdict on held-out rows."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    fit_on, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    bad = fit_on.where("quality = 0").orderBy("doc_id").limit(2)
+    flipped = fit_on.join(bad.select("doc_id"), "doc_id", "left_anti").union(bad.selectExpr("doc_id", "1L"))
+    for noisy in (flipped, fit_on.union(bad.selectExpr("doc_id", "1L"))):
+        judged = quality_rules.judge_ids(docs, noisy).join(held, "doc_id").where("NOT quality_rules.base_failed")
+        rate = judged.selectExpr("quality", "int(quality_rules.kept) AS k").toPandas().groupby("quality")["k"].mean()
+        assert rate[1] >= 0.98 and rate[0] <= 0.2
+
+
 def test_quality_edges(spark, docs, edge_rows):
     df = docs(edge_rows)
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (6, None, 0)], "doc_id long, quality long, toxic long")
