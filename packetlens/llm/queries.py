@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from .common import Scratch, table
-from . import chat_format, decontaminate, licenses, line_dedup, mixing, ngram_join, pii, quality_rules, sharding, token_output
+from . import (chat_format, decontaminate, divergence, licenses, line_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, sharding,
+               spelling, token_output)
+
+
+def _n_of(spans: Column, kind: Column) -> Column:
+    """Number of the spans of a kind."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
 
 @query("op9_quality_rules")
@@ -94,5 +100,27 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data spans of every document: strict patterns, and candidates that the trained span classifier accepts."""
     spans = pii.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [_n_of(base, F.lit(k)).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return spans.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op11_secret_scan")
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: strict patterns, and runs that the character models find random."""
+    spans = secret_scan.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [_n_of(base, F.lit(k)).alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
+    return spans.select("doc_id", *counts, F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"),
+                        secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the far more frequent word one edit away, and the last word that such steps reach."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_divergence", divergence.SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the word distributions of all sources of a language, and each source's most telling terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
