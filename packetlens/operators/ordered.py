@@ -137,11 +137,6 @@ def bucketed_row_number(df: DataFrame, partition: Sequence[ColumnLike], order: S
             .drop("__off", "__lrn", "__g", "__bkt"))
 
 
-def hash_bucket(key: Column, n_hex: int = 4) -> Column:
-    """Bucket from the first ``n_hex`` hex digits of an md5 rank key (uniform)."""
-    return F.conv(F.substring(key, 1, n_hex), 16, 10).cast("long")
-
-
 def bucketed_prefix_sum(df: DataFrame, partition: Sequence[ColumnLike], order: Sequence[Column],
                         bucket: Column, value: Column, out: str) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the partition in ``order`` (exclusive).

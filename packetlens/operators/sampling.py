@@ -1,25 +1,29 @@
 """Sequence-level split and sampling (inventory I1-I4, E9, D3).
 
-Every draw ranks sequences by ``md5(seed || '|' || sequence_id)``: the same
-seed gives the same split on any cluster size, and the rank is uniform, so
-ranking per label is bucketed by the first hex digits of the hash (a label
-with most of the sequences still spreads over many tasks).  Quotas are
-computed from per-label counts (one row per label reaches the driver).
+Every draw takes the sequences with the smallest ``md5(seed || '|' || id)``
+of their label: the same seed gives the same draw on any cluster size.  No
+sequence is ranked for it.  Histograms of hash prefixes per label tell the bin
+in which the wanted rank falls; only that bin is looked at again, with a longer
+prefix, until a prefix cuts exactly there.  A draw is then a filter on the
+hash, without a window, a sort or a join of the rows by id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import c
 from ..session import materialize
-from .ordered import bucketed_row_number, hash_bucket
 
 SPLITS = ("train", "val", "test")
 DEFAULT_RATIOS = (0.7, 0.15, 0.15)
+# Hex digits a histogram refines by, and how many hashes of open bins are fetched instead of refined again.
+DIGITS = 3
+FETCH = 10_000
 
 
 def rank_key(seed: int, id_col: str = "sequence_id") -> Column:
@@ -32,69 +36,102 @@ def sequence_table(rows: DataFrame, id_col: str = "sequence_id",
     return rows.groupBy(c(id_col)).agg(F.max(c(label_col)).alias(label_col))
 
 
-def label_count_table(seqs: DataFrame, label_col: str) -> DataFrame:
-    """One row per label with its sequence count (``__n``); as many rows as labels."""
-    return seqs.groupBy(c(label_col).alias("__lab")).agg(F.count(F.lit(1)).alias("__n"))
+def _hashes(rows: DataFrame, seed: int, id_col: str, label_col: str | None) -> DataFrame:
+    """(lab, h) of every sequence, written once: histograms and refinements read it."""
+    seqs = rows.select(c(id_col)).distinct().withColumn("__lab", F.lit(0)) if label_col is None else \
+        sequence_table(rows, id_col, label_col).withColumnRenamed(label_col, "__lab")
+    return materialize(seqs.select(F.col("__lab").alias("lab"), rank_key(seed, id_col).alias("h")), "sequence-hashes")
 
 
-def quota_table(counts: DataFrame, total: Column, base: Column, size: Column, out: str) -> DataFrame:
-    """Largest-remainder quotas on the label table, lazily (no driver round trip).
+def _histogram(hashes: DataFrame, digits: int) -> dict:
+    """label -> {prefix: number of hashes}; at most 16 ** digits rows for each label (or open bin) come to the driver."""
+    out: dict = defaultdict(dict)
+    for r in hashes.groupBy("lab", F.substring("h", 1, digits).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r["lab"]][r["p"]] = r["n"]
+    return out
 
-    floor(total * size / base) per label, plus one for the ``total - sum(floors)``
-    labels with the largest remainders (ties to the smaller label).  The
-    windows run over the label table only (one row per label).
+
+def _enter(bins: Mapping[str, int], rank: int) -> tuple[str, int, int]:
+    """(prefix, rank inside it, its size) of the bin that holds ``rank`` (1-based)."""
+    for prefix in sorted(bins):
+        if rank <= bins[prefix]:
+            return prefix, rank, bins[prefix]
+        rank -= bins[prefix]
+    raise ValueError("rank beyond the hashes")
+
+
+def rank_cuts(hashes: DataFrame, first: Mapping, ranks: Mapping[object, Sequence[int]]) -> dict[object, list[str | None]]:
+    """For every label and wanted rank n the hash prefix up to which it has n hashes exactly (None for n = 0).
+
+    ``first`` is the histogram of the first digits.  A hash h is among the n
+    smallest if its first characters, as many as the cut has, are <= the cut.
     """
-    all_rows = Window.partitionBy()
-    t = counts.withColumn("__fl", F.floor(total * size / base).cast("long")) \
-              .withColumn("__rm", (total * size) % base)
-    t = t.withColumn("__pos", F.row_number().over(Window.orderBy(F.col("__rm").desc(), F.col("__lab")))) \
-         .withColumn("__left", total - F.sum("__fl").over(all_rows))
-    return t.withColumn(out, F.col("__fl") + (F.col("__pos") <= F.col("__left")).cast("long")) \
-            .drop("__fl", "__rm", "__pos", "__left")
-
-
-def _ranked(seqs: DataFrame, seed: int, id_col: str, label_col: str) -> DataFrame:
-    keyed = seqs.withColumn("__h", rank_key(seed, id_col))
-    return bucketed_row_number(keyed, [label_col], [F.col("__h"), c(id_col)], hash_bucket(F.col("__h")),
-                               out="__rank")
-
-
-def _with_quotas(ranked: DataFrame, quotas: DataFrame, label_col: str) -> DataFrame:
-    """Attach the per-label quota columns (a broadcast of one row per label)."""
-    q = F.broadcast(quotas)
-    return ranked.join(q, ranked[f"`{label_col}`"].eqNullSafe(q["__lab"])).drop("__lab")
-
-
-def split_quota_table(counts: DataFrame, ratios: Sequence[float] = DEFAULT_RATIOS) -> DataFrame:
-    """Per-label test and train quotas: ``train=int(r0*n)``, ``val=int(r1*n)``, test the rest;
-    test is allocated across labels first, then train among what is left."""
-    all_rows = Window.partitionBy()
-    n = F.sum("__n").over(all_rows)
-    t = counts.withColumn("__tot", n) \
-        .withColumn("__ntrain", (F.lit(float(ratios[0])) * F.col("__tot")).cast("long")) \
-        .withColumn("__nval", (F.lit(float(ratios[1])) * F.col("__tot")).cast("long"))
-    t = t.withColumn("__ntest", F.col("__tot") - F.col("__ntrain") - F.col("__nval"))
-    t = quota_table(t, F.col("__ntest"), F.col("__tot"), F.col("__n"), "__qtest")
-    t = t.withColumn("__rest", F.col("__n") - F.col("__qtest"))
-    t = quota_table(t, F.col("__ntrain"), F.col("__tot") - F.col("__ntest"), F.col("__rest"), "__qtrain")
-    return t.select("__lab", "__qtest", "__qtrain")
+    cuts = {lab: [None] * len(ns) for lab, ns in ranks.items()}
+    todo = {(lab, i): _enter(first[lab], n) for lab, ns in ranks.items() for i, n in enumerate(ns) if n > 0}
+    digits = DIGITS
+    while True:
+        for (lab, i), (prefix, rank, size) in list(todo.items()):
+            if rank == size:
+                cuts[lab][i] = prefix
+                del todo[lab, i]
+        if not todo:
+            return cuts
+        schema = "lab {}, p string".format(hashes.schema["lab"].dataType.simpleString())
+        open_bins = hashes.sparkSession.createDataFrame(sorted({(lab, x[0]) for (lab, _), x in todo.items()}, key=repr), schema)
+        there = F.broadcast(open_bins.withColumnRenamed("lab", "__l"))
+        inside = hashes.join(there, F.col("lab").eqNullSafe(F.col("__l")) & (F.substring("h", 1, digits) == F.col("p"))).select("lab", "h")
+        few = sum({(lab, x[0]): x[2] for (lab, _), x in todo.items()}.values()) <= FETCH
+        digits = 32 if few else min(32, digits + DIGITS)
+        finer = _histogram(inside, digits)
+        todo = {(lab, i): _enter({p: n for p, n in finer[lab].items() if p.startswith(prefix)}, rank)
+                for (lab, i), (prefix, rank, _) in todo.items()}
+
+
+def _with_cuts(rows: DataFrame, cuts: Mapping[object, Sequence[str | None]], names: Sequence[str], seed: int,
+               id_col: str, label_col: str | None) -> DataFrame:
+    """Add a boolean column per name: is the row's sequence among the wanted smallest of its label (a broadcast of one row per label)."""
+    h = rank_key(seed, id_col)
+    below = lambda cut: F.coalesce(F.substring(h, F.lit(1), F.length(cut)) <= cut, F.lit(False))
+    if label_col is None:
+        return rows.select("*", *[below(F.lit(cut).cast("string")).alias(n) for n, cut in zip(names, cuts[0])])
+    kind = rows.select(c(label_col)).schema[0].dataType.simpleString()
+    table = rows.sparkSession.createDataFrame([(lab, *cs) for lab, cs in cuts.items()],
+                                              ", ".join([f"__lab {kind}", *[f"__cut{i} string" for i in range(len(names))]]))
+    joined = rows.join(F.broadcast(table), c(label_col).eqNullSafe(F.col("__lab")))
+    return joined.select(*[c(x) for x in rows.columns], *[below(F.col(f"__cut{i}")).alias(n) for i, n in enumerate(names)])
+
+
+def quotas(total: int, sizes: Mapping[object, int]) -> dict:
+    """Largest-remainder shares of ``total``: floor(total * size / sum) per label, and one more for the largest
+    remainders (ties to the smaller label, null first) until the total is met."""
+    base = sum(sizes.values())
+    floors = {lab: total * n // base for lab, n in sizes.items()} if base else dict.fromkeys(sizes, 0)
+    order = sorted(sizes, key=lambda lab: (-(total * sizes[lab] % base if base else 0), lab is not None, lab if lab is not None else 0))
+    for lab in order[:total - sum(floors.values())]:
+        floors[lab] += 1
+    return floors
 
 
 def stratified_split(rows: DataFrame, ratios: Sequence[float] = DEFAULT_RATIOS, seed: int = 42,
                      id_col: str = "sequence_id", label_col: str = "sequence_label") -> DataFrame:
     """Add ``split`` (train/val/test) to every row, stratified by sequence label.
 
-    Sizes follow ``train=int(.7n)``, ``val=int(.15n)``, test the rest, with label
-    shares kept by largest-remainder quotas; membership by hash rank.  The
-    (sequence, label) table is written once; counts, quotas and ranks read it.
+    Sizes follow ``train=int(.7n)``, ``val=int(.15n)``, test the rest; the test
+    quota is shared among labels first, then train among what is left, by
+    largest remainders.  A label's smallest hashes are test, the next ones
+    train, the rest val.  Rows keep their order and partitions.
     """
-    seqs = materialize(sequence_table(rows, id_col, label_col), "sequences")
-    quotas = split_quota_table(label_count_table(seqs, label_col), ratios)
-    ranked = _with_quotas(_ranked(seqs, seed, id_col, label_col), quotas, label_col)
-    split = (F.when(F.col("__rank") <= F.col("__qtest"), "test")
-             .when(F.col("__rank") <= F.col("__qtest") + F.col("__qtrain"), "train").otherwise("val"))
-    assigned = ranked.select(c(id_col), split.alias("split"))
-    return rows.join(assigned, id_col, "inner")
+    hashes = _hashes(rows, seed, id_col, label_col)
+    first = _histogram(hashes, DIGITS)
+    sizes = {lab: sum(bins.values()) for lab, bins in first.items()}
+    n = sum(sizes.values())
+    n_train, n_val = int(float(ratios[0]) * n), int(float(ratios[1]) * n)
+    test = quotas(n - n_train - n_val, sizes)
+    train = quotas(n_train, {lab: size - test[lab] for lab, size in sizes.items()})
+    cuts = rank_cuts(hashes, first, {lab: (test[lab], test[lab] + train[lab]) for lab in sizes})
+    marked = _with_cuts(rows, cuts, ("__test", "__seen"), seed, id_col, label_col)
+    split = F.when(F.col("__test"), "test").when(F.col("__seen"), "train").otherwise("val")
+    return marked.withColumn("split", split).drop("__test", "__seen")
 
 
 def pos_weight(rows: DataFrame, splits: Sequence[str] = ("train", "val"),
@@ -112,39 +149,35 @@ def semi_filter(rows: DataFrame, ids: DataFrame, id_col: str = "sequence_id") ->
     return rows.join(ids.select(id_col), id_col, "left_semi")
 
 
+def _drawn(rows: DataFrame, cuts: Mapping, seed: int, id_col: str, label_col: str | None) -> DataFrame:
+    return _with_cuts(rows, cuts, ("__in",), seed, id_col, label_col).where("__in").drop("__in")
+
+
 def balanced_sample(rows: DataFrame, n: int, seed: int = 42, id_col: str = "sequence_id",
                     label_col: str = "sequence_label") -> DataFrame:
     """``n // 2`` sequences of each label (binary labels 0/1); error if a class is short."""
-    seqs = materialize(sequence_table(rows, id_col, label_col), "sequences")
     half = n // 2
-    counts = label_count_table(seqs.filter(c(label_col).isin(0, 1)), label_col)
-    # both classes must have ``half`` sequences; checked inside the plan
-    present = F.count_if(F.col("__n") >= half).over(Window.partitionBy())
-    quotas = counts.select(
-        "__lab", F.when(present < 2, F.raise_error(F.lit("a class has fewer sequences than the balanced sample needs")))
-        .otherwise(F.lit(half)).cast("long").alias("__q"))
-    ids = _with_quotas(_ranked(seqs, seed, id_col, label_col), quotas, label_col) \
-        .filter(F.col("__rank") <= F.col("__q"))
-    return semi_filter(rows, ids, id_col)
+    hashes = _hashes(rows.where(c(label_col).isin(0, 1)), seed, id_col, label_col)
+    first = _histogram(hashes, DIGITS)
+    if any(sum(first.get(lab, {}).values()) < half for lab in (0, 1)):
+        raise ValueError("a class has fewer sequences than the balanced sample needs")
+    return _drawn(rows, rank_cuts(hashes, first, {0: (half,), 1: (half,)}), seed, id_col, label_col)
 
 
 def stratified_sample(rows: DataFrame, n: int, seed: int = 42, id_col: str = "sequence_id",
                       label_col: str = "sequence_label") -> DataFrame:
-    """``n`` sequences with label shares kept (largest-remainder quotas)."""
-    seqs = materialize(sequence_table(rows, id_col, label_col), "sequences")
-    counts = label_count_table(seqs, label_col)
-    total = F.sum("__n").over(Window.partitionBy())
-    counts = counts.withColumn("__tot", total).withColumn(
-        "__tot", F.when(F.col("__tot") < n, F.raise_error(F.lit("sample larger than the population")))
-        .otherwise(F.col("__tot")))
-    quotas = quota_table(counts, F.lit(n).cast("long"), F.col("__tot"), F.col("__n"), "__q").select("__lab", "__q")
-    ids = _with_quotas(_ranked(seqs, seed, id_col, label_col), quotas, label_col) \
-        .filter(F.col("__rank") <= F.col("__q"))
-    return semi_filter(rows, ids, id_col)
+    """``n`` sequences with label shares kept (largest-remainder quotas); error if there are fewer."""
+    hashes = _hashes(rows, seed, id_col, label_col)
+    first = _histogram(hashes, DIGITS)
+    sizes = {lab: sum(bins.values()) for lab, bins in first.items()}
+    if sum(sizes.values()) < n:
+        raise ValueError("sample larger than the population")
+    return _drawn(rows, rank_cuts(hashes, first, {lab: (q,) for lab, q in quotas(n, sizes).items()}), seed, id_col, label_col)
 
 
 def random_sample(rows: DataFrame, n: int, seed: int = 42, id_col: str = "sequence_id") -> DataFrame:
-    """I4: ``n`` sequences with the smallest hash rank, ranked in hash buckets (no task holds all n)."""
-    ids = rows.select(c(id_col)).distinct().withColumn("__h", rank_key(seed, id_col))
-    ranked = bucketed_row_number(ids, [], [F.col("__h"), c(id_col)], hash_bucket(F.col("__h")), out="__rank")
-    return semi_filter(rows, ranked.filter(F.col("__rank") <= n), id_col)
+    """I4: the ``n`` sequences with the smallest hashes (all, if there are no more)."""
+    hashes = _hashes(rows, seed, id_col, None)
+    first = _histogram(hashes, DIGITS)
+    size = sum(first.get(0, {}).values())
+    return _drawn(rows, rank_cuts(hashes, first, {0: (min(n, size),)}) if size else {0: (None,)}, seed, id_col, None)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import sampling as SM
+from ..session import materialize
 from .queries import SEQ_SQL, _sequences
 from .registry import query
+from .standins import duckdb_packets, packets
 
 SEED = 42
 SAMPLE_N = 100
@@ -45,8 +47,13 @@ assigned AS (
 """
 
 
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence rows, written once: a draw reads them for its hashes and again for its rows."""
+    return materialize(_sequences(spark, sf_dir), "sequence-rows")
+
+
 def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SM.stratified_split(_sequences(spark, sf_dir), seed=SEED)
+    return SM.stratified_split(_written(spark, sf_dir), seed=SEED)
 
 
 @query("stratified_split", SPLIT_SQL + """
@@ -75,8 +82,8 @@ def q_pos_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, sequence_id, step, sequence_label FROM seqrows
 WHERE sequence_id IN (SELECT sequence_id FROM ranked WHERE rnk <= {SAMPLE_N // 2})""")
 def q_balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I2 + D3: 50 sequences per label by hash rank, rows kept by semi join."""
-    return SM.balanced_sample(_sequences(spark, sf_dir), SAMPLE_N, SEED).select(
+    """50 sequences per label, those of the smallest hashes."""
+    return SM.balanced_sample(_written(spark, sf_dir), SAMPLE_N, SEED).select(
         "event_id", "sequence_id", "step", "sequence_label")
 
 
@@ -86,7 +93,7 @@ SELECT event_id, sequence_id, step, sequence_label FROM seqrows
 WHERE sequence_id IN (SELECT sequence_id FROM ranked JOIN sq USING (sequence_label) WHERE rnk <= q)""")
 def q_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """100 sequences with label shares kept (largest remainder)."""
-    return SM.stratified_sample(_sequences(spark, sf_dir), SAMPLE_N, SEED).select(
+    return SM.stratified_sample(_written(spark, sf_dir), SAMPLE_N, SEED).select(
         "event_id", "sequence_id", "step", "sequence_label")
 
 
@@ -96,5 +103,14 @@ WHERE sequence_id IN (SELECT sequence_id FROM seqs ORDER BY md5('{SEED}|' || seq
                       LIMIT {SAMPLE_N})""")
 def q_random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I4: the 100 sequences with the smallest hash rank (the limit is the sample)."""
-    return SM.random_sample(_sequences(spark, sf_dir), SAMPLE_N, SEED).select(
+    return SM.random_sample(_written(spark, sf_dir), SAMPLE_N, SEED).select(
         "event_id", "sequence_id", "step", "sequence_label")
+
+
+@query("semi_filter", f"""
+WITH packets AS ({duckdb_packets()})
+SELECT event_id, stream_id FROM packets WHERE stream_id IN (SELECT stream_id FROM packets WHERE rst = 1)""")
+def q_semi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: packets of the streams that have a reset, by a table of ids."""
+    p = packets(spark, sf_dir)
+    return SM.semi_filter(p, p.where("rst = 1").select("stream_id"), "stream_id").select("event_id", "stream_id")
