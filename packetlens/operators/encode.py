@@ -1,10 +1,13 @@
 """Encoding and feature assembly (inventory J1-J7).
 
 Categories of any number are fitted to a table ``(feature, value, code)`` and
-applied by joins on the value, giving one code column per feature (the index
-of the hot column of a one-hot block, -1 for an unseen value); no category
-list reaches the driver.  Wide one-hot columns exist for callers that ask for
-them with their own category lists.  Moments (J2) are two numbers a column.
+applied by joins on the value; no category list reaches the driver.  An
+encoded row is one sparse vector: every feature has a range of slots (a number
+or a boolean one slot, a categorical feature one for each category), given by a
+``Layout`` of one entry per feature, and only non-zero slots are stored.  An
+unseen category is an empty slot.  Wide one-hot columns exist for callers that
+ask for them with their own category lists.  Moments (J2) are two numbers a
+column.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import c
-from ..session import materialize
-from .ordered import bucketed_row_number
+from ..session import drop_on_exit, materialize, scratch_path
 
 GROUP_SEPARATOR = "__"
 CODE = "code"
+FEATURES = "features"
 
 
 def _fit_rows(df: DataFrame, split_col: str | None, fit_on: Sequence[str] | None) -> DataFrame:
@@ -39,13 +42,21 @@ def fit_codes(df: DataFrame, cols: Sequence[str], split_col: str | None = "split
               fit_on: Sequence[str] | None = ("train", "val")) -> DataFrame:
     """J1/J3 fit: the table (feature, value, code), code = 0-based place among the sorted values of its feature.
 
-    Values are range-partitioned and numbered inside their range, then moved on
-    by the counts of the ranges before: no task or driver holds all values.
+    Values are range-partitioned, numbered as they are written and moved on by
+    the counts of the ranges before (one row per feature and range): no task
+    holds all values, and the driver none.
     """
-    ranged = _values(df, cols, split_col, fit_on).repartitionByRange("feature", "value").withColumn("__part", F.spark_partition_id())
-    ranged = materialize(ranged, "categories")
-    numbered = bucketed_row_number(ranged, ["feature"], [F.col("value")], F.col("__part"), out="__rn")
-    return materialize(numbered.select("feature", "value", (F.col("__rn") - 1).cast("int").alias("code")), "codes")
+    ranged = _values(df, cols, split_col, fit_on).repartitionByRange("feature", "value").sortWithinPartitions("feature", "value")
+    at = F.monotonically_increasing_id()  # partition number and place in it
+    ranged = materialize(ranged.select("feature", "value", at.alias("at")), "categories")
+    part = F.shiftright("at", 33)
+    starts, taken = [], {}
+    for r in ranged.groupBy("feature", part.alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        starts.append((r["feature"], r["part"], r["first"] - taken.get(r["feature"], 0)))
+        taken[r["feature"]] = taken.get(r["feature"], 0) + r["n"]
+    starts = df.sparkSession.createDataFrame(starts, "__f string, __p long, __s long")  # features x ranges rows
+    moved = ranged.join(F.broadcast(starts), (F.col("feature") == F.col("__f")) & (part == F.col("__p")))
+    return moved.select("feature", "value", (F.col("at") - F.col("__s")).cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -90,25 +101,6 @@ def apply_onehot(df: DataFrame, cats: Mapping[str, Sequence[str]]) -> DataFrame:
     return df.select(*keep, *onehot_columns(cats))
 
 
-def fit_onehot_vector(df: DataFrame, col: str, split_col: str | None = "split",
-                      fit_on: Sequence[str] | None = ("train", "val"), out: str | None = None):
-    """J1 for high-cardinality columns: a sparse-vector one-hot instead of wide columns.
-
-    Categories are sorted (``alphabetAsc``) and fitted on ``fit_on``; an unseen
-    value maps to the extra "unknown" slot, which ``dropLast`` removes, so it
-    encodes as all zeros (as the wide form does).  Returns a fitted pipeline
-    model whose ``transform`` adds ``out`` (default ``{col}__vec``).
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-
-    idx = StringIndexer(inputCol=col, outputCol=f"{col}__idx", stringOrderType="alphabetAsc",
-                        handleInvalid="keep")
-    # the indexer's metadata already has the unknown slot last; dropLast removes it
-    enc = OneHotEncoder(inputCols=[f"{col}__idx"], outputCols=[out or f"{col}__vec"], dropLast=True)
-    return Pipeline(stages=[idx, enc]).fit(_fit_rows(df, split_col, fit_on).where(c(col).isNotNull()))
-
-
 def ordinal_encode(df: DataFrame, col: str, codes: DataFrame | None = None, out: str | None = None) -> DataFrame:
     """Place of the value in the sorted values of the column; unknown or null -> -1."""
     if codes is None:
@@ -170,35 +162,147 @@ def onehot_summary(coded: DataFrame, codes: DataFrame, col: str) -> DataFrame:
         F.when(some, (F.col("seen") > 0).cast("double")).alias("max"), "rows", "width", F.col("width").alias("categories"))
 
 
-def assemble(df: DataFrame, moments: Mapping[str, Moments], booleans: Sequence[str],
-             categorical: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Scaled numerics, booleans as is, code columns and the id/label columns,
-    in one projection with columns in name order."""
-    parts = {n: expr for n, expr in zip(moments, scaled_columns(moments))}
-    parts.update({n: c(n) for n in booleans})
-    parts.update({f"{n}{GROUP_SEPARATOR}{CODE}": c(f"{n}{GROUP_SEPARATOR}{CODE}") for n in categorical})
-    parts.update({n: c(n) for n in keep if n in df.columns})
-    return df.select(*[parts[k].alias(k) for k in sorted(parts)])
-
-
-def feature_groups(columns: Iterable[str], exclude: Iterable[str] = ()) -> dict[str, list[str]]:
-    """Logical feature -> encoded columns (name before '__'), in column order."""
-    exclude = set(exclude)
-    groups: dict[str, list[str]] = {}
-    for n in columns:
-        if n in exclude:
-            continue
-        groups.setdefault(n.split(GROUP_SEPARATOR)[0], []).append(n)
-    return groups
-
-
-def select_features(df: DataFrame, features: Sequence[str | int], groups: Mapping[str, Sequence[str]],
-                    keep: Sequence[str] = ()) -> DataFrame:
-    """Keep the encoded columns of the named (or positional) features."""
-    names = list(groups)
-    chosen = [names[f] if isinstance(f, int) else f for f in features] or names
-    cols = [x for f in chosen for x in groups[f]]
-    return df.select(*[c(k) for k in keep if k in df.columns], *[c(x) for x in cols])
+@dataclass(frozen=True)
+class Layout:
+    """Slots of an encoded row: (feature, first slot, width) by feature name."""
+    features: tuple[tuple[str, int, int], ...]
+
+    @staticmethod
+    def of_widths(widths: Mapping[str, int]) -> "Layout":
+        out, at = [], 0
+        for name in sorted(widths):
+            out.append((name, at, widths[name]))
+            at += widths[name]
+        return Layout(tuple(out))
+
+    @staticmethod
+    def of(df: DataFrame, col: str = FEATURES) -> "Layout":
+        """The layout that a column of encoded rows carries (it survives writing and reading as Parquet)."""
+        return Layout(tuple((x["name"], x["first"], x["width"]) for x in df.schema[col].metadata["layout"]))
+
+    @property
+    def names(self) -> list[str]:
+        return [n for n, _, _ in self.features]
+
+    @property
+    def size(self) -> int:
+        return sum(w for _, _, w in self.features)
+
+    def metadata(self) -> dict:
+        return {"layout": [{"name": n, "first": a, "width": w} for n, a, w in self.features]}
+
+    def keep(self, names: Sequence[str]) -> "Layout":
+        """The layout of the named features alone."""
+        missing = set(names) - set(self.names)
+        if missing:
+            raise ValueError(f"unknown features: {sorted(missing)}")
+        return Layout.of_widths({n: w for n, _, w in self.features if n in names})
+
+
+def _vector(slots: Column, size: int | Column) -> Column:
+    """The encoded row of an array of (slot, value) in slot order."""
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.struct(size.cast("int").alias("size"), F.transform(slots, lambda x: x["slot"]).alias("indices"),
+                    F.transform(slots, lambda x: x["value"]).alias("values"))
+
+
+def _slots(vector: Column) -> Column:
+    return F.zip_with(vector["indices"], vector["values"], lambda i, v: F.struct(i.alias("slot"), v.alias("value")))
+
+
+def fit_layout(codes: DataFrame | None, scalars: Sequence[str], categorical: Sequence[str]) -> Layout:
+    """One slot for each scalar, one for each category of a categorical feature (counted; one row per feature comes back)."""
+    widths = dict.fromkeys(scalars, 1) | dict.fromkeys(categorical, 0)
+    if categorical:
+        widths |= {r["feature"]: r["n"] for r in codes.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return Layout.of_widths(widths)
+
+
+def assemble(df: DataFrame, layout: Layout, moments: Mapping[str, Moments], booleans: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """J4 + J1: ``features``, the sparse vector of scaled numerics, booleans and one-hot categories, beside the id and label columns.
+
+    Categories come as code columns (``apply_codes``).  Nulls, zeros and unseen
+    categories are empty slots.  One projection; columns in name order.
+    """
+    scaled = dict(zip(moments, scaled_columns(moments)))
+    slots = []
+    for name, first, _ in layout.features:
+        if name in scaled or name in booleans:
+            value, slot = (scaled[name] if name in scaled else c(name).cast("double")), F.lit(first)
+        else:
+            code = c(f"{name}{GROUP_SEPARATOR}{CODE}")
+            value, slot = F.when(code >= 0, F.lit(1.0)), F.lit(first) + code
+        slots.append(F.struct(slot.cast("int").alias("slot"), value.alias("value")))
+    row = _vector(F.filter(F.array(*slots), lambda x: x["value"] != 0), layout.size) if slots else _vector(
+        F.array().cast("array<struct<slot:int,value:double>>"), 0)
+    parts = {n: c(n).alias(n) for n in keep if n in df.columns} | {FEATURES: row.alias(FEATURES, metadata=layout.metadata())}
+    return df.select(*[parts[k] for k in sorted(parts)])
+
+
+def feature_groups(layout: Layout) -> dict[str, range]:
+    """Logical feature -> its slots."""
+    return {n: range(a, a + w) for n, a, w in layout.features}
+
+
+def select_features(df: DataFrame, features: Sequence[str | int], keep: Sequence[str] | None = None, col: str = FEATURES) -> DataFrame:
+    """The named (or positional) features' slots only, moved together; no feature named keeps all.  ``keep``: other columns (default all)."""
+    layout = Layout.of(df, col)
+    names = [layout.names[f] if isinstance(f, int) else f for f in features] or layout.names
+    new = layout.keep(names)
+    at = {n: a for n, a, _ in new.features}
+    moves = [(a, a + w, at[n] - a) for n, a, w in layout.features if n in at]
+
+    def move(x: Column) -> Column:
+        slot = F.lit(None).cast("int")
+        for lo, hi, by in moves:
+            slot = F.when((x["slot"] >= lo) & (x["slot"] < hi), x["slot"] + by).otherwise(slot)
+        return F.struct(slot.alias("slot"), x["value"].alias("value"))
+
+    row = _vector(F.filter(F.transform(_slots(c(col)), move), lambda x: x["slot"].isNotNull()), new.size)
+    others = [n for n in (df.columns if keep is None else keep) if n in df.columns and n != col]
+    return df.select(*[c(n) for n in others], row.alias(col, metadata=new.metadata()))
+
+
+def hot_code(df: DataFrame, feature: str, col: str = FEATURES) -> Column:
+    """The category code that an encoded row holds for ``feature``, -1 for none."""
+    first, width = {n: (a, w) for n, a, w in Layout.of(df, col).features}[feature]
+    mine = F.filter(c(col)["indices"], lambda i: (i >= first) & (i < first + width))
+    return F.coalesce(F.get(mine, F.lit(0)) - first, F.lit(-1))
+
+
+def sequence_vectors(df: DataFrame, id_col: str = "sequence_id", label_col: str = "sequence_label", step_col: str = "step",
+                     col: str = FEATURES) -> DataFrame:
+    """J6 flattened: one sparse vector per sequence, the rows' vectors one after another in step order, with label and split.
+
+    A group holds exactly one sequence (a fixed number of rows), so collecting it is bounded.
+    """
+    width = Layout.of(df, col).size
+    steps = F.sort_array(F.collect_list(F.struct(c(step_col).alias("step"), _slots(c(col)).alias("slots"))))
+    flat = F.flatten(F.transform("__steps", lambda s, i: F.transform(
+        s["slots"], lambda x: F.struct((i * width + x["slot"]).alias("slot"), x["value"].alias("value")))))
+    grouped = df.groupBy(c(id_col)).agg(steps.alias("__steps"), F.max(c(label_col)).alias("label"), F.max("split").alias("split"))
+    return grouped.select(c(id_col), "label", "split", _vector(flat, F.size("__steps") * width).alias(col))
+
+
+def as_ml_vectors(df: DataFrame, col: str = FEATURES) -> DataFrame:
+    """``df`` with its encoded rows as vectors of the learning library.
+
+    The table is written in the vectors' storage form and read back as vectors
+    (training passes over it many times anyway), so no row goes through Python.
+    """
+    import uuid
+
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
+
+    v = c(col)
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), v["size"].alias("size"), v["indices"].alias("indices"), v["values"].alias("values"))
+    df = df.withColumn(col, stored)
+    path = scratch_path(df.sparkSession, f"tables/vectors-{uuid.uuid4().hex[:12]}")
+    drop_on_exit(df.sparkSession, path)
+    df.write.parquet(path)
+    schema = T.StructType([T.StructField(f.name, VectorUDT() if f.name == col else f.dataType) for f in df.schema.fields])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def sequence_matrix(df: DataFrame, features: Sequence[str], split: str | None = None,

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import c, safe_div
 from ..session import materialize
+from .encode import FEATURES, Layout, as_ml_vectors, select_features, sequence_vectors
 
 VAR_FLOOR = 1e-9
 
@@ -158,26 +159,71 @@ def population_stats(fitness: DataFrame, by: str = "generation") -> DataFrame:
     return fitness.groupBy(by).agg(*aggs)
 
 
-def train_logistic(rows: DataFrame, features: Sequence[str], pos_weight: float, max_iter: int = 50,
-                   id_col: str = "sequence_id", label_col: str = "sequence_label") -> DataFrame:
-    """L1: weighted logistic regression on flattened sequences (train split), scored on all splits.
+def train_logistic(rows: DataFrame, pos_weight: float, features: Sequence[str] = (), max_iter: int = 50,
+                   reg: float = 0.0, l1: float = 0.0, id_col: str = "sequence_id") -> DataFrame:
+    """L1: weighted logistic regression on the prepared table's sequences (train split), scored on all splits.
 
-    Returns (sequence_id, label, logit, split).  Positive sequences carry weight
-    ``pos_weight`` as in a weighted logistic loss.
+    Every sequence is one sparse vector of its steps in order (``sequence_vectors``)
+    of the named features, all if none is named.  Returns (sequence_id, label,
+    logit, split).  Positive sequences carry weight ``pos_weight`` as in a
+    weighted logistic loss.  The model has one number per step and slot.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    steps = rows.groupBy(c(id_col)).agg(
-        F.max("split").alias("split"), F.max(c(label_col)).cast("double").alias("label"),
-        *[F.avg(c(x).cast("double")).alias(f"__f{i}") for i, x in enumerate(features)])
-    feats = [f"__f{i}" for i in range(len(features))]
-    steps = steps.na.fill(0.0, subset=feats).withColumn(
-        "__w", F.when(F.col("label") == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
-    vec = VectorAssembler(inputCols=feats, outputCol="__x").transform(steps)
-    model = LogisticRegression(featuresCol="__x", labelCol="label", weightCol="__w", maxIter=max_iter) \
-        .fit(vec.filter(F.col("split") == "train"))
-    scored = model.transform(vec)
-    return scored.select(c(id_col), F.col("label").cast("int").alias("label"),
-                         vector_to_array("rawPrediction")[1].alias("logit"), "split")
+    chosen = select_features(rows, features) if features else rows
+    weight = float(pos_weight) if math.isfinite(pos_weight) else 1.0
+    seq = sequence_vectors(chosen, id_col).select(
+        c(id_col), F.col("label").cast("double").alias("label"), "split", FEATURES,
+        F.when(F.col("label") == 1, F.lit(weight)).otherwise(F.lit(1.0)).alias("__w"))
+    seq = as_ml_vectors(seq)
+    model = LogisticRegression(featuresCol=FEATURES, labelCol="label", weightCol="__w", maxIter=max_iter,
+                               regParam=reg, elasticNetParam=l1).fit(seq.filter(F.col("split") == "train"))
+    return model.transform(seq).select(c(id_col), F.col("label").cast("int").alias("label"),
+                                       vector_to_array("rawPrediction")[1].alias("logit"), "split")
+
+
+def slot_means(rows: DataFrame, length: int, id_col: str = "sequence_id", label_col: str = "sequence_label") -> DataFrame:
+    """(sequence_id, split, y, slot, x): the mean of every stored slot over a prepared sequence's ``length`` steps."""
+    slots = F.inline(F.arrays_zip(F.col(FEATURES)["indices"].alias("slot"), F.col(FEATURES)["values"].alias("value")))
+    long = rows.select(c(id_col), "split", c(label_col).cast("int").alias("y"), slots)
+    return long.groupBy(c(id_col), "split", "y", "slot").agg((F.sum("value") / length).alias("x"))
+
+
+def prepared_contributions(rows: DataFrame, length: int, fit_split: str = "train", id_col: str = "sequence_id",
+                           label_col: str = "sequence_label") -> tuple[DataFrame, float]:
+    """(sequence_id, split, y, contrib) of prepared sequences, and the log prior: the input of ``score_candidates``.
+
+    The Gaussian class-conditional model of ``fit_gaussian`` per slot, for any
+    number of slots: class moments are a table by slot, joined to the stored
+    slots; an empty slot contributes its ratio at 0, added per feature as a
+    constant.  One row per feature and class comes to the driver.
+    """
+    layout = Layout.of(rows)
+    seqs = rows.where(F.col("step") == 0).select(c(id_col), "split", c(label_col).cast("int").alias("y"))
+    means = materialize(slot_means(rows, length, id_col, label_col), "slot-means")
+    n = {r["y"]: r["n"] for r in seqs.where(F.col("split") == fit_split).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n.get(0) or not n.get(1):
+        raise ValueError("both classes are needed in the fit split")
+    sums = [F.sum(F.when(F.col("y") == y, v).otherwise(0.0)).alias(f"{name}{y}")
+            for y in (0, 1) for name, v in (("s", F.col("x")), ("q", F.col("x") * F.col("x")))]
+    fit = means.where(F.col("split") == fit_split).groupBy("slot").agg(*sums)
+
+    def log_normal(x: Column, y: int) -> Column:
+        mu = F.col(f"s{y}") / n[y]
+        v = F.greatest(F.col(f"q{y}") / n[y] - mu * mu, F.lit(VAR_FLOOR))
+        return F.log(v) * -0.5 - (x - mu) * (x - mu) / (2 * v)
+
+    feature = F.lit(None).cast("int")
+    for k, (_, first, width) in enumerate(layout.features):
+        feature = F.when((F.col("slot") >= first) & (F.col("slot") < first + width), F.lit(k)).otherwise(feature)
+    ratio = lambda x: log_normal(x, 1) - log_normal(x, 0)
+    fit = materialize(fit.withColumn("feature", feature).withColumn("at0", ratio(F.lit(0.0))), "slot-fit")
+    base = {r["feature"]: r["b"] for r in fit.groupBy("feature").agg(F.sum("at0").alias("b")).collect()}
+    terms = (means.where(F.col("split") != fit_split).join(fit, "slot")
+             .groupBy(c(id_col), "feature").agg(F.sum(ratio(F.col("x")) - F.col("at0")).alias("v"))
+             .groupBy(c(id_col)).agg(F.map_from_entries(F.collect_list(F.struct("feature", "v"))).alias("terms")))
+    contrib = F.array(*[F.lit(float(base.get(k, 0.0))) + F.coalesce(F.try_element_at("terms", F.lit(k)), F.lit(0.0))
+                        for k in range(len(layout.features))])
+    out = seqs.where(F.col("split") != fit_split).join(terms, id_col, "left").select(c(id_col), "split", "y", contrib.alias("contrib"))
+    return out, math.log(n[1] / n[0])

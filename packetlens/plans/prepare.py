@@ -37,26 +37,30 @@ def prepare(df: DataFrame, length: int = 10, ratios: Sequence[float] = sampling.
             checkpoint: bool = True) -> DataFrame:
     """Fill nulls, cut labelled sequences, split, fit encoders on ``fit_on``, assemble.
 
-    ``df`` must hold ``attack_label, attack_type, session_id, timestamp``.  Rows
-    with equal (session, timestamp) are ordered by ``tiebreak`` (default: a hash
-    of the whole row, so identical rows are the only unordered ones).  The split
-    table is written once to the shared checkpoint folder because two fits and
-    the final projection all read it.
+    The result has the columns of ``SEQUENCE_KEEP`` and ``features``, one sparse
+    vector a row with its ``encode.Layout``.  ``df`` must hold ``attack_label,
+    attack_type, session_id, timestamp``.  Rows with equal (session, timestamp)
+    are ordered by ``tiebreak``, columns that are no features (default: a hash of
+    the whole row, so identical rows are the only unordered ones).  The sequence
+    rows are written once to the shared checkpoint folder because the split, two
+    fits and the final projection all read them.
     """
     schema.require_columns(df, schema.SPECIAL_COLUMNS)
     filled = nulls.fill_nulls(df, no_flag=["attack_label"])
-    special = [*schema.SPECIAL_COLUMNS, "sequence_id"]
+    special = [*schema.SPECIAL_COLUMNS, "sequence_id", *(tiebreak or [])]
     numeric, booleans, categorical = feature_kinds(filled, special)
     if tiebreak is None:
         filled = filled.withColumn("__tb", F.xxhash64(*[c(n) for n in filled.columns]))
         tiebreak = ["__tb"]
     seq = sessions.make_sequences(filled, length, session="session_id", time="timestamp",
                                   label="attack_label", tiebreak=tiebreak, bucket_width=bucket_width)
-    seq = seq.drop("__tb")
-    split = sampling.stratified_split(seq, ratios, seed)
+    seq = seq.drop(*tiebreak)
     if checkpoint:
-        split = materialize(split, "prepared-split")
+        seq = materialize(seq, "prepared-sequences")
+    split = sampling.stratified_split(seq, ratios, seed)
     moments = encode.fit_scaler(split, numeric, "split", fit_on)
+    codes = encode.fit_codes(split, categorical, "split", fit_on) if categorical else None
     if categorical:
-        split = encode.apply_codes(split, encode.fit_codes(split, categorical, "split", fit_on), categorical)
-    return encode.assemble(split, moments, booleans, categorical, SEQUENCE_KEEP)
+        split = encode.apply_codes(split, codes, categorical)
+    layout = encode.fit_layout(codes, [*numeric, *booleans], categorical)
+    return encode.assemble(split, layout, moments, booleans, SEQUENCE_KEEP)

@@ -10,7 +10,7 @@ from ..operators import encode as EN
 from ..operators import sampling as SM
 from .prepare import prepare
 from .queries import _sequences
-from .queries_net import _sql_subnet
+from .queries_net import _sql_flags, _sql_ports, _sql_subnet
 from .queries_sampling import SEED, SPLIT_SQL
 from .registry import query
 from .standins import packets, table
@@ -59,15 +59,12 @@ SELECT f.event_id, COALESCE(i1.i, -1) AS subnet_code, (SELECT COUNT(*) FROM c1)
 FROM feats f LEFT JOIN i1 ON f.subnet = i1.v""")
 def q_onehot_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 (vector form): sparse one-hot of the subnet fitted on train+val; shown as the
-    hot position (-1 = unseen, all zeros) and the vector width."""
-    from pyspark.ml.functions import vector_to_array
-
+    hot slot (-1 = unseen, no slot) and the vector width."""
     f = _feats(spark, sf_dir)
-    model = EN.fit_onehot_vector(f, "subnet")
-    arr = vector_to_array(F.col("subnet__vec"))
-    enc = model.transform(f).select("event_id", arr.alias("__a"))
-    hot = F.array_position(F.col("__a"), 1.0).cast("int") - 1
-    return enc.select("event_id", hot.alias("subnet_code"), F.size("__a").cast("long").alias("width"))
+    codes = EN.fit_codes(f, ["subnet"])
+    layout = EN.fit_layout(codes, [], ["subnet"])
+    enc = EN.assemble(EN.apply_codes(f, codes, ["subnet"]), layout, {}, [], keep=["event_id"])
+    return enc.select("event_id", EN.hot_code(enc, "subnet").alias("subnet_code"), F.col("features.size").cast("long").alias("width"))
 
 
 @query("scale_features", FEATS_SQL + """,
@@ -133,21 +130,61 @@ def q_sequence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.element_at("matrix", -1)[0].cast("long").alias("last_port"))
 
 
-def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets view through ``prepare``: sequences of 10 with their sparse feature vectors."""
     p = packets(spark, sf_dir)
     p = net.with_ip_longs(p, "ip_src", "ip_dst")
     df = p.select(
-        F.col("stream_id").alias("session_id"), F.col("ts_us").alias("timestamp"), "attack_label",
+        "event_id", F.col("stream_id").alias("session_id"), F.col("ts_us").alias("timestamp"), "attack_label",
         "attack_type", "num_a", "port_src", "port_dst",
         net.shared_subnet_mask("ip_src", "ip_dst", None, "__ip_ip_src", "__ip_ip_dst").alias("ip.subnet"),
         *ports.port_features("port_dst"), *net.ip_flags("ip_src", as_long="__ip_ip_src"))
-    return prepare(df, length=10, seed=SEED, tiebreak=None)
-
-
-@query("prepare")
+    return prepare(df, length=10, seed=SEED, tiebreak=["event_id"])
+
+
+def _prepared_sql() -> str:
+    """Every stored slot of the prepared table: scaled numbers, booleans with their validity flags, one-hot categories."""
+    features = {"num_a": "number", "port_src": "number", "port_dst": "number", "ip.subnet": "category", "port_dst.category": "category",
+                **{f"ip_src.is_{x}": "flag" for x in ("private", "loopback", "multicast", "link_local", "unspecified")},
+                **{f"port_dst.is_{x}": "flag" for x in ("well_known", "common_service")},
+                **{f"{x}.is_valid": "valid" for x in ("num_a", "port_dst", "port_dst.is_well_known", "port_dst.is_common_service")}}
+    widths, moments, entries, first = [], [], [], "0"
+    for i, (name, kind) in enumerate(sorted(features.items())):
+        source = name.removesuffix(".is_valid") if kind == "valid" else name
+        if kind == "category":
+            values = f"""(SELECT v, ROW_NUMBER() OVER (ORDER BY v) - 1 AS code FROM (
+                SELECT DISTINCT COALESCE("{name}", 'NONE') AS v FROM raw WHERE split IN ('train', 'val')))"""
+            entries.append(f"""SELECT raw.*, {first} + k.code AS slot, 1.0::DOUBLE AS x FROM raw JOIN {values} k ON COALESCE("{name}", 'NONE') = k.v""")
+            widths.append(f"""(SELECT COUNT(*) FROM {values}) AS w{i}""")
+            first += f" + (SELECT w{i} FROM widths)"
+            continue
+        if kind == "number":
+            filled = f'COALESCE(CAST("{name}" AS DOUBLE), -1.0)'
+            moments += [f"AVG({filled}) AS m{i}", f"CASE WHEN STDDEV_POP({filled}) > 0 THEN STDDEV_POP({filled}) ELSE 1 END AS s{i}"]
+            value = f"({filled} - (SELECT m{i} FROM moments)) / (SELECT s{i} FROM moments)"
+        elif kind == "flag":
+            value = f'CAST(COALESCE("{name}", FALSE) AS DOUBLE)'
+        else:
+            value = f'CAST("{source}" IS NOT NULL AS DOUBLE)'
+        entries.append(f"SELECT raw.*, {first} AS slot, {value} AS x FROM raw")
+        first += " + 1"
+    return SPLIT_SQL + f""",
+raw AS (SELECT r.sequence_id, r.step, r.sequence_label, a.split, p.attack_label, p.attack_type, p.num_a, p.port_src, p.port_dst,
+  nullif({_sql_subnet('ip_src', 'ip_dst', 'none')}, 'none') AS "ip.subnet", {_sql_ports('port_dst')}, {_sql_flags('ip_src')}
+  FROM seqrows r JOIN assigned a USING (sequence_id) JOIN packets p USING (event_id)),
+moments AS (SELECT {", ".join(moments)} FROM raw WHERE split IN ('train', 'val')),
+widths AS (SELECT {", ".join(widths)}),
+entries AS ({" UNION ALL ".join(entries)})
+SELECT sequence_id, step, sequence_label, attack_label, attack_type, split, CAST(slot AS INTEGER) AS slot, round(x, 6) AS value
+FROM entries WHERE x <> 0"""
+
+
+@query("prepare", _prepared_sql())
 def q_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A8 (+C14-C16, C1, F4, I1, J1, J2, J4): packets -> encoded, split sequence table."""
-    return _prepared(spark, sf_dir)
+    """A8 (+C14-C16, C1, F4, I1, J1, J2, J4): packets -> split sequence table, one row per stored slot of its feature vectors."""
+    slots = F.inline(F.arrays_zip(F.col("features.indices").alias("slot"), F.col("features.values").alias("value")))
+    rows = prepared(spark, sf_dir).select("sequence_id", "step", "sequence_label", "attack_label", "attack_type", "split", slots)
+    return rows.withColumn("value", F.round("value", 6))
 
 
 @query("select_features", FEATS_SQL + """,
@@ -158,8 +195,6 @@ i2 AS (SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS i FROM c
 SELECT f.sequence_id, f.step, COALESCE(i1.i, -1) AS "ip.subnet__code", COALESCE(i2.i, -1) AS "port_dst.category__code"
 FROM feats f LEFT JOIN i1 ON f.subnet = i1.v LEFT JOIN i2 ON f.port_cat = i2.v""")
 def q_select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J5 + J7: feature groups of the encoded table; keep two logical features by name."""
-    enc = _prepared(spark, sf_dir)
-    groups = EN.feature_groups(enc.columns, exclude=["sequence_id", "sequence_label", "attack_type",
-                                                     "attack_label", "split", "step"])
-    return EN.select_features(enc, ["ip.subnet", "port_dst.category"], groups, keep=["sequence_id", "step"])
+    """J5 + J7: slots of the encoded table; keep those of two logical features by name."""
+    enc = EN.select_features(prepared(spark, sf_dir), ["ip.subnet", "port_dst.category"], keep=["sequence_id", "step"])
+    return enc.select("sequence_id", "step", *[EN.hot_code(enc, n).alias(f"{n}__code") for n in EN.Layout.of(enc).names])

@@ -9,15 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics as M
-from ..operators import sampling as SM
-from ..operators import selection as SEL
-from ..sources import files
 from . import captures, presets
-from .datasets import load_data
+from .datasets import dataset_factory, load_data
+from .experiments import run_grid
 from .queries import PACKETS_CTE
 from .queries_net import _sql_flags, _sql_ports, _sql_subnet
-from .queries_selection import FEATURES, SEED, _scored
+from .queries_sampling import SEED
 from .registry import query
 
 
@@ -80,27 +77,19 @@ def q_load_data_mqtt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data
 
 
+@query("dataset_factory")
+def q_dataset_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow dataset's splits of two chosen features, sequences as sparse vectors (shown by size and stored slots)."""
+    parts, extra = dataset_factory(spark, "x-iiotd", captures.write_flows(spark, sf_dir), captures.fresh_path(spark, "cache"),
+                                   sequence_length=5, seed=SEED, features=["Des_port.category", "Protocol"])
+    frames = [df.select("sequence_id", "label", "split", F.col("features.size").alias("size"), F.col("features.indices").alias("slots"),
+                        F.lit(float(extra["pos_weight"])).alias("pos_weight")) for df in parts.values()]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
 @query("experiment_results")
 def q_experiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7 + A4: one experiment row (selection + test metrics) written and read back."""
-    fitness, masks = _scored(spark, sf_dir)
-    best = SEL.best_subset(fitness, masks).first()
-    stats = SEL.population_stats(fitness).first()
-    from .queries import _sequences
-    rows = SM.stratified_split(_sequences(spark, sf_dir), seed=SEED)
-    pw = SM.pos_weight(rows).first()["pos_weight"]
-    chosen = best["features"] or FEATURES
-    pred = SEL.train_logistic(rows, chosen, pw)
-    m = M.metrics_by(pred.filter(F.col("split") == "test"), [], pos_weight=pw)
-    row = m.select(
-        F.lit("logistic").alias("model"), F.lit("packets").alias("dataset"), F.lit(10).alias("sequence_length"),
-        F.lit(SEED).alias("random_state"),
-        F.array(F.lit(float(stats["f1_max"])), F.lit(float(best["n_features"]))).alias("best_fitness_gp"),
-        F.lit(len(best["features"] or [])).alias("features_count_gp"),
-        F.array(*[F.lit(x) for x in best["features"] or []]).cast("array<string>").alias("features_gp"),
-        F.col("accuracy").alias("test_accuracy"), F.col("precision").alias("test_precision"),
-        F.col("recall").alias("test_recall"), F.col("f1").alias("test_f1"), F.col("auroc").alias("test_auroc"),
-        F.col("confusion").alias("test_confusion_matrix"))
-    path = captures.fresh_path(spark, "results")
-    files.write_results(row, path, mode="overwrite")
-    return spark.read.parquet(path)
+    """K7 + A4 (+A9, L1-L5): two datasets by two models with growing seeds, each row written by its key, read back."""
+    sources = {"mqttset": (captures.write_mqtt(spark, sf_dir), lambda s, p: presets.load_mqtt(s, p, label_from="dir")),
+               "x-iiotd": (captures.write_flows(spark, sf_dir), None)}
+    return run_grid(spark, sources, captures.fresh_path(spark, "cache"), captures.fresh_path(spark, "results"), seed=SEED)

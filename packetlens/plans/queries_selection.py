@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import sampling as SM
 from ..operators import selection as SEL
+from ..session import materialize
+from .experiments import select
 from .queries import _sequences
+from .queries_encode import prepared
 from .queries_sampling import SEED, SPLIT_SQL
 from .registry import query
 
@@ -111,10 +114,17 @@ def q_population_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "n_features_avg", "n_features_std", "n_features_min", "n_features_max")
 
 
+@query("prepared_selection")
+def q_prepared_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 + L3 on the prepared table: random subsets of its features, scored on the whole val split."""
+    data = materialize(prepared(spark, sf_dir), "prepared")
+    fitness, _ = select(spark, data, 10, SEED, POPULATION, None, None)
+    return fitness
+
+
 @query("train_evaluate")
 def q_train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1 + K5: weighted logistic regression on sequence features, metrics per split."""
-    rows = SM.stratified_split(_sequences(spark, sf_dir), seed=SEED)
-    pw = SM.pos_weight(rows).first()["pos_weight"]
-    pred = SEL.train_logistic(rows, FEATURES, pw)
-    return M.metrics_by(pred, ["split"], pos_weight=pw).drop("confusion")
+    """L1 + K5: weighted logistic regression on the prepared sequences' vectors, metrics per split."""
+    data = materialize(prepared(spark, sf_dir), "prepared")
+    pw = SM.pos_weight(data).first()["pos_weight"]
+    return M.metrics_by(SEL.train_logistic(data, pw), ["split"], pos_weight=pw).drop("confusion")

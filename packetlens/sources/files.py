@@ -6,6 +6,7 @@ the cluster's FileSystem API, never the driver's local disk.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> list[str]:
     """Data files below ``directory`` (recursive), sorted; hidden/_ files skipped."""
     fs, p = _fs(spark, directory)
@@ -98,14 +104,39 @@ def read_labelled_dir(spark: SparkSession, directory: str, benign_prefix: str =
                      (~label.startswith(benign_prefix)).alias("attack_label"))
 
 
+def fingerprint(spark: SparkSession, source: str, **parameters) -> str:
+    """A text that changes when a file below ``source`` is added, removed or rewritten, or a parameter changes.
+
+    Names, sizes and times of the files are listed and combined in Spark; no content is read.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+    r = found.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b"),
+                  F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("x")).first()
+    return json.dumps({"files": [r["n"], r["b"], r["x"]], **parameters}, sort_keys=True, default=str)
+
+
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-           partition_by: Sequence[str] = ()) -> DataFrame:
-    """A3: read-through parquet cache: read ``path`` if a finished write is there (``_SUCCESS``), else build, write, read back."""
-    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+           partition_by: Sequence[str] = (), key: str | None = None) -> DataFrame:
+    """A3: read-through parquet cache: read ``path`` if a finished write is there (``_SUCCESS``), else build, write, read back.
+
+    With ``key`` (see ``fingerprint``) a manifest beside the table says what it
+    was built from, and another key builds it anew.  The manifest is written
+    last, so a table whose write stopped half-way is never taken.
+    """
+    path = path.rstrip("/")
+    manifest = f"{path}.manifest"
+    fresh = path_exists(spark, f"{path}/_SUCCESS")
+    if key is not None:
+        fresh = fresh and path_exists(spark, f"{manifest}/_SUCCESS") and spark.read.text(manifest, wholetext=True).first()["value"].strip() == key
+    if not fresh:
+        if key is not None:
+            remove(spark, manifest)
         w = build().write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
+        if key is not None:
+            spark.createDataFrame([(key,)], "value string").coalesce(1).write.mode("overwrite").text(manifest)
     return spark.read.parquet(path)
 
 
@@ -123,7 +154,27 @@ RESULTS_SCHEMA = T.StructType([
 ])
 
 
+#: What names one experiment.
+RESULTS_KEY = ["dataset", "model", "sequence_length", "random_state"]
+
+
 def write_results(df: DataFrame, path: str, mode: str = "append") -> None:
     """A4: append experiment rows (cast to the results schema) to a parquet table."""
     df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULTS_SCHEMA.fields]) \
         .write.mode(mode).parquet(path)
+
+
+def put_results(df: DataFrame, path: str) -> None:
+    """A4 keyed by ``RESULTS_KEY``: rows lie in one folder per experiment, and writing an experiment again replaces its folder.
+
+    A grid that stops and starts anew so leaves no row twice.
+    """
+    rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULTS_SCHEMA.fields])
+    rows.write.partitionBy(*RESULTS_KEY).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The rows written so far, in the results schema; none if nothing is there."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], RESULTS_SCHEMA)
+    return spark.read.schema(RESULTS_SCHEMA).parquet(path).select(RESULTS_SCHEMA.fieldNames())
