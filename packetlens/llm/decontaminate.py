@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,13 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Scratch
+
 WORD = re.compile(r"\w+")
 LAST_SENTENCE = re.compile(r"[.!?]\s+(?=\S)|\n+(?=\S)")
 
 
 @dataclass(frozen=True)
 class LeakParams:
-    """``shard_items`` bounds the items of one index; a larger benchmark is indexed and queried shard by shard."""
+    """``shard_items`` bounds the items of one index; a larger benchmark is indexed and queried shard by shard.
+
+    ``piece_chars`` bounds the texts whose words a task holds at once (one whole text at least).
+    """
     shingle: int = 5           # words; shorter parts survive no edit, a shorter question is no leak without its answer
     overlap: float = 0.8
     k1: float = 1.2
@@ -46,7 +52,7 @@ class LeakParams:
     block: int = 8
     stretch: float = 1.25      # a passage holds a copy grown by this factor
     shard_items: int = 20_000
-    batch_tokens: int = 2_000_000
+    piece_chars: int = 1_000_000
 
 
 def terms(text: str | None) -> list[str]:
@@ -265,24 +271,48 @@ class ItemIndex:
                 for hits in out]
 
 
+def list_ahead(rows: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """Each row, and whether another one follows."""
+    held = next(rows, None)
+    while held is not None:
+        following = next(rows, None)
+        yield held, following is not None
+        held = following
+
+
 HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start_word", T.LongType()),
                     T.StructField("score", T.DoubleType()), T.StructField("overlap", T.DoubleType()),
                     T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())])
 
 
-def _find(text: Column, index: ItemIndex, spark) -> Column:
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps(index))
-    limit = index.p.batch_tokens * 6
+def _indexes(benchmark: DataFrame, p: LeakParams) -> Iterator[bytes]:
+    """The pickled index of each shard of the benchmark (shards by item hash), built in one task a shard; one at a time comes to the driver."""
+    items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct()
+    shards = max(1, -(-items.count() // p.shard_items))
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["item_id", "text"])
+        index = ItemIndex(list(zip(rows["item_id"].tolist(), rows["text"].tolist())), p)
+        return pd.DataFrame({"index": [cloudpickle.dumps(index)]})
+
+    scratch = Scratch(benchmark.sparkSession, "benchmark")
+    built = scratch.keep(items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards))).groupBy("shard")
+                         .applyInPandas(build, "index binary"), "indexes")
+    for row in built.toLocalIterator():
+        yield bytes(row["index"])
+
 
+def _found(text: Column, shared, p: LeakParams) -> Column:
+    """Column of the verified leaks (array of ``HIT``) of a text among the items of one broadcast index."""
     @F.pandas_udf(T.ArrayType(HIT))
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         idx = cloudpickle.loads(shared.value)
         for texts in batches:
             out, part, size = [], [], 0
-            for t in texts:  # bounded pieces of a batch (a piece holds one whole text at least)
+            for t in texts:
                 part.append(t)
                 size += len(t) if t else 0
-                if size >= limit:
+                if size >= p.piece_chars:
                     out += idx.leaks(part)
                     part, size = [], 0
             out += idx.leaks(part)
@@ -291,22 +321,6 @@ def _find(text: Column, index: ItemIndex, spark) -> Column:
     return find(text)
 
 
-def _shards(benchmark: DataFrame, p: LeakParams) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in lists of about ``shard_items`` items, by item hash (one list for an ordinary benchmark)."""
-    items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct()
-    n = items.count()
-    shards = max(1, -(-n // p.shard_items))
-    for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).orderBy("item_id", "text")
-        yield [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
-
-
-def leak_array(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams(), text: str = "text") -> Column:
-    """Column of the verified leaks (array of ``HIT``) of each document; one search per index shard, empty for none."""
-    found = [_find(F.col(f"`{text}`"), ItemIndex(items, p), docs.sparkSession) for items in _shards(benchmark, p)]
-    return F.concat(*found) if len(found) > 1 else found[0]
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams(), text: str = "text") -> DataFrame:
     """doc_id with each benchmark item its text holds: best passage, BM25 score and overlaps.
 
@@ -319,11 +333,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams(), t
     and empty texts hold nothing, items without words are held by nothing, a
     repeated row is reported as often as it stands in ``docs``.
     """
-    hit = F.explode(leak_array(docs, benchmark, p, text)).alias("hit")
-    return docs.select("doc_id", hit).select("doc_id", "hit.*")
+    spark, scratch, found = docs.sparkSession, Scratch(docs.sparkSession, "leaks"), []
+    indexes = list_ahead(_indexes(benchmark, p))
+    for index, more in indexes:
+        shared = spark.sparkContext.broadcast(index)
+        hits = docs.select("doc_id", F.explode(_found(F.col(f"`{text}`"), shared, p)).alias("hit")).select("doc_id", "hit.*")
+        if not found and not more:
+            return hits
+        found.append(scratch.keep(hits, f"hits{len(found)}"))  # a large benchmark: one index at a time is held anywhere
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, found) if found else docs.select("doc_id", F.lit(None).cast(HIT).alias("hit")).where("false").select("doc_id", "hit.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams(), text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their own columns."""
+    """The rows of ``docs`` that hold no benchmark item, with their own columns; further indexes see what the earlier ones left."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "clean")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(row.alias("row"), leak_array(docs, benchmark, p, text).alias("hits")).where(F.size("hits") == 0).select("row.*")
+    for k, (index, more) in enumerate(list_ahead(_indexes(benchmark, p))):
+        shared = spark.sparkContext.broadcast(index)
+        docs = docs.select(row.alias("row"), _found(F.col(f"`{text}`"), shared, p).alias("hits")).where(F.size("hits") == 0).select("row.*")
+        if k or more:
+            docs = scratch.keep(docs, f"clean{k}")
+            shared.unpersist()
+    return docs
