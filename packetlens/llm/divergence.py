@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,25 +41,27 @@ class AuditParams:
     block_terms: int = 2048
     block_groups: int = 32
     columns: int = 1024      # indicator columns of one product
-    flush: int = 300_000     # counts a task holds before it hands them on
+    flush: int = 600_000     # counts a task holds before it hands them on
 
 
 def term_counts(docs: DataFrame, p: AuditParams = AuditParams(), text: str = "text") -> DataFrame:
     """(lang, source, term, n, df): occurrences and rows with the term; every occurring group has a row of term '' and no count."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple, Counter] = defaultdict(Counter)
         df: dict[tuple, Counter] = defaultdict(Counter)
 
-        def rows() -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[pa.RecordBatch]:
             for (lang, source), held in n.items():
-                rows_of = df[lang, source]
-                yield pd.DataFrame({"lang": lang, "source": source, "term": ["", *held], "n": [0, *held.values()],
-                                    "df": [0, *[rows_of[t] for t in held]]})
+                rows_of, size = df[lang, source], len(held) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang, pa.string()), size), pa.repeat(pa.scalar(source, pa.string()), size),
+                     pa.array(["", *held], pa.string()), pa.array([0, *held.values()], pa.int64()),
+                     pa.array([0, *map(rows_of.__getitem__, held)], pa.int64())], ["lang", "source", "term", "n", "df"])
             n.clear()
             df.clear()
 
-        for frame in batches:
-            for lang, source, t in zip(frame["lang"], frame["source"], frame["text"]):
+        for batch in batches:
+            for lang, source, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
                 found = TERM.findall(lower_ascii(t))
                 n[lang, source].update(found)
                 df[lang, source].update(set(found))
@@ -68,7 +71,7 @@ def term_counts(docs: DataFrame, p: AuditParams = AuditParams(), text: str = "te
 
     empty = F.lit("")
     rows = docs.select(*[F.coalesce(F.col(f"`{c}`"), empty).alias(name) for c, name in (("lang", "lang"), ("source", "source"), (text, "text"))])
-    counts = rows.mapInPandas(count, "lang string, source string, term string, n long, df long")
+    counts = rows.mapInArrow(count, "lang string, source string, term string, n long, df long")
     return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
