@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.common import ColumnLike, c, join_null_safe, safe_div
 from ..functions.scalar import sigmoid
 from ..session import materialize
-from .ordered import bucket_count, bucketed_prefix_sum
-from .quantiles import sketch_bucket
+from .ordered import bucketed_prefix_sum, range_buckets
 
 DEFAULT_THRESHOLD = 0.5
 
@@ -68,8 +67,8 @@ def auroc(pred: DataFrame, keys: Sequence[ColumnLike] = (), label: str = "label"
 
     AUROC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2) / (P * N).
     Scores are first collapsed to distinct values per group (map-side combine),
-    then negatives below each score come from a prefix sum bucketed by sketch
-    split points of the distinct scores (balanced even when scores crowd).
+    then negatives below each score come from a prefix sum over ordered slices
+    of the distinct scores (balanced even when scores crowd).
     """
     keys = list(keys)
     key_cols = [c(k).alias(f"__k{i}") for i, k in enumerate(keys)]
@@ -77,9 +76,9 @@ def auroc(pred: DataFrame, keys: Sequence[ColumnLike] = (), label: str = "label"
     per_score = pred.select(*key_cols, sigmoid(logit).alias("__s"), c(label).alias("__y")) \
         .groupBy(*kn, "__s").agg(F.count_if(F.col("__y") == 1).alias("__pos"),
                                  F.count_if(F.col("__y") != 1).alias("__neg"))
-    # score ranges of about equal numbers of distinct scores (sketch split points per group)
+    # slices of about equal numbers of distinct scores
     per_score = materialize(per_score, "distinct-scores")
-    per_score = sketch_bucket(per_score, F.col("__s"), kn, bucket_count(per_score.count()))
+    per_score = range_buckets(per_score, [*kn, F.col("__s")], out="__qb")
     scanned = bucketed_prefix_sum(per_score, kn, [F.col("__s")], F.col("__qb"), F.col("__neg"), "__below")
     agg = scanned.groupBy(*kn).agg(
         F.sum(F.col("__pos") * (F.col("__below") + F.col("__neg") / 2.0)).alias("__area"),

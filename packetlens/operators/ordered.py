@@ -9,25 +9,24 @@ earlier buckets, taken from a per-bucket summary table whose size is
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from ..functions.common import ColumnLike, c
+from ..session import materialize
 
 # Sentinel bucket for null order keys: sorts before every real bucket.
 NULL_BUCKET = -(2**63)
 
-# Rows a bucket should hold on average when the width is derived from the data.
+# Rows a bucket should hold on average when the borders are derived from the data.
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
-# Split points that reach the driver at most; beyond, buckets grow with the data.
-MAX_BUCKETS = 4096
-SUB_BUCKETS = 1 << 20
-# Order value of null times: before every real one.
-LOWEST = -1.7976931348623157e308
+# Sampled keys per bucket, and borders of one node of the search tree.
+SAMPLES_PER_BUCKET = 20
+FAN = 64
+# Borders up to which the search tree is broadcast (a few dozen bytes each).
+BROADCAST_BORDERS = 1_000_000
 
 
 def time_bucket(t: Column, width: float) -> Column:
@@ -36,10 +35,6 @@ def time_bucket(t: Column, width: float) -> Column:
                       F.lit(NULL_BUCKET))
 
 
-def bucket_count(rows: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> int:
-    return max(1, min(MAX_BUCKETS, -(-rows // rows_per_bucket)))
-
-
 def one_bucket(x: Column) -> Column:
     """0 for every row, but not a constant: joins on a constant bucket would lose their key."""
     return F.pmod(F.xxhash64(x), F.lit(1)).cast("long")
@@ -53,53 +48,78 @@ def count_le(df: DataFrame, arr_col: str, value: Column, limit: int, out: str) -
     keeps the steps apart and every projection stays code-generated).  A null
     array counts as empty.
     """
-    arr = F.coalesce(F.col(arr_col), F.array().cast("array<double>"))
-    df = df.withColumn("__cle", F.lit(0)).withColumn("__cln", F.size(arr))
+    size = F.when(F.col(arr_col).isNull(), F.lit(0)).otherwise(F.size(arr_col))
+    df = df.withColumn("__cle", F.lit(0)).withColumn("__cln", size)
     step = 1 << max(limit, 1).bit_length() - 1
     while step >= 1:
         cand = F.col("__cle") + step
-        ok = (cand <= F.col("__cln")) & (F.element_at(arr, F.least(cand, F.greatest(F.col("__cln"), F.lit(1)))) <= value)
+        ok = (cand <= F.col("__cln")) & (F.element_at(arr_col, F.least(cand, F.greatest(F.col("__cln"), F.lit(1)))) <= value)
         df = df.withColumn("__cle", F.when(F.coalesce(ok, F.lit(False)), cand).otherwise(F.col("__cle")))
         step //= 2
     return df.withColumn(out, F.col("__cle").cast("long")).drop("__cle", "__cln")
 
 
-def order_buckets(df: DataFrame, t: ColumnLike, tiebreak: Sequence[ColumnLike] = (),
-                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, out: str = "__bkt") -> DataFrame:
-    """Add ``out``: ordered slices of about ``rows_per_bucket`` rows, monotone in (t null first, tiebreak).
+def _borders(df: DataFrame, n: int, n_buckets: int) -> DataFrame:
+    """(q, k): the ascending keys (column ``__k`` of ``df``) that part its ``n`` rows into about ``n_buckets`` buckets, numbered.
 
-    Split points come from a quantile sketch of the times of all rows, so a few
-    outliers (or nulls filled with -1 or 0) don't stretch a slice.  A time that
-    takes several split points (nulls, too) is split further by a sketch of
-    the first tie-break column, if that is numeric.  At most ``MAX_BUCKETS``
-    numbers of each sketch reach the driver; a table of one slice needs none.
+    They come from a sample of the keys, drawn by hash (every evaluation sees
+    the same one), range-partitioned, sorted and numbered as it is written.
+    Only the sample's row counts per range come to the driver.
+    """
+    share = min(1.0, SAMPLES_PER_BUCKET * n_buckets / n)
+    drawn = df.where(F.pmod(F.xxhash64("__k", F.lit(17)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select(F.col("__k").alias("k"))
+    at = F.monotonically_increasing_id()  # partition number and place in it
+    sample = materialize(drawn.repartitionByRange("k").sortWithinPartitions("k").select("k", at.alias("at")), "border-sample")
+    part = F.shiftright("at", 33)
+    starts, total = [], 0
+    for r in sample.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        starts.append((r["p"], total))
+        total += r["n"]
+    step = max(1, total // n_buckets)
+    starts = df.sparkSession.createDataFrame(starts, "p long, start long")
+    place = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = sample.join(F.broadcast(starts), part == F.col("p")).select("k", place.alias("place")).where(F.col("place") % step == step - 1)
+    return materialize(placed.select(F.floor(F.col("place") / step).alias("q"), "k"), "borders")
+
+
+def range_buckets(df: DataFrame, keys: Sequence[ColumnLike], rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+                  out: str = "__bkt") -> DataFrame:
+    """Add ``out``: ordered slices of about ``rows_per_bucket`` rows, monotone in the tuple of ``keys`` (nulls first).
+
+    Keys are of any types that have an order.  Borders are sampled from the
+    whole key, so rows of one time (or of none) are parted by what follows it;
+    only rows equal in all keys stay together.  A row finds its slice in a
+    search tree of the borders: one small join per level, with ``FAN`` borders
+    in a node, so rows never carry long arrays and there may be any number of slices.
     """
-    x = F.coalesce(c(t).cast("double"), F.lit(LOWEST))
-    n_buckets = bucket_count(df.count(), rows_per_bucket)
-    if n_buckets == 1:
-        return df.withColumn(out, one_bucket(x))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    accuracy = 20 * n_buckets
-    splits = df.agg(F.percentile_approx(x, probs, accuracy).alias("s")).first()["s"]
-    taken = Counter(splits)
-    values = sorted(taken)
-    df = df.withColumn("__x", x).withColumn("__sp", F.array(*[F.lit(v) for v in values]))
-    df = count_le(df, "__sp", F.col("__x"), len(values), "__le")
-    at = F.element_at("__sp", F.greatest(F.col("__le"), F.lit(1)).cast("int"))
-    first = 2 * F.col("__le") - F.when((F.col("__le") > 0) & (at == F.col("__x")), 1).otherwise(0)
-    heavy = {v: k for v, k in taken.items() if k > 1}
-    numeric = bool(tiebreak) and isinstance(df.select(c(tiebreak[0])).schema[0].dataType, NumericType)
-    if not heavy or not numeric:
-        return df.withColumn(out, (first * SUB_BUCKETS).cast("long")).drop("__x", "__sp", "__le")
-    tie = c(tiebreak[0]).cast("double")
-    most = max(heavy.values())
-    grid = [i / most for i in range(1, most)]
-    got = (df.where(F.col("__x").isin(*heavy)).groupBy("__x").agg(F.percentile_approx(tie, grid, accuracy).alias("s")).collect())
-    sub = {r["__x"]: sorted(set(r["s"][most // heavy[r["__x"]] - 1::max(1, most // heavy[r["__x"]])])) for r in got if r["s"]}
-    pairs = [y for v, s in sub.items() for y in (F.lit(v), F.array(*[F.lit(float(z)) for z in s]))]
-    df = df.withColumn("__ts", F.try_element_at(F.create_map(*pairs), F.col("__x")) if pairs else F.array().cast("array<double>"))
-    df = count_le(df, "__ts", tie, most, "__tl")
-    return df.withColumn(out, (first * SUB_BUCKETS + F.col("__tl")).cast("long")).drop("__x", "__sp", "__le", "__ts", "__tl")
+    n = df.count()
+    n_buckets = -(-n // rows_per_bucket)
+    if n_buckets <= 1:
+        return df.withColumn(out, one_bucket(c(keys[-1])))
+    df = df.withColumn("__k", F.struct(*[c(x).alias(f"k{i}") for i, x in enumerate(keys)]))
+    borders = _borders(df, n, n_buckets)
+    size = borders.count()
+    levels = 1
+    while FAN ** levels < size:
+        levels += 1
+    df = df.withColumn("__node", one_bucket(F.col("__k")))
+    for level in range(levels - 1, -1, -1):
+        unit = FAN ** level
+        at, node = F.col("q") % (unit * FAN), F.floor(F.col("q") / (unit * FAN))
+        # the first border of each child but the first; at the lowest level all borders
+        picked = borders.where((at % unit == 0) & (at > 0)) if level else borders
+        table = picked.groupBy(node.alias("__n")).agg(F.sort_array(F.collect_list("k")).alias("__ks"))
+        table = F.broadcast(table) if size <= BROADCAST_BORDERS else table
+        df = df.join(table, F.col("__node") == F.col("__n"), "left")
+        df = count_le(df, "__ks", F.col("__k"), FAN, "__child")
+        df = df.withColumn("__node", F.col("__node") * FAN + F.col("__child")).drop("__n", "__ks", "__child")
+    return df.withColumnRenamed("__node", out).drop("__k")
+
+
+def order_buckets(df: DataFrame, t: ColumnLike, tiebreak: Sequence[ColumnLike] = (),
+                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, out: str = "__bkt") -> DataFrame:
+    """Ordered slices monotone in (t null first, tiebreak)."""
+    return range_buckets(df, [c(t).cast("double"), *tiebreak], rows_per_bucket, out)
 
 
 def group_key(partition: Sequence[ColumnLike]) -> Column:

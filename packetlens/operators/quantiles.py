@@ -1,10 +1,9 @@
 """Exact quantiles that stay distributed for hot groups.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer.  Here the distinct values of each group are cut into
-ranges of about equal size by an approximate-quantile sketch (bounded
-memory); a bucketed prefix sum then gives, for every distinct value, the
-number of rows below it, and the values at the wanted ranks are picked by a
+aggregation buffer.  Here the distinct (group, value) pairs are cut into
+ordered slices of about equal size; a bucketed prefix sum then gives, for every
+distinct value, the number of rows below it in its group, and the values at the wanted ranks are picked by a
 join against a tiny table of target ranks.  The result is exact linear
 interpolation between order statistics (as ``percentile`` / SQL
 ``quantile_cont``).
@@ -18,32 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ..functions.common import join_null_safe
-from .ordered import bucket_count, bucketed_prefix_sum, count_le, one_bucket
-
-SKETCH_ACCURACY = 1_000
-
-
-def sketch_bucket(df: DataFrame, value: Column, keys: Sequence[str], n_buckets: int, out: str = "__qb") -> DataFrame:
-    """Add ``out``: how many per-group sketch split points are <= value (monotone in value).
-
-    ``n_buckets`` follows from the number of rows (``bucket_count``); one bucket
-    needs no sketch.  Without keys the split points (``n_buckets - 1`` numbers)
-    come to the driver as a literal; with keys the per-group split table (one
-    row per group) is materialized once, so every branch of the plan and every
-    task retry sees the same split points (a sketch's merge order is not
-    deterministic, and the prefix sums need identical buckets on both sides).
-    """
-    if n_buckets <= 1:
-        return df.withColumn(out, one_bucket(value))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    sketch = F.percentile_approx(value, probs, max(SKETCH_ACCURACY, 10 * n_buckets))
-    if not keys:
-        splits = df.agg(sketch.alias("s")).first()["s"] or []
-        arr = F.array(*[F.lit(float(x)) for x in splits]) if splits else F.array().cast("array<double>")
-        return count_le(df.withColumn("__splits", arr), "__splits", value, n_buckets, out).drop("__splits")
-    per_group = materialize(df.groupBy(*keys).agg(sketch.alias("__splits")), "sketch-splits")
-    return count_le(join_null_safe(df, per_group, keys), "__splits", value, n_buckets, out).drop("__splits")
+from .ordered import bucketed_prefix_sum, range_buckets
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
@@ -51,7 +25,7 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys:
     keys = list(keys)
     x = value.cast("double")
     distinct = df.where(x.isNotNull()).groupBy(*keys, x.alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
-    # read by the sketch, the group sizes and the prefix scan: materialize once
+    # read by the slicing, the group sizes and the prefix scan: materialize once
     distinct = materialize(distinct, "distinct-values")
     sized = distinct.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     pos = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"),
@@ -60,7 +34,7 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys:
         *keys, F.col("__t.p").alias("p"), F.col("__t.pos").alias("__pos"))
     ranks = targets.select(*keys, "p", "__pos", F.explode(F.array(
         F.floor("__pos").cast("long"), F.ceil("__pos").cast("long"))).alias("__r")).distinct()
-    bucketed = sketch_bucket(distinct, F.col("__x"), keys, bucket_count(distinct.count()))
+    bucketed = range_buckets(distinct, [*keys, F.col("__x")], out="__qb")
     scanned = bucketed_prefix_sum(bucketed, keys, [F.col("__x")], F.col("__qb"), F.col("__c"), "__below")
     # both sides descend from ``distinct``: rename the rank side's keys so the
     # join condition refers to plain, unambiguous column names

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.common import ColumnLike, c, flag
-from .ordered import bucketed_row_number, group_key, order_buckets, time_bucket
+from .ordered import bucketed_row_number, group_key, range_buckets, time_bucket
 
 SEQUENCE_SEPARATOR = "||"
 
@@ -45,17 +45,21 @@ def _opens(t: Column, pure_syn: Column, prev: Column, prev_closed: Column,
     return F.coalesce(rule, F.lit(False))
 
 
-def _with_buckets(df: DataFrame, time: ColumnLike, tiebreak: Sequence[ColumnLike], bucket_width: float | None) -> DataFrame:
+def _with_buckets(df: DataFrame, keys: Sequence[ColumnLike], time: ColumnLike, tiebreak: Sequence[ColumnLike],
+                  bucket_width: float | None) -> DataFrame:
     """Ordered slices ``__bkt`` of the rows: from the data, or of a given width in time.
 
-    ``tiebreak`` must order rows of equal time completely: numbers are computed
-    on the rows and on their summary, and both must see one order.
+    Slices of the data run over (keys, time, tie-break), so a key lies in one
+    slice, or in a few if it is hot, and the summaries have about as many rows
+    as there are keys.  ``tiebreak`` must order rows of equal time completely:
+    numbers are computed on the rows and on their summary, and both must see
+    one order.
     """
     if not tiebreak:
         raise ValueError("a tie-break is needed: rows of equal time have no order otherwise")
     if bucket_width:
         return df.withColumn("__bkt", time_bucket(c(time), bucket_width))
-    return order_buckets(df, time, tiebreak)
+    return range_buckets(df, [*keys, c(time).cast("double"), *tiebreak])
 
 
 def sessionize(df: DataFrame, key: ColumnLike, time: ColumnLike, timeout: float, *,
@@ -81,7 +85,7 @@ def sessionize(df: DataFrame, key: ColumnLike, time: ColumnLike, timeout: float,
         raise ValueError("after_close must be 'join' or 'split'")
     t = c(time).cast("double")
     tcp = F.coalesce(_as_col(is_tcp), F.lit(False))
-    staged = (_with_buckets(df, time, tiebreak, bucket_width)
+    staged = (_with_buckets(df, [key], time, tiebreak, bucket_width)
               .withColumn("__kstr", _key_string(df, key))
               .withColumn("__g", group_key([key]))
               .withColumn("__t", t)
@@ -134,7 +138,7 @@ def chunk_index(df: DataFrame, length: int, session: ColumnLike | None = "sessio
     ``step`` is the 0-based position inside the chunk.  Numbering is bucketed by
     time, so a single session (or the whole table) never lands in one task.
     """
-    df = _with_buckets(df, time, tiebreak, bucket_width)
+    df = _with_buckets(df, [] if session is None else [session], time, tiebreak, bucket_width)
     order = [c(time).asc_nulls_first(), *[c(x).asc_nulls_first() for x in tiebreak]]
     partition = [] if session is None else [session]
     numbered = bucketed_row_number(df, partition, order, F.col("__bkt"), out="__rn")
@@ -163,7 +167,7 @@ def make_sequences(df: DataFrame, length: int, session: str = "session_id",
     there.  Both summary joins keep the rows' partitioning.
     """
     order = [c(time).asc_nulls_first(), *[c(x).asc_nulls_first() for x in tiebreak]]
-    staged = (_with_buckets(df, time, tiebreak, bucket_width).withColumn("__g", group_key([session]))
+    staged = (_with_buckets(df, [session], time, tiebreak, bucket_width).withColumn("__g", group_key([session]))
               .withColumn("__y", F.coalesce(c(label).cast("long"), F.lit(0))))
     w = Window.partitionBy("__g", "__bkt").orderBy(*order)
     staged = (staged.withColumn("__lrn", F.row_number().over(w).cast("long"))

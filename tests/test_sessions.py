@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetlens.operators import sessions as S
+from packetlens.operators import ordered
 from packetlens.operators.ordered import order_buckets
 
 
@@ -136,6 +137,39 @@ def test_buckets_follow_the_data(spark, make):
     assert buckets == sorted(buckets)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_any_key_is_cut_by_any_depth_of_tree(spark, monkeypatch, fan):
+    """One time for all rows and a text tie-break, nulls included: slices stay small and follow the order."""
+    monkeypatch.setattr(ordered, "FAN", fan)
+    df = spark.range(3000).selectExpr("id", "CAST(5 AS DOUBLE) AS t", "if(id % 500 = 0, NULL, md5(cast(id AS string))) AS tie", "CAST(id % 3 AS DECIMAL(9, 1)) AS d")
+    rows = ordered.range_buckets(df, ["t", "tie", "d"], rows_per_bucket=100).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["__bkt"]] = sizes.get(r["__bkt"], 0) + 1
+    assert len(sizes) >= 20 and max(sizes.values()) <= 300
+    buckets = [r["__bkt"] for r in sorted(rows, key=lambda r: (r["tie"] is not None, r["tie"] or "", r["d"]))]
+    assert buckets == sorted(buckets) and len(rows) == 3000
+
+
+def test_slices_of_the_data_leave_the_results_alone(spark, monkeypatch):
+    """Sessions, chunks and sequences are the same in one slice and in many, one key holding a third of the rows."""
+    import random
+    from functools import partial
+    rng = random.Random(3)
+    rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randrange(40)}", float(rng.randrange(400)) if i % 17 else None, int(rng.random() < 0.1), int(rng.random() < 0.05))
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, session_id string, timestamp double, attack_label int, fin int")
+    results = []
+    for n in (10_000, 70):
+        monkeypatch.setattr(S, "range_buckets", partial(ordered.range_buckets, rows_per_bucket=n))
+        s = S.sessionize(df, "session_id", "timestamp", 3.0, tiebreak=["id"], is_tcp=True, fin="fin", out="s").select("id", "s")
+        c = S.chunk_index(df, 7, tiebreak=["id"]).select("id", "chunk", "step")
+        g = S.chunk_index(df, 7, session=None, tiebreak=["id"]).select("id", "chunk", "step")
+        q = S.make_sequences(df, 7, tiebreak=["id"]).select("id", "sequence_id", "step", "sequence_label")
+        results.append([sorted(map(tuple, x.collect())) for x in (s, c, g, q)])
+    assert results[0] == results[1]
+
+
 def test_tiebreak_is_mandatory(spark):
     df = spark.createDataFrame([("s", 1, 0)], "session_id string, timestamp long, attack_label int")
     with pytest.raises((ValueError, TypeError)):
