@@ -35,7 +35,9 @@ class ForestParams:
     The cut is the one of best balanced accuracy over all labelled rows: each
     label's shares decide, so it converges as labels grow, and a few wrong
     labels hardly move it.
-    ``min_auc``: a statistic that tells bad from good rows of the sample no better than this stays out of the splits.
+    ``min_auc``: a statistic whose ranking of bad above good rows of the sample is not surely better than this
+    (by ``sure`` standard errors) stays out of the splits: among few bad rows, some of them mislabelled, chance
+    lifts useless statistics.
     """
     fit_rows: int = 8192
     trees: int = 128
@@ -44,6 +46,7 @@ class ForestParams:
     seed: int = 7
     score_bins: int = 4096
     min_auc: float = 0.55
+    sure: float = 2.0
 
 
 def repeat_words(ids: np.ndarray, width: int = 5) -> int:
@@ -116,15 +119,23 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * h - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def telling(x: np.ndarray, good: np.ndarray, min_auc: float) -> np.ndarray:
-    """Which statistics rank rows labelled bad above good ones (area under the curve, ties by half); all without both labels."""
+def telling(x: np.ndarray, good: np.ndarray, p: ForestParams) -> np.ndarray:
+    """Which statistics surely rank rows labelled bad above good ones (area under the curve, ties by half).
+
+    If none surely does, those that do in the sample; if none does, or a label is missing, all.
+    """
     bad = ~good
     if not good.any() or not bad.any():
         return np.ones(x.shape[1], dtype=bool)
     rank = pd.DataFrame(x).rank().to_numpy()
-    n_bad = bad.sum()
-    auc = (rank[bad].sum(0) - n_bad * (n_bad + 1) / 2) / (n_bad * good.sum())
-    return auc >= min_auc if (auc >= min_auc).any() else np.ones(x.shape[1], dtype=bool)
+    n_bad, n_good = int(bad.sum()), int(good.sum())
+    auc = (rank[bad].sum(0) - n_bad * (n_bad + 1) / 2) / (n_bad * n_good)
+    above, twice = auc / (2 - auc), 2 * auc ** 2 / (1 + auc)  # one bad row over two good ones, two over one
+    error = np.sqrt((auc * (1 - auc) + (n_bad - 1) * (above - auc ** 2) + (n_good - 1) * (twice - auc ** 2)) / (n_bad * n_good))
+    for found in (auc - p.sure * error >= p.min_auc, auc >= p.min_auc):
+        if found.any():
+            return found
+    return np.ones(x.shape[1], dtype=bool)
 
 
 class IsolationForest:
@@ -200,12 +211,15 @@ def fit(stats: DataFrame, labels: DataFrame, p: ForestParams = ForestParams()) -
     known = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
              .select("doc_id", "quality").distinct())
     rows = stats.select("doc_id", "q").join(known, "doc_id").where(~base_failed(F.col("q")))
-    sample = (rows.orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id", "quality").limit(p.fit_rows)
-              .select("q.*", "quality").toPandas())
+    # the rows of the smallest hashes; a threshold from their number keeps all but a few more than these in the tasks
+    key = F.xxhash64("doc_id", F.lit(p.seed))
+    share = min(1.0, 1.5 * p.fit_rows / max(rows.count(), 1))
+    few = rows.where(key <= F.lit(min(int(share * 2 ** 64), 2 ** 64 - 1) - 2 ** 63))
+    sample = few.orderBy(key, "doc_id", "quality").limit(p.fit_rows).select("q.*", "quality").toPandas()
     if len(sample) < 2:
         return QualityModel(None, 1.0)
     x = features(sample)
-    forest = IsolationForest(x, p, telling(x, sample["quality"].to_numpy() == 1, p.min_auc))
+    forest = IsolationForest(x, p, telling(x, sample["quality"].to_numpy() == 1, p))
     model = QualityModel(forest, 1.0)
     bins = (rows.select(F.floor(score_column(model, F.col("q")) * p.score_bins).cast("int").alias("b"), "quality")
             .groupBy("b").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"),

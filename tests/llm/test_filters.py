@@ -62,6 +62,19 @@ def test_verdict_survives_wrong_labels(spark):
         assert rate[1] >= 0.98 and rate[0] <= 0.2
 
 
+def test_verdict_survives_the_worst_rows_labelled_good(spark):
+    """The two highest-scored bad rows of the fitted half carry the wrong label; held-out rows are judged as before."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    fit_on, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    scored = quality_rules.judge_ids(docs, fit_on).join(fit_on.where("quality = 0"), "doc_id").where("NOT quality_rules.base_failed")
+    worst = [r["doc_id"] for r in scored.selectExpr("doc_id", "quality_rules.score AS s").orderBy("s", ascending=False).limit(2).collect()]
+    flipped = fit_on.where(~fit_on["doc_id"].isin(worst)).union(spark.createDataFrame([(d, 1) for d in worst], fit_on.schema))
+    judged = quality_rules.judge_ids(docs, flipped).join(held, "doc_id").where("NOT quality_rules.base_failed")
+    rate = judged.selectExpr("quality", "int(quality_rules.kept) AS k").toPandas().groupby("quality")["k"].mean()
+    assert rate[1] >= 0.98 and rate[0] <= 0.1
+
+
 def test_quality_edges(spark, docs, edge_rows):
     df = docs(edge_rows)
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (6, None, 0)], "doc_id long, quality long, toxic long")
