@@ -50,6 +50,7 @@ class JoinParams:
     block_tokens: int = 500_000  # bounds of a block of members that one task holds
     block_sets: int = 2_048
     small_group: int = 4        # groups up to this size are opened without the bound
+    pairs_each: int = 8         # pairs a member that share a first token, up to which a group is compared by them
 
 
 class _Hashes(dict):
@@ -193,15 +194,32 @@ def _blocks_linked(q: dict, m: dict, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _inside_groups(grouped: DataFrame, comps: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
-    """Links (a, b) that join the components left in each group: the smaller components' members against all members."""
+def _inside_groups(grouped: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratch, p: JoinParams) -> DataFrame:
+    """Links (a, b) that join the components left in each group, asked by the members outside its largest component.
+
+    Similar sets share a first token.  Where few members do (a family of one
+    template with many fillings), those are compared pair by pair, a few a
+    member at most; other groups are compared block against block.
+    """
     placed = grouped.select("vid", "n", "grp").join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
     sizes = placed.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
     per = (sizes.groupBy("grp").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("comps"))
            .where("comps > 1")
-           .select("grp", F.col("main.comp").alias("main"),
+           .select("grp", F.col("main.comp").alias("main"), "c",
                    F.greatest(F.ceil(F.col("t") / p.block_tokens), F.ceil(F.col("c") / p.block_sets)).cast("int").alias("blocks")))
-    open_ = (placed.join(per, "grp").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+    first = (grouped.select("vid", "n", "grp", F.explode("pre").alias("token")).join(per.select("grp", "main", "c"), "grp")
+             .join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid")))
+    meets = first.groupBy("grp", "token").agg(F.count_if(F.col("comp") != F.col("main")).alias("q"), F.count(F.lit(1)).alias("m"), F.first("c").alias("c"))
+    few = (meets.groupBy("grp").agg(F.sum(F.col("q") * (F.col("m") - 1)).alias("pairs"), F.first("c").alias("c"))
+           .where(F.col("pairs") <= p.pairs_each * F.col("c")).select("grp"))
+    few = scratch.keep(few, "few")
+    met = first.join(few, "grp", "left_semi")
+    side = lambda s: met.select("grp", "token", F.col("vid").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), "main")
+    pairs = (side("a").where("ca != main").drop("main").join(side("b").drop("main"), ["grp", "token"]).where("ca != cb")
+             .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent).select("a", "b").distinct())
+    sparse = _compared(pairs, sets).where(_similar(p.percent)).select("a", "b")
+    open_ = (placed.join(per.drop("c"), "grp").join(few, "grp", "left_anti")
+             .withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
              .join(sets.select("vid", "toks"), "vid"))
     one = F.struct("vid", "comp", "n", F.size("toks").cast("long").alias("len"), "toks")
     flat = lambda side: [F.col(f"x.{c}").alias(f"{side}_{c}") for c in ("vid", "comp", "n", "len")] + [
@@ -220,7 +238,7 @@ def _inside_groups(grouped: DataFrame, comps: DataFrame, sets: DataFrame, p: Joi
                 out += _blocks_linked(side("q"), side("m"), p.percent)
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return rows.drop("grp", "mb", "qb", "blocks").mapInPandas(compare, "a long, b long")
+    return rows.drop("grp", "mb", "qb", "blocks").mapInPandas(compare, "a long, b long").unionByName(sparse)
 
 
 def components(docs: DataFrame, p: JoinParams = JoinParams(), text: str = "text") -> DataFrame:
@@ -253,9 +271,11 @@ def components(docs: DataFrame, p: JoinParams = JoinParams(), text: str = "text"
     edges = _edges(source, alive, scratch, p)
     roots = connected_components(edges, scratch, "cc_all")
     grouped = members.join(roots.select(F.col("v").alias("vid"), F.col("root")), "vid", "left")
-    grouped = grouped.withColumn("component", F.coalesce("root", "vid")).drop("root")
+    grouped = scratch.keep(grouped.withColumn("component", F.coalesce("root", "vid")).drop("root"), "placed")
+    # written, so that the join below has an exchange of its own and a component of many rows is split there
     least = grouped.where("component IS NOT NULL").groupBy("component").agg(
         F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    least = scratch.keep(least, "least")
     return grouped.join(least, "component", "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce(F.col("members") > 1, F.lit(False)).alias("linked"),
         "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -272,6 +292,10 @@ def _sql(rule, n: Column, percent: int) -> Column:
     return rule(Whole(n), percent).c
 
 
+def _least_hash(toks: Column, seed: int) -> Column:
+    return F.struct(F.array_min(F.transform(toks, lambda t: F.xxhash64(t, F.lit(seed)))).alias("h"), F.lit(seed).alias("s"))
+
+
 def _edges(source: DataFrame, alive: DataFrame, scratch: Scratch, p: JoinParams) -> DataFrame:
     """Links (a, b) between vertices that give the same components as all links."""
     # whole sets of the vertices left, from the one row of each; the filter only thins out the texts
@@ -297,9 +321,7 @@ def _edges(source: DataFrame, alive: DataFrame, scratch: Scratch, p: JoinParams)
     # (half the buckets leave out the rarest and the most common tokens: mutations, and passages that all kinds of texts share)
     quarter = F.floor(F.size("toks") / 4).cast("int")
     middle = F.slice("toks", quarter + 1, F.greatest(F.size("toks") - 2 * quarter, F.lit(1)))
-    buckets = kept.select("vid", "n", "own", F.explode(F.array(*[
-        F.array_min(F.transform(middle if s % 2 else F.col("toks"), lambda t, s=s: F.struct(F.xxhash64(t, F.lit(s)).alias("h"), F.lit(s).alias("s"))))
-        for s in range(p.seeds)])).alias("bucket"))
+    buckets = kept.select("vid", "n", "own", F.explode(F.array(*[_least_hash(middle if s % 2 else F.col("toks"), s) for s in range(p.seeds)])).alias("bucket"))
     best = F.min_by(F.struct("vid", "n"), F.struct("own", F.xxhash64("vid"), "vid")).alias("l")
     leaders = buckets.groupBy("bucket").agg(best)
     to_leader = (buckets.join(leaders, "bucket").where("vid != l.vid")
@@ -315,7 +337,7 @@ def _edges(source: DataFrame, alive: DataFrame, scratch: Scratch, p: JoinParams)
     to_head = to_head.join(near.select("a", "b"), ["a", "b"], "left_anti")
     stars = scratch.keep(near.union(_compared(to_head, kept)).where(_similar(p.percent)).select("a", "b"), "stars")
     comps = connected_components(stars, scratch, "cc_stars").select(F.col("v").alias("vid"), F.col("root").alias("comp"))
-    inside = scratch.keep(_inside_groups(grouped, comps, kept, p), "inside")
+    inside = scratch.keep(_inside_groups(grouped, comps, kept, scratch, p), "inside")
 
     # the rest: first tokens that lie in two groups or more
     first = grouped.select("vid", "n", "grp", F.explode("pre").alias("token"))
@@ -353,12 +375,13 @@ def keep_first(docs: DataFrame, p: JoinParams = JoinParams(5, 80), text: str = "
     linked = scratch.keep(components(docs, p, text).where("linked"), "linked")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
     first = linked.groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash")
-    key = F.xxhash64(F.col("doc_id"), text_hash(F.col(f"`{text}`")))
+    t = text_hash(F.col(f"`{text}`"))
     held = membership(linked, F.xxhash64("doc_id", "text_hash"))
-    flagged = docs.select(F.struct(*cols).alias("row"), key.alias("key"), held(key).alias("held"))
-    names = linked.select(F.xxhash64("doc_id", "text_hash").alias("key")).distinct()
-    gone = flagged.where("held").join(names, "key", "left_anti")
-    kept = flagged.where("held").join(first.select(F.xxhash64("doc_id", "text_hash").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    flagged = docs.select(F.struct(*cols).alias("row"), F.col("doc_id").alias("d"), t.alias("t"), held(F.xxhash64(F.col("doc_id"), t)).alias("held"))
+    names = linked.select("doc_id", "text_hash").distinct()
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_hash"))
+    gone = flagged.where("held").join(names, same, "left_anti")
+    kept = flagged.where("held").join(first, same, "left_semi").dropDuplicates(["d", "t"])
     return flagged.where("NOT held").select("row.*").unionByName(gone.select("row.*")).unionByName(kept.select("row.*"))
 
 

@@ -127,6 +127,27 @@ def test_components_match_all_pairs(spark, docs, edge_rows, n, percent):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=repr) == plain_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("pairs_each", [0, 8])
+def test_families_of_one_template(spark, docs, pairs_each):
+    """Texts alike by half, from one template with fillings of a small vocabulary; a few are near copies of each other."""
+    import random
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(50)]
+    rows = []
+    for k in range(90):
+        filling = [f"f{rng.randrange(4)}" for _ in range(40)]
+        rows.append((k, " ".join(template + filling)))
+        if k % 15 == 0:
+            ws = template + filling
+            ws[70] = "changed"
+            rows.append((500 + k, " ".join(ws)))
+    p = ngram_join.JoinParams(4, 85, pairs_each=pairs_each, block_sets=16)
+    got = ngram_join.components(docs(rows), p)
+    want = plain_components(rows, 4, 85)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=repr) == want
+    assert sum(d != c for d, _, c in want) >= 6
+
+
 def test_first_token_bound_is_safe():
     """Any two sets that link meet often enough among their first tokens (checked over random sets)."""
     import random
