@@ -6,7 +6,7 @@ import functools
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ColumnLike, c
@@ -56,6 +56,28 @@ def map_values(col: ColumnLike, mapping: Mapping, default=None, strict: bool = F
     return F.when(x.isNotNull(), out)
 
 
+def map_values_by_table(df: DataFrame, col: str, mapping: DataFrame, out: str, default=None, strict: bool = False) -> DataFrame:
+    """C3 for mappings of any size: replace values through the table ``mapping`` (columns ``key``, ``value``).
+
+    A plain equi-join: Spark broadcasts the mapping if it is below its own
+    threshold and splits hot values otherwise.  Null stays null, unknown values
+    give ``default``.  ``strict`` first looks for unknown values, in one
+    aggregate that brings a single one back, and raises on it.  A key that the
+    mapping holds twice is an error.
+    """
+    twice = mapping.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.min("key").alias("k"), F.count(F.lit(1)).alias("c")).first()
+    if twice["c"]:
+        raise ValueError(f"key twice in mapping: {twice['k']}")
+    table = mapping.select(F.col("key").alias("__key"), F.col("value").alias("__value"), F.lit(True).alias("__known"))
+    if strict:
+        unknown = (df.where(c(col).isNotNull()).select(c(col).alias("__x")).join(table, F.col("__x") == F.col("__key"), "left_anti")
+                   .agg(F.min("__x").alias("x"), F.count(F.lit(1)).alias("n")).first())
+        if unknown["n"]:
+            raise ValueError(f"value not in mapping: {unknown['x']} ({unknown['n']} rows)")
+    value = F.when(F.col("__known"), F.col("__value")).otherwise(F.when(c(col).isNotNull(), F.lit(default)))
+    return df.join(table, c(col) == F.col("__key"), "left").withColumn(out, value).drop("__key", "__value", "__known")
+
+
 def _ntz_micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), ts)
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators import schema
+from ..operators import sketches as K
+from ..session import materialize
 from .registry import query
 from .standins import table
 
@@ -100,6 +102,34 @@ def q_profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.profile_columns(table(spark, sf_dir, "orders"))
 
 
+@query("profile_columns_sketched", "SELECT * EXCLUDE (unique_values, feature_type) FROM (" + _profile_sql("orders", _ORDER_TYPES) + ")")
+def q_profile_columns_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E7 in two scans: heavy hitters sketched, then counted; the sketched distinct counts are left out here."""
+    return K.profile_columns_sketched(table(spark, sf_dir, "orders")).drop("unique_values", "feature_type")
+
+
+@query("stored_sketches", """
+SELECT f.feature, COUNT(*) AS rows, COUNT(*) - COUNT(f.x) AS nulls, MIN(f.x) AS min, MAX(f.x) AS max, TRUE AS distinct_close, TRUE AS median_close
+FROM (SELECT 'l_extendedprice' AS feature, CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem
+      UNION ALL SELECT 'l_quantity', CAST(l_quantity AS DOUBLE) FROM lineitem
+      UNION ALL SELECT 'l_partkey', CAST(l_partkey AS DOUBLE) FROM lineitem) f GROUP BY f.feature""")
+def q_stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 + E5: sketches stored per ship month, read back and merged to the whole; held against exact distinct counts and ranks."""
+    cols = ["l_extendedprice", "l_quantity", "l_partkey"]
+    li = table(spark, sf_dir, "lineitem")
+    months = materialize(K.sketch_table(li.withColumn("month", F.date_format("l_shipdate", "yyyy-MM")), cols, ["month"]), "sketches")
+    got = K.sketch_profile(K.merge_sketches(months), (0.5,))
+    exact = li.agg(*[F.count_distinct(n).alias(n) for n in cols])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("d")) for n in cols])))
+    long = li.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x")) for n in cols])))
+    ranks = (long.join(F.broadcast(got.select("feature", "p50")), "feature").groupBy("feature")
+             .agg(F.avg((F.col("x") < F.col("p50")).cast("double")).alias("below"), F.avg((F.col("x") <= F.col("p50")).cast("double")).alias("upto")))
+    slack = 2 * K.rank_error()
+    return got.join(exact, "feature").join(ranks, "feature").select(
+        "feature", "rows", "nulls", "min", "max", (F.abs(F.col("distinct") / F.col("d") - 1) <= 4 * K.distinct_error()).alias("distinct_close"),
+        ((F.col("below") <= 0.5 + slack) & (F.col("upto") >= 0.5 - slack)).alias("median_close"))
+
+
 @query("profile_without_superfluous",
        "WITH f AS (SELECT *, 'k' AS constant, CAST(NULL AS VARCHAR) AS nothing FROM orders), prof AS ("
        + _profile_sql("f", {**_ORDER_TYPES, "constant": "string", "nothing": "string"}) + ") SELECT * FROM prof WHERE unique_values > 1")

@@ -64,6 +64,15 @@ def q_value_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", X.map_values("lang", LANG_NAMES, default=None).alias("lang_name"))
 
 
+@query("value_mapping_table", """
+SELECT l_orderkey, l_linenumber, p_name AS part_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""")
+def q_value_mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 strict through a table: part key -> part name, as many keys as parts."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS key", "p_name AS value")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return X.map_values_by_table(lines, "l_partkey", parts, "part_name", strict=True).drop("l_partkey")
+
+
 # Capture-time text built from events.ts: ' <year> <time with ns> ', some rows unparseable.
 _TIME_TEXT_SPARK = ("CASE WHEN event_id % 17 = 0 THEN 'n/a' "
                     "ELSE ' ' || date_format(ts, 'yyyy HH:mm:ss.SSSSSS') || '000 ' END")
