@@ -142,12 +142,11 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(df, length=10, seed=SEED, tiebreak=["event_id"])
 
 
-def _prepared_sql() -> str:
-    """Every stored slot of the prepared table: scaled numbers, booleans with their validity flags, one-hot categories."""
-    features = {"num_a": "number", "port_src": "number", "port_dst": "number", "ip.subnet": "category", "port_dst.category": "category",
-                **{f"ip_src.is_{x}": "flag" for x in ("private", "loopback", "multicast", "link_local", "unspecified")},
-                **{f"port_dst.is_{x}": "flag" for x in ("well_known", "common_service")},
-                **{f"{x}.is_valid": "valid" for x in ("num_a", "port_dst", "port_dst.is_well_known", "port_dst.is_common_service")}}
+def slots_sql(features: dict[str, str]) -> str:
+    """CTEs and final select over ``raw`` (sequence rows with ``split``): every stored slot of the prepared rows.
+
+    ``features`` maps a name to number, flag (boolean), valid (validity flag of the column before ``.is_valid``) or category.
+    """
     widths, moments, entries, first = [], [], [], "0"
     for i, (name, kind) in enumerate(sorted(features.items())):
         source = name.removesuffix(".is_valid") if kind == "valid" else name
@@ -168,10 +167,7 @@ def _prepared_sql() -> str:
             value = f'CAST("{source}" IS NOT NULL AS DOUBLE)'
         entries.append(f"SELECT raw.*, {first} AS slot, {value} AS x FROM raw")
         first += " + 1"
-    return SPLIT_SQL + f""",
-raw AS (SELECT r.sequence_id, r.step, r.sequence_label, a.split, p.attack_label, p.attack_type, p.num_a, p.port_src, p.port_dst,
-  nullif({_sql_subnet('ip_src', 'ip_dst', 'none')}, 'none') AS "ip.subnet", {_sql_ports('port_dst')}, {_sql_flags('ip_src')}
-  FROM seqrows r JOIN assigned a USING (sequence_id) JOIN packets p USING (event_id)),
+    return f"""
 moments AS (SELECT {", ".join(moments)} FROM raw WHERE split IN ('train', 'val')),
 widths AS (SELECT {", ".join(widths)}),
 entries AS ({" UNION ALL ".join(entries)})
@@ -179,12 +175,28 @@ SELECT sequence_id, step, sequence_label, attack_label, attack_type, split, CAST
 FROM entries WHERE x <> 0"""
 
 
-@query("prepare", _prepared_sql())
+def stored_slots(rows: DataFrame) -> DataFrame:
+    """Prepared rows, one row per stored slot of their feature vectors (values to six digits)."""
+    slots = F.inline(F.arrays_zip(F.col("features.indices").alias("slot"), F.col("features.values").alias("value")))
+    long = rows.select("sequence_id", "step", "sequence_label", "attack_label", "attack_type", "split", slots)
+    return long.withColumn("value", F.round("value", 6))
+
+
+PREPARED_FEATURES = {
+    "num_a": "number", "port_src": "number", "port_dst": "number", "ip.subnet": "category", "port_dst.category": "category",
+    **{f"ip_src.is_{x}": "flag" for x in ("private", "loopback", "multicast", "link_local", "unspecified")},
+    **{f"port_dst.is_{x}": "flag" for x in ("well_known", "common_service")},
+    **{f"{x}.is_valid": "valid" for x in ("num_a", "port_dst", "port_dst.is_well_known", "port_dst.is_common_service")}}
+PREPARED_SQL = SPLIT_SQL + f""",
+raw AS (SELECT r.sequence_id, r.step, r.sequence_label, a.split, p.attack_label, p.attack_type, p.num_a, p.port_src, p.port_dst,
+  nullif({_sql_subnet('ip_src', 'ip_dst', 'none')}, 'none') AS "ip.subnet", {_sql_ports('port_dst')}, {_sql_flags('ip_src')}
+  FROM seqrows r JOIN assigned a USING (sequence_id) JOIN packets p USING (event_id)),""" + slots_sql(PREPARED_FEATURES)
+
+
+@query("prepare", PREPARED_SQL)
 def q_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 (+C14-C16, C1, F4, I1, J1, J2, J4): packets -> split sequence table, one row per stored slot of its feature vectors."""
-    slots = F.inline(F.arrays_zip(F.col("features.indices").alias("slot"), F.col("features.values").alias("value")))
-    rows = prepared(spark, sf_dir).select("sequence_id", "step", "sequence_label", "attack_label", "attack_type", "split", slots)
-    return rows.withColumn("value", F.round("value", 6))
+    return stored_slots(prepared(spark, sf_dir))
 
 
 @query("select_features", FEATS_SQL + """,

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from . import captures, presets
 from .datasets import dataset_factory, load_data
 from .experiments import run_grid
-from .queries import PACKETS_CTE
+from .queries import PACKETS_CTE, SEQ_BODY
+from .queries_encode import slots_sql, stored_slots
 from .queries_net import _sql_flags, _sql_ports, _sql_subnet
-from .queries_sampling import SEED
+from .queries_sampling import SEED, SPLIT_SQL
 from .registry import query
 
 
@@ -68,13 +69,31 @@ def q_load_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presets.load_flows(spark, captures.write_flows(spark, sf_dir))
 
 
-@query("load_data_mqtt")
+MQTT_FEATURES = {
+    **{n: "number" for n in ("mqtt.msgid", "tcp.len", "mqtt.len", "mqtt.msg.len", "tcp.time_delta")},
+    **{n: "category" for n in ("tcp.flags", "mqtt.protoname", "ip.subnet", "tcp.srcport.category", "tcp.dstport.category")},
+    **{f"tcp.{p}port.is_{x}": "flag" for p in ("src", "dst") for x in ("well_known", "common_service")},
+    **{f"{n}.is_valid": "valid" for n in ("tcp.time_delta", "tcp.dstport.is_well_known", "tcp.dstport.is_common_service")}}
+
+
+def _data_mqtt_sql() -> str:
+    """The preset's rows, cut into sequences by time, split and encoded."""
+    rows = MQTT_SQL[len(PACKETS_CTE):].replace("SELECT stream_id AS session_id", "SELECT event_id, stream_id AS session_id", 1)
+    split = SPLIT_SQL[SPLIT_SQL.index(",\nseqrows AS"):]
+    return PACKETS_CTE + f""",
+m AS ({rows}), src AS (SELECT *, "timestamp" AS ts_us FROM m),""" + SEQ_BODY.replace("{SESSION}", "session_id").replace("{L}", "10").replace(
+        "{SOURCE}", "src") + split + """,
+raw AS (SELECT r.sequence_id, r.step, r.sequence_label, a.split, src.* FROM seqrows r JOIN assigned a USING (sequence_id) JOIN src USING (event_id)),
+""" + slots_sql(MQTT_FEATURES)
+
+
+@query("load_data_mqtt", _data_mqtt_sql())
 def q_load_data_mqtt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A9 + A3 + A8: MQTT preset through both parquet cache levels to the encoded table."""
+    """A9 + A3 + A8: MQTT preset through both parquet cache levels to the encoded table, one row per stored slot."""
     src = captures.write_mqtt(spark, sf_dir)
     data, _ = load_data(spark, "mqttset", src, captures.fresh_path(spark, "cache"), sequence_length=10,
                         seed=SEED, loader=lambda s, p: presets.load_mqtt(s, p, label_from="dir"))
-    return data
+    return stored_slots(data)
 
 
 @query("dataset_factory")
