@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..streaming.sessions import sessionize_stream
 from .captures import fresh_path
 from .queries import SESSION_SQL, TIMEOUT_US, _OPEN_JOIN
 from .registry import query
-from .standins import PACKETS_SQL, SPARK_US, table
+from .standins import PACKETS_SQL, SPARK_US, packets, table
 
 
 @query("stream_sessionize", SESSION_SQL.replace("{OPEN}", _OPEN_JOIN) + "SELECT event_id, session_id FROM sessions")
@@ -26,3 +27,28 @@ def q_stream_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out).select("event_id", "session_id")
+
+
+@query("stream_sessionize_unordered", SESSION_SQL.replace("{OPEN}", _OPEN_JOIN) + "SELECT event_id, session_id FROM sessions")
+def q_stream_sessionize_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 by event time: the packets in files that mix up to three days, with a watermark of four, give the batch sessions."""
+    day = 86_400 * 1_000_000
+    pk = packets(spark, sf_dir)
+    last = pk.agg(F.max("ts_us").alias("t")).first()["t"]
+    late = F.col("ts_us") + F.pmod(F.xxhash64("event_id"), F.lit(3 * day))
+    src = fresh_path(spark, "stream-in")
+    dealt = pk.withColumn("__file", F.coalesce(F.floor(late / (5 * day)), F.lit(-1)))
+    end = pk.limit(1).withColumns({"event_id": F.lit(-1).cast("long"), "stream_id": F.lit("end"), "ts_us": F.lit(last + 30 * day).cast("long"),
+                                   "__file": F.lit(1 << 40).cast("long")})  # moves the watermark past the last packets
+    files = dealt.select("__file").distinct().orderBy("__file").collect()  # one a portion of five days
+    for k, r in enumerate([*[x["__file"] for x in files], 1 << 40]):
+        part = (end if r == 1 << 40 else dealt).where(F.col("__file") == r).drop("__file")
+        part.select([F.col(n).cast(t) for n, t in pk.dtypes]).write.parquet(f"{src}/p{k:05d}")
+    stream = spark.readStream.schema(pk.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(src)
+    s = sessionize_stream(stream, "stream_id", "ts_us", TIMEOUT_US, tiebreak=["event_id"], is_tcp=True, syn="syn", ack="ack", fin="fin", rst="rst",
+                          delay="4 days", seconds=1e-6)
+    out, ck = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-ck")
+    q = (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).where("event_id >= 0").select("event_id", "session_id")

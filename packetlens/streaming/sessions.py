@@ -1,15 +1,17 @@
 """Incremental sessionization of packet streams (F5 on Structured Streaming).
 
 The batch operator (``operators.sessions.sessionize``) needs the whole history
-of a key.  On a stream the same rule runs per micro-batch with per-key state:
-the carried previous time (null after FIN/RST), the session counter and
-whether the previous packet closed a connection.  Inside one call the rule is
-vectorized with NumPy (shift + cumulative sum), not a per-row loop.
-
-Packets of a key are expected in time order across micro-batches (captures
-are); within a micro-batch they are sorted by (time, tiebreak).  The work per
-call is bounded by the micro-batch size (``maxFilesPerTrigger`` /
-``maxBytesPerTrigger`` of the source), not by the size of a key's history.
+of a key.  On a stream the same rule runs with per-key state: the carried
+previous time (null after FIN/RST), the session counter and whether the
+previous packet closed a connection.  Inside one call the rule is vectorized
+with NumPy (shift + cumulative sum), not a per-row loop.
+
+Without ``delay``, packets of a key are expected in time order across
+micro-batches (captures are); within a micro-batch they are sorted by (time,
+tiebreak).  With ``delay``, packets may come in any order within it: a key's
+packets wait in its state until the watermark has passed them, a timer brings
+them out even if the key sends nothing more, and packets later than the delay
+are dropped, as by any watermark.  ``expire`` lets the state of a silent key go.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,34 +29,76 @@ from ..functions.common import ColumnLike, c, flag
 from ..operators.sessions import _as_col, _key_string
 
 STATE_SCHEMA = "last double, n long, closed boolean, seen boolean"
+WAITING_SCHEMA = STATE_SCHEMA + ", waiting binary, newest long"
+OWN = ["__kstr", "__t", "__syn", "__cls"]
+
+
+def _numbered(pdf: pd.DataFrame, carry: tuple, timeout: float, after_close: str, tiebreak: Sequence[str], out: str) -> tuple[pd.DataFrame, tuple]:
+    """The packets of a key with their session ids, and the carry after them."""
+    last, n0, closed0, seen = carry
+    pdf = pdf.sort_values(["__t", *tiebreak], na_position="first", kind="mergesort")
+    t = pdf["__t"].to_numpy(dtype="float64", na_value=np.nan)
+    closed = pdf["__cls"].to_numpy(dtype=bool)
+    pure = pdf["__syn"].to_numpy(dtype=bool)
+    eff = np.where(closed, np.nan, t)
+    prev = np.concatenate([[np.nan if last is None else last], eff[:-1]])
+    prev_closed = np.concatenate([[bool(closed0) and bool(seen)], closed[:-1]])
+    with np.errstate(invalid="ignore"):
+        opens = ~np.isnan(prev) & (pure | ((t - prev) > timeout))
+    if after_close == "split":
+        opens |= prev_closed
+    if not seen and len(opens):
+        opens[0] = False  # the very first packet of a key never opens a new session
+    n = int(n0) + np.cumsum(opens)
+    pdf[out] = pdf["__kstr"].astype(str) + "_" + n.astype(str)
+    tail = eff[-1] if len(eff) else np.nan
+    carry = (None if np.isnan(tail) else float(tail), int(n[-1]) if len(n) else int(n0), bool(closed[-1]) if len(closed) else bool(closed0), True)
+    return pdf, carry
 
 
 def _session_fn(timeout: float, after_close: str, tiebreak: Sequence[str], out: str):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if state.exists:
-            last, n0, closed0, seen = state.get
-        else:
-            last, n0, closed0, seen = None, 0, False, False
-        pdf = pdf.sort_values(["__t", *tiebreak], na_position="first", kind="mergesort")
-        t = pdf["__t"].to_numpy(dtype="float64", na_value=np.nan)
-        closed = pdf["__cls"].to_numpy(dtype=bool)
-        pure = pdf["__syn"].to_numpy(dtype=bool)
-        eff = np.where(closed, np.nan, t)
-        prev = np.concatenate([[np.nan if last is None else last], eff[:-1]])
-        prev_closed = np.concatenate([[bool(closed0) and bool(seen)], closed[:-1]])
-        with np.errstate(invalid="ignore"):
-            opens = ~np.isnan(prev) & (pure | ((t - prev) > timeout))
-        if after_close == "split":
-            opens |= prev_closed
-        if not seen and len(opens):
-            opens[0] = False  # the very first packet of a key never opens a new session
-        n = int(n0) + np.cumsum(opens)
-        pdf[out] = pdf["__kstr"].astype(str) + "_" + n.astype(str)
-        tail_eff = eff[-1] if len(eff) else np.nan
-        state.update((None if np.isnan(tail_eff) else float(tail_eff), int(n[-1]) if len(n) else int(n0),
-                      bool(closed[-1]) if len(closed) else bool(closed0), True))
-        yield pdf.drop(columns=["__kstr", "__t", "__syn", "__cls"])
+        carry = state.get if state.exists else (None, 0, False, False)
+        pdf, carry = _numbered(pd.concat(list(pdfs), ignore_index=True), carry, timeout, after_close, tiebreak, out)
+        state.update(carry)
+        yield pdf.drop(columns=OWN)
+    return fn
+
+
+def _waiting_fn(timeout: float, after_close: str, tiebreak: Sequence[str], out: str, expire_ms: int | None):
+    def pack(pdf: pd.DataFrame) -> bytes:
+        table = pa.Table.from_pandas(pdf, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        *carry, waiting, newest = state.get if state.exists else (None, 0, False, False, None, None)
+        frames = [] if state.hasTimedOut else list(pdfs)
+        if waiting:
+            frames.insert(0, pa.ipc.open_stream(waiting).read_pandas())
+        if not frames:  # silent for long enough: the key may start anew
+            state.remove()
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        at, passed = pdf["__ms"].to_numpy(dtype="float64", na_value=np.nan), state.getCurrentWatermarkMs()
+        ready = ~(at > passed)  # packets without a time don't wait
+        if ready.any():
+            done, carry = _numbered(pdf[ready], tuple(carry), timeout, after_close, tiebreak, out)
+            yield done.drop(columns=[*OWN, "__ms", "__at"], errors="ignore")
+        rest = pdf[~ready]
+        newest = max([x for x in (newest, np.nanmax(at) if (~np.isnan(at)).any() else None) if x is not None], default=None)
+        newest = None if newest is None else int(newest)
+        silent = expire_ms is not None and newest is not None and newest + expire_ms <= passed
+        if silent and not len(rest):
+            state.remove()
+            return
+        state.update((*carry, pack(rest) if len(rest) else None, newest))
+        if len(rest):
+            state.setTimeoutTimestamp(max(int(rest["__ms"].min()), passed + 1))
+        elif expire_ms is not None and newest is not None:
+            state.setTimeoutTimestamp(newest + expire_ms)
     return fn
 
 
@@ -61,13 +106,27 @@ def sessionize_stream(df: DataFrame, key: ColumnLike, time: ColumnLike, timeout:
                       tiebreak: Sequence[str] = (), is_tcp: ColumnLike | bool = False,
                       syn: ColumnLike | None = None, ack: ColumnLike | None = None,
                       fin: ColumnLike | None = None, rst: ColumnLike | None = None,
-                      after_close: str = "join", out: str = "session_id") -> DataFrame:
-    """Streaming F5: same session ids as the batch operator for in-order streams."""
+                      after_close: str = "join", out: str = "session_id", delay: str | None = None,
+                      seconds: float = 1.0, expire: float | None = None) -> DataFrame:
+    """Streaming F5: the session ids of the batch operator.
+
+    ``delay`` (an interval, such as "10 minutes") is how late a packet may
+    come; None expects packets of a key in order.  ``seconds`` is the length of
+    a unit of ``time``.  A packet leaves once the watermark has passed it; one
+    without a time leaves at once, as the first of its key.  A key silent for
+    ``expire`` units of time (beyond the watermark) is forgotten, and its
+    numbers start again at 0; None keeps the few numbers of every key.
+    """
     tcp = F.coalesce(_as_col(is_tcp), F.lit(False))
     staged = df.select("*", _key_string(df, key).alias("__kstr"), c(time).cast("double").alias("__t"),
                        (tcp & flag(syn) & ~flag(ack)).alias("__syn"),
                        (tcp & (flag(fin) | flag(rst))).alias("__cls"))
     out_schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
-    return staged.groupBy("__kstr").applyInPandasWithState(
-        _session_fn(float(timeout), after_close, list(tiebreak), out), out_schema, STATE_SCHEMA,
-        "append", "NoTimeout")
+    if delay is None:
+        fn, state, timer = _session_fn(float(timeout), after_close, list(tiebreak), out), STATE_SCHEMA, "NoTimeout"
+    else:
+        ms = F.ceil(F.col("__t") * (1000.0 * seconds)).cast("long")
+        staged = staged.withColumn("__ms", ms).withColumn("__at", F.timestamp_millis("__ms")).withWatermark("__at", delay)
+        expire_ms = None if expire is None else int(expire * seconds * 1000)
+        fn, state, timer = _waiting_fn(float(timeout), after_close, list(tiebreak), out, expire_ms), WAITING_SCHEMA, "EventTimeTimeout"
+    return staged.groupBy("__kstr").applyInPandasWithState(fn, out_schema, state, "append", timer)
