@@ -6,13 +6,17 @@ the cluster's FileSystem API, never the driver's local disk.
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.common import c
+from ..operators.schema import common_supertype
 
 
 def _fs(spark: SparkSession, path: str):
@@ -78,30 +82,113 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], overrides: Mapping[
     return _reader(spark, multi_line).option("enforceSchema", False).schema(schema).csv(path)
 
 
+#: Types a CSV column may take, narrowest first, and the test of a text for each.
+_CSV_TYPES: list[tuple[T.DataType, Callable[[Column], Column]]] = [
+    (T.IntegerType(), lambda x: x.try_cast("int").isNotNull()),
+    (T.LongType(), lambda x: x.try_cast("bigint").isNotNull()),
+    (T.DoubleType(), lambda x: x.try_cast("double").isNotNull()),
+    (T.TimestampType(), lambda x: x.try_cast("timestamp").isNotNull() & x.contains(":")),
+    (T.BooleanType(), lambda x: F.lower(F.trim(x)).isin("true", "false")),
+]
+
+
+def csv_headers(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Column names of every file, from its first line (a read of one line each)."""
+    out = {}
+    for path in files:
+        line = spark.read.text(path).first()
+        out[path] = tuple(next(csv.reader([line["value"].lstrip("\ufeff")]))) if line else ()
+    return out
+
+
+def _as_text(spark: SparkSession, headers: Mapping[str, tuple[str, ...]], multi_line: bool) -> list[DataFrame]:
+    """Files of equal columns in one frame each, all columns as text."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, names in headers.items():
+        groups.setdefault(names, []).append(path)
+    return [_reader(spark, multi_line).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(paths)
+            for names, paths in groups.items() if names]
+
+
+def type_lattice(spark: SparkSession, files: Sequence[str], sampling_ratio: float = 1.0, multi_line: bool = False,
+                 headers: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(file, column, values, fits): per file and column the number of values, and how many fit each type of ``_CSV_TYPES``.
+
+    One pass over all files, whatever columns each has and in whatever order;
+    the result has a row per file and column.
+    """
+    headers = headers or csv_headers(spark, files)
+    per_group = []
+    for df in _as_text(spark, headers, multi_line):
+        names = df.columns
+        rows = df.withColumn("__file", F.col("_metadata.file_path"))
+        if sampling_ratio < 1.0:
+            rows = rows.where(F.pmod(F.xxhash64(*[c(n) for n in names], "__file"), F.lit(1 << 30)) < int(sampling_ratio * (1 << 30)))
+        aggs = []
+        for k, n in enumerate(names):
+            aggs += [F.count(c(n)).alias(f"v{k}"), F.array(*[F.count_if(fits(c(n))) for _, fits in _CSV_TYPES]).alias(f"f{k}")]
+        wide = rows.groupBy("__file").agg(*aggs)
+        per_group.append(wide.select(F.col("__file").alias("file"), F.inline(F.array(*[
+            F.struct(F.lit(n).alias("column"), F.col(f"v{k}").alias("values"), F.col(f"f{k}").alias("fits")) for k, n in enumerate(names)]))))
+    return reduce(DataFrame.unionByName, per_group)
+
+
+def merged_types(lattice: DataFrame) -> dict[str, T.DataType]:
+    """B1 over the files: the common type of each column's narrowest types; text if it has no value anywhere."""
+    found: dict[str, list[T.DataType]] = {}
+    for r in lattice.collect():  # a row per file and column
+        mine = found.setdefault(r["column"], [])
+        if r["values"]:
+            mine.append(next((t for (t, _), n in zip(_CSV_TYPES, r["fits"]) if n == r["values"]), T.StringType()))
+    return {n: common_supertype(types) if types else T.StringType() for n, types in found.items()}
+
+
+def read_csv_files(spark: SparkSession, files: Sequence[str], overrides: Mapping[str, T.DataType] | None = None,
+                   sampling_ratio: float = 1.0, multi_line: bool = False) -> DataFrame:
+    """CSV files that may differ in columns and their order, as one frame: columns by name, each of the common type of
+    all files (``merged_types``), null where a file lacks it; ``__path`` is the file of a row.
+
+    Values that a sampled inference got wrong become null.
+    """
+    headers = csv_headers(spark, files)
+    types = merged_types(type_lattice(spark, files, sampling_ratio, multi_line, headers)) | dict(overrides or {})
+    names = list(dict.fromkeys(n for h in headers.values() for n in h))
+    frames = []
+    for df in _as_text(spark, headers, multi_line):
+        have = set(df.columns)
+        cast = lambda n: c(n) if types[n] == T.StringType() else c(n).try_cast(types[n])
+        frames.append(df.select(*[(cast(n) if n in have else F.lit(None).cast(types[n])).alias(n) for n in names],
+                                F.col("_metadata.file_path").alias("__path")))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def read_labelled_dir(spark: SparkSession, directory: str, benign_prefix: str = "legitimate",
                       overrides: Mapping[str, T.DataType] | None = None, label_from: str = "file",
                       sampling_ratio: float = 1.0, schema: T.StructType | None = None,
                       multi_line: bool = False) -> DataFrame:
-    """A2: every CSV of a directory, labelled by where it lies.
+    """A2 + B1: every CSV of a directory, labelled by where it lies.
 
     ``attack_type`` is the file stem (``label_from="file"``) or the parent folder
     name (``"dir"``, ``key=value`` folders give the value); ``attack_label`` is
-    true unless it starts with ``benign_prefix``.  Without ``schema``, types are
-    inferred by one pass over all files together (a column that holds several
-    types gets their common one); then one scan reads all files.
+    true unless it starts with ``benign_prefix``.  Without ``schema``, one pass
+    over all files gives the type of every column in every file, and a column
+    has their common type (B1); files may have different columns in any order.
     """
     files = list_files(spark, directory)
     if not files:
         raise FileNotFoundError(f"no CSV files below {directory}")
-    df = read_csv(spark, files, overrides, schema, sampling_ratio, multi_line)
+    if schema is None:
+        df = read_csv_files(spark, files, overrides, sampling_ratio, multi_line)
+    else:
+        df = read_csv(spark, files, overrides, schema, sampling_ratio, multi_line).withColumn("__path", F.col("_metadata.file_path"))
     if label_from == "file":
-        label = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+        label = F.regexp_replace(F.regexp_extract("__path", r"([^/]+)$", 1), r"\.[^.]*$", "")
     elif label_from == "dir":
-        label = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+$", 1)
+        label = F.regexp_extract("__path", r"([^/=]+)/[^/]+$", 1)
     else:
         raise ValueError("label_from must be 'file' or 'dir'")
-    return df.select("*", label.alias("attack_type"),
-                     (~label.startswith(benign_prefix)).alias("attack_label"))
+    df = df.withColumn("attack_type", label).drop("__path")
+    return df.withColumn("attack_label", ~F.col("attack_type").startswith(benign_prefix))
 
 
 def fingerprint(spark: SparkSession, source: str, **parameters) -> str:

@@ -70,3 +70,24 @@ def test_running_session_is_left_alone(spark):
     from packetlens.session import get_spark
     before = spark.conf.get("spark.sql.shuffle.partitions")
     assert get_spark(shuffle_partitions=99) is spark and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_files_of_different_columns_and_types(spark, tmp_path):
+    """Columns by name whatever their order, missing ones null; every column has the common type of its files."""
+    d = tmp_path / "mixed"
+    d.mkdir()
+    _csv(d / "legitimate.csv", "a,b,flag,when,none", ["1,x,true,2024-01-02 03:04:05,", "2,,false,,"])
+    _csv(d / "dos.csv", "b,a,flag,big,\"quo,ted\"", ["7,2.5,1,5000000000,\"p,q\"", "8,,0,1,r"])
+    _csv(d / "flood.csv", "a,when", ["9000000000,2024-01-03 00:00:00"])
+    (d / "empty.csv").write_text("")
+    df = files.read_labelled_dir(spark, str(d))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    assert types == {"a": T.DoubleType(), "b": T.StringType(), "flag": T.StringType(), "when": T.TimestampType(), "none": T.StringType(),
+                     "big": T.LongType(), "quo,ted": T.StringType(), "attack_type": T.StringType(), "attack_label": T.BooleanType()}
+    got = sorted((r["attack_type"], r["a"] or 0.0, r["b"], r["flag"], r["big"], r["quo,ted"], r["attack_label"]) for r in df.collect())
+    assert got == [("dos", 0.0, "8", "0", 1, "r", True), ("dos", 2.5, "7", "1", 5_000_000_000, "p,q", True), ("flood", 9e9, None, None, None, None, True),
+                   ("legitimate", 1.0, "x", "true", None, None, False), ("legitimate", 2.0, None, "false", None, None, False)]
+    lattice = {(r["file"].rsplit("/", 1)[1], r["column"]): (r["values"], list(r["fits"])) for r in files.type_lattice(
+        spark, files.list_files(spark, str(d))).collect()}
+    assert lattice["dos.csv", "a"] == (1, [0, 0, 1, 0, 0]) and lattice["legitimate.csv", "none"] == (0, [0] * 5)
+    assert lattice["flood.csv", "a"] == (1, [0, 1, 1, 0, 0])
