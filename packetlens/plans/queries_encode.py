@@ -142,12 +142,12 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(df, length=10, seed=SEED, tiebreak=["event_id"])
 
 
-def slots_sql(features: dict[str, str]) -> str:
-    """CTEs and final select over ``raw`` (sequence rows with ``split``): every stored slot of the prepared rows.
+def slot_ctes(features: dict[str, str]) -> str:
+    """CTEs over ``raw`` (sequence rows with ``split``): ``layout`` and ``entries``, every slot of the prepared rows.
 
     ``features`` maps a name to number, flag (boolean), valid (validity flag of the column before ``.is_valid``) or category.
     """
-    widths, moments, entries, first = [], [], [], "0"
+    widths, moments, entries, layout, first = [], [], [], [], "0"
     for i, (name, kind) in enumerate(sorted(features.items())):
         source = name.removesuffix(".is_valid") if kind == "valid" else name
         if kind == "category":
@@ -155,6 +155,7 @@ def slots_sql(features: dict[str, str]) -> str:
                 SELECT DISTINCT COALESCE("{name}", 'NONE') AS v FROM raw WHERE split IN ('train', 'val')))"""
             entries.append(f"""SELECT raw.*, {first} + k.code AS slot, 1.0::DOUBLE AS x FROM raw JOIN {values} k ON COALESCE("{name}", 'NONE') = k.v""")
             widths.append(f"""(SELECT COUNT(*) FROM {values}) AS w{i}""")
+            layout.append(f"SELECT '{name}' AS feature, {first} AS first, (SELECT w{i} FROM widths) AS width")
             first += f" + (SELECT w{i} FROM widths)"
             continue
         if kind == "number":
@@ -166,11 +167,17 @@ def slots_sql(features: dict[str, str]) -> str:
         else:
             value = f'CAST("{source}" IS NOT NULL AS DOUBLE)'
         entries.append(f"SELECT raw.*, {first} AS slot, {value} AS x FROM raw")
+        layout.append(f"SELECT '{name}' AS feature, {first} AS first, 1 AS width")
         first += " + 1"
     return f"""
 moments AS (SELECT {", ".join(moments)} FROM raw WHERE split IN ('train', 'val')),
 widths AS (SELECT {", ".join(widths)}),
+layout AS ({" UNION ALL ".join(layout)}),
 entries AS ({" UNION ALL ".join(entries)})
+"""
+
+
+STORED_SLOTS_SQL = """
 SELECT sequence_id, step, sequence_label, attack_label, attack_type, split, CAST(slot AS INTEGER) AS slot, round(x, 6) AS value
 FROM entries WHERE x <> 0"""
 
@@ -187,13 +194,13 @@ PREPARED_FEATURES = {
     **{f"ip_src.is_{x}": "flag" for x in ("private", "loopback", "multicast", "link_local", "unspecified")},
     **{f"port_dst.is_{x}": "flag" for x in ("well_known", "common_service")},
     **{f"{x}.is_valid": "valid" for x in ("num_a", "port_dst", "port_dst.is_well_known", "port_dst.is_common_service")}}
-PREPARED_SQL = SPLIT_SQL + f""",
+PREPARED_CTES = SPLIT_SQL + f""",
 raw AS (SELECT r.sequence_id, r.step, r.sequence_label, a.split, p.attack_label, p.attack_type, p.num_a, p.port_src, p.port_dst,
   nullif({_sql_subnet('ip_src', 'ip_dst', 'none')}, 'none') AS "ip.subnet", {_sql_ports('port_dst')}, {_sql_flags('ip_src')}
-  FROM seqrows r JOIN assigned a USING (sequence_id) JOIN packets p USING (event_id)),""" + slots_sql(PREPARED_FEATURES)
+  FROM seqrows r JOIN assigned a USING (sequence_id) JOIN packets p USING (event_id)),""" + slot_ctes(PREPARED_FEATURES)
 
 
-@query("prepare", PREPARED_SQL)
+@query("prepare", PREPARED_CTES + STORED_SLOTS_SQL)
 def q_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 (+C14-C16, C1, F4, I1, J1, J2, J4): packets -> split sequence table, one row per stored slot of its feature vectors."""
     return stored_slots(prepared(spark, sf_dir))

@@ -13,7 +13,7 @@ from . import captures, presets
 from .datasets import dataset_factory, load_data
 from .experiments import run_grid
 from .queries import PACKETS_CTE, SEQ_BODY
-from .queries_encode import slots_sql, stored_slots
+from .queries_encode import STORED_SLOTS_SQL, slot_ctes, stored_slots
 from .queries_net import _sql_flags, _sql_ports, _sql_subnet
 from .queries_sampling import SEED, SPLIT_SQL
 from .registry import query
@@ -84,7 +84,7 @@ def _data_mqtt_sql() -> str:
 m AS ({rows}), src AS (SELECT *, "timestamp" AS ts_us FROM m),""" + SEQ_BODY.replace("{SESSION}", "session_id").replace("{L}", "10").replace(
         "{SOURCE}", "src") + split + """,
 raw AS (SELECT r.sequence_id, r.step, r.sequence_label, a.split, src.* FROM seqrows r JOIN assigned a USING (sequence_id) JOIN src USING (event_id)),
-""" + slots_sql(MQTT_FEATURES)
+""" + slot_ctes(MQTT_FEATURES) + STORED_SLOTS_SQL
 
 
 @query("load_data_mqtt", _data_mqtt_sql())

@@ -11,7 +11,7 @@ from ..operators import selection as SEL
 from ..session import materialize
 from .experiments import select
 from .queries import _sequences
-from .queries_encode import prepared
+from .queries_encode import PREPARED_CTES, prepared
 from .queries_sampling import SEED, SPLIT_SQL
 from .registry import query
 
@@ -114,12 +114,46 @@ def q_population_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "n_features_avg", "n_features_std", "n_features_min", "n_features_max")
 
 
-@query("prepared_selection")
+def _ratio(x: str) -> str:
+    """Log-likelihood ratio of a slot's value under its two normal distributions."""
+    side = lambda y: f"(-0.5 * ln(v{y}) - ({x} - m{y}) * ({x} - m{y}) / (2 * v{y}))"
+    return f"({side(1)} - {side(0)})"
+
+
+PREPARED_SELECTION_SQL = PREPARED_CTES + f""",
+labelled AS (SELECT DISTINCT sequence_id, split, CAST(sequence_label AS INTEGER) AS y FROM raw),
+means AS (SELECT sequence_id, split, CAST(sequence_label AS INTEGER) AS y, slot, SUM(x) / 10 AS x FROM entries WHERE x <> 0
+          GROUP BY sequence_id, split, sequence_label, slot),
+ns AS (SELECT COUNT(CASE WHEN y = 1 THEN 1 END) AS n1, COUNT(CASE WHEN y = 0 THEN 1 END) AS n0 FROM labelled WHERE split = 'train'),
+sums AS (SELECT slot, SUM(CASE WHEN y = 0 THEN x ELSE 0 END) AS s0, SUM(CASE WHEN y = 0 THEN x * x ELSE 0 END) AS q0,
+                SUM(CASE WHEN y = 1 THEN x ELSE 0 END) AS s1, SUM(CASE WHEN y = 1 THEN x * x ELSE 0 END) AS q1
+         FROM means WHERE split = 'train' GROUP BY slot),
+sfit AS (SELECT slot, feature, s0 / n0 AS m0, GREATEST(q0 / n0 - (s0 / n0) * (s0 / n0), 1e-9) AS v0,
+                s1 / n1 AS m1, GREATEST(q1 / n1 - (s1 / n1) * (s1 / n1), 1e-9) AS v1
+         FROM sums, ns JOIN layout ON sums.slot >= layout.first AND sums.slot < layout.first + layout.width),
+base AS (SELECT feature, SUM({_ratio('0.0')}) AS b FROM sfit GROUP BY feature),
+terms AS (SELECT m.sequence_id, f.feature, SUM({_ratio('m.x')} - {_ratio('0.0')}) AS t
+          FROM means m JOIN sfit f ON m.slot = f.slot WHERE m.split = 'val' GROUP BY m.sequence_id, f.feature),
+masks AS (SELECT cand.range AS candidate_id, l.feature,
+   CAST(CAST(('0x' || substr(md5('{SEED}|0|' || CAST(cand.range AS VARCHAR) || '|' || l.feature), 1, 1)) AS INTEGER) % 2 AS INTEGER) AS bit
+   FROM range({POPULATION}) cand, layout l),
+chosen AS (SELECT candidate_id, CAST(SUM(bit) AS DOUBLE) AS n FROM masks GROUP BY candidate_id),
+scores AS (SELECT m.candidate_id, v.sequence_id, v.y,
+             SUM(m.bit * (COALESCE(base.b, 0) + COALESCE(t.t, 0))) + (SELECT ln(CAST(n1 AS DOUBLE) / n0) FROM ns) AS s
+           FROM masks m CROSS JOIN (SELECT * FROM labelled WHERE split = 'val') v LEFT JOIN base ON base.feature = m.feature
+           LEFT JOIN terms t ON t.sequence_id = v.sequence_id AND t.feature = m.feature GROUP BY m.candidate_id, v.sequence_id, v.y),
+conf AS (SELECT candidate_id, COUNT(CASE WHEN y = 1 AND s > 0 THEN 1 END) AS tp, COUNT(CASE WHEN y <> 1 AND s > 0 THEN 1 END) AS fp,
+                COUNT(CASE WHEN y = 1 AND NOT s > 0 THEN 1 END) AS fn FROM scores GROUP BY candidate_id)
+SELECT conf.candidate_id, round(CASE WHEN n = 0 OR 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END, 6) AS f1,
+       CASE WHEN n = 0 THEN CAST('inf' AS DOUBLE) ELSE n END AS n_features FROM conf JOIN chosen USING (candidate_id)"""
+
+
+@query("prepared_selection", PREPARED_SELECTION_SQL)
 def q_prepared_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2 + L3 on the prepared table: random subsets of its features, scored on the whole val split."""
     data = materialize(prepared(spark, sf_dir), "prepared")
     fitness, _ = select(spark, data, 10, SEED, POPULATION, None, None)
-    return fitness
+    return fitness.withColumn("f1", F.round("f1", 6))
 
 
 @query("train_evaluate")
