@@ -14,7 +14,7 @@ from .datasets import dataset_factory, load_data
 from .experiments import run_grid
 from .queries import PACKETS_CTE, SEQ_BODY
 from .queries_encode import STORED_SLOTS_SQL, slot_ctes, stored_slots
-from .queries_net import _sql_flags, _sql_ports, _sql_subnet
+from .queries_net import EDGE_CTE, _sql_flags, _sql_ports, _sql_subnet, _sql_valid
 from .queries_sampling import SEED, SPLIT_SQL
 from .registry import query
 
@@ -57,7 +57,45 @@ def q_load_mqtt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presets.load_mqtt(spark, captures.write_mqtt(spark, sf_dir), label_from="dir")
 
 
-@query("load_edge")
+def _edge_sql() -> str:
+    """The Edge rows after the numeric fill: every packet looks like TCP, so keys are end points and ports."""
+    ips = {"ip.src_host": "src", "ip.dst_host": "dst", "arp.src.proto_ipv4": "arp_src", "arp.dst.proto_ipv4": "arp_dst"}
+    flags = ", ".join(_renamed(_sql_flags(x), x, n) for n, x in ips.items())
+    filled = {"udp.port": "udp_port", "udp.stream": "udp_stream", "icmp.seq_le": "icmp_seq", "arp.opcode": "arp_opcode", "mqtt.msgtype": "mqtt_msgtype",
+              "mbtcp.unit_id": "mbtcp_trans_id % 8", "tcp.ack": "ack", "tcp.ack_raw": "event_id * 31", "tcp.connection.fin": "fin", "tcp.connection.rst": "rst",
+              "tcp.connection.syn": "syn", "tcp.connection.synack": "syn * ack", "tcp.flags.ack": "ack", "tcp.len": "length(coalesce(payload, ''))",
+              "tcp.seq": "event_id % 1000", "mqtt.len": "CASE WHEN mqtt_msgtype IS NOT NULL THEN 12 END"}
+    numbers = ", ".join(f'CAST(COALESCE({e}, 0) AS BIGINT) AS "{n}"' for n, e in filled.items())
+    texts = {"tcp.payload": "payload", "tcp.options": "CASE WHEN syn = 1 THEN '020405b4' END",
+             "http.request.full_uri": "CASE WHEN kind = 'purchase' THEN 'http://h/' || payload END", "http.request.uri.query": "CAST(NULL AS VARCHAR)",
+             "http.file_data": "CASE WHEN kind = 'click' THEN payload END", "mqtt.msg": "CASE WHEN mqtt_msgtype IS NOT NULL THEN payload END"}
+    lengths = ", ".join(f'CAST(length(trim({e})) AS BIGINT) AS "{n}.length"' for n, e in texts.items())
+    part = lambda n, x: f"COALESCE(',\"{n}\":' || {x}, '')"
+    text = lambda x: f"'\"' || {x} || '\"'"
+    session = f"""'{{"protocol":"TCP"' || {part('ip1', text('ip1'))} || {part('port1', 'port1')} || {part('ip2', text('ip2'))} || {part('port2', 'port2')} || '}}_'"""
+    return EDGE_CTE + f""",
+v AS (SELECT *, attack_type AS kind, CASE WHEN {_sql_valid('ip_src')} THEN ip_src END AS src, CASE WHEN {_sql_valid('ip_dst')} THEN ip_dst END AS dst,
+  CASE WHEN arp_opcode IS NOT NULL AND {_sql_valid('ip_src')} THEN ip_src END AS arp_src,
+  CASE WHEN arp_opcode IS NOT NULL AND {_sql_valid('ip_dst')} THEN ip_dst END AS arp_dst,
+  CASE WHEN event_id % 53 <> 0 THEN (epoch_us(date_trunc('year', make_timestamp(ts_us))) + ts_us % 86400000000) / 1e6 END AS t,
+  COALESCE(tcp_srcport, 0) AS sport, COALESCE(tcp_dstport, 0) AS dport FROM edge),
+e AS (SELECT *, CASE WHEN COALESCE(src <= dst, FALSE) THEN src ELSE dst END AS ip1, CASE WHEN COALESCE(src <= dst, FALSE) THEN dst ELSE src END AS ip2 FROM v),
+k AS (SELECT *, CASE WHEN src = ip1 THEN sport WHEN src <> ip1 THEN dport END AS port1,
+               CASE WHEN src = ip1 THEN dport WHEN src <> ip1 THEN sport END AS port2 FROM e),
+c AS (SELECT *, LAG(CASE WHEN fin = 1 OR rst = 1 THEN NULL ELSE t END) OVER w AS prev FROM k
+      WINDOW w AS (PARTITION BY ip1, port1, ip2, port2 ORDER BY t NULLS FIRST, event_id)),
+o AS (SELECT *, CASE WHEN prev IS NOT NULL AND ((syn = 1 AND NOT ack = 1) OR t - prev > {presets.SESSION_TIMEOUT_S}) THEN 1 ELSE 0 END AS opn FROM c),
+s AS (SELECT *, SUM(opn) OVER (PARTITION BY ip1, port1, ip2, port2 ORDER BY t NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM o)
+SELECT {numbers}, CAST(mbtcp_trans_id AS INTEGER) AS "mbtcp.trans_id",
+ CASE WHEN udp_port IS NOT NULL THEN 11::BIGINT END AS "dns.qry.name.len", CASE WHEN udp_port IS NOT NULL THEN 'example.org' END AS "dns.qry.name",
+ CASE WHEN kind = 'purchase' THEN 'GET' END AS "http.request.method", CASE WHEN kind = 'purchase' THEN 'HTTP/1.1' END AS "http.request.version",
+ CAST(NULL AS VARCHAR) AS "http.referer", 0 AS "mqtt.protoname", 0 AS "mqtt.conack.flags", CAST(attack_label AS INTEGER) AS attack_label,
+ CASE WHEN attack_label = 1 THEN 'DDoS' ELSE 'Normal' END AS attack_type, {session} || CAST(n AS VARCHAR) AS session_id,
+ COALESCE(t, 0.0::DOUBLE) AS "timestamp", t IS NOT NULL AS "frame.time.is_valid", nullif({_sql_subnet('src', 'dst', 'none')}, 'none') AS "ip.subnet",
+ {flags}, {lengths} FROM s"""
+
+
+@query("load_edge", _edge_sql())
 def q_load_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 + A6 (+C4, B5, C11, C18-C21, F5, C14, C15, C2): Edge capture CSV -> sessionized table."""
     return presets.load_edge(spark, captures.write_edge(spark, sf_dir))
