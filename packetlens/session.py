@@ -96,8 +96,16 @@ def drop_on_exit(spark: SparkSession, path: str) -> None:
     _written.append(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete every intermediate table that this process has written."""
-    while _written and spark.sparkContext._jsc is not None:
+def tables_written() -> int:
+    """How many intermediate tables are registered; a mark for ``drop_tables``."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables that this process has written, or those after the mark ``since``.
+
+    Nothing that still reads them may be used afterwards: write a result first.
+    """
+    while len(_written) > since and spark.sparkContext._jsc is not None:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
