@@ -62,6 +62,7 @@ def load_mqtt(spark: SparkSession, directory: str, label_from: str = "file", sch
 
 
 # ----------------------------------------------------------- Edge IIoT capture
+# Text columns of the Edge capture, columns it drops, addresses, numbers read as text, texts measured.
 EDGE_OVERRIDES = {n: T.StringType() for n in [
     "dns.qry.name.len", "tcp.srcport", "http.request.method", "http.request.full_uri",
     "http.request.version", "http.request.uri.query", "http.file_data", "http.referer"]}
@@ -135,6 +136,7 @@ def load_edge(spark: SparkSession, path: str, schema=None, multi_line: bool = Fa
 
 
 # ------------------------------------------------------------- X-IIoT flows
+# Columns of the flow records by type, class and alert labels.
 FLOW_DROP = ["is_SYN_with_RST", "Bad_checksum"]
 FLOW_LONG = ["Scr_port", "Des_port", "timestamp", "missed_bytes", "Scr_bytes", "Des_bytes", "total_packet",
              "total_bytes", "Scr_pkts", "Scr_ip_bytes", "Des_pkts", "Des_ip_bytes"]
@@ -176,8 +178,10 @@ def clean_flows(df: DataFrame, session: str = "constant") -> DataFrame:
     casts.update({n: scalar.cast_lenient(n, "long") for n in FLOW_LONG})
     casts.update({n: scalar.cast_lenient(n, "double") for n in FLOW_DOUBLE})
     df = df.withColumns(casts)
-    df = df.withColumn("session_id", F.lit("0") if session == "constant"
-                       else protocol.flow_session_id(FLOW_ID_FIELDS))
+    if session == "constant":
+        df = schema.with_literal(df, "session_id", "0")
+    else:
+        df = df.withColumn("session_id", protocol.flow_session_id(FLOW_ID_FIELDS))
     df = net.with_ip_longs(df, "Des_IP", "Scr_IP")
     df = df.select(
         "*", net.shared_subnet_mask("Des_IP", "Scr_IP", None, "__ip_Des_IP", "__ip_Scr_IP").alias("IP.Subnet"),

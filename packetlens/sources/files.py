@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.common import c
-from ..operators.schema import common_supertype
+from ..operators.schema import common_supertype, project
 
 
 def _fs(spark: SparkSession, path: str):
@@ -264,4 +264,4 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     """The rows written so far, in the results schema; none if nothing is there."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], RESULTS_SCHEMA)
-    return spark.read.schema(RESULTS_SCHEMA).parquet(path).select(RESULTS_SCHEMA.fieldNames())
+    return project(spark.read.schema(RESULTS_SCHEMA).parquet(path), RESULTS_SCHEMA.fieldNames())
