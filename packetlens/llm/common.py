@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +13,9 @@ from ..session import drop_on_exit, scratch_path
 #: ASCII white space of the word contracts: blank and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Bits of a membership filter (8 MB on the driver and in each task, at any input size).
+#: Bits of a membership filter (8 MB, at any input size), and of one of the bitmaps it consists of.
 FILTER_BITS = 1 << 26
+BITMAP = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,33 +81,21 @@ def prefix_reduce(arr: Column, zero: Column, plus: Callable[[Column, Column], Co
     return F.concat(body, F.array(F.element_at(starts, -1)))
 
 
-def membership(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
-    """A test that holds for every value of ``key`` in ``keys``, and for few others.
+def in_bitmaps(rows: DataFrame, h: str, keys: DataFrame, out: str = "held") -> DataFrame:
+    """``rows`` with ``out``: true for every row whose hash column ``h`` is in ``keys`` (column ``key``), and for few others.
 
-    The filter has a fixed size whatever ``keys`` holds (two hash positions a
-    key); filled up, it lets everything through, so it may only thin out the
-    input of an exact join.  Bits are or-ed in Spark; the driver sees at most
-    ``bits / 64`` words.
+    The filter has a fixed size whatever ``keys`` holds: 8 MB, broadcast as bitmaps of 4 KB.  Filled up, it lets
+    everything through, so it may only thin out the input of an exact join.  The lowest two bits of a hash don't count.
     """
-    h = F.xxhash64(key, F.lit(11))
-    pos = F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 31), F.lit(bits))))
-    found = (keys.select(pos.alias("p"))
-             .groupBy(F.shiftright("p", 6).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toPandas())
-    filled = np.zeros(bits // 64, dtype=np.int64)
-    filled[found["w"].to_numpy()] = found["m"].to_numpy()
-    shared = keys.sparkSession.sparkContext.broadcast(filled)
-
-    @F.pandas_udf("boolean")
-    def held(hashes):
-        import pandas as pd
-        x, words = hashes.to_numpy(), shared.value
-        out = np.ones(len(x), dtype=bool)
-        for p in (x % bits, (x >> 31) % bits):
-            out &= ((words[p >> 6] >> (p & 63)) & 1).astype(bool)
-        return pd.Series(out)
-
-    return lambda column: held(F.xxhash64(column, F.lit(11)))
+    def at(c: str) -> Column:
+        return F.pmod(F.shiftright(F.col(c), 2), F.lit(FILTER_BITS))
+    maps = keys.select(F.shiftright(at("key"), 15).cast("int").alias("__m"), (at("key") % BITMAP).alias("__p")).groupBy("__m").agg(
+        F.bitmap_construct_agg("__p").alias("__bits"))
+    rows = rows.withColumn("__at", at(h)).withColumn("__n", F.shiftright("__at", 15).cast("int"))
+    rows = rows.join(F.broadcast(maps), F.col("__n") == F.col("__m"), "left")
+    p = F.col("__at") % BITMAP
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return rows.withColumn(out, F.coalesce(F.getbit(byte, p % 8) == 1, F.lit(False))).drop("__at", "__n", "__m", "__bits")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", a: str = "a", b: str = "b") -> DataFrame:

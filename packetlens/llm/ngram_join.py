@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, membership, text_hash
+from .common import Scratch, connected_components, in_bitmaps, text_hash
 
 
 @dataclass(frozen=True)
@@ -299,8 +299,9 @@ def _least_hash(toks: Column, seed: int) -> Column:
 def _edges(source: DataFrame, alive: DataFrame, scratch: Scratch, p: JoinParams) -> DataFrame:
     """Links (a, b) between vertices that give the same components as all links."""
     # whole sets of the vertices left, from the one row of each; the filter only thins out the texts
-    held = membership(alive, F.col("doc_id"))
-    texts = _full_sets(source.where(held(F.col("doc_id"))).select("text"), p)
+    # (a null doc_id has a hash of its own)
+    held = in_bitmaps(source.withColumn("h", F.xxhash64("doc_id")), "h", alive.select(F.xxhash64("doc_id").alias("key"))).where("held")
+    texts = _full_sets(held.select("text"), p)
     sets = scratch.keep(texts.groupBy("sig").agg(F.first("toks").alias("toks"))
                         .join(alive.select("sig", "vid"), "sig").select("vid", "toks"), "sets")
     posting = sets.select("vid", F.explode("toks").alias("token"))
@@ -376,8 +377,8 @@ def keep_first(docs: DataFrame, p: JoinParams = JoinParams(5, 80), text: str = "
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
     first = linked.groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash")
     t = text_hash(F.col(f"`{text}`"))
-    held = membership(linked, F.xxhash64("doc_id", "text_hash"))
-    flagged = docs.select(F.struct(*cols).alias("row"), F.col("doc_id").alias("d"), t.alias("t"), held(F.xxhash64(F.col("doc_id"), t)).alias("held"))
+    keyed = docs.select(F.struct(*cols).alias("row"), F.col("doc_id").alias("d"), t.alias("t")).withColumn("h", F.xxhash64("d", "t"))
+    flagged = in_bitmaps(keyed, "h", linked.select(F.xxhash64("doc_id", "text_hash").alias("key")))
     names = linked.select("doc_id", "text_hash").distinct()
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_hash"))
     gone = flagged.where("held").join(names, same, "left_anti")

@@ -251,12 +251,26 @@ def judge(docs: DataFrame, labels: DataFrame, p: ForestParams = ForestParams(),
     model = fit(scratch.keep(docs.select("doc_id", rule_stats(F.col(f"`{text}`")).alias("q")), "stats"), labels, p)
     scratch.drop("stats")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return _judged(docs.select(row.alias("row"), rule_stats(F.col(f"`{text}`")).alias("quality_rules")), model)
+    scored = docs.select(row.alias("row"), _stats_and_score(model)(F.col(f"`{text}`")).alias("quality_rules"))
+    return _with_verdict(scored, model)
 
 
-def _judged(stats: DataFrame, model: QualityModel) -> DataFrame:
+def _stats_and_score(model: QualityModel):
+    """Statistics and score of a text in one go, so that a task needs one Python worker."""
+    forest = model.forest
+
+    @F.pandas_udf(T.StructType([*[T.StructField(c, T.LongType()) for c in STATS], T.StructField("score", T.DoubleType())]))
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            s = pd.DataFrame([text_stats(t) for t in texts], columns=STATS, dtype=np.int64)
+            yield s.assign(score=forest.score(features(s)) if forest is not None and len(s) else 0.0)
+
+    return both
+
+
+def _with_verdict(scored: DataFrame, model: QualityModel) -> DataFrame:
     q = F.col("quality_rules")
-    scored = stats.withColumn("quality_rules", q.withField("score", score_column(model, q)).withField("base_failed", base_failed(q)))
+    scored = scored.withColumn("quality_rules", q.withField("base_failed", base_failed(q)))
     return scored.withColumn("quality_rules", q.withField(
         "kept", ~q["base_failed"] & (q["score"] <= F.lit(model.threshold))))
 
@@ -265,7 +279,8 @@ def judge_ids(docs: DataFrame, labels: DataFrame, p: ForestParams = ForestParams
     """As ``judge`` for doc_id alone: one pass over the texts, the statistics table serves both fit and verdict."""
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.keep(docs.select("doc_id", rule_stats(F.col(f"`{text}`")).alias("quality_rules")), "stats")
-    return _judged(stats, fit(stats.withColumnRenamed("quality_rules", "q"), labels, p))
+    model, q = fit(stats.withColumnRenamed("quality_rules", "q"), labels, p), F.col("quality_rules")
+    return _with_verdict(stats.withColumn("quality_rules", q.withField("score", score_column(model, q))), model)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
