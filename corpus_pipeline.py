@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from packetlens.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
 from packetlens.llm.common import Scratch, table
 from packetlens.plans.registry import query
+from packetlens.session import drop_tables, tables_written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        mark = tables_written()
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage{i}")
+        drop_tables(spark, mark)  # the stage's own tables: its result is written
         if i:
             scratch.drop(f"stage{i - 1}")
     return docs
