@@ -1,30 +1,46 @@
 """Chat formatting in budgeted windows; DataFrame code only.
 
-A conversation becomes one or more training rows.  Prefix sums of turn sizes
+A conversation becomes one or more training rows.  Prefix sums of turn tokens
 cut it into turn-aligned spans of about a budget; every row after the first
 repeats the system turn and a limited history before its span.  Only assistant
 turns of the span itself are under the loss mask, so each is learned from once.
+
+Turns are numbered, summed and dealt to spans without their texts, in ordered
+slices, so a conversation may hold any share of all turns; texts are joined to
+the finished spans.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words
+from ..operators.ordered import DEFAULT_ROWS_PER_BUCKET, bucketed_prefix_sum, bucketed_row_number, range_buckets
+from .common import Scratch
 
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+#: A token, as far as budgets go: a run of letters, a digit, or another mark.
+TOKEN = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]"
+
+
 @dataclass(frozen=True)
 class ChatParams:
-    """Sizes are words plus ``marks`` per turn. A window holds the system turn, at most ``history`` of repeated
-    turns, and new turns until ``budget`` is reached (the last one whole, however long it is)."""
+    """Sizes are tokens plus ``marks`` per turn.  A window holds the system turn, at most ``history`` of repeated
+    turns, and new turns until ``budget`` is reached.  The last turn is whole, however long it is: no turn is
+    split.  Nor is the system turn: if it is longer than half of what is left, a window takes as many new
+    tokens as it repeats of it, and so outgrows the budget, but all windows together stay below three times the turns."""
     budget: int = 256
     history: int = 64
     marks: int = 4
+    rows_per_slice: int = DEFAULT_ROWS_PER_BUCKET
+
+
+def n_tokens(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
 
 
 def escape(text: Column) -> Column:
@@ -49,40 +65,54 @@ def windows(turns: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
     """conv_id, window, context_turns, text, loss (array of (start, end), end exclusive, in code points of ``text``).
 
     ``turns`` has conv_id, turn, role, text; rows are taken by turn (null
-    first; equal turns by role and text), a null role or text is empty, rows of
+    first; equal turns by role and text hash), a null role or text is empty, rows of
     null conv_id are one conversation.  ``context_turns`` of a row are
     repeated from earlier rows and not under the mask.  Further columns are not
     read; no rows give no rows.
     """
+    scratch = Scratch(turns.sparkSession, "turns")
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (n_words(F.col("text")) + p.marks).alias("size"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("i", F.row_number().over(order).cast("long"))
+    source = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.xxhash64(text).alias("th"))
+    slim = source.select("conv_id", "turn", "role", "th", (n_tokens(F.col("text")) + p.marks).alias("size"))
+    slim = scratch.keep(slim.withColumn("row", F.monotonically_increasing_id()), "slim")
+    place = ["turn", "role", "th", "row"]
+    sliced = range_buckets(slim, ["conv_id", *place], p.rows_per_slice, out="slice")
+    order = [F.col(x).asc_nulls_first() for x in place]
+    numbered = scratch.keep(bucketed_row_number(sliced, ["conv_id"], order, F.col("slice"), out="i"), "numbered")
     is_system = (F.col("i") == 1) & (F.col("role") == "system")
-    by_conv = Window.partitionBy("conv_id").orderBy("i")
-    rows = (rows.withColumn("system", F.first(F.when(is_system, F.struct("i", "role", "text", "size")), ignorenulls=False).over(by_conv))
-            .withColumn("at", F.coalesce(F.sum(F.when(is_system, 0).otherwise(F.col("size"))).over(
-                by_conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-            .withColumn("step", F.greatest(F.lit(1), F.lit(p.budget - p.history) - F.coalesce("system.size", F.lit(0))).cast("long"))
-            .withColumn("span", F.floor(F.col("at") / F.col("step"))))
-    new = rows.select("conv_id", "i", "role", "text", "size", "at", "step", "span", "system", F.lit(True).alias("new"))
-    starts = rows.where("i > 1 OR system IS NULL").groupBy("conv_id", "span").agg(F.min("at").alias("begin"))
+    systems = numbered.where(is_system).select(F.col("conv_id").alias("c"), F.col("size").alias("system"))
+    own = F.when(is_system, 0).otherwise(F.col("size"))
+    rows = bucketed_prefix_sum(numbered, ["conv_id"], [F.col("i")], F.col("slice"), own, out="at")
+    rows = rows.join(systems, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    held = F.coalesce("system", F.lit(0))
+    rows = rows.withColumn("step", F.greatest(F.lit(1), F.lit(p.budget - p.history) - held, held).cast("long"))
+    rows = rows.withColumn("span", F.floor(F.col("at") / F.col("step"))).withColumn("first", is_system)
+    rows = scratch.keep(rows.select("conv_id", "turn", "role", "th", "i", "at", "step", "span", "first"), "rows")
+    # spans, numbered in their conversation
+    starts = rows.where("NOT first").groupBy("conv_id", "span").agg(F.min("at").alias("begin"))
+    starts = scratch.keep(starts.unionByName(rows.where("first").join(
+        rows.where("NOT first").select(F.col("conv_id").alias("c")).distinct(), F.col("conv_id").eqNullSafe(F.col("c")), "left_anti")
+        .select("conv_id", "span", F.col("at").alias("begin"))), "starts")  # a conversation of a system turn alone is a span, too
+    windows_ = bucketed_row_number(range_buckets(starts, ["conv_id", "span"], p.rows_per_slice, out="slice"), ["conv_id"], [F.col("span")], F.col("slice"), out="window")
+    windows_ = scratch.keep(windows_.select(F.col("conv_id").alias("c"), F.col("span").alias("to"), "begin", F.col("window").cast("int").alias("window")), "windows")
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("span") == F.col("to"))
+    new = rows.join(windows_, same).select("conv_id", "i", "window", F.lit(True).alias("new"))
     # a turn is history of the spans that begin within the history budget after its own start
-    later = (rows.where("i > 1 OR system IS NULL")
-             .select("conv_id", "i", "role", "text", "at", "size", "span",
-                     F.explode(F.sequence(F.col("span"), F.floor((F.col("at") + p.history) / F.col("step")))).alias("to"))
-             .where("to > span"))
-    s = starts.select(F.col("conv_id").alias("c"), F.col("span").alias("to2"), "begin")
-    history = (later.join(s, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("to") == F.col("to2")))
-               .where(F.col("begin") - F.col("at") <= p.history)
-               .select("conv_id", "i", "role", "text", F.col("to").alias("span"), F.lit(False).alias("new")))
-    systems = rows.where("i = 1 AND system IS NOT NULL").select("conv_id", "i", "role", "text", F.col("span").alias("own"))
-    held = (starts.select(F.col("conv_id").alias("c"), "span")
-            .join(systems, F.col("conv_id").eqNullSafe(F.col("c"))).where("span > own").select("conv_id", "i", "role", "text", "span", F.lit(False).alias("new")))
-    pieces = new.select("conv_id", "i", "role", "text", "span", "new").union(history.select("conv_id", "i", "role", "text", "span", "new")).union(held)
+    later = rows.where("NOT first").select("conv_id", "i", "at", F.col("span").alias("from"), F.explode(
+        F.sequence(F.col("span"), F.floor((F.col("at") + p.history) / F.col("step")))).alias("span")).where("span > from")
+    history = later.join(windows_, same).where(F.col("begin") - F.col("at") <= p.history).select("conv_id", "i", "window", F.lit(False).alias("new"))
+    systems = rows.where("first").select("conv_id", "i", F.col("span").alias("from"))
+    kept = (systems.join(windows_, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("to") > F.col("from")))
+            .select("conv_id", "i", "window", F.lit(False).alias("new")))
+    # texts, one of equal ones, to their turns and then to every span that holds them
+    texts = source.dropDuplicates(["conv_id", "turn", "role", "th"]).select(
+        F.col("conv_id").alias("c"), F.col("turn").alias("u"), F.col("role").alias("r"), F.col("th").alias("h"), "text")
+    texts = rows.join(texts, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("u")) & (F.col("role") == F.col("r")) & (F.col("th") == F.col("h")))
+    texts = texts.select(F.col("conv_id").alias("c"), F.col("i").alias("k"), "role", "text")
+    pieces = new.unionByName(history).unionByName(kept).join(texts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("i") == F.col("k"))).drop("c", "k")
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     piece = F.struct("i", head.alias("head"), escape(F.col("text")).alias("body"), "new", (F.col("role") == "assistant").alias("answer"))
-    rows = pieces.groupBy("conv_id", "span").agg(F.sort_array(F.collect_list(piece)).alias("t"))
+    rows = pieces.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(piece)).alias("t"))
     tail = END + "\n"
     spans = F.aggregate(
         "t", F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("loss")),
@@ -93,7 +123,7 @@ def windows(turns: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
                 (acc["pos"] + F.length(x["head"]) + F.length(x["body"])).cast("long").alias("end")))))
             .otherwise(acc["loss"]).alias("loss")))
     return rows.select(
-        "conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("span")).alias("window"),
+        "conv_id", "window",
         F.size(F.filter("t", lambda x: ~x["new"])).alias("context_turns"),
         F.concat_ws("", F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(tail)))).alias("text"),
         spans["loss"].alias("loss"))
