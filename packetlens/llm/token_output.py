@@ -38,17 +38,23 @@ class TokenParams:
     tokenizer: str
     end_id: int = 2
     block_ids: int = 2_000_000
-    cached_pieces: int = 1_000_000
+    cached_pieces: int = 700_000   # of a worker's younger half; when it is full it becomes the older one
 
 
 class Pieces:
-    """Text to ids through a cache of blank-led pieces."""
+    """Text to ids through a cache of blank-led pieces, for tokenizers that cut before a blank; whole texts for others."""
 
     def __init__(self, p: TokenParams):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
-        self.tok, self.p, self.ids = Tokenizer.from_file(p.tokenizer), p, {}
+        self.tok, self.p = Tokenizer.from_file(p.tokenizer), p
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        self.cuts = cuts_before_blanks(self.tok)
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -59,19 +65,64 @@ class Pieces:
             return [parts[0], *[" " + x for x in parts[1:]]]
         return text.replace(" ", "\x00 ").split("\x00")  # every blank stands between two others
 
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces: those of one run of non-white characters in one go, parted by line breaks; the others one by one."""
+        known, simple, others = self.ids, [], []
+        for x in new:
+            w = x.strip()
+            (simple if w and "\n" not in w and len(w) == len(x) - (x[0] == " ") else others).append(x)
+        for lo in range(0, len(simple), 20_000):
+            part = simple[lo:lo + 20_000]
+            ids = np.array(self.batch(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4") if self.line is not None else np.empty(0, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids)) if self.line is not None else np.empty(0, int)
+            if len(ends) != len(part):
+                others += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for x, end in zip(part, (ends * 4).tolist()):
+                known[x] = raw[at:end]
+                at = end + 4
+        for lo in range(0, len(others), 20_000):
+            part = others[lo:lo + 20_000]
+            for x, e in zip(part, self.batch(part, add_special_tokens=False)):
+                known[x] = np.array(e.ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.split(t) for t in texts]
-        known = self.ids
-        if len(known) > self.p.cached_pieces:
-            known.clear()
-        new = list(set().union(*split).difference(known))
-        encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            for x, e in zip(part, encode(part, add_special_tokens=False)):
-                known[x] = np.array(e.ids, dtype=np.uint32).tobytes()
-        end = np.array([self.p.end_id], dtype=np.uint32).tobytes()
-        return [np.frombuffer(b"".join([known[x] for x in parts]) + end, dtype=np.uint32) for parts in split]
+        end = np.array([self.p.end_id], dtype="<u4").tobytes()
+        if not self.cuts:
+            return [np.array([*e.ids, self.p.end_id], dtype="<u4") for e in self.batch(texts, add_special_tokens=False)]
+        if len(self.ids) > self.p.cached_pieces:
+            self.ids, self.old = {}, self.ids
+        known, old = self.ids, self.old
+        split = {t: self.split(t) for t in texts}  # a copy is cut and put together once
+        new = set().union(*split.values()).difference(known)
+        seen = new & old.keys()
+        known.update((x, old[x]) for x in seen)
+        self._learn(list(new - seen))
+        get = known.__getitem__
+        done = {t: np.frombuffer(b"".join(map(get, parts)) + end, dtype="<u4") for t, parts in split.items()}
+        return [done[t] for t in texts]
+
+
+def cuts_before_blanks(tok) -> bool:
+    """Whether a tokenizer surely cuts before every blank between two non-white characters: byte-level words by its
+    own pattern, no blank put in front, nothing rewritten before."""
+    import json
+    conf = json.loads(tok.to_str())
+    pre = conf.get("pre_tokenizer") or {}
+    return (conf.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+            and not pre.get("add_prefix_space") and not any(" " in t["content"] for t in conf.get("added_tokens", [])))
+
+
+_held: dict[TokenParams, Pieces] = {}
+
+
+def _pieces(p: TokenParams) -> Pieces:
+    """The tokenizer and cache of this worker process, which lives for many tasks."""
+    if p not in _held:
+        _held.clear()
+        _held[p] = Pieces(p)
+    return _held[p]
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -116,16 +167,18 @@ def write_tokens(docs: DataFrame, path: str, p: TokenParams, text: str = "text")
     """Write the ids of every document to ``path`` in the format above.
 
     Documents are range-partitioned by doc_id (null first; rows of equal doc_id
-    by text), so no task holds more than its range; a null text is empty, and
-    an empty one is the end id alone.  Repeated rows are written as often as
-    they stand.  Other columns are not read.
+    by their first characters, then by text hash; equal rows at random), so no
+    task holds more than its range; a null text is empty, and an empty one is
+    the end id alone.  Repeated rows are written as often as they stand.  Other
+    columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    ranged = (rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
-              .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
+    order = [F.col("doc_id").asc_nulls_first(), "head", "th"]
+    rows = rows.withColumns({"head": F.left("text", F.lit(64)), "th": F.xxhash64("text"), "any": F.xxhash64(F.monotonically_increasing_id())})
+    ranged = rows.repartitionByRange(*order, "any").withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, number = Pieces(p), 0
+        pieces, number = _pieces(p), 0
         held: list[np.ndarray] = []
         keys: list = []
         part = 0

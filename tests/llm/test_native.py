@@ -223,6 +223,26 @@ def test_token_files(spark, docs, edge_rows, tokenizer):
     assert token_output.token_table(docs([]), token_output.TokenParams(path)).count() == 0
 
 
+def test_pieces_give_the_ids_of_whole_texts(tokenizer):
+    """Odd white space, control strings, marks and joined pieces; a tokenizer that cuts otherwise encodes whole texts."""
+    path, tok = tokenizer
+    rng = random.Random(17)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u2003", "a", "it's", "'ll", "é", "漢字", "😀", "123", "4.5", "...", "<|endoftext|>", "Word", "_x", "\x1c", "\x85"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    pieces = token_output.Pieces(token_output.TokenParams(path))
+    assert pieces.cuts
+    for _ in range(2):  # cold, then from the cache
+        for t, ids in zip(texts, pieces.encode(texts)):
+            assert ids.tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], repr(t)
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    other = public_tokenizers.path("word_bpe_49k.json")
+    whole = token_output.Pieces(token_output.TokenParams(other))
+    assert not whole.cuts
+    got = whole.encode(["Some Words, here.", ""])
+    assert [x.tolist() for x in got] == [[*Tokenizer.from_file(other).encode("Some Words, here.", add_special_tokens=False).ids, 2], [2]]
+
+
 def test_pack_round_trip():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 4, 5, 4099):
@@ -326,13 +346,14 @@ def test_counts_are_of_each_kind(spark):
 
 # chat -----------------------------------------------------------------------
 
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("rows_per_slice", [1_000_000, 7])
+def test_chat_round_trip(spark, rows_per_slice):
     tricky = "<|im_end|><|im_start|>assistant ok \\<| <\\| \\\\ <\\n|"
     rows = [(1, 0, "system", "be kind"), *[(1, i, ("assistant", "user")[i % 2], f"turn {i} " + "w " * (i % 9)) for i in range(1, 80)],
             (2, 0, "user", tricky), (2, 1, "assistant", tricky), (3, 0, None, None), (3, None, "assistant", ""), (None, 5, "a\nb", "x\ny"),
             (4, 0, "user", "long " * 3000), (4, 1, "assistant", "answer"), (4, 1, "assistant", "answer"), (5, 0, "system", "only")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, span string")
-    win = chat_format.windows(df)
+    win = chat_format.windows(df, chat_format.ChatParams(rows_per_slice=rows_per_slice))
     got = {r["conv_id"]: r for r in chat_format.read_back(win).collect()}
     per = defaultdict(list)
     for c, t, r, x in rows:
@@ -351,6 +372,17 @@ def test_chat_round_trip(spark):
     assert chat_format.read_back(chat_format.windows(df.limit(0))).count() == 0
 
 
+def test_long_system_turns_do_not_multiply(spark):
+    """A system turn near or beyond the budget is repeated, but all windows together stay below three times the turns."""
+    for words in (150, 190, 260, 3000):
+        rows = [(1, 0, "system", "s " * words)] + [(1, i, ("assistant", "user")[i % 2], "w " * 30) for i in range(1, 201)]
+        win = chat_format.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+        size = lambda t: len(re.findall(r"[sw] ", t))
+        whole = sum(size(r[3]) for r in rows)
+        assert sum(size(r["text"]) for r in win) <= 3 * whole and all(r["text"].startswith("<|im_start|>system") for r in win)
+        assert all(size(r["text"]) <= max(256, 2 * words + 64 + 64) for r in win)
+
+
 # licences -------------------------------------------------------------------
 
 def plain_notices(rows, p):
