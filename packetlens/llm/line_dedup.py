@@ -24,10 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, prefix_reduce, text_hash
-
-BITS = 1 << 26
-BITMAP = 1 << 15  # bits of one bitmap of Spark's bitmap functions
+from .common import Scratch, in_bitmaps, prefix_reduce, text_hash
 
 
 @dataclass(frozen=True)
@@ -104,18 +101,6 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "line_no")
 
 
-def _in_bitmaps(rows: DataFrame, h: str, keys: DataFrame) -> DataFrame:
-    """The ``rows`` whose hash may be in ``keys``: a filter of 8 MB whatever ``keys`` holds, broadcast as bitmaps."""
-    def at(c: str) -> Column:
-        return F.pmod(F.shiftright(F.col(c), 2), F.lit(BITS))
-    maps = keys.select(F.shiftright(at("key"), 15).cast("int").alias("m"), (at("key") % BITMAP).alias("p")).groupBy("m").agg(
-        F.bitmap_construct_agg("p").alias("bits"))
-    rows = rows.withColumn("m", F.shiftright(at(h), 15).cast("int")).join(F.broadcast(maps), "m")
-    p = at(h) % BITMAP
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return rows.where(F.getbit(byte.cast("long"), p % 8) == 1).drop("m", "bits")
-
-
 def _single_deletions(lines: DataFrame) -> DataFrame:
     """``_variants`` for one edit, by rows: a running combination of a line's elements gives what is left without each."""
     w = Window.partitionBy("id").orderBy("j")
@@ -244,10 +229,11 @@ def line_decisions(docs: DataFrame, p: LineParams = LineParams(), text: str = "t
     # lines that share a segment with another one: by a filter of fixed size, so a few more may pass
     segments = rows.where("segments IS NOT NULL").select(F.col("lh.x").alias("lx"), F.explode("segments").alias("key"))
     shared = segments.groupBy("key").agg(F.min("lx").alias("lo"), F.max("lx").alias("hi")).where("lo < hi").select("key")
-    some = _in_bitmaps(segments, "key", shared).groupBy("lx").agg(F.bit_or(F.col("key").bitwiseAND(F.lit(3))).alias("side"))
+    some = in_bitmaps(segments, "key", shared).where("held").groupBy("lx").agg(F.bit_or(F.col("key").bitwiseAND(F.lit(3))).alias("side"))
     some = scratch.keep(some, "some")
     # these lines again, numbered in their order; one edit stands outside a shared half
-    picked = _in_bitmaps(raw.select(norm.alias("norm")).withColumn("lx", _hash(F.col("norm"))["x"]), "lx", some.select(F.col("lx").alias("key")))
+    again = raw.select(norm.alias("norm")).withColumn("lx", _hash(F.col("norm"))["x"])
+    picked = in_bitmaps(again, "lx", some.select(F.col("lx").alias("key"))).where("held")
     picked = picked.withColumn("lh", _hash(F.col("norm"))).groupBy("lh").agg(F.first("norm").alias("norm"))
     picked = scratch.keep(picked.join(firsts.select("lh", "ord"), "lh").withColumn("lx", F.col("lh.x")).join(some, "lx").select("ord", "norm", "side"), "picked")
     picked = picked.withColumn("kind", _kind(F.col("norm"), _n_words(F.col("norm")), p)).where("kind IS NOT NULL")
@@ -267,7 +253,10 @@ def line_decisions(docs: DataFrame, p: LineParams = LineParams(), text: str = "t
     judged = firsts.select("lh", "ord").join(gone.withColumn("near", F.lit(True)), "ord", "left").select(
         "lh", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     own = _order()
-    return (rows.select("doc_id", "th", "line_no", "n", "lh").distinct().join(judged, "lh", "left")
+    places = rows.select("doc_id", "th", "line_no", "n", "lh")
+    twice = rows.where("line_no = 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    places = places if twice.isEmpty() else places.distinct()  # a document that stands several times has its lines once
+    return (places.join(judged, "lh", "left")
             .select("doc_id", "th", "line_no", F.col("lh.x").alias("line_hash"),
                     (F.col("first").isNull() | ((own == F.col("first")) & ~F.col("near"))).alias("kept"),
                     F.coalesce("near", F.lit(False)).alias("near")))
