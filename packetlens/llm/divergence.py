@@ -44,35 +44,54 @@ class AuditParams:
     flush: int = 600_000     # counts a task holds before it hands them on
 
 
-def term_counts(docs: DataFrame, p: AuditParams = AuditParams(), text: str = "text") -> DataFrame:
-    """(lang, source, term, n, df): occurrences and rows with the term; every occurring group has a row of term '' and no count."""
+PARTS = "lang string, term string, df long, total long, sources array<string>, ns array<long>"
+
+
+def _part(lang: str, counts: dict[str, Counter], dfs: dict[str, Counter]) -> pa.RecordBatch:
+    """A language's counts in one task: a row per term with the sources that have it, and one of term '' with all sources."""
+    sources = list(counts)
+    terms = pa.array([t for s in sources for t in counts[s]], pa.string()).dictionary_encode()
+    code = terms.indices.to_numpy().astype(np.int64)
+    of = np.repeat(np.arange(len(sources)), [len(counts[s]) for s in sources])
+    n = np.array([x for s in sources for x in counts[s].values()], dtype=np.int64)
+    df = np.array([dfs[s][t] for s in sources for t in counts[s]], dtype=np.int64)
+    order = np.argsort(code, kind="stable")
+    size = np.bincount(code, minlength=len(terms.dictionary))
+    first = np.cumsum(size) - size                                                      # a term's first entry
+    starts = np.concatenate([[0], len(sources) + np.append(first, len(code))]).astype(np.int32)  # term '' comes before all
+    total = lambda x: np.add.reduceat(x[order], first) if len(x) else x
+    names = pa.array(sources, pa.string()).take(pa.array(np.concatenate([np.arange(len(sources)), of[order]])))
+    numbers = pa.array(np.concatenate([np.zeros(len(sources), dtype=np.int64), n[order]]))
+    rows = len(starts) - 1
+    return pa.RecordBatch.from_arrays([
+        pa.repeat(pa.scalar(lang, pa.string()), rows), pa.concat_arrays([pa.array([""], pa.string()), terms.dictionary]),
+        pa.array(np.append(0, total(df)), pa.int64()), pa.array(np.append(0, total(n)), pa.int64()),
+        pa.ListArray.from_arrays(pa.array(starts), names), pa.ListArray.from_arrays(pa.array(starts), numbers)],
+        ["lang", "term", "df", "total", "sources", "ns"])
+
+
+def term_parts(docs: DataFrame, p: AuditParams = AuditParams(), text: str = "text") -> DataFrame:
+    """Counts as they leave the tasks: per language and term the rows with it (df), its occurrences (total) and those in each source.
+
+    Term '' lists the sources that occur.  A term may have several rows.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[tuple, Counter] = defaultdict(Counter)
-        df: dict[tuple, Counter] = defaultdict(Counter)
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for (lang, source), held in n.items():
-                rows_of, size = df[lang, source], len(held) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(pa.scalar(lang, pa.string()), size), pa.repeat(pa.scalar(source, pa.string()), size),
-                     pa.array(["", *held], pa.string()), pa.array([0, *held.values()], pa.int64()),
-                     pa.array([0, *map(rows_of.__getitem__, held)], pa.int64())], ["lang", "source", "term", "n", "df"])
-            n.clear()
-            df.clear()
-
+        n: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        df: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         for batch in batches:
             for lang, source, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
                 found = TERM.findall(lower_ascii(t))
-                n[lang, source].update(found)
-                df[lang, source].update(set(found))
-            if sum(map(len, n.values())) >= p.flush:
-                yield from rows()
-        yield from rows()
+                n[lang][source].update(found)
+                df[lang][source].update(set(found))
+            if sum(len(x) for held in n.values() for x in held.values()) >= p.flush:
+                yield from (_part(lang, held, df[lang]) for lang, held in n.items())
+                n.clear()
+                df.clear()
+        yield from (_part(lang, held, df[lang]) for lang, held in n.items())
 
     empty = F.lit("")
     rows = docs.select(*[F.coalesce(F.col(f"`{c}`"), empty).alias(name) for c, name in (("lang", "lang"), ("source", "source"), (text, "text"))])
-    counts = rows.mapInArrow(count, "lang string, source string, term string, n long, df long")
-    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return rows.mapInArrow(count, PARTS)
 
 
 def _price(n: Column, total: Column, v: Column, scale: int) -> Column:
@@ -180,16 +199,20 @@ def audit(docs: DataFrame, p: AuditParams = AuditParams(), text: str = "text") -
     table; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "divergence")
-    counts = scratch.keep(term_counts(docs, p, text), "counts")
-    kept = scratch.keep(counts.where("term != ''").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("df"))
+    parts = scratch.keep(term_parts(docs, p, text), "parts")
+    kept = scratch.keep(parts.where("term != ''").groupBy("lang", "term").agg(F.sum("total").alias("lang_n"), F.sum("df").alias("df"))
                         .where(F.col("df") >= p.min_docs).drop("df"), "kept")
+    # sources of kept terms only: the many rare terms go before their counts are dealt out
+    counts = (parts.join(kept.select("lang", "term"), ["lang", "term"])
+              .select("lang", "term", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("ns").alias("n"))))
+              .groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
     cells = scratch.keep(counts.join(kept, ["lang", "term"]), "cells")
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     numbered = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     zero = F.lit(0).cast("long")
     groups = scratch.keep(
-        counts.where("term = ''").select("lang", "source").join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
+        parts.where("term = ''").select("lang", F.explode("sources").alias("source")).distinct().join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
         .select("lang", "source", F.coalesce("v", zero).alias("v"), F.coalesce("lang_total", zero).alias("lang_total"),
                 F.coalesce("total", zero).alias("total"), numbered.cast("long").alias("g"), F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("n_groups"))
         .withColumn("blocks", F.greatest(F.ceil(F.col("v") / p.block_terms), F.lit(1)))
