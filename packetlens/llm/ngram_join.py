@@ -209,6 +209,7 @@ def _inside_groups(grouped: DataFrame, comps: DataFrame, sets: DataFrame, scratc
                    F.greatest(F.ceil(F.col("t") / p.block_tokens), F.ceil(F.col("c") / p.block_sets)).cast("int").alias("blocks")))
     first = (grouped.select("vid", "n", "grp", F.explode("pre").alias("token")).join(per.select("grp", "main", "c"), "grp")
              .join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid")))
+    first = scratch.keep(first, "first")  # dealt by group and token from here on, not by group alone
     meets = first.groupBy("grp", "token").agg(F.count_if(F.col("comp") != F.col("main")).alias("q"), F.count(F.lit(1)).alias("m"), F.first("c").alias("c"))
     few = (meets.groupBy("grp").agg(F.sum(F.col("q") * (F.col("m") - 1)).alias("pairs"), F.first("c").alias("c"))
            .where(F.col("pairs") <= p.pairs_each * F.col("c")).select("grp"))
