@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_bitmaps
 from .spelling import lower_ascii
 
 #: A term: ASCII letters and all characters beyond ASCII.
@@ -203,7 +203,9 @@ def audit(docs: DataFrame, p: AuditParams = AuditParams(), text: str = "text") -
     kept = scratch.keep(parts.where("term != ''").groupBy("lang", "term").agg(F.sum("total").alias("lang_n"), F.sum("df").alias("df"))
                         .where(F.col("df") >= p.min_docs).drop("df"), "kept")
     # sources of kept terms only: the many rare terms go before their counts are dealt out
-    counts = (parts.join(kept.select("lang", "term"), ["lang", "term"])
+    # (a filter of fixed size first: most rows hold a rare term)
+    some = in_bitmaps(parts.withColumn("h", F.xxhash64("lang", "term")), "h", kept.select(F.xxhash64("lang", "term").alias("key"))).where("held")
+    counts = (some.join(kept.select("lang", "term"), ["lang", "term"])
               .select("lang", "term", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("ns").alias("n"))))
               .groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
     cells = scratch.keep(counts.join(kept, ["lang", "term"]), "cells")
