@@ -114,7 +114,7 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
-@query("op12_spelling_variants")
+@query("op12_spelling_variants", spelling.SQL)
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with the far more frequent word one edit away, and the last word that such steps reach."""
     return spelling.group_variants(table(spark, sf_dir, "documents"))

@@ -227,3 +227,37 @@ def group_variants(docs: DataFrame, p: SpellingParams = SpellingParams(), text:
         F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.minus")).alias("form_n")), "words")
     roots = _roots(words.where("form IS NOT NULL"), scratch)
     return words.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: DuckDB text of ``group_variants`` with the default parameters; the checksum is computed byte by byte over its table.
+SQL = r"""
+WITH RECURSIVE tbl AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
+           CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (
+  SELECT id, run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+           CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c)::BIGINT >> 6), 128 + (ord(c)::BIGINT & 63)] END)) AS b FROM counted),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS h FROM bytes, tbl),
+spelt AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, length(word) AS len, i, substr(word, 1, i - 1) || substr(word, i + 1) AS x FROM v, unnest(range(1, length(word) + 1)) AS p(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.x = b.x AND a.i = b.i AND a.len = b.len AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN v b ON a.x = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN v b ON a.x = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS top, max(n) AS top_n FROM near GROUP BY word),
+formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * v.n THEN top END AS form, CASE WHEN top_n >= 5 * v.n THEN top_n END AS form_n
+  FROM v LEFT JOIN best ON v.word = best.word),
+reach AS (
+  SELECT word, word AS here, 0 AS steps FROM formed
+  UNION ALL SELECT r.word, f.form, steps + 1 FROM reach r JOIN formed f ON f.word = r.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN (SELECT word, arg_max(here, steps) AS root FROM reach GROUP BY word) r ON f.word = r.word
+"""
