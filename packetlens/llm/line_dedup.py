@@ -263,14 +263,14 @@ def line_decisions(docs: DataFrame, p: LineParams = LineParams(), text: str = "t
 
 
 def document_digests(decisions: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_equal and n_near (lines gone as equal to an earlier line, or as near one only), kept_hash."""
-    line = F.struct("line_no", "line_hash", "kept")
+    """doc_id, n_lines, n_equal and n_near (lines gone as equal to an earlier line, or as near one only), kept_md5 (of the numbers of the lines that stay)."""
+    line = F.struct("line_no", "kept")
     per = decisions.groupBy("doc_id", "th").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum((~F.col("kept") & ~F.col("near")).cast("long")).alias("n_equal"), F.sum((~F.col("kept") & F.col("near")).cast("long")).alias("n_near"),
         F.sort_array(F.collect_list(line)).alias("lines"))
-    return per.select("doc_id", "n_lines", "n_equal", "n_near", F.xxhash64(
-        F.transform(F.filter("lines", lambda x: x["kept"]), lambda x: x["line_hash"])).alias("kept_hash"))
+    kept = F.transform(F.filter("lines", lambda x: x["kept"]), lambda x: x["line_no"].cast("string"))
+    return per.select("doc_id", "n_lines", "n_equal", "n_near", F.md5(F.array_join(kept, ",")).alias("kept_md5"))
 
 
 def dedup_lines(docs: DataFrame, p: LineParams = LineParams(), text: str = "text") -> DataFrame:
@@ -284,3 +284,31 @@ def dedup_lines(docs: DataFrame, p: LineParams = LineParams(), text: str = "text
     new = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(kept)
     joined = rows.join(gone, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
     return joined.select("__row.*", new.alias(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: DuckDB text of ``document_digests`` with the default parameters, for distinct doc_ids.
+SQL = r"""
+WITH l AS (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no,
+                  unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+x AS (SELECT doc_id, line_no, ws, array_to_string(ws, ' ') AS norm, len(ws) AS n FROM w),
+firsts AS (SELECT norm, any_value(ws) AS ws, any_value(n) AS n, min({'d': doc_id, 'k': line_no}) AS ord FROM x WHERE n > 0 GROUP BY norm),
+able AS (SELECT norm, ord, CASE WHEN n >= 6 THEN 'w' ELSE 'c' END AS kind, CASE WHEN n >= 6 THEN ws ELSE string_split(norm, '') END AS s
+         FROM firsts WHERE n >= 6 OR length(norm) >= 12),
+own AS (SELECT norm, ord, kind, md5(array_to_string(s, chr(31))) AS key FROM able),
+less AS (SELECT norm, ord, kind, len(s) AS m, i, md5(array_to_string(list_concat(s[1:i - 1], s[i + 1:]), chr(31))) AS key
+         FROM able, unnest(range(1, len(s) + 1)) AS p(i)),
+swapped AS (SELECT norm, ord, min(ord) OVER (PARTITION BY kind, m, i, key) AS first FROM less),
+shorter AS (SELECT kind, key, min(ord) AS first FROM less GROUP BY kind, key),
+gone AS (
+  SELECT norm FROM swapped WHERE first < ord
+  UNION SELECT own.norm FROM own JOIN shorter USING (kind, key) WHERE shorter.first < own.ord
+  UNION SELECT less.norm FROM less JOIN own USING (kind, key) WHERE own.ord < less.ord),
+judged AS (
+  SELECT x.doc_id, x.line_no, gone.norm IS NOT NULL AS near, x.n = 0 OR (firsts.ord = {'d': x.doc_id, 'k': x.line_no} AND gone.norm IS NULL) AS kept
+  FROM x LEFT JOIN firsts ON x.norm = firsts.norm AND x.n > 0 LEFT JOIN gone ON x.norm = gone.norm AND x.n > 0)
+SELECT doc_id, count(*) AS n_lines, CAST(count(CASE WHEN NOT kept AND NOT near THEN 1 END) AS BIGINT) AS n_equal,
+       CAST(count(CASE WHEN NOT kept AND near THEN 1 END) AS BIGINT) AS n_near,
+       md5(coalesce(string_agg(CASE WHEN kept THEN CAST(line_no AS VARCHAR) END, ',' ORDER BY line_no), '')) AS kept_md5
+FROM judged GROUP BY doc_id
+"""

@@ -52,7 +52,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op1_line_dedup")
+@query("op1_line_dedup", line_dedup.SQL)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that go because an earlier line equals them or is within one word edit."""
     return line_dedup.document_digests(line_dedup.line_decisions(table(spark, sf_dir, "documents")))
