@@ -37,26 +37,28 @@ def time_bucket(t: Column, width: float) -> Column:
 
 def one_bucket(x: Column) -> Column:
     """0 for every row, but not a constant: joins on a constant bucket would lose their key."""
-    return F.pmod(F.xxhash64(x), F.lit(1)).cast("long")
+    return F.coalesce(F.pmod(F.xxhash64(x), F.lit(1)).cast("long"), F.lit(0).cast("long"))
 
 
 def count_le(df: DataFrame, arr_col: str, value: Column, limit: int, out: str) -> DataFrame:
     """Add ``out`` = number of elements <= value of the ascending array (of at most ``limit``) in ``arr_col``.
 
-    Binary lifting over ``element_at``: one small projection per halving step
-    (each step reads the previous step's column several times, so Catalyst
-    keeps the steps apart and every projection stays code-generated).  A null
-    array counts as empty.
+    Binary lifting in one fold over the halving steps, the value bound once
+    (the outer ``transform``): the tree holds the value a single time, however
+    often a filter or join condition made of ``out`` is moved below it, and
+    ``out`` is never null, so no filter for nulls arises.
     """
-    size = F.when(F.col(arr_col).isNull(), F.lit(0)).otherwise(F.size(arr_col))
-    df = df.withColumn("__cle", F.lit(0)).withColumn("__cln", size)
-    step = 1 << max(limit, 1).bit_length() - 1
-    while step >= 1:
-        cand = F.col("__cle") + step
-        ok = (cand <= F.col("__cln")) & (F.element_at(arr_col, F.least(cand, F.greatest(F.col("__cln"), F.lit(1)))) <= value)
-        df = df.withColumn("__cle", F.when(F.coalesce(ok, F.lit(False)), cand).otherwise(F.col("__cle")))
-        step //= 2
-    return df.withColumn(out, F.col("__cle").cast("long")).drop("__cle", "__cln")
+    top = 1 << max(limit, 1).bit_length() - 1
+    steps = F.array(*[F.lit(top >> i) for i in range(top.bit_length())])
+    size = F.coalesce(F.size(arr_col), F.lit(0))
+
+    def found(v: Column) -> Column:
+        def step(at: Column, width: Column) -> Column:
+            ok = (at + width <= size) & (F.get(F.col(arr_col), at + width - 1) <= v)
+            return F.when(ok, at + width).otherwise(at)
+        return F.aggregate(steps, F.lit(0), step)
+
+    return df.withColumn(out, F.coalesce(F.get(F.transform(F.array(value), found), F.lit(0)), F.lit(0)).cast("long"))
 
 
 def _borders(df: DataFrame, n: int, n_buckets: int) -> DataFrame:
