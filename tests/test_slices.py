@@ -30,3 +30,10 @@ def test_slices_have_no_null_and_count_the_borders(spark):
     assert {r["v"]: r["n"] for r in got.collect()} == {None: 0, 1: 1, 5: 2, 9: 3, 12: 3}
     empty = ordered.count_le(df.withColumn("a", F.lit(None).cast("array<int>")), "a", F.col("v"), 64, "n")
     assert {r["n"] for r in empty.collect()} == {0}
+
+
+def test_the_one_slice_of_a_small_table_is_never_null(spark):
+    wide = _rows(spark).withColumn("tb", F.xxhash64("event_id", "k", "t"))
+    out = ordered.range_buckets(wide, ["k", "tb"])
+    assert not out.schema["__bkt"].nullable  # a null would make a filter of the whole hash, again in every branch
+    assert [r["__bkt"] for r in out.select("__bkt").distinct().collect()] == [0]
