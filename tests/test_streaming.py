@@ -80,3 +80,21 @@ def test_silent_keys_are_forgotten(spark, tmp_path):
     kept = _run(spark, src, tmp_path / "o1", tmp_path / "c1", delay="1 second")
     gone = _run(spark, src, tmp_path / "o2", tmp_path / "c2", delay="1 second", expire=1_000)
     assert (kept[0], kept[1], kept[4]) == ("a_0", "a_1", "a_2") and (gone[0], gone[1], gone[4]) == ("a_0", "a_1", "a_0")
+
+
+def test_unordered_query_keeps_packets_of_portions_in_several_files(spark, tmp_path):
+    """A portion of the stream lies in as many files as there are tasks: no packet may come too late within its portion."""
+    from packetlens.plans.queries import _sessionized
+    from packetlens.plans.queries_streaming import q_stream_sessionize_unordered
+
+    rnd = random.Random(13)
+    kinds = ["click", "view", "error", "signup", "purchase"]
+    events = spark.range(600).select(
+        F.col("id").alias("event_id"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, pmod(xxhash64(id), 1900000))").alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod(F.hash("id"), F.lit(5)) + 1).cast("int")).alias("event_type"),
+        F.lit(rnd.random()).alias("value"), F.lit("{}").alias("props"))
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    want = {r["event_id"]: r["session_id"] for r in _sessionized(spark, str(tmp_path)).collect()}
+    rows = q_stream_sessionize_unordered(spark, str(tmp_path)).collect()
+    assert len(rows) == 600
+    assert {r["event_id"]: r["session_id"] for r in rows} == want
