@@ -6,7 +6,7 @@ follow each other: one second-order model is trained on random strings, one on
 ordinary identifiers, and the mean log-likelihood ratio over the run's
 characters decides.
 
-Labelled samples come from the corpus itself and from a seeded generator: the
+Labelled strings come from the whole corpus and from a seeded generator: the
 values of strict spans, and drawn strings over the usual key alphabets, are
 random; words, numbers and identifiers composed of neighbouring words are
 ordinary.  Longer runs outside the strict spans carry no label and train
@@ -17,7 +17,6 @@ one of best balanced accuracy on documents that trained neither model.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,8 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
-
 #: Strict patterns and the least length of what must match (of the value, for an assignment); fixed by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")   # 18 characters or more; a shorter run holds no longer one
@@ -57,12 +54,11 @@ ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 
 @dataclass(frozen=True)
 class SecretParams:
-    """``fit_rows`` is the expected number of documents (chosen by content hash) that train and calibrate; a quarter calibrates.
+    """Every document trains or, a quarter of them by content hash, calibrates.
 
     Counts are added up in Spark and have at most ``SIZE`` cubed cells a model;
     the scores that set the cut come back as a histogram of ``bins`` bins.
     """
-    fit_rows: int = 4096
     drawn: int = 4000
     weight: float = 20.0     # of the shorter context when a context is rare
     bins: int = 400          # over mean log-likelihood ratios of -10 to 10
@@ -167,20 +163,42 @@ def labelled_strings(text: str | None) -> tuple[list[str], list[str]]:
     return random, ordinary
 
 
-def _count(strings: list[str]) -> Counter:
-    at, _ = transitions(strings)
-    cells, n = np.unique(at, return_counts=True)
-    return Counter(dict(zip(cells.tolist(), n.tolist())))
+def _count(strings: Iterable[str]) -> np.ndarray:
+    """How often each context and character occurs in the strings."""
+    return np.bincount(transitions(strings)[0], minlength=SIZE ** 3)
+
+
+def _cells(total: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """The counts above 0 of the random (first) and the ordinary strings."""
+    for label, n in zip((1, 0), total):
+        cell = np.flatnonzero(n)
+        yield pd.DataFrame({"label": label, "cell": cell, "n": n[cell]})
+
+
+#: Characters of texts whose labelled strings are counted in one go, a long text's alone.
+PART_CHARS = 500_000
+
+
+def _labelled_parts(texts: pd.Series) -> Iterator[tuple[list[str], list[str]]]:
+    """(random, ordinary) strings of the texts, some texts at a time."""
+    part, held = ([], []), 0
+    for text in texts:
+        for strings, more in zip(part, labelled_strings(text)):
+            strings += more
+        held += len(text or "")
+        if held >= PART_CHARS:
+            yield part
+            part, held = ([], []), 0
+    yield part
 
 
 def _count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = (Counter(), Counter())
+    total = [np.zeros(SIZE ** 3, dtype=np.int64) for _ in range(2)]
     for frame in batches:
-        for text in frame["text"]:
-            for counter, strings in zip(total, labelled_strings(text)):
-                counter.update(_count(strings))
-    for label, counter in zip((1, 0), total):
-        yield pd.DataFrame({"label": label, "cell": list(counter.keys()), "n": list(counter.values())})
+        for part in _labelled_parts(frame["text"]):
+            for n, strings in zip(total, part):
+                n += _count(strings)
+    yield from _cells(total)
 
 
 def _cut(histogram: pd.DataFrame, p: SecretParams) -> float:
@@ -201,26 +219,23 @@ def _bins(scores: np.ndarray, p: SecretParams) -> np.ndarray:
 def fit(docs: DataFrame, p: SecretParams = SecretParams(), text: str = "text", labelled: DataFrame | None = None) -> tuple[MarkovPair, float]:
     """The pair of models and the score from which a run counts as a secret.
 
-    Trained on about ``fit_rows`` documents, or on ``labelled`` (value string,
-    random boolean) if that is given: a quarter of the rows, by hash, sets the
-    cut and trains nothing.
+    Trained on all documents, or on ``labelled`` (value string, random boolean)
+    if that is given: a quarter of the rows, by hash, sets the cut and trains
+    nothing.
     """
-    spark, derived = docs.sparkSession, labelled is None
+    derived = labelled is None
     if derived:
         t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
         key = F.pmod(F.xxhash64(F.col("doc_id"), t), F.lit(1 << 40))
-        share = min(1.0, p.fit_rows / max(docs.count(), 1))
-        rows = docs.select(t.alias("text"), key.alias("key")).where(F.col("key") < int(share * (1 << 40)))
-        rows = Scratch(spark, "secrets").keep(rows.withColumn("held", F.pmod(F.xxhash64("key"), F.lit(4)) == 0), "sample")
+        rows = docs.select(t.alias("text"), (F.pmod(F.xxhash64(key), F.lit(4)) == 0).alias("held"))
         counts = rows.where("NOT held").select("text").mapInPandas(_count_cells, "label int, cell int, n long")
     else:
         chars = set(CHARS)
 
         def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in batches:
-                for label in (True, False):
-                    c = _count(["".join(x for x in v if x in chars) for v in frame.loc[frame["random"] == label, "value"]])
-                    yield pd.DataFrame({"label": int(label), "cell": list(c.keys()), "n": list(c.values())})
+                yield from _cells([_count(["".join(x for x in v if x in chars) for v in frame.loc[frame["random"] == label, "value"]])
+                                   for label in (True, False)])
 
         rows = labelled.where("value IS NOT NULL AND random IS NOT NULL").select("value", "random").withColumn(
             "held", F.pmod(F.xxhash64("value"), F.lit(4)) == 0)
@@ -229,20 +244,19 @@ def fit(docs: DataFrame, p: SecretParams = SecretParams(), text: str = "text", l
     total = np.zeros((2, SIZE ** 3))
     total[cells["label"].to_numpy(dtype=int), cells["cell"].to_numpy(dtype=int)] = cells["n"].to_numpy(dtype=float)
     if derived:
-        for cell, n in _count(drawn_strings(p, p.seed)).items():
-            total[1, cell] += n
+        total[1] += _count(drawn_strings(p, p.seed))
     models = MarkovPair(total[1], total[0], p.weight)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((2, p.bins), dtype=np.int64)
         for frame in batches:
             if derived:
-                both = [labelled_strings(t) for t in frame["text"]]
-                groups = [[s for x in both for s in x[k] if len(s) >= 16] for k in (0, 1)]
+                parts = ([[s for s in strings if len(s) >= 16] for strings in part] for part in _labelled_parts(frame["text"]))
             else:
-                groups = [["".join(x for x in v if x in CHARS) for v in frame.loc[frame["random"] == k, "value"]] for k in (True, False)]
-            for label, strings in zip((1, 0), groups):
-                n[label] += np.bincount(_bins(models.scores(strings), p), minlength=p.bins)
+                parts = [[["".join(x for x in v if x in CHARS) for v in frame.loc[frame["random"] == k, "value"]] for k in (True, False)]]
+            for groups in parts:
+                for label, strings in zip((1, 0), groups):
+                    n[label] += np.bincount(_bins(models.scores(strings), p), minlength=p.bins)
         label, at = np.nonzero(n)
         yield pd.DataFrame({"label": label, "bin": at, "n": n[label, at]})
 

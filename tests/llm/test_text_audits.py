@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from packetlens.llm import divergence, secret_scan, spelling
 from plain import SF
@@ -74,6 +75,19 @@ def test_random_strings_are_found_and_identifiers_are_not(spark):
     assert [(s["kind"], text[s["start"]:s["end"]]) for s in spans if s["kind"] == "random"] == [("random", secrets[0][1])]
 
 
+def test_every_document_trains_or_calibrates(spark):
+    """The models hold the counts of all documents but the held quarter, however many there are."""
+    rows = spark.range(6000).selectExpr("id AS doc_id", "concat('alpha', id % 7, ' beta gamma ', hex(xxhash64(id)), ' token = q', hex(xxhash64(id, 1))) AS text")
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    texts = [r["text"] for r in rows.where(F.pmod(F.xxhash64(key), F.lit(4)) != 0).collect()]
+    p = secret_scan.SecretParams()
+    both = [secret_scan.labelled_strings(t) for t in texts]
+    n = [np.bincount(secret_scan.transitions([s for x in both for s in x[k]])[0], minlength=secret_scan.SIZE ** 3) for k in (0, 1)]
+    n[0] += np.bincount(secret_scan.transitions(secret_scan.drawn_strings(p, p.seed))[0], minlength=secret_scan.SIZE ** 3)
+    models, _ = secret_scan.fit(rows)
+    assert np.allclose(models.ratio, secret_scan.MarkovPair(n[0], n[1], p.weight).ratio)
+
+
 def test_given_labels_train_the_models(spark, docs):
     rng = random.Random(9)
     rows = [("".join(rng.choice("0123456789ABCDEF") for _ in range(32)), True) for _ in range(300)]
