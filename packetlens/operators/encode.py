@@ -233,9 +233,10 @@ def assemble(df: DataFrame, layout: Layout, moments: Mapping[str, Moments], bool
             code = c(f"{name}{GROUP_SEPARATOR}{CODE}")
             value, slot = F.when(code >= 0, F.lit(1.0)), F.lit(first) + code
         slots.append(F.struct(slot.cast("int").alias("slot"), value.alias("value")))
-    row = _vector(F.filter(F.array(*slots), lambda x: x["value"] != 0), layout.size) if slots else _vector(
-        F.array().cast("array<struct<slot:int,value:double>>"), 0)
-    parts = {n: c(n).alias(n) for n in keep if n in df.columns} | {FEATURES: row.alias(FEATURES, metadata=layout.metadata())}
+    stored = F.filter(F.array(*slots), lambda x: x["value"] != 0) if slots else F.array().cast("array<struct<slot:int,value:double>>")
+    kept = [n for n in keep if n in df.columns]
+    df = df.select(*[c(n) for n in kept], stored.alias("__slots"))  # a column of its own: the vector reads it twice
+    parts = {n: c(n).alias(n) for n in kept} | {FEATURES: _vector(F.col("__slots"), layout.size).alias(FEATURES, metadata=layout.metadata())}
     return df.select(*[parts[k] for k in sorted(parts)])
 
 
@@ -281,7 +282,8 @@ def sequence_vectors(df: DataFrame, id_col: str = "sequence_id", label_col: str
     flat = F.flatten(F.transform("__steps", lambda s, i: F.transform(
         s["slots"], lambda x: F.struct((i * width + x["slot"]).alias("slot"), x["value"].alias("value")))))
     grouped = df.groupBy(c(id_col)).agg(steps.alias("__steps"), F.max(c(label_col)).alias("label"), F.max("split").alias("split"))
-    return grouped.select(c(id_col), "label", "split", _vector(flat, F.size("__steps") * width).alias(col))
+    flat_rows = grouped.select(c(id_col), "label", "split", flat.alias("__slots"), (F.size("__steps") * width).alias("__size"))
+    return flat_rows.select(c(id_col), "label", "split", _vector(F.col("__slots"), F.col("__size")).alias(col))
 
 
 def as_ml_vectors(df: DataFrame, col: str = FEATURES) -> DataFrame:

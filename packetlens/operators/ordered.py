@@ -21,7 +21,7 @@ from ..session import materialize
 NULL_BUCKET = -(2**63)
 
 # Rows a bucket should hold on average when the borders are derived from the data.
-DEFAULT_ROWS_PER_BUCKET = 1_000_000
+DEFAULT_ROWS_PER_BUCKET = 100_000
 # Sampled keys per bucket, and borders of one node of the search tree.
 SAMPLES_PER_BUCKET = 20
 FAN = 64
