@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import net, ports
 from ..operators import encode as EN
-from ..operators import sampling as SM
 from .prepare import prepare
-from .queries import _sequences
 from .queries_net import _sql_flags, _sql_ports, _sql_subnet
-from .queries_sampling import SEED, SPLIT_SQL
+from .queries_sampling import SEED, SPLIT_SQL, _split_rows
 from .registry import query
 from .standins import packets, table
 from ..session import materialize
@@ -31,7 +29,7 @@ def _feats(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets(spark, sf_dir).select(
         "event_id", net.shared_subnet_mask("ip_src", "ip_dst", "null").alias("subnet"),
         ports.port_features("port_dst")[0].alias("port_cat"), "num_a", "port_src")
-    rows = SM.stratified_split(_sequences(spark, sf_dir), seed=SEED)
+    rows = _split_rows(spark, sf_dir, "event_id", "step")
     feats = rows.select("event_id", "sequence_id", "step", "sequence_label", "split").join(p, "event_id")
     # fitted and then applied: materialize once in the shared checkpoint folder
     return materialize(feats, "encode-input")

@@ -47,20 +47,23 @@ assigned AS (
 """
 
 
-def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequence rows, written once: a draw reads them for its hashes and again for its rows."""
-    return materialize(_sequences(spark, sf_dir), "sequence-rows")
+def _written(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The sequence rows' id, label and ``columns``, written once: a draw reads them for its hashes and again for its rows.
 
+    Other columns are not carried through the cut's shuffle.
+    """
+    return materialize(_sequences(spark, sf_dir).select("sequence_id", "sequence_label", *columns), "sequence-rows")
 
-def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SM.stratified_split(_written(spark, sf_dir), seed=SEED)
+
+def _split_rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return SM.stratified_split(_written(spark, sf_dir, *columns), seed=SEED)
 
 
 @query("stratified_split", SPLIT_SQL + """
 SELECT event_id, sequence_id, split FROM seqrows JOIN assigned USING (sequence_id)""")
 def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stratified 70/15/15 train/val/test split of packet sequences by hash rank."""
-    return _split_rows(spark, sf_dir).select("event_id", "sequence_id", "split")
+    return _split_rows(spark, sf_dir, "event_id").select("event_id", "sequence_id", "split")
 
 
 @query("pos_weight", SPLIT_SQL + """,
@@ -83,7 +86,7 @@ SELECT event_id, sequence_id, step, sequence_label FROM seqrows
 WHERE sequence_id IN (SELECT sequence_id FROM ranked WHERE rnk <= {SAMPLE_N // 2})""")
 def q_balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """50 sequences per label, those of the smallest hashes."""
-    return SM.balanced_sample(_written(spark, sf_dir), SAMPLE_N, SEED).select(
+    return SM.balanced_sample(_written(spark, sf_dir, "event_id", "step"), SAMPLE_N, SEED).select(
         "event_id", "sequence_id", "step", "sequence_label")
 
 
@@ -93,7 +96,7 @@ SELECT event_id, sequence_id, step, sequence_label FROM seqrows
 WHERE sequence_id IN (SELECT sequence_id FROM ranked JOIN sq USING (sequence_label) WHERE rnk <= q)""")
 def q_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """100 sequences with label shares kept (largest remainder)."""
-    return SM.stratified_sample(_written(spark, sf_dir), SAMPLE_N, SEED).select(
+    return SM.stratified_sample(_written(spark, sf_dir, "event_id", "step"), SAMPLE_N, SEED).select(
         "event_id", "sequence_id", "step", "sequence_label")
 
 
@@ -103,7 +106,7 @@ WHERE sequence_id IN (SELECT sequence_id FROM seqs ORDER BY md5('{SEED}|' || seq
                       LIMIT {SAMPLE_N})""")
 def q_random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I4: the 100 sequences with the smallest hash rank (the limit is the sample)."""
-    return SM.random_sample(_written(spark, sf_dir), SAMPLE_N, SEED).select(
+    return SM.random_sample(_written(spark, sf_dir, "event_id", "step"), SAMPLE_N, SEED).select(
         "event_id", "sequence_id", "step", "sequence_label")
 
 

@@ -10,9 +10,8 @@ from ..operators import sampling as SM
 from ..operators import selection as SEL
 from ..session import materialize
 from .experiments import select
-from .queries import _sequences
 from .queries_encode import PREPARED_CTES, prepared
-from .queries_sampling import SEED, SPLIT_SQL
+from .queries_sampling import SEED, SPLIT_SQL, _split_rows
 from .registry import query
 
 FEATURES = ["ack", "num_a", "port_dst", "port_src", "syn"]
@@ -21,7 +20,7 @@ GENERATION = 0
 
 
 def _scored(spark: SparkSession, sf_dir: str):
-    rows = SM.stratified_split(_sequences(spark, sf_dir), seed=SEED)
+    rows = _split_rows(spark, sf_dir, *FEATURES)
     groups = {f: [f] for f in FEATURES}
     seq = SEL.sequence_features(rows, groups)
     fit = SEL.fit_gaussian(seq, len(FEATURES))
