@@ -1,7 +1,7 @@
 """IPv4 columns (inventory C11-C15): validation, integer form, shared subnet, flags.
 
-Everything is a native expression: a regex check, ``split`` + shifts for the
-integer form, XOR + bit length for the shared prefix, and range predicates for
+Everything is a native expression: a regex check, ``substring_index`` + shifts
+for the integer form, XOR + bit length for the shared prefix, and range predicates for
 the address classes.  No Python runs per row.
 """
 
@@ -54,11 +54,12 @@ def valid_ipv4(col: ColumnLike) -> Column:
 def ipv4_to_long(col: ColumnLike) -> Column:
     """Dotted IPv4 text -> 32-bit value as long; null if not strictly valid."""
     x = c(col)
-    parts = F.split(x, r"\.")
-    value = (F.shiftleft(parts.getItem(0).cast("long"), 24)
-             + F.shiftleft(parts.getItem(1).cast("long"), 16)
-             + F.shiftleft(parts.getItem(2).cast("long"), 8)
-             + parts.getItem(3).cast("long"))
+    # Spark computes a ``split`` below ``when`` anew for every octet taken from it; these only look for the dots
+    head, tail = F.substring_index(x, ".", 2), F.substring_index(x, ".", -2)
+    value = (F.shiftleft(F.substring_index(head, ".", 1).cast("long"), 24)
+             + F.shiftleft(F.substring_index(head, ".", -1).cast("long"), 16)
+             + F.shiftleft(F.substring_index(tail, ".", 1).cast("long"), 8)
+             + F.substring_index(tail, ".", -1).cast("long"))
     return F.when(x.rlike(IPV4_PATTERN), value)
 
 

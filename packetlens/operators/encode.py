@@ -200,14 +200,13 @@ class Layout:
 
 
 def _vector(slots: Column, size: int | Column) -> Column:
-    """The encoded row of an array of (slot, value) in slot order."""
+    """The encoded row of an array of (slot, value) in slot order; its two fields are read as such, without a lambda call for each element."""
     size = F.lit(size) if isinstance(size, int) else size
-    return F.struct(size.cast("int").alias("size"), F.transform(slots, lambda x: x["slot"]).alias("indices"),
-                    F.transform(slots, lambda x: x["value"]).alias("values"))
+    return F.struct(size.cast("int").alias("size"), slots["slot"].alias("indices"), slots["value"].alias("values"))
 
 
 def _slots(vector: Column) -> Column:
-    return F.zip_with(vector["indices"], vector["values"], lambda i, v: F.struct(i.alias("slot"), v.alias("value")))
+    return F.arrays_zip(vector["indices"].alias("slot"), vector["values"].alias("value"))
 
 
 def fit_layout(codes: DataFrame | None, scalars: Sequence[str], categorical: Sequence[str]) -> Layout:

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import bound_methods, scratch_path
 from . import presets
 from .standins import edge_packets, packets
 
@@ -25,6 +25,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def _write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> str:
     """Write in parallel (every task writes its own part files; no single-task funnel)."""
+    bound_methods(df.sparkSession)
     w = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
     if partition_by:
         w = w.partitionBy(partition_by)

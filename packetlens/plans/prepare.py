@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.common import c
 from ..operators import encode, nulls, sampling, schema, sessions
-from ..session import materialize
+from ..session import bound_methods, materialize
 
 SEQUENCE_KEEP = ["sequence_id", "sequence_label", "attack_type", "attack_label", "split", "step"]
 
@@ -45,6 +45,7 @@ def prepare(df: DataFrame, length: int = 10, ratios: Sequence[float] = sampling.
     rows are written once to the shared checkpoint folder because the split, two
     fits and the final projection all read them.
     """
+    bound_methods(df.sparkSession)
     schema.require_columns(df, schema.SPECIAL_COLUMNS)
     filled = nulls.fill_nulls(df, no_flag=["attack_label"])
     special = [*schema.SPECIAL_COLUMNS, "sequence_id", *(tiebreak or [])]

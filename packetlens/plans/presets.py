@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import net, ports, protocol, scalar
 from ..functions.common import c
 from ..operators import schema, sessions
-from ..session import materialize
+from ..session import bound_methods, materialize
 from ..sources.files import read_csv, read_labelled_dir
 
 # ---------------------------------------------------------------- MQTT capture
@@ -38,6 +38,7 @@ def clean_mqtt(df: DataFrame, key_by_class: bool = False) -> DataFrame:
     number alone (equal stream numbers of different capture files merge
     otherwise).
     """
+    bound_methods(df.sparkSession)
     df = schema.drop_columns(df, MQTT_SUPERFLUOUS, strict=True)
     df = schema.drop_columns(df, MQTT_USELESS, strict=True)
     df = df.withColumns({n: scalar.cast_strict(n, "long") for n in MQTT_INT_COLUMNS})
@@ -94,6 +95,7 @@ def clean_edge(df: DataFrame, timeout: float = SESSION_TIMEOUT_S, infer_before_f
     once as parquet to the shared checkpoint folder instead of parsing the
     CSV twice.
     """
+    bound_methods(df.sparkSession)
     df = schema.rename(df, {"dns.qry.name.len": "dns.qry.name", "dns.qry.name": "dns.qry.name.len"})
     df = schema.rename(df, {"Attack_label": "attack_label", "Attack_type": "attack_type"})
     df = schema.drop_columns(df, EDGE_SUPERFLUOUS, strict=False)
@@ -168,6 +170,7 @@ def clean_flows(df: DataFrame, session: str = "constant") -> DataFrame:
     """
     if session not in ("constant", "flow"):
         raise ValueError("session must be 'constant' or 'flow'")
+    bound_methods(df.sparkSession)
     df = schema.drop_columns(df, FLOW_DROP, strict=False)
     df = df.withColumn("attack_label", scalar.map_values("class3", FLOW_CLASS, default=None).cast("long"))
     df = schema.drop_columns(df, ["class3", "class1"], strict=True)

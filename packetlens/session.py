@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+METHOD_CONF, METHOD_DEFAULT, METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit", "65535", "8000"
 _written: list[str] = []
 
 
@@ -66,6 +67,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def bound_methods(spark: SparkSession) -> None:
+    """Have wide projections run in methods that the JVM compiles.
+
+    HotSpot never compiles a method of over 8,000 bytes of bytecode, and Spark
+    makes one method of a whole stage up to 65,535: a projection of some dozens
+    of columns then stays interpreted, at several times the cost a row.  With
+    the limit that Spark's own documentation names for HotSpot such a stage is
+    run in smaller methods.  Rows are the same; a value set by the session's
+    owner is left as it is.
+    """
+    if spark.conf.get(METHOD_CONF, METHOD_DEFAULT) == METHOD_DEFAULT:
+        spark.conf.set(METHOD_CONF, METHOD_LIMIT)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
