@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import encode, metrics, sampling, selection
+from ..session import materialize
 from ..sources import files
 from .datasets import load_data
 
@@ -15,13 +16,13 @@ from .datasets import load_data
 MODELS: dict[str, dict[str, float]] = {"logistic": {}, "lasso": {"reg": 0.002, "l1": 1.0}}
 
 
-def select(spark: SparkSession, data: DataFrame, length: int, seed: int, population: int = 16, n_train: int | None = 500,
-           n_val: int | None = 200) -> tuple[DataFrame, DataFrame]:
-    """L2-L5 on the prepared table: (fitness, masks) of a random population of feature subsets.
+def contributions(data: DataFrame, length: int, seed: int, n_train: int | None = None, n_val: int | None = None) -> tuple[DataFrame, float]:
+    """L3's model of the prepared table: the contributions of val sequences, fitted on train sequences, and the log prior.
 
-    Subsets are fitted on a balanced sample of ``n_train`` train sequences and
-    scored on one of ``n_val`` val sequences; None takes the whole split.
+    Both splits are taken whole; a number takes a balanced sample of that many sequences, or of as many as the smaller class allows.
     """
+    if n_train is None and n_val is None:
+        return selection.prepared_contributions(data.where(F.col("split").isin("train", "val")), length)
     parts = []
     for split, n in (("train", n_train), ("val", n_val)):
         part = data.where(F.col("split") == split)
@@ -29,8 +30,16 @@ def select(spark: SparkSession, data: DataFrame, length: int, seed: int, populat
             sizes = {r["sequence_label"]: r["count"] for r in part.where("step = 0").groupBy("sequence_label").count().collect()}
             n = min(n, 2 * min(sizes.get(0, 0), sizes.get(1, 0)))  # as many as the smaller class allows
         parts.append(part if n is None else sampling.balanced_sample(part, n, seed))
-    rows = parts[0].unionByName(parts[1])
-    seq, prior = selection.prepared_contributions(rows, length)
+    return selection.prepared_contributions(parts[0].unionByName(parts[1]), length)
+
+
+def select(spark: SparkSession, data: DataFrame, length: int, seed: int, population: int = 16, n_train: int | None = None,
+           n_val: int | None = None, fitted: tuple[DataFrame, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """L2-L5 on the prepared table: (fitness, masks) of a random population of feature subsets.
+
+    Subsets are fitted on the train sequences and scored on the val sequences (``contributions``, or what it gave before: ``fitted``).
+    """
+    seq, prior = fitted or contributions(data, length, seed, n_train, n_val)
     masks = selection.random_masks(spark, encode.Layout.of(data).names, population, seed)
     return selection.score_candidates(seq, selection.collect_masks(masks), prior), masks
 
@@ -57,18 +66,22 @@ def run_grid(spark: SparkSession, sources: Mapping[str, tuple[str, Callable[[Spa
 
     ``sources`` maps a dataset name to its source and loader (None: the
     preset's).  The datasets' split is drawn with the first seed, so all
-    experiments of a dataset share its cached table.  Each row is written as it
-    is done, keyed by experiment; experiments found in ``results`` are skipped,
-    so a grid that was stopped goes on where it stopped.
+    experiments of a dataset share its cached table, and the contributions of
+    its sequences, which no seed enters unless ``sizes`` asks for samples.  Each
+    row is written as it is done, keyed by experiment; experiments found in
+    ``results`` are skipped, so a grid that was stopped goes on where it stopped.
     """
     done = {tuple(r) for r in files.read_results(spark, results).select(files.RESULTS_KEY).collect()}  # as many as experiments
     number = 0
     for dataset, (source, loader) in sources.items():
-        loaded = None
+        loaded, shared = None, {}
         for model in models:
             number += 1
             if (dataset, model, length, seed + number) in done:
                 continue
             loaded = loaded or load_data(spark, dataset, source, data_dir, length, seed=seed, loader=loader)
-            files.put_results(run_one(spark, dataset, *loaded, model, length, seed + number, **sizes), results)
+            if not shared and sizes.get("n_train") is None and sizes.get("n_val") is None:
+                seq, prior = contributions(loaded[0], length, seed)
+                shared = {"fitted": (materialize(seq, "contributions"), prior)}
+            files.put_results(run_one(spark, dataset, *loaded, model, length, seed + number, **sizes, **shared), results)
     return files.read_results(spark, results)

@@ -205,3 +205,22 @@ def test_grid_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert sorted(got) == [("lasso", 44), ("logistic", 43)] and rows.schema == files.RESULTS_SCHEMA
     files.put_results(spark.createDataFrame(rows.where("model = 'lasso'").collect(), files.RESULTS_SCHEMA), out)
     assert files.read_results(spark, out).count() == 2
+
+
+def test_grid_fits_and_scores_on_whole_splits(spark, tmp_path, monkeypatch):
+    src, base, out = (str(tmp_path / x) for x in ("src", "cache", "results"))
+    _source(spark, src, 600)
+    score, seen = SEL.score_candidates, []
+
+    def counting(seq, masks, prior, **k):
+        seen.append(({r["y"]: r["count"] for r in seq.where("split = 'val'").groupBy("y").count().collect()}, prior))
+        return score(seq, masks, prior, **k)
+
+    monkeypatch.setattr(SEL, "score_candidates", counting)
+    loader = lambda s, p: s.read.parquet(p)
+    assert experiments.run_grid(spark, {"mqttset": (src, loader)}, base, out, length=5, population=4).count() == 2
+    sizes = {(r["split"], r["sequence_label"]): r["count"] for r in spark.read.parquet(f"{base}/mqttset_5.parquet").where("step = 0")
+             .groupBy("split", "sequence_label").count().collect()}
+    assert sizes["train", 0] != sizes["train", 1] and sizes["val", 0] != sizes["val", 1]
+    want = ({y: sizes["val", y] for y in (0, 1)}, pytest.approx(math.log(sizes["train", 1] / sizes["train", 0])))
+    assert seen == [want, want]
