@@ -24,6 +24,7 @@ from ..session import drop_on_exit, materialize, scratch_path
 GROUP_SEPARATOR = "__"
 CODE = "code"
 FEATURES = "features"
+PACKED = "__packed"
 
 
 def _fit_rows(df: DataFrame, split_col: str | None, fit_on: Sequence[str] | None) -> DataFrame:
@@ -217,25 +218,47 @@ def fit_layout(codes: DataFrame | None, scalars: Sequence[str], categorical: Seq
     return Layout.of_widths(widths)
 
 
+def _scalars(moments: Mapping[str, Moments], booleans: Sequence[str]) -> dict[str, Column]:
+    """The value of every feature of one slot, by name in order: scaled numerics, booleans as 0 or 1."""
+    out = dict(zip(moments, scaled_columns(moments))) | {n: c(n).cast("double") for n in booleans}
+    return {n: out[n] for n in sorted(out)}
+
+
+def pack_scalars(df: DataFrame, moments: Mapping[str, Moments], booleans: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``df`` with the scalar features as one array that ``assemble`` reads, beside the columns of ``keep``.
+
+    The joins of ``apply_codes`` then move one value a row in place of some dozens of columns.
+    """
+    values = [*_scalars(moments, booleans).values()]
+    kept = [c(n) for n in df.columns if n in set(keep)]
+    return df.select(*kept, (F.array(*values) if values else F.array().cast("array<double>")).alias(PACKED))
+
+
 def assemble(df: DataFrame, layout: Layout, moments: Mapping[str, Moments], booleans: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """J4 + J1: ``features``, the sparse vector of scaled numerics, booleans and one-hot categories, beside the id and label columns.
 
-    Categories come as code columns (``apply_codes``).  Nulls, zeros and unseen
-    categories are empty slots.  One projection; columns in name order.
+    Categories come as code columns (``apply_codes``), scalars as columns or as
+    one array (``pack_scalars``).  Nulls, zeros and unseen categories are empty
+    slots.  One projection; columns in name order.  Slots and values are plain
+    arrays from which a mark for empty is removed: a lambda would have Spark
+    interpret the expressions of all features.
     """
-    scaled = dict(zip(moments, scaled_columns(moments)))
-    slots = []
+    scalars = _scalars(moments, booleans)
+    if PACKED in df.columns:
+        scalars = {n: F.get(F.col(PACKED), F.lit(i)) for i, n in enumerate(scalars)}
+    slots, values = [], []
     for name, first, _ in layout.features:
-        if name in scaled or name in booleans:
-            value, slot = (scaled[name] if name in scaled else c(name).cast("double")), F.lit(first)
+        if name in scalars:
+            value, slot = scalars[name], F.lit(first)
         else:
             code = c(f"{name}{GROUP_SEPARATOR}{CODE}")
             value, slot = F.when(code >= 0, F.lit(1.0)), F.lit(first) + code
-        slots.append(F.struct(slot.cast("int").alias("slot"), value.alias("value")))
-    stored = F.filter(F.array(*slots), lambda x: x["value"] != 0) if slots else F.array().cast("array<struct<slot:int,value:double>>")
-    kept = [n for n in keep if n in df.columns]
-    df = df.select(*[c(n) for n in kept], stored.alias("__slots"))  # a column of its own: the vector reads it twice
-    parts = {n: c(n).alias(n) for n in kept} | {FEATURES: _vector(F.col("__slots"), layout.size).alias(FEATURES, metadata=layout.metadata())}
+        slots.append(F.when(value != 0, slot).otherwise(F.lit(-1)).cast("int"))
+        values.append(F.coalesce(value, F.lit(0.0)))
+    indices = F.array_remove(F.array(*slots), -1) if slots else F.array().cast("array<int>")
+    stored = F.array_remove(F.array(*values), 0.0) if slots else F.array().cast("array<double>")
+    vector = F.struct(F.lit(layout.size).cast("int").alias("size"), indices.alias("indices"), stored.alias("values"))
+    parts = {n: c(n).alias(n) for n in keep if n in df.columns} | {FEATURES: vector.alias(FEATURES, metadata=layout.metadata())}
     return df.select(*[parts[k] for k in sorted(parts)])
 
 
@@ -250,15 +273,21 @@ def select_features(df: DataFrame, features: Sequence[str | int], keep: Sequence
     names = [layout.names[f] if isinstance(f, int) else f for f in features] or layout.names
     new = layout.keep(names)
     at = {n: a for n, a, _ in new.features}
-    moves = [(a, a + w, at[n] - a) for n, a, w in layout.features if n in at]
-
-    def move(x: Column) -> Column:
-        slot = F.lit(None).cast("int")
-        for lo, hi, by in moves:
-            slot = F.when((x["slot"] >= lo) & (x["slot"] < hi), x["slot"] + by).otherwise(slot)
-        return F.struct(slot.alias("slot"), x["value"].alias("value"))
-
-    row = _vector(F.filter(F.transform(_slots(c(col)), move), lambda x: x["slot"].isNotNull()), new.size)
+    moves: list[tuple[int, int | None]] = []  # (first slot, its move; None drops), in slot order, equal neighbours as one
+    for n, a, w in layout.features:
+        by = at[n] - a if n in at else None
+        if w and (not moves or moves[-1][1] != by):
+            moves.append((a, by))
+
+    def place(slot: Column, some: Sequence[tuple[int, int | None]]) -> Column:
+        if len(some) <= 1:
+            return F.lit(-1) if not some or some[0][1] is None else slot + some[0][1]
+        half = len(some) // 2
+        return F.when(slot < some[half][0], place(slot, some[:half])).otherwise(place(slot, some[half:]))
+
+    moved = F.transform(c(col)["indices"], lambda x: place(x, moves))
+    kept = F.array_compact(F.zip_with(moved, c(col)["values"], lambda x, v: F.when(x >= 0, v)))
+    row = F.struct(F.lit(new.size).cast("int").alias("size"), F.array_remove(moved, -1).alias("indices"), kept.alias("values"))
     others = [n for n in (df.columns if keep is None else keep) if n in df.columns and n != col]
     return df.select(*[c(n) for n in others], row.alias(col, metadata=new.metadata()))
 
@@ -277,12 +306,13 @@ def sequence_vectors(df: DataFrame, id_col: str = "sequence_id", label_col: str
     A group holds exactly one sequence (a fixed number of rows), so collecting it is bounded.
     """
     width = Layout.of(df, col).size
-    steps = F.sort_array(F.collect_list(F.struct(c(step_col).alias("step"), _slots(c(col)).alias("slots"))))
-    flat = F.flatten(F.transform("__steps", lambda s, i: F.transform(
-        s["slots"], lambda x: F.struct((i * width + x["slot"]).alias("slot"), x["value"].alias("value")))))
+    vector = c(col)
+    steps = F.sort_array(F.collect_list(F.struct(c(step_col).alias("step"), vector["indices"].alias("slots"), vector["values"].alias("values"))))
     grouped = df.groupBy(c(id_col)).agg(steps.alias("__steps"), F.max(c(label_col)).alias("label"), F.max("split").alias("split"))
-    flat_rows = grouped.select(c(id_col), "label", "split", flat.alias("__slots"), (F.size("__steps") * width).alias("__size"))
-    return flat_rows.select(c(id_col), "label", "split", _vector(F.col("__slots"), F.col("__size")).alias(col))
+    # a lambda for the slots alone: the values are moved as they are
+    slots = F.flatten(F.transform(F.col("__steps")["slots"], lambda s, i: F.transform(s, lambda x: x + i * width)))
+    row = F.struct((F.size("__steps") * width).cast("int").alias("size"), slots.alias("indices"), F.flatten(F.col("__steps")["values"]).alias("values"))
+    return grouped.select(c(id_col), "label", "split", row.alias(col))
 
 
 def as_ml_vectors(df: DataFrame, col: str = FEATURES) -> DataFrame:

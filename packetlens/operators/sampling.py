@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ DEFAULT_RATIOS = (0.7, 0.15, 0.15)
 # Hex digits a histogram refines by, and how many hashes of open bins are fetched instead of refined again.
 DIGITS = 3
 FETCH = 10_000
+# Labels whose cuts are put into the expression.
+FEW_LABELS = 16
 
 
 def rank_key(seed: int, id_col: str = "sequence_id") -> Column:
@@ -89,12 +93,24 @@ def rank_cuts(hashes: DataFrame, first: Mapping, ranks: Mapping[object, Sequence
 
 def _with_cuts(rows: DataFrame, cuts: Mapping[object, Sequence[str | None]], names: Sequence[str], seed: int,
                id_col: str, label_col: str | None) -> DataFrame:
-    """Add a boolean column per name: is the row's sequence among the wanted smallest of its label (a broadcast of one row per label)."""
+    """Add a boolean column per name: is the row's sequence among the wanted smallest of its label?
+
+    The cuts of a few labels are part of the expression, those of many a broadcast of one row per label.
+    """
     h = rank_key(seed, id_col)
     below = lambda cut: F.coalesce(F.substring(h, F.lit(1), F.length(cut)) <= cut, F.lit(False))
     if label_col is None:
         return rows.select("*", *[below(F.lit(cut).cast("string")).alias(n) for n, cut in zip(names, cuts[0])])
     kind = rows.select(c(label_col)).schema[0].dataType.simpleString()
+    if 0 < len(cuts) <= FEW_LABELS:
+        known = reduce(or_, [c(label_col).eqNullSafe(F.lit(lab).cast(kind)) for lab in cuts])
+
+        def cut_of(i: int) -> Column:
+            out = F.lit(None).cast("string")
+            for lab, cs in cuts.items():
+                out = F.when(c(label_col).eqNullSafe(F.lit(lab).cast(kind)), F.lit(cs[i]).cast("string")).otherwise(out)
+            return out
+        return rows.where(known).select("*", *[below(cut_of(i)).alias(n) for i, n in enumerate(names)])
     table = rows.sparkSession.createDataFrame([(lab, *cs) for lab, cs in cuts.items()],
                                               ", ".join([f"__lab {kind}", *[f"__cut{i} string" for i in range(len(names))]]))
     joined = rows.join(F.broadcast(table), c(label_col).eqNullSafe(F.col("__lab")))

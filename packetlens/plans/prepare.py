@@ -61,6 +61,7 @@ def prepare(df: DataFrame, length: int = 10, ratios: Sequence[float] = sampling.
     split = sampling.stratified_split(seq, ratios, seed)
     moments = encode.fit_scaler(split, numeric, "split", fit_on)
     codes = encode.fit_codes(split, categorical, "split", fit_on) if categorical else None
+    split = encode.pack_scalars(split, moments, booleans, [*categorical, *SEQUENCE_KEEP])
     if categorical:
         split = encode.apply_codes(split, codes, categorical)
     layout = encode.fit_layout(codes, [*numeric, *booleans], categorical)

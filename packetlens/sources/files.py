@@ -131,8 +131,10 @@ def type_lattice(spark: SparkSession, files: Sequence[str], sampling_ratio: floa
         # one small aggregate over (column, value) instead of six for each column, which no compiler takes
         values = rows.select(F.col("__file").alias("file"), F.inline(F.array(*[
             F.struct(F.lit(n).alias("column"), c(n).alias("value")) for n in names])))
-        per_group.append(values.groupBy("file", "column").agg(
-            F.count("value").alias("values"), F.array(*[F.count_if(fits(F.col("value"))) for _, fits in _CSV_TYPES]).alias("fits")))
+        # tests in a projection of their own, where what they share is computed once
+        tests = [fits(F.col("value")).alias(f"__fits{i}") for i, (_, fits) in enumerate(_CSV_TYPES)]
+        per_group.append(values.select("file", "column", "value", *tests).groupBy("file", "column").agg(
+            F.count("value").alias("values"), F.array(*[F.count_if(f"__fits{i}") for i in range(len(tests))]).alias("fits")))
     return reduce(DataFrame.unionByName, per_group)
 
 
