@@ -45,7 +45,9 @@ def fit_codes(df: DataFrame, cols: Sequence[str], split_col: str | None = "split
 
     Values are range-partitioned, numbered as they are written and moved on by
     the counts of the ranges before (one row per feature and range): no task
-    holds all values, and the driver none.
+    holds all values, and the driver none.  The table is written, so its size is
+    known: a join planned by the product of two sizes would shuffle all rows by
+    their categories, some of which are few.
     """
     ranged = _values(df, cols, split_col, fit_on).repartitionByRange("feature", "value").sortWithinPartitions("feature", "value")
     at = F.monotonically_increasing_id()  # partition number and place in it
@@ -57,7 +59,7 @@ def fit_codes(df: DataFrame, cols: Sequence[str], split_col: str | None = "split
         taken[r["feature"]] = taken.get(r["feature"], 0) + r["n"]
     starts = df.sparkSession.createDataFrame(starts, "__f string, __p long, __s long")  # features x ranges rows
     moved = ranged.join(F.broadcast(starts), (F.col("feature") == F.col("__f")) & (part == F.col("__p")))
-    return moved.select("feature", "value", (F.col("at") - F.col("__s")).cast("int").alias("code"))
+    return materialize(moved.select("feature", "value", (F.col("at") - F.col("__s")).cast("int").alias("code")), "codes")
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str]) -> DataFrame:

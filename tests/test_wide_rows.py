@@ -62,3 +62,17 @@ def test_selected_features_are_found_in_a_tree(spark):
         assert r["size"] == sum(w for n, _, w in layout.features if n in names) and r["indices"] == list(want)
         assert all(a == b or math.isnan(a) and math.isnan(b) for a, b in zip(r["values"], want.values(), strict=True))
         assert "named_struct(slot" not in _optimized(out)
+
+
+def test_few_codes_shuffle_no_rows(spark):
+    df = spark.range(3000).selectExpr("cast(id % 900 as string) cat", "cast(id % 3 as string) few", "id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        coded = EN.apply_codes(df, EN.fit_codes(df, ["cat", "few"], None, None), ["cat", "few"])
+        plan = coded._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    few = coded.select("few__code").distinct().collect()
+    assert sorted(r[0] for r in few) == [0, 1, 2] and coded.agg(F.max("cat__code")).first()[0] == 899 and coded.count() == 3000
