@@ -241,26 +241,32 @@ def assemble(df: DataFrame, layout: Layout, moments: Mapping[str, Moments], bool
 
     Categories come as code columns (``apply_codes``), scalars as columns or as
     one array (``pack_scalars``).  Nulls, zeros and unseen categories are empty
-    slots.  One projection; columns in name order.  Slots and values are plain
-    arrays from which a mark for empty is removed: a lambda would have Spark
-    interpret the expressions of all features.
+    slots.  Columns in name order.  Of packed rows, slots and values are plain
+    arrays from which a mark for empty is removed: Spark interprets what a
+    lambda's array is made of.
     """
     scalars = _scalars(moments, booleans)
-    if PACKED in df.columns:
+    packed = PACKED in df.columns
+    if packed:
         scalars = {n: F.get(F.col(PACKED), F.lit(i)) for i, n in enumerate(scalars)}
-    slots, values = [], []
+    pairs = []
     for name, first, _ in layout.features:
         if name in scalars:
-            value, slot = scalars[name], F.lit(first)
+            pairs.append((F.lit(first).cast("int"), scalars[name]))
         else:
             code = c(f"{name}{GROUP_SEPARATOR}{CODE}")
-            value, slot = F.when(code >= 0, F.lit(1.0)), F.lit(first) + code
-        slots.append(F.when(value != 0, slot).otherwise(F.lit(-1)).cast("int"))
-        values.append(F.coalesce(value, F.lit(0.0)))
-    indices = F.array_remove(F.array(*slots), -1) if slots else F.array().cast("array<int>")
-    stored = F.array_remove(F.array(*values), 0.0) if slots else F.array().cast("array<double>")
-    vector = F.struct(F.lit(layout.size).cast("int").alias("size"), indices.alias("indices"), stored.alias("values"))
-    parts = {n: c(n).alias(n) for n in keep if n in df.columns} | {FEATURES: vector.alias(FEATURES, metadata=layout.metadata())}
+            pairs.append(((F.lit(first) + code).cast("int"), F.when(code >= 0, F.lit(1.0))))
+    kept = [n for n in keep if n in df.columns]
+    if packed and pairs:
+        indices = F.array_remove(F.array(*[F.when(value != 0, slot).otherwise(F.lit(-1)) for slot, value in pairs]), -1)
+        values = F.array_remove(F.array(*[F.coalesce(value, F.lit(0.0)) for _, value in pairs]), 0.0)
+        vector = F.struct(F.lit(layout.size).cast("int").alias("size"), indices.alias("indices"), values.alias("values"))
+    else:
+        slots = [F.struct(slot.alias("slot"), value.alias("value")) for slot, value in pairs]
+        stored = F.filter(F.array(*slots), lambda x: x["value"] != 0) if slots else F.array().cast("array<struct<slot:int,value:double>>")
+        df = df.select(*[c(n) for n in kept], stored.alias("__slots"))  # a column of its own: the vector reads it twice
+        vector = _vector(F.col("__slots"), layout.size)
+    parts = {n: c(n).alias(n) for n in kept} | {FEATURES: vector.alias(FEATURES, metadata=layout.metadata())}
     return df.select(*[parts[k] for k in sorted(parts)])
 
 
@@ -308,13 +314,12 @@ def sequence_vectors(df: DataFrame, id_col: str = "sequence_id", label_col: str
     A group holds exactly one sequence (a fixed number of rows), so collecting it is bounded.
     """
     width = Layout.of(df, col).size
-    vector = c(col)
-    steps = F.sort_array(F.collect_list(F.struct(c(step_col).alias("step"), vector["indices"].alias("slots"), vector["values"].alias("values"))))
+    steps = F.sort_array(F.collect_list(F.struct(c(step_col).alias("step"), _slots(c(col)).alias("slots"))))
+    flat = F.flatten(F.transform("__steps", lambda s, i: F.transform(
+        s["slots"], lambda x: F.struct((i * width + x["slot"]).alias("slot"), x["value"].alias("value")))))
     grouped = df.groupBy(c(id_col)).agg(steps.alias("__steps"), F.max(c(label_col)).alias("label"), F.max("split").alias("split"))
-    # a lambda for the slots alone: the values are moved as they are
-    slots = F.flatten(F.transform(F.col("__steps")["slots"], lambda s, i: F.transform(s, lambda x: x + i * width)))
-    row = F.struct((F.size("__steps") * width).cast("int").alias("size"), slots.alias("indices"), F.flatten(F.col("__steps")["values"]).alias("values"))
-    return grouped.select(c(id_col), "label", "split", row.alias(col))
+    flat_rows = grouped.select(c(id_col), "label", "split", flat.alias("__slots"), (F.size("__steps") * width).alias("__size"))
+    return flat_rows.select(c(id_col), "label", "split", _vector(F.col("__slots"), F.col("__size")).alias(col))
 
 
 def as_ml_vectors(df: DataFrame, col: str = FEATURES) -> DataFrame:
